@@ -61,9 +61,18 @@ def trend(first: Column, last: Column, tolerance: float = 0.05) -> Column:
     )
 
 
+def steady(value: Column, digits: int) -> Column:
+    """Round half up after shaving the last bits.
+
+    The last bits of a distributed sum depend on the order in which tasks finish; without the inner rounding a
+    value on a tie could round either way from run to run.
+    """
+    return F.round(F.round(value, digits + 6), digits)
+
+
 def percent(part: Column, whole: Column, digits: int) -> Column:
     """Rounded percentage, NULL when the whole is zero."""
-    return F.round(F.try_divide(part, whole) * 100, digits)
+    return steady(F.try_divide(part, whole) * 100, digits)
 
 
 def stable_id(*parts: Column | str, length: int = 24) -> Column:

@@ -111,7 +111,7 @@ def completeness(
         F.count(F.lit(1)).alias("receivedSamples"),
         F.count_if("isTrustworthy").alias("trustworthySamples"),
     )
-    pct = F.least(F.lit(100.0), F.round(F.col("receivedSamples") / F.lit(expected_per_hour) * 100, 1))
+    pct = F.least(F.lit(100.0), rules.steady(F.col("receivedSamples") / F.lit(expected_per_hour) * 100, 1))
     return (
         grid.join(received, ["deviceId", "hour"], "left")
         .na.fill(0, ["receivedSamples", "trustworthySamples"])

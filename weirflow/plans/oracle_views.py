@@ -244,8 +244,28 @@ VIEWS: dict[str, str] = {
 NOW = f"TIMESTAMP '{AS_OF}'"
 
 
+def steady_rounds(text: str) -> str:
+    """Make every ``round(x, n)`` half up in decimal, so that it does not hang on the last bits of a double."""
+    out, i = [], 0
+    while (at := text.find("round(", i)) >= 0:
+        depth, j, comma = 1, at + 6, -1
+        while depth:
+            depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(text[j], 0)
+            comma = j if text[j] == "," and depth == 1 else comma
+            j += 1
+        digits = int(text[comma + 1 : j - 1])
+        inner = steady_rounds(text[at + 6 : comma])
+        out += [text[i:at], f"CAST(round(CAST({inner} AS DECIMAL(38, {digits + 6})), {digits}) AS DOUBLE)"]
+        i = j
+    return "".join(out) + text[i:]
+
+
 def sql(body: str) -> str:
     """Prefix the views that ``body`` needs, in dependency order."""
+    return steady_rounds(_with_views(body))
+
+
+def _with_views(body: str) -> str:
     order: list[str] = []
 
     def visit(text: str, path: tuple[str, ...]) -> None:
