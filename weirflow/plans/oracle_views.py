@@ -119,8 +119,8 @@ VIEWS: dict[str, str] = {
       UNPIVOT (value FOR tag IN (vibration_mm_s, bearing_temp_c, power_kw, flow_m3_h))""",
     "wq": f"""
       SELECT ts AS "timestamp", {_IDS}, CASE WHEN event_type <> 'error' THEN value * CAST(0.0493827165 AS DOUBLE) END AS chlorine_mg_l,
-             k * CAST(0.0201938475 AS DOUBLE) AS turbidity_ntu, k / CAST(40.0 AS DOUBLE) + 6 AS ph,
-             value * 20 AS conductivity_us_cm, value / 4 AS temperature_c FROM ev""",
+             k * CAST(0.0201938475 AS DOUBLE) AS turbidity_ntu, k * CAST(0.0249182736 AS DOUBLE) + 6 AS ph,
+             value * CAST(20.0182736455 AS DOUBLE) AS conductivity_us_cm, value * CAST(0.2518273645 AS DOUBLE) AS temperature_c FROM ev""",
     "wq_long": """
       SELECT "timestamp", deviceId, siteId, parameter, value FROM wq
       UNPIVOT (value FOR parameter IN (chlorine_mg_l, turbidity_ntu, ph, conductivity_us_cm, temperature_c))""",
