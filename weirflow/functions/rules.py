@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,15 @@ from pyspark.sql import functions as F
 from weirflow import params
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``.
+
+    Optimizer rules that move expressions copy a column at each use; a chain of such columns would grow
+    exponentially. The bound variable of a lambda is never copied.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 

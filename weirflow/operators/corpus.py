@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +30,11 @@ def _sections_of(parts: Column, heading_clean: str) -> Column:
     preamble = text.strip(parts[0])
     first = F.filter(F.array(F.struct(F.lit("").alias("heading"), preamble.alias("body"))),
                      lambda s: F.length(s["body"]) >= MIN_CHARS)
+    halves = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.split(p, SPLIT, 2))
     rest = F.transform(
-        F.slice(parts, F.lit(2), F.size(parts)),
-        lambda p: F.struct(
-            F.regexp_replace(text.strip(F.split(p, SPLIT, 2)[0]), heading_clean, "").alias("heading"),
-            text.strip(F.split(p, SPLIT, 2)[1]).alias("body"),
+        halves,
+        lambda h: F.struct(
+            F.regexp_replace(text.strip(h[0]), heading_clean, "").alias("heading"), text.strip(h[1]).alias("body")
         ),
     )
     return F.concat(first, F.filter(rest, lambda s: s["body"] != ""))
@@ -40,14 +42,16 @@ def _sections_of(parts: Column, heading_clean: str) -> Column:
 
 def split_sections(content: Column) -> Column:
     """Sections by markdown heading, else by ALLCAPS label (two at least), else the whole text."""
-    by_heading = _cut(content, HEADING, f"{OPEN}$2{SPLIT}")
-    by_label = _cut(content, CAPS_LABEL, f"{OPEN}$1{SPLIT}$0")
     whole = F.array(F.struct(F.lit("").alias("heading"), text.strip(content).alias("body")))
-    return (
-        F.when(F.size(by_heading) > 1, _sections_of(by_heading, r"\A\z"))
-        .when(F.size(by_label) > 2, _sections_of(by_label, r"\.+\z"))
-        .otherwise(whole)
-    )
+
+    def labelled(parts: Column) -> Column:
+        return F.when(F.size(parts) > 2, _sections_of(parts, r"\.+\z")).otherwise(whole)
+
+    def headed(parts: Column) -> Column:
+        by_label = _cut(content, CAPS_LABEL, f"{OPEN}$1{SPLIT}$0")
+        return F.when(F.size(parts) > 1, _sections_of(parts, r"\A\z")).otherwise(rules.let(by_label, labelled))
+
+    return rules.let(_cut(content, HEADING, f"{OPEN}$2{SPLIT}"), headed)
 
 
 def _state(done: Column, heads: Column, body: Column, size: Column) -> Column:
@@ -67,57 +71,63 @@ def _flushed(s: Column) -> Column:
     return _state(done, _empty("string"), _empty("string"), F.lit(0))
 
 
+def _start() -> Column:
+    return _state(_empty(PAIR), _empty("string"), _empty("string"), F.lit(0))
+
+
+def _room(s: Column, over: Column, then: Callable[[Column], Column]) -> Column:
+    """Go on with the state, flushed first when the next text would not fit."""
+    return rules.let(F.when(over, _flushed(s)).otherwise(s), then)
+
+
 def coalesce_sections(sections: Column) -> Column:
     """Merge neighbours greedily until a chunk is long enough, without passing the ceiling."""
 
     def step(s: Column, x: Column) -> Column:
-        over = (s["size"] > 0) & (s["size"] + F.length(x["body"]) > MAX_CHARS)
-        s = F.when(over, _flushed(s)).otherwise(s)
-        added = _state(
-            s["done"],
-            F.concat(s["heads"], F.array(x["heading"])),
-            F.concat(s["body"], F.array(x["body"])),
-            s["size"] + F.length(x["body"]) + 2,
-        )
-        return F.when(added["size"] >= TARGET_CHARS, _flushed(added)).otherwise(added)
+        length = F.length(x["body"])
 
-    start = _state(_empty(PAIR), _empty("string"), _empty("string"), F.lit(0))
-    return F.aggregate(sections, start, step, lambda s: _flushed(s)["done"])
+        def add(t: Column) -> Column:
+            more = _state(
+                t["done"], F.concat(t["heads"], F.array(x["heading"])), F.concat(t["body"], F.array(x["body"])),
+                t["size"] + length + 2,
+            )
+            return rules.let(more, lambda m: F.when(m["size"] >= TARGET_CHARS, _flushed(m)).otherwise(m))
+
+        return _room(s, (s["size"] > 0) & (s["size"] + length > MAX_CHARS), add)
+
+    return F.aggregate(sections, _start(), step, lambda s: _flushed(s)["done"])
 
 
 def pack(body: Column) -> Column:
     """Pieces of an oversized section, split between paragraphs only."""
 
     def step(s: Column, p: Column) -> Column:
-        over = (s["size"] + F.length(p) > MAX_CHARS) & (F.size(s["body"]) > 0)
-        s = F.when(over, _flushed(s)).otherwise(s)
-        return _state(s["done"], s["heads"], F.concat(s["body"], F.array(p)), s["size"] + F.length(p) + 2)
+        def add(t: Column) -> Column:
+            return _state(t["done"], t["heads"], F.concat(t["body"], F.array(p)), t["size"] + F.length(p) + 2)
+
+        return _room(s, (s["size"] + F.length(p) > MAX_CHARS) & (F.size(s["body"]) > 0), add)
 
     paragraphs = F.filter(F.transform(F.split(body, "\n\n"), text.strip), lambda p: p != "")
-    start = _state(_empty(PAIR), _empty("string"), _empty("string"), F.lit(0))
-    pieces = F.transform(F.aggregate(paragraphs, start, step, lambda s: _flushed(s)["done"]), lambda c: c["body"])
+    pieces = F.transform(F.aggregate(paragraphs, _start(), step, lambda s: _flushed(s)["done"]), lambda c: c["body"])
     return F.when(F.length(body) <= MAX_CHARS, F.array(body)).otherwise(pieces)
 
 
 def chunk_corpus(docs: DataFrame) -> DataFrame:
     """One row per chunk. A document's fold is row-local; documents are independent, so there is no shuffle.
 
-    The columns are materialised step by step, or the section expression would be evaluated at each use.
+    The outer explode keeps the optimizer from inferring a filter that would run the fold a second time.
     """
     rest = [c for c in docs.columns if c not in ("id", "content")]
     rows = docs.filter(text.strip(F.coalesce("content", F.lit(""))) != "")
-    rows = rows.select(F.col("id").alias("documentId"), *rest, split_sections(F.col("content")).alias("_sections"))
-    rows = rows.withColumn("_merged", coalesce_sections(F.col("_sections")))
     pieces = F.flatten(
         F.transform(
-            "_merged",
+            coalesce_sections(split_sections(F.col("content"))),
             lambda c: F.transform(pack(c["body"]), lambda b: F.struct(c["heading"].alias("heading"), b.alias("content"))),
         )
     )
-    rows = rows.withColumn("_pieces", pieces)
-    kept = F.filter("_pieces", lambda p, i: (i == 0) | (F.length(p["content"]) >= MIN_CHARS))
-    rows = rows.select("documentId", *rest, F.posexplode(kept).alias("ordinal", "_piece"))
-    return rows.select(
+    kept = F.filter(pieces, lambda p, i: (i == 0) | (F.length(p["content"]) >= MIN_CHARS))
+    rows = rows.select(F.col("id").alias("documentId"), *rest, F.posexplode_outer(kept).alias("ordinal", "_piece"))
+    return rows.filter(F.col("_piece").isNotNull()).select(
         rules.stable_id("documentId", F.col("ordinal").cast("string"), length=40).alias("chunkId"),
         "documentId", "ordinal", F.col("_piece.heading").alias("heading"), F.col("_piece.content").alias("content"), *rest,
     )

@@ -16,21 +16,26 @@ from weirflow.functions import rules, text
 def extract_ids(rows: DataFrame, question: str = "question") -> DataFrame:
     """Devices and sites named in the text. A device implies its site; a short id belongs to the first site."""
     upper = F.upper(question)
-    rows = rows.withColumns({
-        "_devices": F.regexp_extract_all(upper, F.lit(v.DEVICE_ID), F.lit(1)),
-        "_sites": F.array_sort(F.array_distinct(F.regexp_extract_all(upper, F.lit(v.SITE_ID), F.lit(1)))),
-        "_short": F.regexp_extract_all(upper, F.lit(v.SHORT_ID), F.lit(1)),
-    })
-    first = F.element_at("_sites", 1)
 
-    def is_short(x: Column) -> Column:
-        return ~F.array_contains("_sites", x) & ~rules.any_of([x.startswith(p) for p in v.SITE_PREFIXES])
+    def found(pattern: str) -> Column:
+        return F.regexp_extract_all(upper, F.lit(pattern), F.lit(1))
 
-    named = F.transform(F.filter("_short", is_short), lambda x: F.concat(first, F.lit("-"), x))
-    devices = F.when(F.size("_sites") > 0, F.concat("_devices", named)).otherwise(F.col("_devices"))
-    rows = rows.withColumn("deviceIds", F.array_sort(F.array_distinct(devices)))
-    implied = F.transform("deviceIds", lambda d: F.substring_index(d, "-", 2))
-    return rows.withColumn("siteIds", F.array_sort(F.array_union("_sites", implied))).drop("_devices", "_sites", "_short")
+    def devices(sites: Column) -> Column:
+        def is_short(x: Column) -> Column:
+            return ~F.array_contains(sites, x) & ~rules.any_of([x.startswith(p) for p in v.SITE_PREFIXES])
+
+        named = F.transform(F.filter(found(v.SHORT_ID), is_short), lambda x: F.concat(sites[0], F.lit("-"), x))
+        every = F.when(F.size(sites) > 0, F.concat(found(v.DEVICE_ID), named)).otherwise(found(v.DEVICE_ID))
+        return F.array_sort(F.array_distinct(every))
+
+    def both(sites: Column) -> Column:
+        return rules.let(devices(sites), lambda d: F.struct(
+            d.alias("deviceIds"),
+            F.array_sort(F.array_union(sites, F.transform(d, lambda x: F.substring_index(x, "-", 2)))).alias("siteIds"),
+        ))
+
+    ids = rules.let(F.array_sort(F.array_distinct(found(v.SITE_ID))), both)
+    return rows.withColumn("_ids", ids).select(*rows.columns, "_ids.*")
 
 
 def days_hint(rows: DataFrame, default: int, question: str = "question") -> DataFrame:
@@ -75,80 +80,106 @@ def resolve_terms(rows: DataFrame, terms: DataFrame, key: str, question: str = "
     )
 
 
-def route(rows: DataFrame, question: str = "question", entities: str | None = None) -> DataFrame:
-    """Score the specialists and decide who answers, and how."""
-    rows = rows.withColumns({"_low": F.lower(question), "_tokens": text.tokens(F.col(question))})
-    names = [s[0] for s in v.SPECIALISTS]
-    rule_hit = {i: F.col("_low").rlike(p) for i, (p, _) in enumerate(v.HARD_RULES)}
-
-    def triggers_hit(triggers: list[str]) -> Column:
-        return F.filter(
-            text.literals(triggers),
-            lambda t: F.when(F.contains(t, F.lit(" ")), F.contains(F.col("_low"), t)).otherwise(
-                F.array_contains("_tokens", t)
-            ),
-        )
+def _hits(said: Column) -> Column:
+    """Triggers found, one list per specialist."""
+
+    def found(t: Column) -> Column:
+        return F.when(_is_phrase(t), F.contains(said["low"], t)).otherwise(F.array_contains(said["tokens"], t))
+
+    return F.array(*[F.filter(text.literals(triggers), found) for _, triggers, _ in v.SPECIALISTS])
 
-    rows = rows.withColumns({f"_hits{i}": triggers_hit(spec[1]) for i, spec in enumerate(v.SPECIALISTS)})
-    scored = []
-    for i, (name, _, wanted) in enumerate(v.SPECIALISTS):
-        phrases = F.size(F.filter(f"_hits{i}", lambda t: F.contains(t, F.lit(" "))))
-        own = phrases * 2.5 + (F.size(f"_hits{i}") - phrases) * 1.5
-        if entities is not None and wanted:
-            own = own + F.size(F.array_intersect(F.col(entities), text.literals(wanted)))
-        mine = [j for j, (_, agent) in enumerate(v.HARD_RULES) if agent == name]
-        forced = sum((F.when(rule_hit[j], 6.0).otherwise(0.0) for j in mine), F.lit(0.0))
-        # Ties: those with words of their own come first, in registry order; then the forced ones, in rule order.
-        first_rule = F.coalesce(*[F.when(rule_hit[j], F.lit(100 + j)) for j in mine], F.lit(999))
-        place = F.when(own > 0, F.lit(i)).otherwise(first_rule)
-        scored.append(F.struct((-(own + forced)).alias("minus"), place.alias("place"), F.lit(name).alias("name")))
-    ranked = F.sort_array(F.filter(F.array(*scored), lambda s: s["minus"] < 0))
-    forced_names = F.array_distinct(
-        F.array_compact(F.array(*[F.when(rule_hit[j], F.lit(agent)) for j, (_, agent) in enumerate(v.HARD_RULES)]))
+
+def _is_phrase(trigger: Column) -> Column:
+    return F.contains(trigger, F.lit(" "))
+
+
+def _score(i: int, said: Column, facts: Column) -> Column:
+    """Score and place in a tie: those with words of their own first, in registry order, then those that only a
+    rule brought in, in rule order."""
+    name, _, wanted = v.SPECIALISTS[i]
+    rules_of = [j for j, (_, agent) in enumerate(v.HARD_RULES) if agent == name]
+    by_rule = sum((F.when(facts["rules"][j], 6.0).otherwise(0.0) for j in rules_of), F.lit(0.0))
+    first_rule = F.coalesce(*[F.when(facts["rules"][j], F.lit(100 + j)) for j in rules_of], F.lit(999))
+    own = F.aggregate(
+        facts["hits"][i], F.lit(0.0), lambda acc, t: acc + F.when(_is_phrase(t), 2.5).otherwise(1.5)
+    ) + F.size(F.array_intersect(said["entities"], text.literals(wanted)))
+    return rules.let(
+        own,
+        lambda o: F.struct(
+            (-(o + by_rule)).alias("minus"), F.when(o > 0, F.lit(i)).otherwise(first_rule).alias("place"),
+            F.lit(name).alias("name"), F.slice(facts["hits"][i], 1, 6).alias("hits"),
+        ),
     )
-    rows = rows.withColumns({
-        "_ranked": ranked,
-        "_forced": forced_names,
-        "_briefing": F.col("_low").rlike(v.BRIEFING),
-    })
-    order = F.transform("_ranked", lambda s: s["name"])
-    top = F.coalesce(-F.try_element_at("_ranked", F.lit(1))["minus"], F.lit(0.0))
-    runner = F.coalesce(-F.try_element_at("_ranked", F.lit(2))["minus"], F.lit(0.0))
-    total = F.aggregate("_ranked", F.lit(0.0), lambda acc, s: acc - s["minus"])
-    rows = rows.withColumns({"_order": order, "_top": top, "_runner": runner, "_total": total})
-    confidence = F.coalesce(F.try_divide("_top", "_total"), F.lit(0.0))
-    clear = (confidence >= 0.55) & (F.col("_top") >= 3.0)
-    shared = (F.col("_runner") >= 3.0) & (F.col("_top") - F.col("_runner") <= 2.0)
-    reason = (
-        F.when(F.col("_briefing"), "briefing")
-        .when(F.size("_ranked") == 0, "no_match")
-        .when(clear, "clear")
-        .when(shared, "shared")
-        .otherwise("ambiguous")
+
+
+def _decide(said: Column, facts: Column, ranked: Column) -> Column:
+    names = F.transform(ranked, lambda s: s["name"])
+    forced = F.array_distinct(
+        F.array_compact(F.array(*[F.when(facts["rules"][j], F.lit(agent)) for j, (_, agent) in enumerate(v.HARD_RULES)]))
     )
-    rows = rows.withColumn("reason", reason)
-    why = F.col("reason")
-    agents = (
-        F.when(why == "briefing", text.literals(v.BRIEFING_SPECIALISTS))
-        .when(why == "clear", F.array_union("_forced", F.slice("_order", 1, 1)))
-        .when(why == "shared", F.array_union(F.slice("_order", 1, 2), F.col("_forced")))
-        .otherwise(F.slice("_order", 1, 3))
+    top = F.coalesce(-F.try_element_at(ranked, F.lit(1))["minus"], F.lit(0.0))
+    runner = F.coalesce(-F.try_element_at(ranked, F.lit(2))["minus"], F.lit(0.0))
+    total = F.aggregate(ranked, F.lit(0.0), lambda acc, s: acc - s["minus"])
+
+    def judged(d: Column) -> Column:
+        reason = (
+            F.when(said["low"].rlike(v.BRIEFING), "briefing")
+            .when(F.size(d["names"]) == 0, "no_match")
+            .when((d["confidence"] >= 0.55) & (d["top"] >= 3.0), "clear")
+            .when((d["runner"] >= 3.0) & (d["top"] - d["runner"] <= 2.0), "shared")
+            .otherwise("ambiguous")
+        )
+        return rules.let(reason, lambda why: chosen(d, why))
+
+    def chosen(d: Column, why: Column) -> Column:
+        agents = (
+            F.when(why == "briefing", text.literals(v.BRIEFING_SPECIALISTS))
+            .when(why == "clear", F.array_union(d["forced"], F.slice(d["names"], 1, 1)))
+            .when(why == "shared", F.array_union(F.slice(d["names"], 1, 2), d["forced"]))
+            .otherwise(F.slice(d["names"], 1, 3))
+        )
+        return rules.let(agents, lambda a: result(d, why, a))
+
+    def result(d: Column, why: Column, agents: Column) -> Column:
+        strategy = (
+            F.when(why.isin("no_match", "ambiguous"), "plan")
+            .when((why == "clear") & (F.size(agents) == 1), "direct")
+            .otherwise("parallel")
+        )
+        return F.struct(
+            why.alias("reason"),
+            agents.alias("specialists"),
+            F.when(why == "briefing", 1.0).otherwise(rules.steady(d["confidence"], 3)).alias("confidence"),
+            strategy.alias("strategy"),
+            F.transform(ranked, lambda s: F.struct(s["name"].alias("name"), (-s["minus"]).alias("score"))).alias("scores"),
+            F.try_element_at(ranked, F.lit(1))["hits"].alias("matchedOn"),
+        )
+
+    measured = F.struct(
+        names.alias("names"), forced.alias("forced"), top.alias("top"), runner.alias("runner"),
+        F.coalesce(F.try_divide(top, total), F.lit(0.0)).alias("confidence"),
     )
-    rows = rows.withColumn("specialists", agents)
-    strategy = (
-        F.when(why.isin("no_match", "ambiguous"), "plan")
-        .when((why == "clear") & (F.size("specialists") == 1), "direct")
-        .otherwise("parallel")
+    return rules.let(measured, judged)
+
+
+def route(rows: DataFrame, question: str = "question", entities: str | None = None) -> DataFrame:
+    """Score the specialists and decide who answers, and how: one expression per question, no shuffle."""
+    none = F.array().cast("array<string>")
+    said = F.struct(
+        F.lower(question).alias("low"), text.tokens(F.col(question)).alias("tokens"),
+        (none if entities is None else F.col(entities)).alias("entities"),
     )
-    best = F.try_element_at("_order", F.lit(1))
-    matched = F.coalesce(*[F.when(best == n, F.slice(f"_hits{i}", 1, 6)) for i, n in enumerate(names)])
-    rows = rows.withColumns({
-        "confidence": F.when(why == "briefing", 1.0).otherwise(rules.steady(confidence, 3)),
-        "strategy": strategy,
-        "scores": F.transform("_ranked", lambda s: F.struct(s["name"].alias("name"), (-s["minus"]).alias("score"))),
-        "matchedOn": matched,
-    })
-    return rows.drop(*[c for c in rows.columns if c.startswith("_")])
+
+    def with_facts(s: Column) -> Column:
+        rule_hits = F.array(*[s["low"].rlike(pattern) for pattern, _ in v.HARD_RULES])
+        facts = F.struct(rule_hits.alias("rules"), _hits(s).alias("hits"))
+        return rules.let(facts, lambda f: rules.let(ranking(s, f), lambda r: _decide(s, f, r)))
+
+    def ranking(s: Column, f: Column) -> Column:
+        scored = F.array(*[_score(i, s, f) for i in range(len(v.SPECIALISTS))])
+        return F.sort_array(F.filter(scored, lambda x: x["minus"] < 0))
+
+    return rows.withColumn("_route", rules.let(said, with_facts)).select(*rows.columns, "_route.*")
 
 
 def approval_intent(rows: DataFrame, question: str = "question") -> DataFrame:

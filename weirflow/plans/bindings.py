@@ -77,9 +77,8 @@ def _quality_values() -> Column:
     )
 
 
-def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def resend(rows: DataFrame) -> DataFrame:
     """Events as they arrive: every seventh is sent again an hour later with a corrected value."""
-    rows = _events(spark, sf_dir)
     resent = F.when(F.col("event_id") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     rows = rows.withColumn("again", F.explode(resent))
     lag = F.col("k") * 10 + F.col("again") * 3600
@@ -90,8 +89,8 @@ def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def _bronze(spark: SparkSession, sf_dir: str, measurements: Column) -> DataFrame:
-    return _arrivals(spark, sf_dir).select(
+def to_bronze_rows(arrivals: DataFrame, measurements: Column) -> DataFrame:
+    return arrivals.select(
         F.col("ts").alias("eventTimeUtc"),
         "enqueuedUtc",
         *_ids(),
@@ -101,6 +100,14 @@ def _bronze(spark: SparkSession, sf_dir: str, measurements: Column) -> DataFrame
     )
 
 
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resend(_events(spark, sf_dir))
+
+
+def _bronze(spark: SparkSession, sf_dir: str, measurements: Column) -> DataFrame:
+    return to_bronze_rows(_arrivals(spark, sf_dir), measurements)
+
+
 def bronze_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bronze(spark, sf_dir, _telemetry_values())
 

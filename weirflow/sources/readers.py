@@ -38,10 +38,13 @@ def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.json(path, schema=wrapper, multiLine=True).withColumn("sourceFile", F.col("_metadata.file_name"))
     names = schemas.KNOWLEDGE_DOCUMENT.fieldNames()
     docs = F.when(F.col("documents").isNotNull(), F.col("documents")).otherwise(F.array(F.struct(*names)))
+    return normalise_knowledge(rows.select("sourceFile", F.explode(docs).alias("d")).select("sourceFile", "d.*"))
+
+
+def normalise_knowledge(docs: DataFrame) -> DataFrame:
+    """Fill the defaults and drop documents without text."""
     return (
-        rows.select("sourceFile", F.explode(docs).alias("d"))
-        .select("sourceFile", "d.*")
-        .withColumn("docType", F.coalesce("docType", F.lit("sop")))
+        docs.withColumn("docType", F.coalesce("docType", F.lit("sop")))
         .withColumn("classification", F.coalesce("classification", F.lit("internal")))
         .withColumn("source", F.coalesce("source", "sourceFile"))
         .filter(F.trim(F.coalesce("content", F.lit(""))) != "")

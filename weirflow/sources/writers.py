@@ -66,10 +66,10 @@ def upsert(
     """
     staging = f"{path.rstrip('/')}__staging/{uuid.uuid4().hex}"
     try:
+        # Staged first: the steps below read the rows three times, and must see the same ones.
+        source.write.parquet(f"{staging}/in")
+        source = spark.read.parquet(f"{staging}/in")
         if order is None:
-            # Staged first, so the checks and the merge below do not compute the source again.
-            source.write.parquet(f"{staging}/in")
-            source = spark.read.parquet(f"{staging}/in")
             assert_unique(source, keys)
         if path_exists(spark, path):
             target = spark.read.parquet(path)
