@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DAY = 86400
 HOUR = 3600
@@ -163,34 +164,31 @@ def value_at_rank(
     )
 
 
-def with_rank(df: DataFrame, keys: Sequence[str], by: Column, name: str = "rank", ranges: int = 64) -> DataFrame:
-    """Add the SQL ``rank`` of each row within its key, greatest ``by`` first, without one task per key.
+def with_rank(df: DataFrame, keys: Sequence[str], by: str, name: str = "rank") -> DataFrame:
+    """Add the SQL ``rank`` of each row within its key, greatest ``by`` first.
 
-    The value range of a key is cut by an approximate quantile sketch; equal values fall into the same range,
-    so the rank inside a range plus the rows in the ranges above it is the exact rank.
+    Meant for rounded figures: rows are counted per distinct value before they are ordered, so the ordering sees
+    one row per value and not one per row, and the ranks are joined back by value.
     """
-    rows = df.withColumn("_by", by.cast("double"))
-    cuts = rows.groupBy(*keys).agg(
-        F.percentile_approx("_by", [i / ranges for i in range(1, ranges)], 1000).alias("_cuts")
-    )
-    if keys:
-        rows = rows.join(cuts, list(keys))
-    else:
-        rows = rows.withColumn("_cuts", cuts.scalar())
-    rows = rows.withColumn(
-        "_range", -F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c <= F.col("_by")))
-    ).drop("_cuts")
-    per = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    above = per.select(
-        *keys, "_range", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")).alias("_above")
-    )
-    inside = Window.partitionBy(*keys, "_range").orderBy(F.col("_by").desc())
-    return (
-        rows.withColumn("_inside", F.rank().over(inside))
-        .join(above, [*keys, "_range"])
-        .withColumn(name, (F.col("_above") + F.col("_inside")).cast("int"))
-        .drop("_by", "_range", "_inside", "_above")
+    counts = df.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.col(by).desc()))
+    mine = {k: f"_rank_{k}" for k in (*keys, by)}
+    ranks = counts.select(
+        *[F.col(k).alias(v) for k, v in mine.items()], (upto - F.col("_n") + 1).cast("int").alias(name)
     )
+    same = [F.col(k).eqNullSafe(F.col(v)) for k, v in mine.items()]
+    return df.join(ranks, same).drop(*mine.values())
+
+
+def tie_hash(df: DataFrame, keys: Sequence[str]) -> Column:
+    """Hash of the columns besides the keys, to settle ties the same way on every run."""
+    cells = []
+    for field in df.schema.fields:
+        if field.name not in keys:
+            cell = F.col(field.name)
+            # Maps cannot be hashed: their entries have no order of their own.
+            cells.append(F.sort_array(F.map_entries(cell)) if isinstance(field.dataType, T.MapType) else cell)
+    return F.xxhash64(*cells) if cells else F.lit(0)
 
 
 def newest_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

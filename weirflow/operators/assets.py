@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weirflow import params
 from weirflow.functions import ordered, rules
+from weirflow.session import local_table
 
 
 def list_rows(df: DataFrame, order: list, limit: int | None = None, **criteria: object) -> DataFrame:
@@ -27,19 +28,19 @@ def find(df: DataFrame, wanted: DataFrame, key: str, fallback: str | None = None
 
 
 def failure_library(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(params.FAILURE_MODES, params.FAILURE_COLUMNS)
+    return local_table(spark, params.FAILURE_MODES, params.FAILURE_COLUMNS)
 
 
 def failure_candidates(assets: DataFrame, library: DataFrame) -> DataFrame:
     """Failure modes that each asset's class can have. The library is a fixed list."""
-    return assets.select("assetId", "assetClass").join(F.broadcast(library), "assetClass")
+    return assets.select("assetId", "assetClass").join(library, "assetClass")
 
 
 def vibration_limits(assets: DataFrame, zones: DataFrame) -> DataFrame:
     """Band, zone limits and their reading for each asset."""
     kw = F.coalesce("ratedPowerKw", F.lit(0.0))
     rows = assets.select("assetId", kw.alias("ratedPowerKw"), rules.iso_band(kw).alias("isoVibrationBand"))
-    rows = rows.join(F.broadcast(zones), "isoVibrationBand")
+    rows = rows.join(zones, "isoVibrationBand")
     ab, bc, cd = (F.format_string("%.1f", c) for c in ("ab", "bc", "cd"))
     return rows.select(
         "assetId",

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from weirflow import params
 from weirflow.functions import ordered, rules
+from weirflow.session import local_table
 
 
 def limit_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(params.REGULATORY_LIMITS, params.LIMIT_COLUMNS)
+    return local_table(spark, params.REGULATORY_LIMITS, params.LIMIT_COLUMNS)
 
 
 def limits_for(limits: DataFrame, jurisdiction: str | None = "US-EPA", parameter: str | None = None) -> DataFrame:
@@ -24,7 +25,7 @@ def breach() -> Column:
 
 def with_limits(readings: DataFrame, limits: DataFrame) -> DataFrame:
     """Long readings with their limit and a breach mark. The limits of one jurisdiction are a handful of rows."""
-    return readings.join(F.broadcast(limits), "parameter").withColumn("isBreach", breach())
+    return readings.join(limits, "parameter").withColumn("isBreach", breach())
 
 
 def compliance_window(readings: DataFrame, limits: DataFrame, sites: DataFrame) -> DataFrame:
@@ -68,8 +69,7 @@ def escalations(window: DataFrame) -> DataFrame:
 
 def latest_calibration(calibrations: DataFrame) -> DataFrame:
     keys = ["deviceId", "parameter"]
-    rest = [F.col(c) for c in calibrations.columns if c not in keys]
-    return ordered.latest_by(calibrations, keys, [F.col("calibratedAt"), F.xxhash64(*rest)])
+    return ordered.latest_by(calibrations, keys, [F.col("calibratedAt"), ordered.tie_hash(calibrations, keys)])
 
 
 def sensor_validity(readings: DataFrame, calibrations: DataFrame, *, min_samples: int = 6) -> DataFrame:

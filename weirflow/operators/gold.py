@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weirflow import params
 from weirflow.functions import ordered, rules
+from weirflow.session import local_table
 
 
 def pick(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -22,8 +23,7 @@ def pick(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def first_per_key(df: DataFrame, key: str) -> DataFrame:
     """One row per key, chosen by a hash of the row, so that reruns agree."""
-    rest = [F.col(c) for c in df.columns if c != key]
-    return ordered.latest_by(df, [key], [F.xxhash64(*rest)])
+    return ordered.latest_by(df, [key], [ordered.tie_hash(df, [key])])
 
 
 def gold_site(sites: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def vibration_trend(hourly: DataFrame, as_of: str, *, days: int = 14) -> DataFra
 
 def zone_limits(spark, zones=params.ISO_ZONES) -> DataFrame:
     """The band limits as a (three-row) table."""
-    return spark.createDataFrame(zones, "isoVibrationBand string, ab double, bc double, cd double, note string")
+    return local_table(spark, zones, "isoVibrationBand string, ab double, bc double, cd double, note string")
 
 
 def asset_health(
@@ -243,7 +243,7 @@ def asset_health(
     rate = F.col("vibrationSlopePerDay")
     rows = slope.join(
         assets.select("assetId", "ratedPowerKw", "isoVibrationBand", "assetClass", "criticality"), "assetId", "left"
-    ).join(F.broadcast(limits), "isoVibrationBand", "left")  # three rows by construction
+    ).join(limits, "isoVibrationBand", "left")  # three rows by construction
     bound = (
         F.when(F.col("ab").isNull(), F.lit(None).cast("double"))
         .when(level >= F.col("bc"), F.col("cd"))

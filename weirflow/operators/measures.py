@@ -31,7 +31,7 @@ def vibration_severity(rows: DataFrame, assets: DataFrame, zones: DataFrame) ->
     zone = rules.iso_zone(F.col("meanVibration"), F.col("ab"), F.col("bc"), F.col("cd"))
     return (
         mean.join(assets.select("assetId", "isoVibrationBand"), "assetId")
-        .join(F.broadcast(zones), "isoVibrationBand")
+        .join(zones, "isoVibrationBand")
         .select("assetId", "isoVibrationBand", "meanVibration", zone.alias("zone"))
     )
 
@@ -48,9 +48,11 @@ def fleet_availability(devices: DataFrame, by: list[str]) -> DataFrame:
     return devices.groupBy(*by).agg(rules.percent(online, F.count(F.lit(1)), 4).alias("fleetAvailability"))
 
 
-def data_completeness(ledger: DataFrame, by: list[str]) -> DataFrame:
-    share = rules.percent(F.sum("receivedSamples"), F.sum("expectedSamples"), 4)
-    return ledger.groupBy(*by).agg(share.alias("dataCompleteness"))
+def data_completeness(rows: DataFrame, devices: DataFrame, expected: int) -> DataFrame:
+    """Received against expected samples of each device. The expectation is a product, so no hour grid is built."""
+    got = rows.groupBy("deviceId").agg(F.count(F.lit(1)).alias("_got"))
+    share = rules.percent(F.coalesce("_got", F.lit(0)), F.lit(expected), 4)
+    return devices.select("deviceId").join(got, "deviceId", "left").select("deviceId", share.alias("dataCompleteness"))
 
 
 def energy_loss(hours: DataFrame, period_start: str, *, peak_rate: float, offpeak_rate: float) -> DataFrame:

@@ -31,8 +31,8 @@ def loss_rank(profile: DataFrame, cost_per_m3: float) -> DataFrame:
     """Areas by excess and yearly cost, worst first."""
     cost = rules.steady(F.col("estimatedLossM3PerDay") * 365 * cost_per_m3, 0)
     rows = profile.filter(F.col("excessMnfM3h").isNotNull()).withColumn("annualCost", cost)
-    rows = ordered.with_rank(rows, [], F.col("excessMnfM3h"), "excessRank")
-    return ordered.with_rank(rows, [], F.col("annualCost"), "costRank")
+    rows = ordered.with_rank(rows, [], "excessMnfM3h", "excessRank")
+    return ordered.with_rank(rows, [], "annualCost", "costRank")
 
 
 def pressure_drop(pressure: DataFrame) -> DataFrame:
@@ -56,13 +56,12 @@ def pressure_drop(pressure: DataFrame) -> DataFrame:
     nearest = rows.groupBy("dmaId").agg(
         F.min_by("sensorId", F.struct(-F.col("dropBar"), "sensorId")).alias("likelyNearestSensor")
     )
-    return ordered.with_rank(rows, ["dmaId"], F.col("dropBar"), "dropRank").join(nearest, "dmaId")
+    return ordered.with_rank(rows, ["dmaId"], "dropBar", "dropRank").join(nearest, "dmaId")
 
 
 def nrw_latest(monthly: DataFrame, *, days: int = 30) -> DataFrame:
     """Loss of the latest month of each area, and what a year of it costs."""
-    rest = [F.col(c) for c in monthly.columns if c not in ("dmaId", "periodStart")]
-    rows = ordered.latest_by(monthly, ["dmaId"], [F.col("periodStart"), F.xxhash64(*rest)])
+    rows = ordered.latest_by(monthly, ["dmaId"], [F.col("periodStart"), ordered.tie_hash(monthly, ["dmaId"])])
     lost = F.col("inputM3") - F.col("billedM3")
     return rows.select(
         "dmaId",

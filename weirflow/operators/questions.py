@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weirflow import schemas
 from weirflow import vocabulary as v
 from weirflow.functions import rules, text
+from weirflow.session import local_table
 
 
 def extract_ids(rows: DataFrame, question: str = "question") -> DataFrame:
@@ -55,7 +56,7 @@ def term_table(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame
         rows += [(a, entity, "allowedValue", 3, i) for a in allowed]
         for name in schemas.GOLD_ATTRIBUTES[entity]:
             rows += [(t, entity, "attributeName", 4, i) for t in {name.lower(), name.lower().split("_")[0]}]
-    table = spark.createDataFrame(rows, "term string, entity string, via string, tier int, ordinal int")
+    table = local_table(spark, rows, "term string, entity string, via string, tier int, ordinal int")
     if extra is not None:
         table = table.unionByName(extra)
     return table.groupBy("term").agg(

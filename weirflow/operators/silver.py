@@ -24,14 +24,20 @@ def flatten(bronze: DataFrame, tags: list[str], ids: list[str], extra: list[str]
 
 
 def lookback(df: DataFrame, ts: str, hours: float, as_of: str | None = None) -> DataFrame:
-    """Rows of the last ``hours``; the moment is given or the newest event, never the wall clock."""
-    return df.filter(rules.within(ts, ordered.as_of_or_max(df, ts, as_of), hours))
+    """Rows of the last ``hours``; the moment is given or the newest event, never the wall clock.
+
+    The partition date is filtered along, or the scan would open every folder.
+    """
+    now = ordered.as_of_or_max(df, ts, as_of)
+    rows = df.filter(rules.within(ts, now, hours))
+    if "ingestDate" in df.columns:
+        rows = rows.filter(F.col("ingestDate") >= F.to_date(now - F.make_dt_interval(secs=F.lit(float(hours) * 3600))))
+    return rows
 
 
 def dedup_latest(df: DataFrame, keys: list[str], arrival: str = "ingestedUtc") -> DataFrame:
     """One row per key: the latest arrival wins, equal arrivals are settled by a hash of the row."""
-    rest = [F.col(c) for c in df.columns if c not in keys]
-    return ordered.latest_by(df, keys, [F.col(arrival), F.xxhash64(*rest)])
+    return ordered.latest_by(df, keys, [F.col(arrival), ordered.tie_hash(df, keys)])
 
 
 def apply_bounds(df: DataFrame, bounds: Mapping[str, tuple[float, float]]) -> DataFrame:

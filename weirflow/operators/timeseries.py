@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weirflow import params
 from weirflow.functions import ordered, rules
+from weirflow.session import local_table
 
 SERIES = ["deviceId", "tag"]
 
@@ -17,13 +18,13 @@ def series(df: DataFrame, ids: list[str], tags: list[str], name: str = "tag") ->
 
 
 def units(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(params.UNITS, "tag string, unit string")
+    return local_table(spark, params.UNITS, "tag string, unit string")
 
 
 def tag_catalog(points: DataFrame, unit_table: DataFrame) -> DataFrame:
     """Tags each device really publishes."""
     seen = points.groupBy(*SERIES).agg(F.count("value").alias("samples"))
-    return seen.join(F.broadcast(unit_table), "tag", "left").na.fill({"unit": ""})  # a fixed list of tags
+    return seen.join(unit_table, "tag", "left").na.fill({"unit": ""})  # a fixed list of tags
 
 
 def downsample(points: DataFrame, max_points: int) -> DataFrame:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from weirflow import params
 from weirflow.functions import ordered, rules
+from weirflow.session import local_table
 
 
 def priority_matrix(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        params.PRIORITY_MATRIX, "criticality string, consequence string, priority string, targetResponseHours int"
+    return local_table(
+        spark, params.PRIORITY_MATRIX, "criticality string, consequence string, priority string, targetResponseHours int"
     )
 
 
@@ -22,7 +23,7 @@ def with_priority(rows: DataFrame, matrix: DataFrame, created: Column) -> DataFr
     same = (F.lower(rows["criticality"]) == F.col("_criticality")) & (F.lower(rows["consequence"]) == F.col("_consequence"))
     due = created + F.make_dt_interval(hours=F.col("targetResponseHours"))
     return (
-        rows.join(F.broadcast(key), same, "left")  # nine rows of policy
+        rows.join(key, same, "left")  # nine rows of policy
         .drop("_criticality", "_consequence")
         .na.fill({"priority": code, "targetResponseHours": hours})
         .withColumn("dueBy", due)
@@ -105,8 +106,9 @@ def apply_changes(orders: DataFrame, changes: DataFrame, *, writes_enabled: bool
     """
     fields = [c for c in changes.columns if c in orders.columns and c != "workOrderId"]
     allowed = changes.filter(F.col("approved") & F.lit(writes_enabled))
-    rest = [F.col(c) for c in allowed.columns if c not in ("workOrderId", "changedAt")]
-    allowed = ordered.latest_by(allowed, ["workOrderId"], [F.col("changedAt"), F.xxhash64(*rest)])
+    allowed = ordered.latest_by(
+        allowed, ["workOrderId"], [F.col("changedAt"), ordered.tie_hash(allowed, ["workOrderId"])]
+    )
     new = allowed.select("workOrderId", *[F.col(c).alias(f"_{c}") for c in fields])
     merged = orders.join(new, "workOrderId", "full_outer")
     return merged.select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in orders.columns])

@@ -347,12 +347,8 @@ def msr_fleet_availability(spark, sf_dir):
         LEFT JOIN silver ON silver.deviceId = 'DEV-' || c_custkey AND "timestamp" >= TIMESTAMP '2024-01-01'
           AND "timestamp" < {NOW} GROUP BY 1) USING (deviceId)"""))
 def msr_data_completeness(spark, sf_dir):
-    end = F.lit(b.AS_OF).cast("timestamp")
-    ledger = silver.completeness(
-        m.silver_telemetry(spark, sf_dir), b.devices(spark, sf_dir), expected_per_hour=b.EXPECTED_PER_HOUR,
-        start=end - F.expr("interval 30 days"), end=end - F.expr("interval 1 hour"),
-    )
-    return measures.data_completeness(ledger, ["deviceId"])
+    rows = silver.lookback(m.silver_telemetry(spark, sf_dir), "timestamp", 720, b.AS_OF)
+    return measures.data_completeness(rows, b.devices(spark, sf_dir), 720 * b.EXPECTED_PER_HOUR)
 
 
 @query("msr_mtbf", sql("""

@@ -179,7 +179,7 @@ def flt_wq_readings(spark, sf_dir):
 @query("flt_limits", sql("SELECT DISTINCT w.siteId, l.* FROM limits l JOIN wq_long w USING (parameter) WHERE jurisdiction = 'WHO'"))
 def flt_limits(spark, sf_dir):
     measured = readings(spark, sf_dir).groupBy("siteId", "parameter").agg(F.count(F.lit(1)).alias("n")).drop("n")
-    return measured.join(F.broadcast(c.limits_for(c.limit_table(spark), "who")), "parameter")
+    return measured.join(c.limits_for(c.limit_table(spark), "who"), "parameter")
 
 
 @query("jn_limits", sql("""SELECT "timestamp", deviceId, siteId, parameter, value, minValue, maxValue, isBreach FROM checked"""))

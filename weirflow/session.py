@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # What every operator assumes; set per session, so a cluster default cannot change results.
 SETTINGS = {
@@ -14,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Parquet times become instants at the scan, so that filters on them are pushed down without a cast in between.
+    "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
 }
 
 
@@ -46,3 +51,11 @@ def delete_dir(spark: SparkSession, path: str) -> None:
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A parameter table as a local relation. Catalyst knows its true size, so it is broadcast because it is small
+    and for no other reason: a larger table from elsewhere takes the shuffle join instead."""
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+    columns = zip(*rows) if rows else [[] for _ in schema]
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))

@@ -41,8 +41,7 @@ def merge_rows(target: DataFrame, source: DataFrame, keys: list[str], order: str
         kept = target.join(source.select(*keys), keys, "left_anti")
         return kept.unionByName(source, allowMissingColumns=True)
     both = target.unionByName(source, allowMissingColumns=True)
-    rest = [F.col(c) for c in both.columns if c not in keys]
-    return ordered.latest_by(both, keys, [F.col(order), F.xxhash64(*rest)])
+    return ordered.latest_by(both, keys, [F.col(order), ordered.tie_hash(both, keys)])
 
 
 def assert_unique(df: DataFrame, keys: list[str]) -> None:
@@ -79,8 +78,7 @@ def upsert(
                 target = target.filter(F.col(partition).isin(touched))
             source = merge_rows(target, source, keys, order)
         elif order is not None:
-            rest = [F.col(c) for c in source.columns if c not in keys]
-            source = ordered.latest_by(source, keys, [F.col(order), F.xxhash64(*rest)])
+            source = ordered.latest_by(source, keys, [F.col(order), ordered.tie_hash(source, keys)])
         source.write.parquet(f"{staging}/out")
         merged = spark.read.parquet(f"{staging}/out")
         if partition is None:

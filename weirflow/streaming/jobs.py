@@ -19,6 +19,7 @@ from weirflow.functions import ordered, rules
 from weirflow.operators import silver
 from weirflow.sources.writers import upsert, write_partitioned
 from weirflow.streaming.ingest import to_bronze
+from weirflow.session import local_table
 
 FLUSH = "120 seconds"
 
@@ -136,8 +137,8 @@ def merge_hours(spark: SparkSession, path: str) -> Callable[[DataFrame, int], No
 
 
 def alarm_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        params.ALARM_RULES, "rule string, tag string, comparison string, limit double, severity string, title string"
+    return local_table(
+        spark, params.ALARM_RULES, "rule string, tag string, comparison string, limit double, severity string, title string"
     )
 
 
@@ -146,7 +147,7 @@ def raise_alarms(rows: DataFrame, rule_table: DataFrame) -> DataFrame:
     values = rows.select("deviceId", "siteId", F.col("eventTimeUtc").alias("raisedAt"), F.explode("measurements").alias("tag", "value"))
     fired = F.when(F.col("comparison") == "gt", F.col("value") > F.col("limit")).otherwise(F.col("value") < F.col("limit"))
     return (
-        values.join(F.broadcast(rule_table), "tag")
+        values.join(rule_table, "tag")
         .filter(fired)
         .withColumn("alarmId", rules.stable_id("rule", "deviceId", F.col("raisedAt").cast("string")))
         .withColumn("ingestDate", F.to_date("raisedAt"))
