@@ -1,12 +1,13 @@
 """Ordered analytics that stay spread out when one key holds a large share of the rows.
 
-A plain ``Window.partitionBy(key)`` puts every row of a key in one task. The helpers here first cut a key
-into time buckets (or value ranges), work inside the buckets, and carry only per-bucket totals across.
+A plain ``Window.partitionBy(key)`` puts every row of a key in one task. That is the cheapest plan for ordinary
+keys; the few hot ones are told apart first and cut into time buckets (or value ranges), with only per-bucket
+totals carried across.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,12 @@ from pyspark.sql import types as T
 
 DAY = 86400
 HOUR = 3600
+MINUTE = 60
+
+# A key with more rows than this is cut into pieces. No more than MAX_HOT_KEYS are, so their list is always small;
+# a key that is not among them holds less than one part in MAX_HOT_KEYS of all rows.
+HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 10_000
 
 
 def time_bucket(ts: str | Column, seconds: int) -> Column:
@@ -28,111 +35,164 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     return df.groupBy(*keys).agg(pick).select(*[c if c in keys else F.col(f"_row.{c}") for c in df.columns])
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys with so many rows that one task should not hold them; at most ``MAX_HOT_KEYS`` by construction."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_ROWS)
+    return counts.orderBy(F.col("_n").desc(), *keys).limit(MAX_HOT_KEYS).select(*keys)
+
+
+def split_hot(
+    df: DataFrame, keys: Sequence[str], cold: Callable[[DataFrame], DataFrame], hot: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Ordinary keys go through ``cold`` (a window per key), hot ones through ``hot`` (cut into pieces).
+
+    The list of hot keys is short by construction, so it may be broadcast and the rows are told apart before any
+    shuffle. Without hot keys the second branch is empty, and adaptive execution drops it.
+    """
+    large = F.broadcast(hot_keys(df, keys))
+    return cold(df.join(large, list(keys), "left_anti")).unionByName(hot(df.join(large, list(keys), "left_semi")))
+
+
 def with_positions(
-    df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str] = (), bucket_seconds: int = DAY
+    df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str] = (), bucket_seconds: int = HOUR
 ) -> DataFrame:
     """Add ``position`` (1-based, in time order) and ``seriesLength`` for each key."""
-    rows = df.withColumn("_bucket", time_bucket(ts, bucket_seconds))
-    order = Window.partitionBy(*keys).orderBy("_bucket")
-    offsets = (
-        rows.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            *keys,
-            "_bucket",
-            (F.sum("_n").over(order) - F.col("_n")).alias("_before"),
-            F.sum("_n").over(Window.partitionBy(*keys)).alias("seriesLength"),
+
+    def cold(rows: DataFrame) -> DataFrame:
+        every = Window.partitionBy(*keys)
+        return rows.select(
+            "*",
+            F.row_number().over(every.orderBy(ts, *tiebreak)).cast("long").alias("position"),
+            F.count(F.lit(1)).over(every).alias("seriesLength"),
         )
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(ts, *tiebreak)
-    return (
-        rows.withColumn("_local", F.row_number().over(inside))
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn("position", F.col("_before") + F.col("_local"))
-        .drop("_bucket", "_before", "_local")
+
+    def hot(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_bucket", time_bucket(ts, bucket_seconds))
+        order = Window.partitionBy(*keys).orderBy("_bucket")
+        offsets = (
+            rows.groupBy(*keys, "_bucket")
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .select(
+                *keys,
+                "_bucket",
+                (F.sum("_n").over(order) - F.col("_n")).alias("_before"),
+                F.sum("_n").over(Window.partitionBy(*keys)).alias("seriesLength"),
+            )
+        )
+        inside = Window.partitionBy(*keys, "_bucket").orderBy(ts, *tiebreak)
+        return (
+            rows.withColumn("_local", F.row_number().over(inside))
+            .join(offsets, [*keys, "_bucket"])
+            .withColumn("position", F.col("_before") + F.col("_local"))
+            .drop("_bucket", "_before", "_local")
+        )
+
+    return split_hot(df, keys, cold, hot)
+
+
+def trailing_stats(df: DataFrame, keys: Sequence[str], ts: str, value: str, window_seconds: int = DAY) -> DataFrame:
+    """Add ``trailingCount`` and ``trailingStd`` (sample) of the trailing window, whole seconds, ends included.
+
+    A key is cut into buckets of one window length, or of a minute when it is hot.
+    """
+    return split_hot(
+        df,
+        keys,
+        lambda rows: trailing_in_buckets(rows, keys, ts, value, window_seconds, window_seconds),
+        lambda rows: trailing_in_buckets(rows, keys, ts, value, window_seconds, MINUTE),
     )
 
 
-def trailing_stats(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    value: str,
-    window_seconds: int = DAY,
-    bucket_seconds: int = HOUR,
+def trailing_in_buckets(
+    df: DataFrame, keys: Sequence[str], ts: str, value: str, window_seconds: int, bucket_seconds: int
 ) -> DataFrame:
-    """Add ``trailingCount`` and ``trailingStd`` (sample) of the trailing window, whole seconds, ends included.
+    """One running sum per bucket, in which each row enters at its own second and leaves ``window_seconds`` later.
 
-    A row's window is: the full buckets in between, plus its own bucket up to it, minus the part of the oldest
-    bucket that has left the window. The first comes from per-bucket sums, the other two from one running sum
-    in which each row enters at its own second and leaves ``window_seconds`` later. Cost is linear in the rows
-    (a sliding frame would redo the whole window per row) and no task sees more than two buckets of a key.
+    Cost is linear in the rows, where a sliding frame would redo the whole window for every row.
+    What a bucket starts with are the rows of the buckets one window back to the one before it. With buckets of a
+    window's length those are just the rows that will leave in this bucket, which are here anyway; with shorter
+    buckets they are summed from per-bucket totals.
     """
     if window_seconds % bucket_seconds:
         raise ValueError("the window must be a whole number of buckets")
     span = window_seconds // bucket_seconds
-    second = F.unix_seconds(ts)
-
-    order = Window.partitionBy(*keys).orderBy("_bucket").rangeBetween(-span, -1)
-    # A bucket without values of its own still needs the sums of those before it.
-    seen = df.groupBy(*keys, time_bucket(ts, bucket_seconds).alias("_bucket")).agg(
-        F.count(value).alias("_n"), F.sum(value).alias("_s"), F.sum(F.col(value) * F.col(value)).alias("_q")
-    )
-    base = seen.select(
-        *keys,
-        "_bucket",
-        F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_n0"),
-        F.coalesce(F.sum("_s").over(order), F.lit(0.0)).alias("_s0"),
-        F.coalesce(F.sum("_q").over(order), F.lit(0.0)).alias("_q0"),
-    )
+    bucket = time_bucket(ts, bucket_seconds)
 
     both = F.when(F.col(value).isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     steps = df.withColumn("_leaving", F.explode(both))
     leaving = F.col("_leaving") == 1
-    signed = F.when(leaving, -F.col(value)).otherwise(F.col(value))
     keep = [c for c in df.columns if c not in (*keys, value)]
     steps = steps.select(
         *keys,
         "_leaving",
-        (time_bucket(ts, bucket_seconds) + F.col("_leaving") * span).alias("_bucket"),
+        (bucket + F.col("_leaving") * span).alias("_bucket"),
         # Even steps enter, odd steps leave: a row leaves only after the last second it still counts for.
-        ((second + F.col("_leaving") * window_seconds) * 2 + F.col("_leaving")).alias("_step"),
-        signed.alias("_v"),
+        ((F.unix_seconds(ts) + F.col("_leaving") * window_seconds) * 2 + F.col("_leaving")).alias("_step"),
+        F.col(value).alias("_v"),
         *[F.when(~leaving, F.col(c)).alias(c) for c in keep],
     )
-    run = Window.partitionBy(*keys, "_bucket").orderBy("_step").rangeBetween(Window.unboundedPreceding, 0)
-    one = F.when(F.col("_v").isNotNull(), F.when(leaving, F.lit(-1)).otherwise(F.lit(1)))
-    square = F.when(leaving, -F.col("_v") * F.col("_v")).otherwise(F.col("_v") * F.col("_v"))
-    steps = steps.select(
-        *keys,
-        "_bucket",
-        "_leaving",
-        "_v",
-        *keep,
-        F.coalesce(F.sum(one).over(run), F.lit(0)).alias("_n1"),
-        F.coalesce(F.sum("_v").over(run), F.lit(0.0)).alias("_s1"),
-        F.coalesce(F.sum(square).over(run), F.lit(0.0)).alias("_q1"),
-    ).filter(~leaving)
-
-    n = F.col("_n0") + F.col("_n1")
-    s = F.col("_s0") + F.col("_s1")
-    q = F.col("_q0") + F.col("_q1")
+    v = F.col("_v")
+    parts = {"n": F.when(v.isNotNull(), F.lit(1)), "s": v, "q": v * v}
+    here = Window.partitionBy(*keys, "_bucket")
+    run = here.orderBy("_step").rangeBetween(Window.unboundedPreceding, 0)
+    sums = {
+        f"_{k}1": F.coalesce(F.sum(F.when(leaving, -x).otherwise(x)).over(run), F.lit(0)) for k, x in parts.items()
+    }
+    if span == 1:
+        start = {f"_{k}0": F.coalesce(F.sum(F.when(leaving, x)).over(here), F.lit(0)) for k, x in parts.items()}
+        rows = steps.select("*", *[x.alias(k) for k, x in {**sums, **start}.items()]).filter(~leaving)
+    else:
+        start = _sums_before(df, keys, bucket, value, span)
+        rows = steps.select("*", *[x.alias(k) for k, x in sums.items()]).filter(~leaving).join(start, [*keys, "_bucket"])
+
+    n, s, q = (F.col(f"_{k}0") + F.col(f"_{k}1") for k in parts)
     spread = F.sqrt(F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1))
-    return steps.join(base, [*keys, "_bucket"]).select(
-        *[F.col("_v").alias(c) if c == value else F.col(c) for c in df.columns],
+    return rows.select(
+        *[v.alias(c) if c == value else F.col(c) for c in df.columns],
         n.alias("trailingCount"),
         F.when(n > 1, spread).alias("trailingStd"),
     )
 
 
+def _sums_before(df: DataFrame, keys: Sequence[str], bucket: Column, value: str, span: int) -> DataFrame:
+    """Count, sum and sum of squares of the ``span`` buckets before each bucket: totals enter after their own bucket
+    and leave ``span`` buckets later, in one running sum over the buckets."""
+    totals = df.groupBy(*keys, bucket.alias("_bucket")).agg(
+        F.count(value).alias("_n"), F.sum(value).alias("_s"), F.sum(F.col(value) * F.col(value)).alias("_q")
+    )
+    steps = totals.withColumn("_turn", F.explode(F.array(F.lit(0), F.lit(1), F.lit(-1))))
+    turn = F.col("_turn")
+    shift = F.when(turn == 1, 1).when(turn == -1, span + 1).otherwise(0)
+    steps = steps.groupBy(*keys, (F.col("_bucket") + shift).alias("_bucket")).agg(
+        *[F.sum(F.col(c) * turn).alias(c) for c in ("_n", "_s", "_q")], F.bool_or(turn == 0).alias("_own")
+    )
+    run = Window.partitionBy(*keys).orderBy("_bucket")
+    sums = [F.coalesce(F.sum(c).over(run), F.lit(0)).alias(f"{c}0") for c in ("_n", "_s", "_q")]
+    return steps.select(*keys, "_bucket", "_own", *sums).filter("_own").drop("_own")
+
+
 def value_at_rank(
     df: DataFrame, keys: Sequence[str], value: str, rank: Column, share: float, accuracy: int = 10000
 ) -> DataFrame:
-    """Exact value at ``rank`` (an expression over the group size ``n``, near ``share * n``) per key.
+    """Exact value at ``rank`` (an expression over the group size ``n``, near ``share * n``) per key."""
 
-    A mergeable sketch brackets the rank; only rows inside the bracket are ranked, after counting equal
-    values together, so the ranking sees about 4/accuracy of a large group.
-    """
+    def cold(rows: DataFrame) -> DataFrame:
+        every = Window.partitionBy(*keys)
+        rows = rows.withColumn("_at", F.row_number().over(every.orderBy(value)))
+        rows = rows.withColumn("n", F.count(F.lit(1)).over(every))
+        return rows.filter(F.col("_at") == rank.cast("long")).select(*keys, F.col(value).alias("rankValue"))
+
+    def hot(rows: DataFrame) -> DataFrame:
+        return _rank_by_bracket(rows, keys, value, rank, share, accuracy)
+
+    return split_hot(df.select(*keys, value).filter(F.col(value).isNotNull()), keys, cold, hot)
+
+
+def _rank_by_bracket(
+    df: DataFrame, keys: Sequence[str], value: str, rank: Column, share: float, accuracy: int
+) -> DataFrame:
+    """A mergeable sketch brackets the rank; only rows inside the bracket are ordered, after counting equal values
+    together, so the ordering sees about 4/accuracy of a large group."""
     margin = 2.0 / accuracy
     probe = df.groupBy(*keys).agg(
         F.count(value).alias("n"),
@@ -143,22 +203,19 @@ def value_at_rank(
     small = F.col("n") <= accuracy
     bracket = probe.select(
         *keys,
-        "n",
         rank.cast("long").alias("_rank"),
         F.when(small, F.col("_min")).otherwise(F.col("_cut")[0]).alias("_low"),
         F.when(small, F.col("_max")).otherwise(F.col("_cut")[1]).alias("_high"),
     )
     counted = (
-        df.filter(F.col(value).isNotNull())
-        .join(bracket, list(keys))
+        df.join(F.broadcast(bracket), list(keys))  # hot keys only: at most MAX_HOT_KEYS rows
         .filter(F.col(value) <= F.col("_high"))
-        .groupBy(*keys, "n", "_rank", F.when(F.col(value) >= F.col("_low"), F.col(value)).alias("_value"))
+        .groupBy(*keys, "_rank", F.when(F.col(value) >= F.col("_low"), F.col(value)).alias("_value"))
         .agg(F.count(F.lit(1)).alias("_count"))
     )
     order = Window.partitionBy(*keys).orderBy(F.col("_value").asc_nulls_first())
-    upto = F.sum("_count").over(order)
     return (
-        counted.withColumn("_upto", upto)
+        counted.withColumn("_upto", F.sum("_count").over(order))
         .filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_count") < F.col("_rank")))
         .select(*keys, F.col("_value").alias("rankValue"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,15 +61,30 @@ def judge(df: DataFrame, flat: Column, flat_name: str) -> DataFrame:
     )
 
 
+def _cleaned(raw: DataFrame, bounds: Mapping[str, tuple[float, float]], watched: str) -> DataFrame:
+    """Dedup, bounds and trailing statistics of the watched tag. Hot devices are told apart on the raw rows, so that
+    every row is deduplicated once, on one of the two ways."""
+
+    def way(bucket_seconds: int) -> Callable[[DataFrame], DataFrame]:
+        def clean(rows: DataFrame) -> DataFrame:
+            rows = apply_bounds(dedup_latest(rows, ["deviceId", "timestamp"]), bounds)
+            return ordered.trailing_in_buckets(
+                rows, ["deviceId"], "timestamp", watched, ordered.DAY, bucket_seconds
+            )
+
+        return clean
+
+    return ordered.split_hot(raw, ["deviceId"], way(ordered.DAY), way(ordered.MINUTE))
+
+
 def silver_telemetry(
     bronze: DataFrame,
     *,
     min_samples: int = params.FLATLINE_MIN_SAMPLES,
     std_limit: float = params.FLATLINE_STD,
 ) -> DataFrame:
-    rows = flatten(bronze, params.TELEMETRY_TAGS, ["deviceId", "assetId", "siteId"], ["runHours"])
-    rows = apply_bounds(dedup_latest(rows, ["deviceId", "timestamp"]), params.TELEMETRY_BOUNDS)
-    rows = ordered.trailing_stats(rows, ["deviceId"], "timestamp", "vibration_mm_s")
+    raw = flatten(bronze, params.TELEMETRY_TAGS, ["deviceId", "assetId", "siteId"], ["runHours"])
+    rows = _cleaned(raw, params.TELEMETRY_BOUNDS, "vibration_mm_s")
     return judge(rows, rules.is_flat(min_samples, std_limit), "isFlatline")
 
 
@@ -79,9 +94,8 @@ def silver_water_quality(
     min_samples: int = params.FLATLINE_MIN_SAMPLES,
     std_limit: float = params.FLATLINE_STD,
 ) -> DataFrame:
-    rows = flatten(bronze, params.QUALITY_PARAMETERS, ["deviceId", "siteId"])
-    rows = apply_bounds(dedup_latest(rows, ["deviceId", "timestamp"]), params.QUALITY_BOUNDS)
-    rows = ordered.trailing_stats(rows, ["deviceId"], "timestamp", "chlorine_mg_l")
+    raw = flatten(bronze, params.QUALITY_PARAMETERS, ["deviceId", "siteId"])
+    rows = _cleaned(raw, params.QUALITY_BOUNDS, "chlorine_mg_l")
     return judge(rows, rules.is_flat(min_samples, std_limit), "chlorineSensorFlatline")
 
 

@@ -41,24 +41,51 @@ def newest_points(points: DataFrame, max_points: int = 5000) -> DataFrame:
     return placed.filter(F.col("position") > F.col("seriesLength") - max_points).drop("position", "seriesLength")
 
 
-def statistics(points: DataFrame) -> DataFrame:
-    """Level, spread, 95th percentile by rank and half-to-half trend of each series."""
-    placed = ordered.with_positions(points, SERIES, "timestamp", ["value"])
+def _summary(placed: DataFrame, *extra: Column) -> DataFrame:
     half = F.greatest(F.floor(F.col("seriesLength") / 2), F.lit(1))
-    stats = placed.groupBy(*SERIES).agg(
+    return placed.groupBy(*SERIES).agg(
         F.count("value").alias("count"),
-        rules.steady(F.min("value"), 3).alias("min"),
-        rules.steady(F.max("value"), 3).alias("max"),
-        rules.steady(F.avg("value"), 3).alias("mean"),
-        rules.steady(F.stddev_pop("value"), 3).alias("stdev"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        F.avg("value").alias("mean"),
+        F.stddev_pop("value").alias("stdev"),
         F.avg(F.when(F.col("position") <= half, F.col("value"))).alias("_first"),
         F.avg(F.when(F.col("position") > F.col("seriesLength") - half, F.col("value"))).alias("_last"),
+        *extra,
     )
-    rank = F.greatest(F.floor(F.col("n") * 0.95), F.lit(1))
-    p95 = ordered.value_at_rank(points, SERIES, "value", rank, 0.95)
+
+
+def statistics(points: DataFrame) -> DataFrame:
+    """Level, spread, 95th percentile by rank and half-to-half trend of each series.
+
+    An ordinary series is shuffled once and ordered twice, by time and by value; a hot one is cut into pieces.
+    """
+
+    def rank(n: Column) -> Column:
+        return F.greatest(F.floor(n * 0.95), F.lit(1))
+
+    def cold(rows: DataFrame) -> DataFrame:
+        every = Window.partitionBy(*SERIES)
+        rows = rows.select(
+            *SERIES,
+            "value",
+            F.row_number().over(every.orderBy("timestamp", "value")).alias("position"),
+            F.row_number().over(every.orderBy("value")).alias("_place"),
+            F.count(F.lit(1)).over(every).alias("seriesLength"),
+        )
+        at = F.when(F.col("_place") == rank(F.col("seriesLength")), F.col("value"))
+        return _summary(rows, F.max(at).alias("p95"))
+
+    def hot(rows: DataFrame) -> DataFrame:
+        p95 = ordered.value_at_rank(rows, SERIES, "value", rank(F.col("n")), 0.95)
+        placed = ordered.with_positions(rows, SERIES, "timestamp", ["value"])
+        return _summary(placed).join(p95.withColumnRenamed("rankValue", "p95"), SERIES)
+
     first, last = F.col("_first"), F.col("_last")
+    rounded = {c: rules.steady(F.col(c), 3) for c in ("min", "max", "mean", "stdev", "p95")}
     return (
-        stats.join(p95.withColumn("p95", rules.steady(F.col("rankValue"), 3)).drop("rankValue"), SERIES)
+        ordered.split_hot(points, SERIES, cold, hot)
+        .withColumns(rounded)
         .withColumn("trend", rules.trend(first, last))
         .withColumn("changePercent", F.coalesce(rules.percent(last - first, first, 1), F.lit(0.0)))
         .drop("_first", "_last")
