@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow import params
@@ -219,8 +219,8 @@ def _best(scored: DataFrame, top_k: int, floor: float | None = None) -> DataFram
     best = ordered.newest_n(scored, ["queryId"], [F.col("score").desc(), F.col("id")], top_k)
     if floor is not None:
         # The best document is among the top k, so the floor can be applied to those alone.
-        peak = best.groupBy("queryId").agg(F.max("score").alias("_peak"))
-        best = best.join(peak, "queryId").filter(F.col("score") >= F.col("_peak") * floor).drop("_peak")
+        peak = F.max("score").over(Window.partitionBy("queryId"))
+        best = best.withColumn("_peak", peak).filter(F.col("score") >= F.col("_peak") * floor).drop("_peak")
     return best
 
 

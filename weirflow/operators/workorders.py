@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow import params
@@ -71,8 +71,7 @@ def crew_slots(crews: DataFrame, days_ahead: int = 14) -> DataFrame:
     """The earliest open slots of each site and skill."""
     keys = ["siteId", "skill"]
     rows = ordered.newest_n(crews.filter(F.col("availableHours") > 0), keys, [F.col("date"), F.col("crewId")], days_ahead)
-    first = rows.groupBy(*keys).agg(F.min("date").alias("earliest"))
-    return rows.join(first, keys)
+    return rows.withColumn("earliest", F.min("date").over(Window.partitionBy(*keys)))
 
 
 def propose(health: DataFrame, assets: DataFrame, matrix: DataFrame, as_of: str) -> DataFrame:
