@@ -231,7 +231,7 @@ def with_rank(df: DataFrame, keys: Sequence[str], by: str, name: str = "rank") -
     upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.col(by).desc()))
     mine = {k: f"_rank_{k}" for k in (*keys, by)}
     ranks = counts.select(
-        *[F.col(k).alias(v) for k, v in mine.items()], (upto - F.col("_n") + 1).cast("int").alias(name)
+        *[F.col(k).alias(v) for k, v in mine.items()], (upto - F.col("_n") + 1).alias(name)
     )
     same = [F.col(k).eqNullSafe(F.col(v)) for k, v in mine.items()]
     return df.join(ranks, same).drop(*mine.values())

@@ -82,7 +82,7 @@ def maintenance_history(orders: DataFrame, limit: int = 20) -> DataFrame:
 
 def spares_shortage(spares: DataFrame) -> DataFrame:
     have, need = F.coalesce("onHand", F.lit(0)), F.coalesce("minStock", F.lit(0))
-    return spares.withColumn("shortBy", (need - have).cast("long")).filter(F.col("shortBy") > 0)
+    return spares.withColumn("shortBy", need - have).filter(F.col("shortBy") > 0)
 
 
 def asset_tree(assets: DataFrame) -> DataFrame:

@@ -233,7 +233,7 @@ def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
         status[F.col("c_mktsegment")].alias("status"),
         F.concat(F.lit("1.4."), (key % 5).cast("string")).alias("runtimeVersion"),
         F.floor(F.col("c_acctbal") / 10).cast("int").alias("certDaysToExpiry"),
-        (key % 97).cast("int").alias("minutesSinceLastMessage"),
+        (key % 97).alias("minutesSinceLastMessage"),
         _pick(key, ["cellular", "ethernet"]).alias("connectivity"),
         _name("DEP-", key % 10).alias("deploymentId"),
     )

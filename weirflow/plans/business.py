@@ -186,7 +186,7 @@ def agg_cost_estimate(spark, sf_dir):
 @query("agg_crew_slots", sql("""
   WITH r AS (SELECT * FROM crews WHERE availableHours > 0
              QUALIFY row_number() OVER (PARTITION BY siteId, skill ORDER BY "date", crewId) <= 14)
-  SELECT *, min("date") OVER (PARTITION BY siteId, skill) AS earliest FROM r"""))
+  SELECT *, min("date") OVER (PARTITION BY siteId, skill) AS earliest FROM r"""), dates=("date", "earliest",))
 def agg_crew_slots(spark, sf_dir):
     return wo.crew_slots(b.crews(spark, sf_dir))
 
@@ -287,7 +287,7 @@ def prj_open_flags(spark, sf_dir):
          string_agg(tag, ',' ORDER BY tag) AS tagNames, max(CASE WHEN tag = 'power_kw' THEN mean END) AS powerMean,
          max(CASE WHEN tag = 'power_kw' THEN sd END) AS powerStd, max(CASE WHEN tag = 'flow_m3_h' THEN hi END) AS flowMax,
          max(CASE WHEN tag = 'flow_m3_h' THEN lo END) AS flowMin
-  FROM p GROUP BY deviceId, siteId, "date" """))
+  FROM p GROUP BY deviceId, siteId, "date" """), dates=("date",))
 def agg_daily_tag_stats(spark, sf_dir):
     rows = rollups.daily_tag_stats(t.points(spark, sf_dir))
     tag = F.col("tags")

@@ -261,7 +261,7 @@ def top_retrieval(spark, sf_dir):
 
 @query("txt_stale_docs", sql(f"""SELECT id, effectiveDate, reviewDate, CASE WHEN effectiveDate > CAST({NOW} AS DATE)
     THEN 'not_yet_effective' ELSE 'review_overdue' END AS staleness FROM knowledge
-    WHERE effectiveDate > CAST({NOW} AS DATE) OR reviewDate < CAST({NOW} AS DATE)"""))
+    WHERE effectiveDate > CAST({NOW} AS DATE) OR reviewDate < CAST({NOW} AS DATE)"""), dates=("effectiveDate", "reviewDate",))
 def txt_stale_docs(spark, sf_dir):
     rows = corpus.stale_docs(b.knowledge(spark, sf_dir), b.AS_OF)
     return rows.select("id", "effectiveDate", "reviewDate", "staleness")
@@ -311,7 +311,7 @@ def cnv_deletion_report(spark, sf_dir):
 
 def traces(spark, sf_dir) -> DataFrame:
     rows = q.approval_intent(q.extract_ids(q.route(b.questions(spark, sf_dir))))
-    return conv.trace_log(rows.withColumn("elapsedMs", F.length("question") * 7 % 2000))
+    return conv.trace_log(rows.withColumn("elapsedMs", F.length("question").cast("long") * 7 % 2000))
 
 
 VIEWS["traced"] = """SELECT r.questionId AS id, strategy, conf, specialists, devices, i.siteIds, length(r.question) * 7 % 2000 AS elapsedMs

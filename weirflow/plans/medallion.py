@@ -61,18 +61,18 @@ def win_flatline_24h(spark, sf_dir):
 
 
 @query("prj_quality_flag", sql(f"""SELECT "timestamp", deviceId, assetId, siteId, isReplay, schemaVersion, {TAGS}, runHours,
-    isFlatline, qualityFlag, isTrustworthy, ingestDate FROM silver"""))
+    isFlatline, qualityFlag, isTrustworthy, ingestDate FROM silver"""), dates=("ingestDate",))
 def prj_quality_flag(spark, sf_dir):
     return silver_telemetry(spark, sf_dir).drop("ingestedUtc", "hadOutOfRange")
 
 
 @query("silver_water_quality", sql(f"""SELECT "timestamp", deviceId, siteId, {WQ}, chlorineSensorFlatline, qualityFlag,
-    isTrustworthy, ingestDate FROM silver_wq"""))
+    isTrustworthy, ingestDate FROM silver_wq"""), dates=("ingestDate",))
 def silver_water_quality(spark, sf_dir):
     return silver_quality(spark, sf_dir).drop("ingestedUtc", "hadOutOfRange", "isReplay", "schemaVersion")
 
 
-@query("prj_night_window", sql("SELECT * FROM silver_dma"))
+@query("prj_night_window", sql("SELECT * FROM silver_dma"), dates=("ingestDate",))
 def prj_night_window(spark, sf_dir):
     return silver_dma(spark, sf_dir).drop("ingestedUtc")
 
@@ -99,7 +99,7 @@ def flt_lookback_newest(spark, sf_dir):
   FROM (SELECT deviceId, "hour", coalesce(n, 0) AS receivedSamples, coalesce(t, 0) AS trustworthySamples,
                least(CAST(100.0 AS DOUBLE),
                      round(coalesce(n, 0) / CAST({b.EXPECTED_PER_HOUR} AS DOUBLE) * 100, 1)) AS completenessPct
-        FROM grid LEFT JOIN got USING (deviceId, "hour"))"""))
+        FROM grid LEFT JOIN got USING (deviceId, "hour"))"""), dates=("ingestDate",))
 def agg_completeness(spark, sf_dir):
     now = F.lit(b.AS_OF).cast("timestamp")
     return silver.completeness(
@@ -111,7 +111,7 @@ def agg_completeness(spark, sf_dir):
     )
 
 
-@query("agg_telemetry_hourly", sql("SELECT * REPLACE (array_to_string(qualityFlags, ',') AS qualityFlags) FROM hourly"))
+@query("agg_telemetry_hourly", sql("SELECT * REPLACE (array_to_string(qualityFlags, ',') AS qualityFlags) FROM hourly"), dates=("ingestDate",))
 def agg_telemetry_hourly(spark, sf_dir):
     return hourly(spark, sf_dir).withColumn("qualityFlags", F.array_join("qualityFlags", ","))
 
@@ -133,17 +133,17 @@ def _wq_oracle() -> str:
              NOT chlorineSensorSuspect AS isTrustworthy, CAST("timestamp" AS DATE) AS ingestDate FROM h"""
 
 
-@query("agg_wq_hourly", sql(_wq_oracle()))
+@query("agg_wq_hourly", sql(_wq_oracle()), dates=("ingestDate",))
 def agg_wq_hourly(spark, sf_dir):
     return gold.water_quality_hourly(silver_quality(spark, sf_dir))
 
 
-@query("agg_dma_hourly", sql('SELECT *, CAST("timestamp" AS DATE) AS ingestDate FROM dma_hour'))
+@query("agg_dma_hourly", sql('SELECT *, CAST("timestamp" AS DATE) AS ingestDate FROM dma_hour'), dates=("ingestDate",))
 def agg_dma_hourly(spark, sf_dir):
     return gold.dma_hourly(silver_dma(spark, sf_dir))
 
 
-@query("agg_nightly_mnf", sql("SELECT * FROM nightly"))
+@query("agg_nightly_mnf", sql("SELECT * FROM nightly"), dates=("date",))
 def agg_nightly_mnf(spark, sf_dir):
     return gold.nightly_flow(gold.dma_hourly(silver_dma(spark, sf_dir)))
 
@@ -154,12 +154,12 @@ def agg_nightly_mnf(spark, sf_dir):
          round(greatest(coalesce(excessMnf_m3_h, 0), 0) * 8760, 0) AS annualLossM3
   FROM (SELECT *, round(mnf_m3_h - baselineMnf_m3_h, 3) AS excessMnf_m3_h
         FROM (SELECT *, round(avg(mnf_m3_h) OVER (PARTITION BY dmaId ORDER BY "date" - DATE '1970-01-01'
-                        RANGE BETWEEN 90 PRECEDING AND 7 PRECEDING), 3) AS baselineMnf_m3_h FROM nightly))"""))
+                        RANGE BETWEEN 90 PRECEDING AND 7 PRECEDING), 3) AS baselineMnf_m3_h FROM nightly))"""), dates=("date",))
 def win_mnf_baseline(spark, sf_dir):
     return gold.night_flow_baseline(gold.nightly_flow(gold.dma_hourly(silver_dma(spark, sf_dir))))
 
 
-@query("prj_energy", sql('SELECT *, CAST("timestamp" AS DATE) AS ingestDate FROM energy'))
+@query("prj_energy", sql('SELECT *, CAST("timestamp" AS DATE) AS ingestDate FROM energy'), dates=("ingestDate",))
 def prj_energy(spark, sf_dir):
     hours = b.pump_hours(spark, sf_dir).withColumn("assetId", F.lit(None).cast("string"))
     return gold.energy(hours).drop("assetId")
@@ -230,7 +230,7 @@ def prj_cast_dims(spark, sf_dir):
 
 
 @query("prj_iso_band", sql("""SELECT assetId, siteId, assetClass, manufacturer, model, ratedPowerKw, installDate, criticality,
-    dutyStandby, isoVibrationBand FROM assets"""))
+    dutyStandby, isoVibrationBand FROM assets"""), dates=("installDate",))
 def prj_iso_band(spark, sf_dir):
     return gold.gold_asset(b.assets(spark, sf_dir))
 

@@ -60,7 +60,7 @@ VIEWS["msgs"] = """
          value * CAST(0.1372904651 AS DOUBLE) AS vibration_mm_s, k * CAST(1.0219384756 AS DOUBLE) AS bearing_temp_c,
          value * CAST(0.0493827165 AS DOUBLE) AS chlorine_mg_l, value * CAST(2.0193847561 AS DOUBLE) AS power_kw, k FROM ev"""
 VIEWS["routed_msgs"] = f"""
-  SELECT *, k * 10 AS ingestLagSeconds, k * 10 > {params.REPLAY_LAG_SECONDS} AS isReplay,
+  SELECT *, CAST(k * 10 AS BIGINT) AS ingestLagSeconds, k * 10 > {params.REPLAY_LAG_SECONDS} AS isReplay,
          CASE WHEN payloadType = 'telemetry' THEN 'bronze_telemetry' WHEN payloadType = 'waterQuality' THEN 'bronze_water_quality'
               WHEN payloadType = 'dmaFlow' THEN 'bronze_dma_flow' WHEN payloadType = 'alarm' THEN 'bronze_alarm'
               WHEN payloadType = 'mystery' THEN 'bronze_unrouted' ELSE 'bronze_device_event' END AS target,
@@ -107,7 +107,7 @@ def str_route(spark, sf_dir):
     return rows.groupBy("target", "payloadType", "isReplay").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snk_append_bronze", sql(f"SELECT {', '.join(ROUTED)} FROM routed_msgs WHERE target = 'bronze_telemetry'"))
+@query("snk_append_bronze", sql(f"SELECT {', '.join(ROUTED)} FROM routed_msgs WHERE target = 'bronze_telemetry'"), dates=("ingestDate",))
 def snk_append_bronze(spark, sf_dir):
     return jobs.bronze_table(spark, landed(spark, sf_dir), "bronze_telemetry").select(*ROUTED)
 
@@ -116,7 +116,7 @@ def snk_append_bronze(spark, sf_dir):
   SELECT 'lake' AS sink, ingestDate, count(*) AS n FROM routed_msgs WHERE target = 'bronze_telemetry' GROUP BY 2
   UNION ALL
   SELECT 'hot', ingestDate, count(*) FROM routed_msgs WHERE target = 'bronze_telemetry'
-    AND ingestDate > (SELECT max(ingestDate) - 14 FROM routed_msgs WHERE target = 'bronze_telemetry') GROUP BY 2"""))
+    AND ingestDate > (SELECT max(ingestDate) - 14 FROM routed_msgs WHERE target = 'bronze_telemetry') GROUP BY 2"""), dates=("ingestDate",))
 def str_two_sinks(spark, sf_dir):
     path = shared_dir(spark, "sinks")
     rows = ingest.to_bronze(messages(stream_of(spark, sf_dir, "events")))
@@ -229,7 +229,7 @@ def src_json_kb(spark, sf_dir):
     docs.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
     lines = spark.read.text(path).select(F.from_json("value", schemas.KNOWLEDGE_DOCUMENT).alias("d")).select("d.*")
     rows = readers.normalise_knowledge(lines.withColumn("sourceFile", F.lit("kb")))
-    return rows.select("id", "title", "docType", "classification", F.size("assetClasses").alias("classes"), "content")
+    return rows.select("id", "title", "docType", "classification", F.size("assetClasses").cast("long").alias("classes"), "content")
 
 
 @query("snk_snapshot", sql("SELECT assetId, siteId, assetClass, isoVibrationBand FROM assets"))
@@ -241,7 +241,7 @@ def snk_snapshot(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("snk_partitioned", sql('SELECT deviceId, "timestamp", power_kw, CAST("timestamp" AS DATE) AS ingestDate FROM telemetry'))
+@query("snk_partitioned", sql('SELECT deviceId, "timestamp", power_kw, CAST("timestamp" AS DATE) AS ingestDate FROM telemetry'), dates=("ingestDate",))
 def snk_partitioned(spark, sf_dir):
     path = shared_dir(spark, "partitioned")
     rows = b.telemetry(spark, sf_dir).select("deviceId", "timestamp", "power_kw", F.to_date("timestamp").alias("ingestDate"))

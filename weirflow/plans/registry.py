@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weirflow.session import tune
 
@@ -22,15 +23,22 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
-def query(name: str, oracle: str | None = None) -> Callable[[Plan], Plan]:
-    """Register a plan under its operator name."""
+def query(name: str, oracle: str | None = None, dates: tuple[str, ...] = ()) -> Callable[[Plan], Plan]:
+    """Register a plan under its operator name.
+
+    ``dates`` leave both sides as text, because clients of the two engines show SQL dates differently.
+    """
+    if oracle is not None and dates:
+        texts = ", ".join(f'CAST("{d}" AS VARCHAR) AS "{d}"' for d in dates)
+        oracle = f"SELECT * REPLACE ({texts}) FROM ({oracle})"
 
     def register(plan: Plan) -> Plan:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return plan(tune(spark), sf_dir)
+            df = plan(tune(spark), sf_dir)
+            return df.withColumns({d: F.col(d).cast("string") for d in dates}) if dates else df
 
         QUERIES[name] = Query(name, run, oracle)
         return plan

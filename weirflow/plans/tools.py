@@ -253,20 +253,20 @@ def daily(spark, sf_dir):
     return c.compliance_daily(b.water_quality(spark, sf_dir), min_samples=3, flat_range=0.5)
 
 
-@query("agg_compliance_daily", sql("SELECT * FROM daily"))
+@query("agg_compliance_daily", sql("SELECT * FROM daily"), dates=("date",))
 def agg_compliance_daily(spark, sf_dir):
     return daily(spark, sf_dir).drop("limitMin", "limitMax", "assessmentNote")
 
 
-@query("prj_stable_id", sql("SELECT id, siteId, deviceId, \"date\" FROM daily"))
+@query("prj_stable_id", sql("SELECT id, siteId, deviceId, \"date\" FROM daily"), dates=("date",))
 def prj_stable_id(spark, sf_dir):
     return daily(spark, sf_dir).select("id", "siteId", "deviceId", "date")
 
 
 @query("win_consecutive_breach", sql("""
-  SELECT siteId, deviceId, min("date") AS firstDay, max("date") AS lastDay, count(*) AS breachDays, sum(breachCount) AS breaches
+  SELECT siteId, deviceId, min("date") AS firstDay, max("date") AS lastDay, count(*) AS breachDays, CAST(sum(breachCount) AS BIGINT) AS breaches
   FROM (SELECT *, "date" - DATE '1970-01-01' - row_number() OVER (PARTITION BY siteId, deviceId ORDER BY "date") AS island
-        FROM daily WHERE breachCount > 0) GROUP BY siteId, deviceId, island"""))
+        FROM daily WHERE breachCount > 0) GROUP BY siteId, deviceId, island"""), dates=("firstDay", "lastDay",))
 def win_consecutive_breach(spark, sf_dir):
     return c.breach_runs(daily(spark, sf_dir))
 
@@ -319,7 +319,7 @@ def agg_pressure_drop(spark, sf_dir):
   SELECT dmaId, periodStart, inputM3, billedM3, round(inputM3 - billedM3, 1) AS nrwM3,
          round((inputM3 - billedM3) / inputM3 * 100, 1) AS nrwPercent, costPerM3,
          round((inputM3 - billedM3) / 30 * 365 * costPerM3, 0) AS annualisedCost
-  FROM nrw QUALIFY row_number() OVER (PARTITION BY dmaId ORDER BY periodStart DESC) = 1"""))
+  FROM nrw QUALIFY row_number() OVER (PARTITION BY dmaId ORDER BY periodStart DESC) = 1"""), dates=("periodStart",))
 def agg_nrw(spark, sf_dir):
     return network.nrw_latest(b.nrw_monthly(spark, sf_dir))
 
