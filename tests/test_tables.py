@@ -174,7 +174,7 @@ def test_refresh_does_not_write_the_day_it_only_reads(spark, tmp_path):
     assert got.filter("NOT isFlatline").count() == 0
 
 
-def test_silent_device_is_reported_once(spark, tmp_path):
+def test_silent_devices_come_and_go(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
     schema = T.StructType.fromDDL("deviceId string, timestamp timestamp")
@@ -182,13 +182,16 @@ def test_silent_device_is_reported_once(spark, tmp_path):
     def send(name, *items):
         (inbox / name).write_text("\n".join(
             json.dumps({"deviceId": d, "timestamp": (T0 + timedelta(minutes=m)).isoformat() + "Z"}) for d, m in items))
-        quiet = jobs.silent_devices(readers.stream_files(spark, str(inbox), schema))
-        jobs.start(quiet, jobs.replace_rows(str(tmp_path / "out")), str(tmp_path / "cp"), once=True).awaitTermination()
-
-    send("1.json", ("a", 0), ("a", 5), ("b", 0))
-    send("2.json", ("b", 60), ("b", 100), ("b", 200))
-    got = [(r.deviceId, r.lastSeen) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
-    assert got == [("a", T0 + timedelta(minutes=5))]
+        stream = readers.stream_files(spark, str(inbox), schema)
+        watch = jobs.watch_silence(spark, str(tmp_path / "out"))
+        jobs.start(stream, watch, str(tmp_path / "cp"), once=True).awaitTermination()
+        return [(r.deviceId, r.lastSeen) for r in spark.read.parquet(str(tmp_path / "out" / "silent")).collect()]
+
+    assert send("1.json", ("a", 0), ("a", 5), ("b", 0)) == []
+    assert send("2.json", ("b", 60), ("b", 76), ("b", 75)) == [("a", T0 + timedelta(minutes=5))]
+    # An old replay does not wake a device, a new sample does.
+    assert send("3.json", ("a", 3)) == [("a", T0 + timedelta(minutes=5))]
+    assert send("4.json", ("a", 70)) == []
 
 
 def test_shared_folder_is_the_configured_one(spark):

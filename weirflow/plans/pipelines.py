@@ -13,7 +13,7 @@ from weirflow.plans import bindings as b
 from weirflow.plans import medallion as m
 from weirflow.plans.oracle_views import NOW, VIEWS, sql
 from weirflow.plans.registry import query
-from weirflow.session import path_exists, shared_dir
+from weirflow.session import is_directory, path_exists, shared_dir
 from weirflow.sources import readers, writers
 from weirflow.streaming import ingest, jobs
 
@@ -22,7 +22,10 @@ PAYLOADS = {"click": "telemetry", "view": "waterQuality", "purchase": "dmaFlow",
 
 def stream_of(spark, sf_dir: str, name: str) -> DataFrame:
     """A given table as a file stream."""
+    path = f"{sf_dir}/{name}.parquet"
     schema = b.table(spark, sf_dir, name).schema
+    if is_directory(spark, path):
+        return readers.stream_files(spark, path, schema, "parquet")
     return readers.stream_files(spark, sf_dir, schema, "parquet", pathGlobFilter=f"{name}.parquet")
 
 
@@ -184,9 +187,8 @@ def str_alarm(spark, sf_dir):
 def str_silent_device(spark, sf_dir):
     path = shared_dir(spark, "silent")
     rows = stream_of(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("timestamp"), b._ids()[0])
-    quiet = jobs.silent_devices(rows)
-    jobs.start(quiet, jobs.replace_rows(f"{path}/table"), f"{path}/checkpoint", once=True).awaitTermination()
-    return spark.read.parquet(f"{path}/table").drop("batchNumber")
+    jobs.start(rows, jobs.watch_silence(spark, path), f"{path}/checkpoint", once=True).awaitTermination()
+    return spark.read.parquet(f"{path}/silent")
 
 
 # ---------------------------------------------------------------- tables

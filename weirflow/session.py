@@ -53,6 +53,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def is_directory(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+
+
 def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """A parameter table as a local relation. Catalyst knows its true size, so it is broadcast because it is small
     and for no other reason: a larger table from elsewhere takes the shuffle join instead."""

@@ -6,18 +6,16 @@ its own partitions or merges to the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weirflow import params
 from weirflow.functions import ordered, rules
 from weirflow.operators import silver
-from weirflow.sources.writers import upsert, write_partitioned
+from weirflow.sources.writers import upsert, write_partitioned, write_snapshot
 from weirflow.streaming.ingest import to_bronze
 from weirflow.session import local_table
 
@@ -172,35 +170,22 @@ def replace_rows(path: str) -> Callable[[DataFrame, int], None]:
     return replace
 
 
-SILENT_OUTPUT = "deviceId string, lastSeen timestamp, silentSince timestamp"
-SILENT_STATE = "lastSeen timestamp"
+def watch_silence(
+    spark: SparkSession, path: str, *, minutes: int = 60, lateness_minutes: int = 10
+) -> Callable[[DataFrame, int], None]:
+    """Keep the last sample of each device, and a table of the devices that are silent now.
 
-
-def silent_devices(rows: DataFrame, *, minutes: int = 60, lateness: str = "10 minutes") -> DataFrame:
-    """Devices that fell silent: one row when event time has moved ``minutes`` past a device's last sample.
-
-    The state is one moment per device, however many rows a device sends.
+    A batch shrinks to one row per device before it is shuffled, so a chatty device costs no more than a quiet one,
+    and the state is one time stamp per device. Event time decides: a device is silent once the newest sample of the
+    fleet, less the lateness, is ``minutes`` past its own.
     """
-    quiet = pd.Timedelta(minutes=minutes)
-
-    def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            last = pd.Timestamp(last)
-            yield pd.DataFrame({"deviceId": [key[0]], "lastSeen": [last], "silentSince": [last + quiet]})
-            return
-        last = pd.Timestamp(state.get[0]) if state.exists else pd.Timestamp(0)
-        for frame in frames:
-            last = max(last, frame["timestamp"].max())
-        state.update((last,))
-        # A timeout may not lie before the watermark.
-        due = int((last + quiet).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
-    return (
-        rows.select("deviceId", "timestamp")
-        .withWatermark("timestamp", lateness)
-        .groupBy("deviceId")
-        .applyInPandasWithState(watch, SILENT_OUTPUT, SILENT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    def merge(batch: DataFrame, number: int) -> None:
+        seen = batch.groupBy("deviceId").agg(F.max("timestamp").alias("lastSeen"))
+        upsert(spark, seen, f"{path}/last_seen", ["deviceId"], order="lastSeen")
+        last = spark.read.parquet(f"{path}/last_seen")
+        now = last.agg(F.max("lastSeen") - F.make_dt_interval(mins=F.lit(lateness_minutes))).scalar()
+        since = F.col("lastSeen") + F.make_dt_interval(mins=F.lit(minutes))
+        write_snapshot(last.withColumn("silentSince", since).filter(F.col("silentSince") < now), f"{path}/silent")
+
+    return merge
