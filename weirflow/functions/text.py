@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# All of Unicode's white space, which ends with the ideographic space.
+WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # Word characters of any language, not only ASCII.
 NON_WORD = r"[^\p{L}\p{N}_]+"
 
@@ -21,7 +23,8 @@ def tokens(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    """Without white space at the ends; looks at the ends only, unlike a pattern."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def literals(items: list[str]) -> Column:

@@ -225,13 +225,19 @@ def src_csv(spark, sf_dir):
 @query("src_json_kb", sql("""SELECT id, title, docType, classification, len(assetClasses) AS classes, content FROM knowledge
     WHERE trim(content) <> ''"""))
 def src_json_kb(spark, sf_dir):
-    """Documents as JSON files: one document per file entry, read back through the knowledge reader."""
+    """Documents as JSON files of up to a hundred each, as an array or wrapped in an object, one file per row."""
     path = shared_dir(spark, "kb")
-    docs = b.knowledge(spark, sf_dir)
-    docs.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
-    lines = spark.read.text(path).select(F.from_json("value", schemas.KNOWLEDGE_DOCUMENT).alias("d")).select("d.*")
-    rows = readers.normalise_knowledge(lines.withColumn("sourceFile", F.lit("kb")))
-    return rows.select("id", "title", "docType", "classification", F.size("assetClasses").cast("long").alias("classes"), "content")
+    number = F.substring("id", 5, 20).cast("long")
+    docs = b.knowledge(spark, sf_dir).withColumn("file", F.floor(number / 100))
+    fields = [c for c in docs.columns if c != "file"]
+    packed = docs.groupBy("file").agg(F.collect_list(F.struct(*fields)).alias("documents"))
+    wrapped = F.to_json(F.struct("documents"))
+    text = F.when(F.col("file") % 2 == 0, F.to_json("documents")).otherwise(wrapped)
+    packed.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    rows = readers.read_knowledge(spark, path)
+    return rows.select(
+        "id", "title", "docType", "classification", F.size("assetClasses").cast("long").alias("classes"), "content"
+    )
 
 
 @query("snk_snapshot", sql("SELECT assetId, siteId, assetClass, isoVibrationBand FROM assets"))
