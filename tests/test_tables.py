@@ -136,6 +136,27 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "b")).count() == 2
 
 
+def test_a_new_checkpoint_does_not_replace_earlier_rows(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "1.json").write_text(message("d", 0, 0, power_kw=1.0))
+    for n in range(2):
+        stream = readers.stream_files(spark, str(inbox), schemas.ENVELOPE)
+        jobs.start_bronze(stream, str(tmp_path / "b"), str(tmp_path / f"cp{n}"), once=True).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 2
+
+
+def test_the_hot_table_forgets(spark, tmp_path):
+    serve = jobs.land_and_serve(str(tmp_path / "lake"), str(tmp_path / "hot"), keep_days=14)
+    for number, day in enumerate((0, 10, 20)):
+        text = [message("d", day * 1440, 0, power_kw=1.0), message("d", day * 1440, 0, "alarm")]
+        raw = spark.read.schema(schemas.ENVELOPE).json(spark.sparkContext.parallelize(text))
+        serve(ingest.to_bronze(raw), number)
+    assert jobs.bronze_table(spark, str(tmp_path / "lake"), "bronze_telemetry").count() == 3
+    days = sorted(r.ingestDate.day for r in spark.read.parquet(str(tmp_path / "hot")).collect())
+    assert days == [11, 21]
+
+
 def test_stream_equals_batch_when_corrections_come_in_later_batches(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()

@@ -53,9 +53,7 @@ def split_hot(
     return cold(df.join(large, list(keys), "left_anti")).unionByName(hot(df.join(large, list(keys), "left_semi")))
 
 
-def with_positions(
-    df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str] = (), bucket_seconds: int = HOUR
-) -> DataFrame:
+def with_positions(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Add ``position`` (1-based, in time order) and ``seriesLength`` for each key."""
 
     def cold(rows: DataFrame) -> DataFrame:
@@ -66,28 +64,32 @@ def with_positions(
             F.count(F.lit(1)).over(every).alias("seriesLength"),
         )
 
-    def hot(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("_bucket", time_bucket(ts, bucket_seconds))
-        order = Window.partitionBy(*keys).orderBy("_bucket")
-        offsets = (
-            rows.groupBy(*keys, "_bucket")
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .select(
-                *keys,
-                "_bucket",
-                (F.sum("_n").over(order) - F.col("_n")).alias("_before"),
-                F.sum("_n").over(Window.partitionBy(*keys)).alias("seriesLength"),
-            )
-        )
-        inside = Window.partitionBy(*keys, "_bucket").orderBy(ts, *tiebreak)
-        return (
-            rows.withColumn("_local", F.row_number().over(inside))
-            .join(offsets, [*keys, "_bucket"])
-            .withColumn("position", F.col("_before") + F.col("_local"))
-            .drop("_bucket", "_before", "_local")
-        )
+    return split_hot(df, keys, cold, lambda rows: positions_in_buckets(rows, keys, ts, tiebreak))
 
-    return split_hot(df, keys, cold, hot)
+
+def positions_in_buckets(
+    df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str] = (), bucket_seconds: int = HOUR
+) -> DataFrame:
+    """``with_positions`` for hot keys: numbered inside time buckets, and shifted by the rows of earlier buckets."""
+    rows = df.withColumn("_bucket", time_bucket(ts, bucket_seconds))
+    order = Window.partitionBy(*keys).orderBy("_bucket")
+    offsets = (
+        rows.groupBy(*keys, "_bucket")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(
+            *keys,
+            "_bucket",
+            (F.sum("_n").over(order) - F.col("_n")).alias("_before"),
+            F.sum("_n").over(Window.partitionBy(*keys)).alias("seriesLength"),
+        )
+    )
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(ts, *tiebreak)
+    return (
+        rows.withColumn("_local", F.row_number().over(inside))
+        .join(offsets, [*keys, "_bucket"])
+        .withColumn("position", F.col("_before") + F.col("_local"))
+        .select(*df.columns, "position", "seriesLength")
+    )
 
 
 def trailing_stats(df: DataFrame, keys: Sequence[str], ts: str, value: str, window_seconds: int = DAY) -> DataFrame:
@@ -183,15 +185,15 @@ def value_at_rank(
         return rows.filter(F.col("_at") == rank.cast("long")).select(*keys, F.col(value).alias("rankValue"))
 
     def hot(rows: DataFrame) -> DataFrame:
-        return _rank_by_bracket(rows, keys, value, rank, share, accuracy)
+        return rank_by_bracket(rows, keys, value, rank, share, accuracy)
 
     return split_hot(df.select(*keys, value).filter(F.col(value).isNotNull()), keys, cold, hot)
 
 
-def _rank_by_bracket(
-    df: DataFrame, keys: Sequence[str], value: str, rank: Column, share: float, accuracy: int
+def rank_by_bracket(
+    df: DataFrame, keys: Sequence[str], value: str, rank: Column, share: float, accuracy: int = 10000
 ) -> DataFrame:
-    """A mergeable sketch brackets the rank; only rows inside the bracket are ordered, after counting equal values
+    """``value_at_rank`` for hot keys. A mergeable sketch brackets the rank; only rows inside the bracket are ordered, after counting equal values
     together, so the ordering sees about 4/accuracy of a large group."""
     margin = 2.0 / accuracy
     probe = df.groupBy(*keys).agg(

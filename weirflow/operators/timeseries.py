@@ -77,8 +77,8 @@ def statistics(points: DataFrame) -> DataFrame:
         return _summary(rows, F.max(at).alias("p95"))
 
     def hot(rows: DataFrame) -> DataFrame:
-        p95 = ordered.value_at_rank(rows, SERIES, "value", rank(F.col("n")), 0.95)
-        placed = ordered.with_positions(rows, SERIES, "timestamp", ["value"])
+        p95 = ordered.rank_by_bracket(rows, SERIES, "value", rank(F.col("n")), 0.95)
+        placed = ordered.positions_in_buckets(rows.select(*SERIES, "timestamp", "value"), SERIES, "timestamp", ["value"])
         return _summary(placed).join(p95.withColumnRenamed("rankValue", "p95"), SERIES)
 
     first, last = F.col("_first"), F.col("_last")

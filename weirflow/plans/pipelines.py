@@ -100,8 +100,8 @@ def landed(spark, sf_dir) -> str:
 def src_event_stream(spark, sf_dir):
     path = shared_dir(spark, "stream")
     rows = stream_of(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    jobs.start(rows, jobs.replace_rows(f"{path}/table"), f"{path}/checkpoint", once=True).awaitTermination()
-    return spark.read.parquet(f"{path}/table").drop("batchNumber")
+    jobs.start(rows, jobs.append_rows(f"{path}/table"), f"{path}/checkpoint", once=True).awaitTermination()
+    return spark.read.parquet(f"{path}/table").drop("batchId")
 
 
 @query("str_route", sql("SELECT target, payloadType, isReplay, count(*) AS n FROM routed_msgs GROUP BY 1, 2, 3"))
@@ -176,7 +176,7 @@ def str_alarm(spark, sf_dir):
     path = shared_dir(spark, "alarms")
     rows = ingest.to_bronze(messages(stream_of(spark, sf_dir, "events")))
     alarms = jobs.raise_alarms(rows, jobs.alarm_rules(spark))
-    jobs.start(alarms, jobs.append_rows(f"{path}/table"), f"{path}/checkpoint", once=True).awaitTermination()
+    jobs.start(alarms, jobs.append_rows(f"{path}/table", "ingestDate"), f"{path}/checkpoint", once=True).awaitTermination()
     return spark.read.parquet(f"{path}/table").select("rule", "deviceId", "raisedAt", "value", "severity")
 
 

@@ -6,6 +6,7 @@ in the shared folder before any partition is replaced, and the merge gives the s
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,11 +90,12 @@ def upsert(
         delete_dir(spark, staging)
 
 
-def expire(spark: SparkSession, path: str, partition: str, as_of: str, days: int) -> list[str]:
-    """Drop date partitions older than the time to live; returns the dropped dates."""
-    limit = F.date_sub(F.lit(as_of).cast("date"), days)
-    old = spark.read.parquet(path).select(partition).distinct().filter(F.col(partition) < limit)
-    dates = sorted(str(r[0]) for r in old.collect())
+def expire(spark: SparkSession, path: str, partition: str, as_of: str | None, days: int) -> list[str]:
+    """Drop date partitions older than the time to live, counted from ``as_of`` or from the newest date there is;
+    returns the dropped dates. Only partition values are read, one per day."""
+    found = sorted(r[0] for r in spark.read.parquet(path).select(partition).distinct().collect())
+    newest = datetime.date.fromisoformat(as_of[:10]) if as_of else max(found, default=datetime.date.min)
+    dates = [str(d) for d in found if (newest - d).days > days]
     for date in dates:
         delete_dir(spark, f"{path.rstrip('/')}/{partition}={date}")
     return dates

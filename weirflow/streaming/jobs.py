@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from weirflow import params
 from weirflow.functions import ordered, rules
 from weirflow.operators import silver
-from weirflow.sources.writers import upsert, write_partitioned, write_snapshot
+from weirflow.sources.writers import expire, upsert, write_snapshot
 from weirflow.streaming.ingest import to_bronze
 from weirflow.session import local_table
 
@@ -31,37 +31,41 @@ def start(
     return writer.trigger(**trigger).start()
 
 
-def append_bronze(path: str) -> Callable[[DataFrame, int], None]:
-    """Append-only landing, one write for all routes: the target table is a partition of the output, so the batch is
-    neither cached nor filtered per sink. The batch number is a partition too, so a repeat replaces itself."""
+def replace_batch(batch: DataFrame, number: int, path: str, *partitions: str) -> None:
+    """Append a micro-batch so that a repeat of it replaces itself: query and batch number are a partition.
 
-    def land(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("batchNumber", F.lit(number)).hint("rebalance", "target", "ingestDate")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "target", "ingestDate", "batchNumber"
-        ).parquet(path)
+    The query's id comes from its checkpoint. A query that starts over with a new checkpoint counts from zero
+    again, but under a new id, and cannot replace what an earlier one wrote.
+    """
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+    rows = batch.withColumn("batchId", F.lit(f"{query}-{number}"))
+    rows = rows.hint("rebalance", *partitions) if partitions else rows
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions, "batchId").parquet(path)
 
-    return land
+
+def append_bronze(path: str) -> Callable[[DataFrame, int], None]:
+    """Append-only landing, one write for all routes: the target table is a partition of the output, so the batch is
+    neither cached nor filtered per sink."""
+    return lambda batch, number: replace_batch(batch, number, path, "target", "ingestDate")
 
 
 def bronze_table(spark: SparkSession, path: str, target: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("target") == target).drop("target", "batchNumber")
+    return spark.read.parquet(path).filter(F.col("target") == target).drop("target", "batchId")
 
 
 def land_and_serve(path: str, hot_path: str, keep_days: int = 14) -> Callable[[DataFrame, int], None]:
     """The same rows to the lake and to a hot table that holds the last days."""
-    land = append_bronze(path)
 
     def both(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            land(batch, number)
-            hot = batch.filter(F.col("target") == "bronze_telemetry")
-            newest = hot.agg(F.max("ingestDate")).scalar()
-            recent = hot.filter(F.col("ingestDate") > F.date_sub(newest, keep_days)).withColumn("batchNumber", F.lit(number))
-            recent.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-                "ingestDate", "batchNumber"
-            ).parquet(hot_path)
+            replace_batch(batch, number, path, "target", "ingestDate")
+            hot = batch.filter(F.col("target") == "bronze_telemetry").drop("target")
+            newest = hot.agg(F.max("ingestDate")).first()[0]
+            if newest is not None:
+                fresh = hot.filter(F.col("ingestDate") > F.date_sub(F.lit(newest), keep_days))
+                replace_batch(fresh, number, hot_path, "ingestDate")
+                expire(batch.sparkSession, hot_path, "ingestDate", None, keep_days - 1)
         finally:
             batch.unpersist()
 
@@ -153,21 +157,8 @@ def raise_alarms(rows: DataFrame, rule_table: DataFrame) -> DataFrame:
     )
 
 
-def append_rows(path: str) -> Callable[[DataFrame, int], None]:
-    def append(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("batchNumber", F.lit(number))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "ingestDate", "batchNumber"
-        ).parquet(path)
-
-    return append
-
-
-def replace_rows(path: str) -> Callable[[DataFrame, int], None]:
-    def replace(batch: DataFrame, number: int) -> None:
-        write_partitioned(batch.withColumn("batchNumber", F.lit(number)), path, "batchNumber")
-
-    return replace
+def append_rows(path: str, *partitions: str) -> Callable[[DataFrame, int], None]:
+    return lambda batch, number: replace_batch(batch, number, path, *partitions)
 
 
 def watch_silence(
