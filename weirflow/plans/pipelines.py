@@ -10,6 +10,7 @@ from weirflow import params, schemas
 from weirflow.functions import rules
 from weirflow.operators import gold, silver
 from weirflow.plans import bindings as b
+from weirflow.plans import lake
 from weirflow.plans import medallion as m
 from weirflow.plans.oracle_views import NOW, VIEWS, sql
 from weirflow.plans.registry import query
@@ -306,3 +307,44 @@ def tbl_expire(spark, sf_dir):
 def flt_unexpired(spark, sf_dir):
     now = F.lit("2024-01-03").cast("timestamp")
     return writers.unexpired(b.turns(spark, sf_dir), "createdAt", now, 1).select("conversationId", "turn")
+
+
+def built_lake(spark, sf_dir, hours: int = 72) -> lake.Run:
+    """The given tables as a lake, with the first batch job run over it."""
+    run = lake.Run(
+        shared_dir(spark, "lake"), b.AS_OF, hours=hours, min_samples=b.MIN_SAMPLES, std_limit=b.STD_LIMIT,
+        expected_per_hour=b.EXPECTED_PER_HOUR,
+    )
+    for name, rows in {
+        "telemetry": b.bronze_telemetry, "water_quality": b.bronze_quality, "dma_flow": b.bronze_dma,
+    }.items():
+        dated = rows(spark, sf_dir).withColumn("ingestDate", F.to_date("eventTimeUtc"))
+        writers.write_partitioned(dated, run.path(f"bronze_{name}"))
+    for name, rows in {
+        "sites": b.sites, "assets": b.assets, "devices": b.devices, "workorders": b.work_orders, "alarms": b.alarms,
+        "spare_parts": b.spares,
+    }.items():
+        writers.write_snapshot(rows(spark, sf_dir), run.path(f"ref_{name}"))
+    lake.bronze_to_silver(spark, run)
+    return run
+
+
+SINCE = f'"timestamp" >= {NOW} - INTERVAL 72 HOUR'
+
+
+@query("tbl_gold_summary", sql(f"""
+  SELECT 'gold_site' AS tableName, count(*) AS rowCount FROM sites UNION ALL SELECT 'gold_asset', count(*) FROM assets
+  UNION ALL SELECT 'gold_edge_device', count(*) FROM devices
+  UNION ALL SELECT 'gold_telemetry_hourly', count(*) FROM hourly WHERE {SINCE}
+  UNION ALL SELECT 'gold_water_quality', count(*) FROM
+    (SELECT DISTINCT deviceId, date_trunc('hour', "timestamp") FROM silver_wq WHERE {SINCE})
+  UNION ALL SELECT 'gold_dma_flow', count(*) FROM dma_hour WHERE {SINCE}
+  UNION ALL SELECT 'gold_dma_mnf', count(*) FROM
+    (SELECT DISTINCT dmaId, CAST("timestamp" AS DATE) FROM dma_hour WHERE isNightWindow AND {SINCE})
+  UNION ALL SELECT 'gold_energy', count(*) FROM hourly WHERE power_kw IS NOT NULL AND flow_m3_h > 0 AND {SINCE}
+  UNION ALL SELECT 'gold_asset_health', count(DISTINCT deviceId) FROM hourly
+    WHERE vibration_mm_s IS NOT NULL AND isTrustworthy AND {SINCE}
+  UNION ALL SELECT 'gold_work_order', count(*) FROM work_orders UNION ALL SELECT 'gold_alarm', count(*) FROM alarms
+  UNION ALL SELECT 'gold_spare_part', count(*) FROM spares"""))
+def tbl_gold_summary(spark, sf_dir):
+    return lake.silver_to_gold(spark, built_lake(spark, sf_dir))

@@ -39,7 +39,7 @@ def merge_rows(target: DataFrame, source: DataFrame, keys: list[str], order: str
     With ``order``, the row that is newer by it stays, so an old replay cannot undo a correction.
     """
     if order is None:
-        kept = target.join(source.select(*keys), keys, "left_anti")
+        kept = target.join(source.select(*keys), keys, "left_anti").select(*target.columns)
         return kept.unionByName(source, allowMissingColumns=True)
     both = target.unionByName(source, allowMissingColumns=True)
     return ordered.latest_by(both, keys, [F.col(order), ordered.tie_hash(both, keys)])
@@ -65,29 +65,32 @@ def upsert(
     when the partition comes from the event time and the event time is in the key.
     """
     staging = f"{path.rstrip('/')}__staging/{uuid.uuid4().hex}"
-    try:
-        # Staged first: the steps below read the rows three times, and must see the same ones.
-        source.write.parquet(f"{staging}/in")
-        source = spark.read.parquet(f"{staging}/in")
-        if order is None:
-            assert_unique(source, keys)
-        if path_exists(spark, path):
-            target = spark.read.parquet(path)
-            if partition is not None:
-                # As many values as the source has days; the filter prunes the target's folders.
-                touched = [r[0] for r in source.select(partition).distinct().collect()]
-                target = target.filter(F.col(partition).isin(touched))
-            source = merge_rows(target, source, keys, order)
-        elif order is not None:
-            source = ordered.latest_by(source, keys, [F.col(order), ordered.tie_hash(source, keys)])
+    # Staged first: the steps below read the rows three times, and must see the same ones.
+    source.write.parquet(f"{staging}/in")
+    source = spark.read.parquet(f"{staging}/in")
+    if order is None:
+        assert_unique(source, keys)
+    if path_exists(spark, path):
+        target = spark.read.parquet(path)
+        if partition is not None:
+            # As many values as the source has days; the filter prunes the target's folders.
+            touched = [r[0] for r in source.select(partition).distinct().collect()]
+            target = target.filter(F.col(partition).isin(touched))
+        source = merge_rows(target, source, keys, order)
         source.write.parquet(f"{staging}/out")
-        merged = spark.read.parquet(f"{staging}/out")
+        source = spark.read.parquet(f"{staging}/out")
+    elif order is not None:
+        source = ordered.latest_by(source, keys, [F.col(order), ordered.tie_hash(source, keys)])
+    try:
         if partition is None:
-            write_snapshot(merged, path)
+            write_snapshot(source, path)
         else:
-            write_partitioned(merged, path, partition)
-    finally:
-        delete_dir(spark, staging)
+            write_partitioned(source, path, partition)
+    except Exception as error:
+        # The table may be half replaced now; the staged rows are what it was about to hold.
+        error.add_note(f"the merged rows are kept in {staging}")
+        raise
+    delete_dir(spark, staging)
 
 
 def expire(spark: SparkSession, path: str, partition: str, as_of: str | None, days: int) -> list[str]:
