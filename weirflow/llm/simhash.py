@@ -112,11 +112,16 @@ def parts_of(fixed: int, radius: int) -> list[int]:
     return [sum(1 << i for i in left[k:: radius + 1]) for k in range(radius + 1)]
 
 
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits. numpy counts those of the absolute value, so the difference is taken as unsigned."""
+    return np.bitwise_count((x ^ y).view(np.uint64))
+
+
 def long_run(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links inside one bucket, compared in blocks."""
     a, b = [], []
     for i in range(0, len(fp), 256):
-        x, y = np.nonzero(np.bitwise_count(fp[i: i + 256, None] ^ fp[None, i:]) <= radius)
+        x, y = np.nonzero(differing(fp[i: i + 256, None], fp[None, i:]) <= radius)
         up = y > x
         a.append(x[up] + i)
         b.append(y[up] + i)
@@ -174,7 +179,7 @@ def links_in_buckets(radius: int, limit: int):
             for d in range(1, min(SHORT, int(size.max(initial=0)))):
                 same = (bucket[d:] == bucket[:-d]) & short[d:]
                 at = np.nonzero(same)[0]
-                at = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= radius]
+                at = at[differing(fp[at], fp[at + d]) <= radius]
                 a.append(fp[at])
                 b.append(fp[at + d])
             for k in np.nonzero(size > SHORT)[0]:
