@@ -293,11 +293,18 @@ def count_words(told: str):
 
 
 def frequent(docs: DataFrame, told: str, size: int = LEXICON) -> list[str]:
-    """The ``size`` words with the highest counts over all texts; ties go by the word."""
+    """The words with the highest counts over all texts, at most ``size``: those above the lowest cut on a scale of sixteenths of a
+    doubling that leaves no more. No task or driver sees more than that many words for it."""
     counted = docs.select(tables.whole("text").alias("t")).mapInArrow(count_words(told), "word string, n bigint")
     short = counted.where(F.octet_length("word") <= WORD_BYTES)
-    top = short.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(size)
-    return [r[0] for r in top.select("word").collect()]
+    again = tables.keep(short.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "bpe-words")
+    total, cut = 0, None
+    for level, n in sorted(again.groupBy("level").count().collect(), reverse=True):
+        total += n
+        if total > size:
+            break
+        cut = level
+    return [] if cut is None else [r[0] for r in again.where(F.col("level") >= cut).select("word").collect()]
 
 
 def lexicon(docs: DataFrame, told: str, size: int = LEXICON) -> bytes:
