@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirflow import schemas
+from weirflow.functions import rules
 from weirflow.operators import silver
 from weirflow.session import shared_dir
 from weirflow.sources import readers, writers
@@ -217,3 +220,48 @@ def test_silent_devices_come_and_go(spark, tmp_path):
 
 def test_shared_folder_is_the_configured_one(spark):
     assert shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+# --- upserts that meet NULLs or die ------------------------------------------------------------------------------------
+
+UPSERT_ROWS = "k string, v int, ingestDate date"
+
+
+def upserted(spark, path):
+    return sorted(((r.k, r.v, str(r.ingestDate)) for r in spark.read.parquet(path).collect()), key=str)
+
+
+def test_null_partition_and_null_key_survive_upserts(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for k, v in (("a", 1), ("b", 2), (None, 3), (None, 4), ("a", 5)):
+        writers.upsert(spark, spark.createDataFrame([(k, v, None)], UPSERT_ROWS), path, ["k"], "ingestDate")
+    assert upserted(spark, path) == sorted([("a", 5, "None"), ("b", 2, "None"), (None, 4, "None")], key=str)
+
+
+@pytest.mark.parametrize("partition", [None, "ingestDate"])
+@pytest.mark.parametrize("step", ["delete", "mark", "write"])
+def test_an_upsert_that_dies_loses_nothing(spark, tmp_path, monkeypatch, partition, step):
+    path = str(tmp_path / "t")
+    day = dt.date(2024, 1, 1)
+    rows = lambda *kv: spark.createDataFrame([(k, v, day) for k, v in kv], UPSERT_ROWS)
+    writers.upsert(spark, rows(("a", 1), ("b", 1)), path, ["k"], partition)
+
+    def die(*args, **kwargs):
+        if step == "delete":  # the old rows are gone, and the new ones not there yet
+            shutil.rmtree(path)
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(writers, "touch" if step == "mark" else "write_snapshot" if partition is None else "write_partitioned", die)
+        with pytest.raises(RuntimeError, match="killed"):
+            writers.upsert(spark, rows(("a", 2)), path, ["k"], partition)
+    writers.upsert(spark, rows(("a", 2)), path, ["k"], partition)
+    assert upserted(spark, path) == [("a", 2, "2024-01-01"), ("b", 1, "2024-01-01")]
+    writers.upsert(spark, rows(("c", 3)), path, ["k"], partition)
+    assert [r[0] for r in upserted(spark, path)] == ["a", "b", "c"] and not any((tmp_path / "t__staging").iterdir())
+
+
+def test_windows_end_at_as_of(spark):
+    rows = spark.sql("SELECT explode(sequence(timestamp'2024-01-01', timestamp'2024-01-05', interval 1 day)) AS ts")
+    now = F.lit("2024-01-03 00:00:00").cast("timestamp")
+    assert [str(r.ts)[:10] for r in rows.filter(rules.within("ts", now, 24)).orderBy("ts").collect()] == ["2024-01-02", "2024-01-03"]

@@ -92,7 +92,8 @@ def stable_id(*parts: Column | str, length: int = 24) -> Column:
 
 
 def within(ts: str, as_of: Column, hours: float) -> Column:
-    return F.col(ts) >= as_of - F.make_dt_interval(secs=F.lit(float(hours) * 3600))
+    """Up to ``hours`` before ``as_of`` and not after it: rows of the future belong to a later run."""
+    return (F.col(ts) >= as_of - F.make_dt_interval(secs=F.lit(float(hours) * 3600))) & (F.col(ts) <= as_of)
 
 
 def canonical(column: Column) -> Column:

@@ -49,7 +49,7 @@ def _since(df: DataFrame, ts: str, run: Run, extra_hours: int = 0) -> DataFrame:
     """Rows from the full hour in which the run's window begins, with the partition date filtered along."""
     now = F.lit(run.as_of).cast("timestamp")
     start = F.date_trunc("hour", now - F.make_dt_interval(hours=F.lit(run.hours + extra_hours)))
-    return df.filter((F.col(ts) >= start) & (F.col("ingestDate") >= F.to_date(start)))
+    return df.filter((F.col(ts) >= start) & (F.col(ts) <= now) & (F.col("ingestDate") >= F.to_date(start)))
 
 
 def bronze_to_silver(spark: SparkSession, run: Run) -> None:

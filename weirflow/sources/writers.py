@@ -1,19 +1,22 @@
 """Table sinks: snapshots, partitioned tables, upserts without MERGE, expiry and JSON lines.
 
-An upsert is not atomic across partitions and expects one writer. A failed run can be repeated: rows are staged
-in the shared folder before any partition is replaced, and the merge gives the same table again.
+An upsert is not atomic across partitions and expects one writer. It stages the whole new content of what it replaces beside the
+table and marks it as complete before it replaces anything. A run that dies later leaves that mark, and the next upsert first
+writes the marked rows again; one that dies earlier has changed nothing. NULL is a key and a partition value like any other.
 """
 
 from __future__ import annotations
 
 import datetime
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.functions import ordered
-from weirflow.session import delete_dir, path_exists
+from weirflow.session import delete_dir, path_exists, subfolders, touch
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
@@ -39,7 +42,9 @@ def merge_rows(target: DataFrame, source: DataFrame, keys: list[str], order: str
     With ``order``, the row that is newer by it stays, so an old replay cannot undo a correction.
     """
     if order is None:
-        kept = target.join(source.select(*keys), keys, "left_anti").select(*target.columns)
+        new = source.select(*[F.col(k).alias(f"_new_{k}") for k in keys])
+        same = reduce(and_, (target[k].eqNullSafe(new[f"_new_{k}"]) for k in keys))
+        kept = target.join(new, same, "left_anti")
         return kept.unionByName(source, allowMissingColumns=True)
     both = target.unionByName(source, allowMissingColumns=True)
     return ordered.latest_by(both, keys, [F.col(order), ordered.tie_hash(both, keys)])
@@ -64,6 +69,7 @@ def upsert(
     Only the partitions that the source touches are read and replaced. Key and partition must agree, which holds
     when the partition comes from the event time and the event time is in the key.
     """
+    recover(spark, path, partition)
     staging = f"{path.rstrip('/')}__staging/{uuid.uuid4().hex}"
     # Staged first: the steps below read the rows three times, and must see the same ones.
     source.write.parquet(f"{staging}/in")
@@ -75,24 +81,39 @@ def upsert(
         if partition is not None:
             # As many values as the source has days; the filter prunes the target's folders.
             touched = [r[0] for r in source.select(partition).distinct().collect()]
-            target = target.filter(F.col(partition).isin(touched))
+            known = F.col(partition).isin([x for x in touched if x is not None])
+            target = target.filter(known | F.col(partition).isNull() if None in touched else known)
         source = merge_rows(target, source, keys, order)
-        source.write.parquet(f"{staging}/out")
-        source = spark.read.parquet(f"{staging}/out")
     elif order is not None:
         source = ordered.latest_by(source, keys, [F.col(order), ordered.tie_hash(source, keys)])
-    try:
-        if partition is None:
-            write_snapshot(source, path)
-        else:
-            write_partitioned(source, path, partition)
-    except Exception as error:
-        # The table may be half replaced now; the staged rows are what it was about to hold.
-        error.add_note(f"the merged rows are kept in {staging}")
-        raise
+    source.write.parquet(f"{staging}/{MERGED}")
+    touch(spark, f"{staging}/{COMPLETE}")
+    replace(spark, staging, path, partition)
+
+
+#: Below a staging folder: the rows that replace their partitions, and the mark that they are all there.
+MERGED, COMPLETE = "merged", "complete"
+
+
+def replace(spark: SparkSession, staging: str, path: str, partition: str | None) -> None:
+    """Put completely staged rows in their place. May be repeated as often as it fails."""
+    rows = spark.read.parquet(f"{staging}/{MERGED}")
+    if partition is None:
+        write_snapshot(rows, path)
+    else:
+        write_partitioned(rows, path, partition)
     delete_dir(spark, staging)
 
 
+def recover(spark: SparkSession, path: str, partition: str | None) -> None:
+    """Finish what an upsert of this table left behind: marked rows are put in their place, unmarked ones dropped."""
+    for staging in subfolders(spark, f"{path.rstrip('/')}__staging"):
+        if path_exists(spark, f"{staging}/{COMPLETE}"):
+            replace(spark, staging, path, partition)
+        else:
+            delete_dir(spark, staging)
+
+
 def expire(spark: SparkSession, path: str, partition: str, as_of: str | None, days: int) -> list[str]:
     """Drop date partitions older than the time to live, counted from ``as_of`` or from the newest date there is;
     returns the dropped dates. Only partition values are read, one per day."""
