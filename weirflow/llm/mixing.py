@@ -168,5 +168,6 @@ def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[
     whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     again = memberships(docs, model, whole).select("row", rate(F.col("posterior"), gaps).alias("rate"))
     least = F.greatest(F.col("rate"), F.lit(1.0)) if targets is None else F.col("rate")
-    taken = again.select("row", copies(least, F.col("row.doc_id"), F.xxhash64("row.text")).alias("copies")).where("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    # written before rows are repeated: a filter on the copies would else be pushed down, and the classifier run again in each of its terms
+    taken = tables.keep(again.select("row", copies(least, F.col("row.doc_id"), F.xxhash64("row.text")).alias("copies")), "mixing-copies")
+    return taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
