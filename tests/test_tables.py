@@ -156,8 +156,15 @@ def test_the_hot_table_forgets(spark, tmp_path):
         raw = spark.read.schema(schemas.ENVELOPE).json(spark.sparkContext.parallelize(text))
         serve(ingest.to_bronze(raw), number)
     assert jobs.bronze_table(spark, str(tmp_path / "lake"), "bronze_telemetry").count() == 3
-    days = sorted(r.ingestDate.day for r in spark.read.parquet(str(tmp_path / "hot")).collect())
-    assert days == [11, 21]
+    hot = lambda: spark.read.parquet(str(tmp_path / "hot"))
+    assert sorted(r.ingestDate.day for r in hot().collect()) == [11, 21]
+    assert [r.ingestDate.day for r in jobs.recent(hot(), "2024-01-22", days=5).collect()] == [21]
+    # a clock that is years ahead neither empties the hot table nor gets into it
+    wrong = [message("e", 4_000_000, -4_000_000 * 60 + 21 * 86400, power_kw=1.0)]
+    serve(ingest.to_bronze(spark.read.schema(schemas.ENVELOPE).json(spark.sparkContext.parallelize(wrong))), 3)
+    assert sorted(r.ingestDate.day for r in hot().collect()) == [11, 21]
+    (dead,) = jobs.bronze_table(spark, str(tmp_path / "lake"), ingest.DEAD_LETTERS).collect()
+    assert (dead.deviceId, str(dead.ingestDate)) == ("e", "2024-01-22")
 
 
 def test_stream_equals_batch_when_corrections_come_in_later_batches(spark, tmp_path):
@@ -201,11 +208,12 @@ def test_refresh_does_not_write_the_day_it_only_reads(spark, tmp_path):
 def test_silent_devices_come_and_go(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
-    schema = T.StructType.fromDDL("deviceId string, timestamp timestamp")
+    schema = T.StructType.fromDDL("deviceId string, timestamp timestamp, enqueuedUtc timestamp")
 
     def send(name, *items):
+        at = lambda m: (T0 + timedelta(minutes=m)).isoformat() + "Z"
         (inbox / name).write_text("\n".join(
-            json.dumps({"deviceId": d, "timestamp": (T0 + timedelta(minutes=m)).isoformat() + "Z"}) for d, m in items))
+            json.dumps({"deviceId": d, "timestamp": at(m), "enqueuedUtc": at(arrival[0] if arrival else m)}) for d, m, *arrival in items))
         stream = readers.stream_files(spark, str(inbox), schema)
         watch = jobs.watch_silence(spark, str(tmp_path / "out"))
         jobs.start(stream, watch, str(tmp_path / "cp"), once=True).awaitTermination()
@@ -213,8 +221,8 @@ def test_silent_devices_come_and_go(spark, tmp_path):
 
     assert send("1.json", ("a", 0), ("a", 5), ("b", 0)) == []
     assert send("2.json", ("b", 60), ("b", 76), ("b", 75)) == [("a", T0 + timedelta(minutes=5))]
-    # An old replay does not wake a device, a new sample does.
-    assert send("3.json", ("a", 3)) == [("a", T0 + timedelta(minutes=5))]
+    # An old replay does not wake a device, nor does a clock that is ahead, which makes no other device silent; a new sample does.
+    assert send("3.json", ("a", 3, 77), ("a", 4_000_000, 77), ("z", 4_000_000, 77)) == [("a", T0 + timedelta(minutes=5))]
     assert send("4.json", ("a", 70)) == []
 
 

@@ -18,6 +18,7 @@ from weirflow.session import is_directory, path_exists, shared_dir
 from weirflow.sources import readers, writers
 from weirflow.streaming import ingest, jobs
 
+AHEAD_DAYS = 7 * 365
 PAYLOADS = {"click": "telemetry", "view": "waterQuality", "purchase": "dmaFlow", "error": "alarm"}
 
 
@@ -31,7 +32,8 @@ def stream_of(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def messages(events: DataFrame) -> DataFrame:
-    """Events in the envelope that devices send; some carry no device, some a type that nobody routes."""
+    """Events in the envelope that devices send; some carry no device, some a type that nobody routes, and some the time of
+    a clock that is seven years ahead."""
     kind = F.create_map(*[F.lit(x) for kv in PAYLOADS.items() for x in kv])[F.col("event_type")]
     other = b._pick(F.col("event_id"), ["connectivity", "deployment", "twin", "mystery"])
     v, n = F.col("value"), F.get_json_object("props", "$.k").cast("int")
@@ -43,7 +45,7 @@ def messages(events: DataFrame) -> DataFrame:
     body = F.struct(
         F.lit("1.0").alias("schemaVersion"),
         F.coalesce(kind, other).alias("payloadType"),
-        at.alias("timestamp"),
+        F.when(F.col("event_id") % 97 == 0, at + F.make_dt_interval(days=F.lit(AHEAD_DAYS))).otherwise(at).alias("timestamp"),
         b._name("AST-", "user_id").alias("assetId"),
         b._name("SITE-", F.col("user_id") % 25).alias("siteId"),
         F.lit(None).cast("string").alias("dmaId"),
@@ -56,20 +58,23 @@ def messages(events: DataFrame) -> DataFrame:
     return events.select(system.alias("SystemProperties"), body.alias("body"))
 
 
-VIEWS["msgs"] = """
+VIEWS["msgs"] = f"""
   SELECT CASE WHEN user_id % 50 <> 0 THEN 'DEV-' || user_id END AS deviceId, ts + to_seconds(k * 10) AS enqueuedUtc,
-         ts AS eventTimeUtc, 'AST-' || user_id AS assetId, 'SITE-' || (user_id % 25) AS siteId, '1.0' AS schemaVersion,
+         CASE WHEN event_id % 97 = 0 THEN ts + to_days({AHEAD_DAYS}) ELSE ts END AS eventTimeUtc, 'AST-' || user_id AS assetId, 'SITE-' || (user_id % 25) AS siteId, '1.0' AS schemaVersion,
          CASE event_type WHEN 'click' THEN 'telemetry' WHEN 'view' THEN 'waterQuality' WHEN 'purchase' THEN 'dmaFlow'
               WHEN 'error' THEN 'alarm' ELSE ['connectivity','deployment','twin','mystery'][event_id % 4 + 1] END AS payloadType,
          value * CAST(0.1372904651 AS DOUBLE) AS vibration_mm_s, k * CAST(1.0219384756 AS DOUBLE) AS bearing_temp_c,
          value * CAST(0.0493827165 AS DOUBLE) AS chlorine_mg_l, value * CAST(2.0193847561 AS DOUBLE) AS power_kw, k FROM ev"""
 VIEWS["routed_msgs"] = f"""
-  SELECT *, CAST(k * 10 AS BIGINT) AS ingestLagSeconds, k * 10 > {params.REPLAY_LAG_SECONDS} AS isReplay,
+  SELECT * REPLACE (CASE WHEN isAhead THEN 'bronze_unrouted' ELSE target END AS target,
+                    CAST(CASE WHEN isAhead THEN enqueuedUtc ELSE eventTimeUtc END AS DATE) AS ingestDate) FROM (
+  SELECT *, eventTimeUtc > enqueuedUtc + to_seconds({params.CLOCK_SKEW_SECONDS}) AS isAhead,
+         CAST(epoch(enqueuedUtc - eventTimeUtc) AS BIGINT) AS ingestLagSeconds, ingestLagSeconds > {params.REPLAY_LAG_SECONDS} AS isReplay,
          CASE WHEN payloadType = 'telemetry' THEN 'bronze_telemetry' WHEN payloadType = 'waterQuality' THEN 'bronze_water_quality'
               WHEN payloadType = 'dmaFlow' THEN 'bronze_dma_flow' WHEN payloadType = 'alarm' THEN 'bronze_alarm'
               WHEN payloadType = 'mystery' THEN 'bronze_unrouted' ELSE 'bronze_device_event' END AS target,
-         CAST(eventTimeUtc AS DATE) AS ingestDate
-  FROM msgs WHERE deviceId IS NOT NULL"""
+         NULL AS ingestDate
+  FROM msgs WHERE deviceId IS NOT NULL)"""
 LIFTED = ["deviceId", "enqueuedUtc", "eventTimeUtc", "assetId", "siteId", "schemaVersion", "payloadType"]
 ROUTED = [*LIFTED, "ingestLagSeconds", "isReplay", "ingestDate"]
 
@@ -116,22 +121,24 @@ def snk_append_bronze(spark, sf_dir):
     return jobs.bronze_table(spark, landed(spark, sf_dir), "bronze_telemetry").select(*ROUTED)
 
 
-@query("str_two_sinks", sql("""
+@query("str_two_sinks", sql(f"""
   SELECT 'lake' AS sink, ingestDate, count(*) AS n FROM routed_msgs WHERE target = 'bronze_telemetry' GROUP BY 2
   UNION ALL
   SELECT 'hot', ingestDate, count(*) FROM routed_msgs WHERE target = 'bronze_telemetry'
-    AND ingestDate > (SELECT max(ingestDate) - 14 FROM routed_msgs WHERE target = 'bronze_telemetry') GROUP BY 2"""), dates=("ingestDate",))
+    AND ingestDate > (SELECT CAST(max(enqueuedUtc) AS DATE) - 21 FROM routed_msgs) GROUP BY 2
+  UNION ALL
+  SELECT 'recent', ingestDate, count(*) FROM routed_msgs WHERE target = 'bronze_telemetry'
+    AND ingestDate > (SELECT CAST(max(enqueuedUtc) AS DATE) - 21 FROM routed_msgs)
+    AND ingestDate > CAST({NOW} AS DATE) - 14 AND ingestDate <= CAST({NOW} AS DATE) GROUP BY 2"""), dates=("ingestDate",))
 def str_two_sinks(spark, sf_dir):
     path = shared_dir(spark, "sinks")
     rows = ingest.to_bronze(messages(stream_of(spark, sf_dir, "events")))
-    sink = jobs.land_and_serve(f"{path}/lake", f"{path}/hot")
+    sink = jobs.land_and_serve(f"{path}/lake", f"{path}/hot", keep_days=21)
     jobs.start(rows, sink, f"{path}/checkpoint", once=True).awaitTermination()
-    lake = jobs.bronze_table(spark, f"{path}/lake", "bronze_telemetry")
     hot = spark.read.parquet(f"{path}/hot")
-    return (
-        lake.groupBy(F.lit("lake").alias("sink"), "ingestDate").agg(F.count(F.lit(1)).alias("n"))
-        .unionByName(hot.groupBy(F.lit("hot").alias("sink"), "ingestDate").agg(F.count(F.lit(1)).alias("n")))
-    )
+    tables = {"lake": jobs.bronze_table(spark, f"{path}/lake", "bronze_telemetry"), "hot": hot, "recent": jobs.recent(hot, b.AS_OF)}
+    counts = [t.groupBy(F.lit(n).alias("sink"), "ingestDate").agg(F.count(F.lit(1)).alias("n")) for n, t in tables.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 def _stream_arrivals(spark, sf_dir) -> DataFrame:
@@ -182,12 +189,14 @@ def str_alarm(spark, sf_dir):
 
 
 @query("str_silent_device", sql("""
-  SELECT deviceId, max("timestamp") AS lastSeen, max("timestamp") + INTERVAL 60 MINUTE AS silentSince FROM telemetry
-  GROUP BY 1 HAVING max("timestamp") + INTERVAL 60 MINUTE <
-    (SELECT max("timestamp") - INTERVAL 10 MINUTE FROM telemetry)"""))
+  SELECT deviceId, max(eventTimeUtc) AS lastSeen, max(eventTimeUtc) + INTERVAL 60 MINUTE AS silentSince FROM routed_msgs
+  WHERE NOT isAhead GROUP BY 1 HAVING max(eventTimeUtc) + INTERVAL 60 MINUTE <
+    (SELECT max(enqueuedUtc) - INTERVAL 10 MINUTE FROM routed_msgs)"""))
 def str_silent_device(spark, sf_dir):
     path = shared_dir(spark, "silent")
-    rows = stream_of(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("timestamp"), b._ids()[0])
+    rows = ingest.drop_unattributed(ingest.lift_envelope(messages(stream_of(spark, sf_dir, "events")))).select(
+        "deviceId", F.col("eventTimeUtc").alias("timestamp"), "enqueuedUtc"
+    )
     jobs.start(rows, jobs.watch_silence(spark, path), f"{path}/checkpoint", once=True).awaitTermination()
     return spark.read.parquet(f"{path}/silent")
 

@@ -114,17 +114,24 @@ def recover(spark: SparkSession, path: str, partition: str | None) -> None:
             delete_dir(spark, staging)
 
 
-def expire(spark: SparkSession, path: str, partition: str, as_of: str | None, days: int) -> list[str]:
-    """Drop date partitions older than the time to live, counted from ``as_of`` or from the newest date there is;
-    returns the dropped dates. Only partition values are read, one per day."""
-    found = sorted(r[0] for r in spark.read.parquet(path).select(partition).distinct().collect())
-    newest = datetime.date.fromisoformat(as_of[:10]) if as_of else max(found, default=datetime.date.min)
-    dates = [str(d) for d in found if (newest - d).days > days]
-    for date in dates:
-        delete_dir(spark, f"{path.rstrip('/')}/{partition}={date}")
+def expire(spark: SparkSession, path: str, partition: str, as_of: str, days: int) -> list[str]:
+    """Drop date partitions older than the time to live, counted from ``as_of``; returns the dropped dates. Only the names of the
+    folders are read, one per day. The newest date in the table is no clock: one device whose own is wrong would empty it."""
+    today = datetime.date.fromisoformat(as_of[:10])
+    dates = []
+    for folder in subfolders(spark, path):
+        name, _, value = folder.rpartition("/")[2].partition("=")
+        # rows without a date have no age, and stay
+        if name == partition and value != NO_VALUE and (today - datetime.date.fromisoformat(value)).days > days:
+            delete_dir(spark, folder)
+            dates.append(value)
     return dates
 
 
+#: The folder name's value for a partition of NULLs.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
 def unexpired(df: DataFrame, ts: str, as_of: Column, days: int) -> DataFrame:
     """Rows still within the time to live."""
     return df.filter(F.col(ts) >= as_of - F.make_dt_interval(days=F.lit(days)))

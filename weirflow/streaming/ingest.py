@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow import params
@@ -45,13 +45,21 @@ def flag_late(rows: DataFrame, limit_seconds: int = params.REPLAY_LAG_SECONDS) -
     return rows.withColumn("ingestLagSeconds", lag).withColumn("isReplay", F.col("ingestLagSeconds") > limit_seconds)
 
 
+def ahead(event: str, arrival: str, limit_seconds: int = params.CLOCK_SKEW_SECONDS) -> Column:
+    """Whether an event claims to lie after its own arrival: the device's clock is wrong. False where a time is missing."""
+    return F.coalesce(F.col(event) > F.col(arrival) + F.make_dt_interval(secs=F.lit(limit_seconds)), F.lit(False))
+
+
 def route(rows: DataFrame) -> DataFrame:
-    """Name the target table; unknown types go to the dead letters instead of vanishing."""
+    """Name the target table; unknown types and events from the future go to the dead letters instead of vanishing, the
+    latter under the day of their arrival."""
     pairs = [F.lit(x) for kv in ROUTES.items() for x in kv]
     target = F.create_map(*pairs)[F.col("payloadType")]
-    return rows.withColumn("target", F.coalesce(target, F.lit(DEAD_LETTERS))).withColumn(
-        "ingestDate", F.to_date("eventTimeUtc")
-    )
+    wrong = ahead("eventTimeUtc", "enqueuedUtc")
+    return rows.withColumn("target", F.when(~wrong, target)).withColumns({
+        "target": F.coalesce("target", F.lit(DEAD_LETTERS)),
+        "ingestDate": F.to_date(F.when(wrong, F.col("enqueuedUtc")).otherwise(F.col("eventTimeUtc"))),
+    })
 
 
 def to_bronze(messages: DataFrame) -> DataFrame:

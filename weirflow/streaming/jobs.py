@@ -16,7 +16,7 @@ from weirflow import params
 from weirflow.functions import ordered, rules
 from weirflow.operators import silver
 from weirflow.sources.writers import expire, upsert, write_snapshot
-from weirflow.streaming.ingest import to_bronze
+from weirflow.streaming.ingest import ahead, to_bronze
 from weirflow.session import local_table
 
 FLUSH = "120 seconds"
@@ -53,25 +53,33 @@ def bronze_table(spark: SparkSession, path: str, target: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("target") == target).drop("target", "batchId")
 
 
-def land_and_serve(path: str, hot_path: str, keep_days: int = 14) -> Callable[[DataFrame, int], None]:
-    """The same rows to the lake and to a hot table that holds the last days."""
+def land_and_serve(path: str, hot_path: str, keep_days: int = 90) -> Callable[[DataFrame, int], None]:
+    """The same rows to the lake and to a hot table that retains ``keep_days``. The clock is the hub's: the newest arrival of the
+    batch, never an event's own time."""
 
     def both(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
             replace_batch(batch, number, path, "target", "ingestDate")
+            today = batch.agg(F.to_date(F.max("enqueuedUtc"))).first()[0]
             hot = batch.filter(F.col("target") == "bronze_telemetry").drop("target")
-            newest = hot.agg(F.max("ingestDate")).first()[0]
-            if newest is not None:
-                fresh = hot.filter(F.col("ingestDate") > F.date_sub(F.lit(newest), keep_days))
-                replace_batch(fresh, number, hot_path, "ingestDate")
-                expire(batch.sparkSession, hot_path, "ingestDate", None, keep_days - 1)
+            if today is not None:
+                hot = hot.filter(F.col("ingestDate") > F.date_sub(F.lit(today), keep_days))
+            replace_batch(hot, number, hot_path, "ingestDate")
+            if today is not None:
+                expire(batch.sparkSession, hot_path, "ingestDate", str(today), keep_days - 1)
         finally:
             batch.unpersist()
 
     return both
 
 
+def recent(hot: DataFrame, as_of: str, days: int = 14) -> DataFrame:
+    """The last days of the hot table, which are worth caching; a view, as the table itself keeps more."""
+    today = F.to_date(F.lit(as_of))
+    return hot.filter((F.col("ingestDate") > F.date_sub(today, days)) & (F.col("ingestDate") <= today))
+
+
 def start_bronze(messages: DataFrame, path: str, checkpoint: str, *, once: bool = False) -> StreamingQuery:
     return start(to_bronze(messages), append_bronze(path), checkpoint, once=once)
 
@@ -166,17 +174,22 @@ def watch_silence(
 ) -> Callable[[DataFrame, int], None]:
     """Keep the last sample of each device, and a table of the devices that are silent now.
 
-    A batch shrinks to one row per device before it is shuffled, so a chatty device costs no more than a quiet one,
-    and the state is one time stamp per device. Event time decides: a device is silent once the newest sample of the
-    fleet, less the lateness, is ``minutes`` past its own.
+    Rows carry ``deviceId``, ``timestamp`` and ``enqueuedUtc``, the arrival. A batch shrinks to one row per device before it is
+    shuffled, so a chatty device costs no more than a quiet one, and the state is two time stamps per device. The hub's clock
+    decides: a device is silent once the newest arrival of the fleet, less the lateness, is ``minutes`` past the device's last
+    sample. Samples from after their own arrival tell nothing about when a device was seen, and are left to the dead letters.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        seen = batch.groupBy("deviceId").agg(F.max("timestamp").alias("lastSeen"))
+        seen = batch.filter(~ahead("timestamp", "enqueuedUtc")).groupBy("deviceId").agg(
+            F.max("timestamp").alias("lastSeen"), F.max("enqueuedUtc").alias("lastArrival")
+        )
         upsert(spark, seen, f"{path}/last_seen", ["deviceId"], order="lastSeen")
         last = spark.read.parquet(f"{path}/last_seen")
-        now = last.agg(F.max("lastSeen") - F.make_dt_interval(mins=F.lit(lateness_minutes))).scalar()
+        newest = F.greatest(last.agg(F.max("lastArrival")).scalar(), F.lit(batch.agg(F.max("enqueuedUtc")).first()[0]))
+        now = newest - F.make_dt_interval(mins=F.lit(lateness_minutes))
         since = F.col("lastSeen") + F.make_dt_interval(mins=F.lit(minutes))
-        write_snapshot(last.withColumn("silentSince", since).filter(F.col("silentSince") < now), f"{path}/silent")
+        silent = last.withColumn("silentSince", since).filter(F.col("silentSince") < now)
+        write_snapshot(silent.drop("lastArrival"), f"{path}/silent")
 
     return merge
