@@ -28,7 +28,9 @@ def find(df: DataFrame, wanted: DataFrame, key: str, fallback: str | None = None
 
 
 def failure_library(spark: SparkSession) -> DataFrame:
-    return local_table(spark, params.FAILURE_MODES, params.FAILURE_COLUMNS)
+    """The failure library, its asset classes spelt as the assets' are."""
+    library = local_table(spark, params.FAILURE_MODES, params.FAILURE_COLUMNS)
+    return library.withColumn("assetClass", rules.canonical(F.col("assetClass")))
 
 
 def failure_candidates(assets: DataFrame, library: DataFrame) -> DataFrame:

@@ -125,8 +125,9 @@ VIEWS: dict[str, str] = {
       SELECT "timestamp", deviceId, siteId, parameter, value FROM wq
       UNPIVOT (value FOR parameter IN (chlorine_mg_l, turbidity_ntu, ph, conductivity_us_cm, temperature_c))""",
     "limits": "SELECT * FROM (" + values(params.REGULATORY_LIMITS) + ") AS t(jurisdiction, parameter, unit, minValue, "
-              "maxValue, tier, notificationHours, requiredAction, citation)",
-    "failure_modes": "SELECT * FROM (" + values(params.FAILURE_MODES) + ") AS t(assetClass, failureMode, detectableVia, "
+              "maxValue, limitType, tier, notificationHours, requiredAction, citation)",
+    "failure_modes": "SELECT * REPLACE (replace(assetClass, 'analyzer', 'analyser') AS assetClass) FROM ("
+                     + values(params.FAILURE_MODES) + ") AS t(assetClass, failureMode, signature, detectableVia, "
                      "typicalLeadTimeDays, consequence, recommendedAction)",
     "zones": "SELECT * FROM (" + values(params.ISO_ZONES) + ") AS t(isoVibrationBand, ab, bc, cd, note)",
     "matrix": "SELECT * FROM (" + values(params.PRIORITY_MATRIX) + ") AS t(criticality, consequence, priority, hours)",
