@@ -68,6 +68,13 @@ def test_frozen_signal_has_no_spread(spark, heat):
     assert worst < 1e-6
 
 
+@pytest.mark.parametrize("level", [1e6, 1e9])
+def test_spread_of_large_values_does_not_cancel(spark, heat, level):
+    rows = [("a", 60 * i, level + 0.0005 * (-1) ** i) for i in range(1500)]
+    late = ordered.trailing_stats(frame(spark, rows), ["k"], "at", "v").filter("trailingCount > 100").agg(F.min("trailingStd"), F.max("trailingStd")).first()
+    assert 0.00049 < late[0] <= late[1] < 0.00051
+
+
 def test_positions(spark, heat):
     rows = [("a", s, float(s)) for s in (5, 3, 90000, 3600, 7200, 200000)] + [("a", 5, 1.0), ("b", 1, 1.0)]
     got = ordered.with_positions(frame(spark, rows), ["k"], "at", ["v"]).orderBy("k", "position").collect()

@@ -133,9 +133,17 @@ def trailing_in_buckets(
         F.col(value).alias("_v"),
         *[F.when(~leaving, F.col(c)).alias(c) for c in keep],
     )
-    v = F.col("_v")
-    parts = {"n": F.when(v.isNotNull(), F.lit(1)), "s": v, "q": v * v}
     here = Window.partitionBy(*keys, "_bucket")
+    if span == 1:
+        # in the order of the running sums, so that both share one sort
+        whole = here.orderBy("_step").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        steps = steps.withColumn("_mid", F.avg(_number("_v")).over(whole))
+    else:
+        middle = df.groupBy(*keys).agg(F.avg(_number(value)).alias("_mid"))
+        steps = steps.join(middle, list(keys))
+    # Sums of squares of large values cancel; those of their distances from a common middle don't.
+    v = F.col("_v") - F.coalesce("_mid", F.lit(0.0))
+    parts = {"n": F.when(v.isNotNull(), F.lit(1)), "s": v, "q": v * v}
     run = here.orderBy("_step").rangeBetween(Window.unboundedPreceding, 0)
     sums = {
         f"_{k}1": F.coalesce(F.sum(F.when(leaving, -x).otherwise(x)).over(run), F.lit(0)) for k, x in parts.items()
@@ -144,18 +152,24 @@ def trailing_in_buckets(
         start = {f"_{k}0": F.coalesce(F.sum(F.when(leaving, x)).over(here), F.lit(0)) for k, x in parts.items()}
         rows = steps.select("*", *[x.alias(k) for k, x in {**sums, **start}.items()]).filter(~leaving)
     else:
-        start = _sums_before(df, keys, bucket, value, span)
+        middled = df.join(middle, list(keys)).withColumn(value, F.col(value) - F.coalesce("_mid", F.lit(0.0))).drop("_mid")
+        start = _sums_before(middled, keys, bucket, value, span)
         rows = steps.select("*", *[x.alias(k) for k, x in sums.items()]).filter(~leaving).join(start, [*keys, "_bucket"])
 
     n, s, q = (F.col(f"_{k}0") + F.col(f"_{k}1") for k in parts)
     spread = F.sqrt(F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1))
     return rows.select(
-        *[v.alias(c) if c == value else F.col(c) for c in df.columns],
+        *[F.col("_v").alias(c) if c == value else F.col(c) for c in df.columns],
         n.alias("trailingCount"),
         F.when(n > 1, spread).alias("trailingStd"),
     )
 
 
+def _number(value: str) -> Column:
+    """The value, or null where it is NaN."""
+    return F.when(~F.isnan(value), F.col(value))
+
+
 def _sums_before(df: DataFrame, keys: Sequence[str], bucket: Column, value: str, span: int) -> DataFrame:
     """Count, sum and sum of squares of the ``span`` buckets before each bucket: totals enter after their own bucket
     and leave ``span`` buckets later, in one running sum over the buckets."""
