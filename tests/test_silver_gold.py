@@ -91,6 +91,18 @@ def test_hourly_counts_what_it_leaves_out(spark):
     assert hour.qualityFlags == ["suspect_range"] and hour.completenessPct == 98.3 and hour.isTrustworthy
 
 
+def test_a_missing_or_changed_asset_leaves_one_row_per_device_and_hour(spark):
+    rows = silver.silver_telemetry(bronze(spark, [("d", i, i, {"vibration_mm_s": 3.0 + i % 2}) for i in range(4)]))
+    minute = F.minute("timestamp")
+    rows = rows.withColumn("assetId", F.when(minute == 1, "OLD").when(minute == 2, "NEW"))
+    hours = gold.telemetry_hourly(rows, expected_per_hour=4)
+    (hour,) = hours.collect()
+    assert (hour.assetId, hour.sampleCount) == ("NEW", 4)
+    both = hours.unionByName(hours.withColumns({"assetId": F.lit(None).cast("string"), "timestamp": F.expr("timestamp + interval 1 hour")}))
+    (trend,) = gold.vibration_trend(both, "2024-01-02 00:00:00").collect()
+    assert (trend.assetId, trend.hoursObserved) == ("NEW", 2)
+
+
 def test_silent_hours_are_in_the_ledger(spark):
     rows = silver.silver_telemetry(bronze(spark, [("d", 0, 0, {"power_kw": 1.0})]))
     devices = spark.createDataFrame([("d",), ("never",)], "deviceId string")

@@ -78,6 +78,14 @@ def test_csv_keeps_rows_with_bad_cells(spark, tmp_path):
     assert got == [(1, 2.5, True, "a, b"), (2, None, None, None), (None, 70.0, False, "z")]
 
 
+def test_csv_columns_are_bound_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("b,more,a\n1,x,\"two\nlines\"\n", encoding="utf-8")
+    (row,) = readers.read_csv(spark, str(tmp_path / "a.csv"), T.StructType.fromDDL("a string, b int"), multi_line=True).collect()
+    assert (row.a, row.b) == ("two\nlines", 1)
+    with pytest.raises(ValueError, match="'c'"):
+        readers.read_csv(spark, str(tmp_path / "a.csv"), T.StructType.fromDDL("a string, c int"))
+
+
 def test_knowledge_files_come_in_three_shapes(spark, tmp_path):
     doc = {"id": "A", "title": "t", "content": "text", "assetClasses": ["pump"]}
     (tmp_path / "array.json").write_text(json.dumps([doc, {**doc, "id": "B", "content": " "}], indent=1))

@@ -225,7 +225,7 @@ def _best(scored: DataFrame, top_k: int, floor: float | None = None) -> DataFram
 
 
 def retrieve_vector(
-    corpus: DataFrame, queries: DataFrame, *, top_k: int, threshold: float = 0.0, queries_per_pass: int = 1000
+    corpus: DataFrame, queries: DataFrame, *, top_k: int, threshold: float | None = None, queries_per_pass: int = 1000
 ) -> DataFrame:
     """Nearest vectors by exact cosine. ``queries`` (queryId, vector) go to the corpus in blocks of bounded size;
     each block is one pass over the corpus, which itself never moves."""
@@ -242,7 +242,9 @@ def retrieve_vector(
         pairs = corpus.withColumn("_q", F.explode(asked))
         pairs = pairs.select(
             F.col("_q.queryId").alias("queryId"), "id", rules.steady(dot / (F.col("norm") * F.col("_q.norm")), 6).alias("score")
-        ).filter(F.col("score") >= threshold)
+        )
+        if threshold is not None:
+            pairs = pairs.filter(F.col("score") >= threshold)
         found = pairs if found is None else found.unionByName(pairs)
     return _best(found, top_k)
 

@@ -68,6 +68,11 @@ def gold_edge_device(devices: DataFrame, as_of: str) -> DataFrame:
     )
 
 
+def _newest(column: str) -> Column:
+    """The newest value that is not missing. What a device is fitted to may change inside a group, and is no key of it."""
+    return F.max_by(column, F.when(F.col(column).isNotNull(), F.struct("timestamp", column))).alias(column)
+
+
 def _trusted(tag: str) -> Column:
     return F.when(F.col("isTrustworthy"), F.col(tag))
 
@@ -78,7 +83,7 @@ def telemetry_hourly(
     expected_per_hour: int = params.SAMPLES_PER_HOUR,
     min_pct: float = params.MIN_COMPLETENESS_PCT,
 ) -> DataFrame:
-    """Hourly statistics of trusted values, with the counts that say how much was left out."""
+    """Hourly statistics of trusted values, with the counts that say how much was left out. One row per device and hour."""
     stats: list[Column] = []
     for tag in params.TELEMETRY_TAGS:
         good = _trusted(tag)
@@ -90,8 +95,10 @@ def telemetry_hourly(
         ]
     bad_flag = F.when(~F.col("isTrustworthy"), F.col("qualityFlag"))
     return (
-        silver.groupBy(F.date_trunc("hour", "timestamp").alias("timestamp"), "deviceId", "assetId", "siteId")
+        silver.groupBy(F.date_trunc("hour", "timestamp").alias("timestamp"), "deviceId")
         .agg(
+            _newest("assetId"),
+            _newest("siteId"),
             *stats,
             F.count(F.lit(1)).alias("sampleCount"),
             F.count_if("isTrustworthy").alias("trustworthyCount"),
@@ -122,8 +129,9 @@ def water_quality_hourly(silver: DataFrame, *, chlorine_range: tuple[float, floa
         ]
     suspect = F.col("chlorineSensorFlatline") & ~F.coalesce(at_breach, F.lit(False))
     return (
-        silver.groupBy(F.date_trunc("hour", "timestamp").alias("timestamp"), "deviceId", "siteId")
+        silver.groupBy(F.date_trunc("hour", "timestamp").alias("timestamp"), "deviceId")
         .agg(
+            _newest("siteId"),
             *stats,
             F.count(F.lit(1)).alias("sampleCount"),
             F.count_if(usable).alias("trustworthyCount"),
@@ -221,7 +229,9 @@ def vibration_trend(hourly: DataFrame, as_of: str, *, days: int = 14) -> DataFra
         rules.within("timestamp", now, days * 24) & F.col("vibration_mm_s").isNotNull() & F.col("isTrustworthy")
     )
     t = (F.unix_seconds("timestamp") - F.unix_seconds(now)) / 86400.0
-    return recent.groupBy("assetId", "deviceId", "siteId").agg(
+    return recent.groupBy("deviceId").agg(
+        _newest("assetId"),
+        _newest("siteId"),
         rules.steady(F.avg("vibration_mm_s"), 3).alias("meanVibration"),
         rules.steady(F.max("vibration_mm_s"), 3).alias("peakVibration"),
         rules.steady(F.avg("bearing_temp_c"), 2).alias("meanBearingTemp"),

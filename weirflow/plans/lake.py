@@ -94,12 +94,14 @@ def silver_to_gold(spark: SparkSession, run: Run) -> DataFrame:
         _since(read("silver_telemetry"), "timestamp", run), expected_per_hour=run.expected_per_hour
     )
     put(hours, "gold_telemetry_hourly", ["deviceId", "timestamp"], "ingestDate")
-    quality = gold.water_quality_hourly(_since(read("silver_water_quality"), "timestamp", run))
-    put(quality, "gold_water_quality", ["deviceId", "timestamp"], "ingestDate")
-    put(gold.dma_hourly(_since(read("silver_dma_flow"), "timestamp", run)), "gold_dma_flow", ["dmaId", "timestamp"], "ingestDate")
-
-    nights = gold.night_flow_baseline(gold.nightly_flow(read("gold_dma_flow")))
-    put(nights, "gold_dma_mnf", ["dmaId", "date"])
+    # what the first job skips for want of bronze rows is skipped here too
+    if path_exists(spark, run.path("silver_water_quality")):
+        quality = gold.water_quality_hourly(_since(read("silver_water_quality"), "timestamp", run))
+        put(quality, "gold_water_quality", ["deviceId", "timestamp"], "ingestDate")
+    if path_exists(spark, run.path("silver_dma_flow")):
+        put(gold.dma_hourly(_since(read("silver_dma_flow"), "timestamp", run)), "gold_dma_flow", ["dmaId", "timestamp"], "ingestDate")
+        nights = gold.night_flow_baseline(gold.nightly_flow(read("gold_dma_flow")))
+        put(nights, "gold_dma_mnf", ["dmaId", "date"])
     put(gold.energy(_since(read("gold_telemetry_hourly"), "timestamp", run)), "gold_energy", ["deviceId", "timestamp"], "ingestDate")
     recent = read("gold_telemetry_hourly").filter(
         rules.within("ingestDate", F.lit(run.as_of).cast("timestamp"), 15 * 24)

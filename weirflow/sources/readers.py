@@ -20,12 +20,21 @@ def read_catalog(spark: SparkSession, folder: str, names: list[str]) -> tuple[di
     return {n: read_parquet(spark, p) for n, p in found.items()}, [n for n in names if n not in found]
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header. Cells are read as text and cast one by one, so a bad cell costs itself, not its row."""
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = spark.read.csv(path, schema=text, header=True, encoding="UTF-8", multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, *, multi_line: bool = False) -> DataFrame:
+    """CSV with a header, bound by column name. Cells are read as text and cast one by one, so a bad cell costs itself, not its row.
+
+    Columns that the header lacks are an error that names them; further ones are left out. All files must have the same header, which
+    the reader checks. Files are split between tasks; ``multi_line`` allows line ends in quoted cells, and makes each file one task.
+    """
+    form = {"header": True, "encoding": "UTF-8", "escape": '"', "multiLine": multi_line}
+    header = spark.read.csv(path, inferSchema=False, **form).columns
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}; it has {header}")
+    text = T.StructType([T.StructField(name, T.StringType()) for name in header])
+    raw = spark.read.csv(path, schema=text, enforceSchema=False, **form)
     return raw.select(*[
-        F.nullif(F.col(f.name), F.lit("")).try_cast(f.dataType).alias(f.name) for f in schema.fields
+        F.nullif(raw[f"`{f.name}`"], F.lit("")).try_cast(f.dataType).alias(f.name) for f in schema.fields
     ])
 
 
