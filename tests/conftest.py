@@ -14,6 +14,8 @@ def spark(tmp_path_factory) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # tests of plans read all pushed filters, which are cut off at 100 characters else
+        .config("spark.sql.maxMetadataStringLength", "1000")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()
     )
