@@ -150,7 +150,8 @@ def test_reliabilities_are_estimated():
 def test_tokens_are_those_of_the_library(llm):
     random.seed(2)
     pool = [chr(i) for i in (*range(0x250), *range(0x300, 0x700), 0x85, 0xA0, 0x1680, 0x2028, 0x3000, 0x1E9E, 0x3A3, 0x4E2D, 0xAC00, 0x1100, 0x1161, 0x1F600, 0x1C89)]
-    texts = [None, "", "<|endoftext|>a<|startoftext|>", "a" * 5000, "it's we'LL Σας İ x<|", *("".join(random.choice(pool) for _ in range(40)) for _ in range(200)), *given(llm)]
+    texts = [None, "", "<|endoftext|>a<|startoftext|>", "a" * 5000, "it's we'LL Σας İ x<|", *("".join(random.choice(pool) for _ in range(40)) for _ in range(200)),
+             *("".join(chr(random.randrange(256)) for _ in range(40)) for _ in range(200)), *given(llm)]
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = {r.doc_id: r for r in bpe.encoded(docs(llm, texts).select("doc_id", "text", "lang", "score")).collect() if r.doc_id is not None}
     arrays = bpe.encoded(docs(llm, texts).select("doc_id", "text"), size=50, digests=False)

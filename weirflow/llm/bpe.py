@@ -37,7 +37,7 @@ from weirflow.llm import tables
 
 #: Words of the lexicon at most: those with the highest counts in the corpus.
 LEXICON = 1 << 17
-#: Distinct words that a task counts before it sends them on, and that a worker remembers the ids of.
+#: Distinct words that a task counts before it sends them on, and beyond the lexicon's that a worker remembers the ids of.
 REMEMBERED = 200_000
 #: Bytes of the longest word that the lexicon takes; longer ones are merged whenever they occur.
 WORD_BYTES = 64
@@ -46,6 +46,29 @@ FILE = "word_bpe_49k.json"
 HIGH = re.compile("[\u0530-\U0010ffff]")
 
 
+def is_latin1(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def latin1_pattern(pattern: str) -> re.Pattern | None:
+    """The word pattern for texts within Latin 1, its classes spelled out; None if it has others than letters, numbers and white space."""
+    chars = [chr(i) for i in range(256)]
+    classes = {
+        r"\p{L}": [c for c in chars if unicodedata.category(c)[0] == "L"],
+        r"\p{N}": [c for c in chars if unicodedata.category(c)[0] == "N"],
+        r"\p{White_Space}": [c for c in chars if regex.match(r"\p{White_Space}", c)],
+    }
+    for name, own in classes.items():
+        pattern = pattern.replace(name, "".join(map(re.escape, own)))
+    return None if r"\p" in pattern.lower() else re.compile(pattern)
+
+
 def byte_letters() -> list[str]:
     """The letter that byte-level vocabularies write for each byte: itself if printable, else one from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -79,7 +102,8 @@ class Tokenizer:
         self.at_special = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)))
         pattern = told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # the file's library takes white space as Unicode does; U+001C to U+001F are not white space there
-        self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"), regex.V0)
+        pattern = pattern.replace(r"\s", r"\p{White_Space}")
+        self.words, self.latin1_words = regex.compile(pattern, regex.V0), latin1_pattern(pattern)
         self.library = tokenizers.Tokenizer.from_str(text)
         self.bytes = {c: b for b, c in enumerate(self.letters)}
 
@@ -94,6 +118,8 @@ class Tokenizer:
 
     def split(self, text: str) -> list[str]:
         """Words of a part without special tokens."""
+        if self.latin1_words is not None and is_latin1(text):  # composed already, and lower case stays within Latin 1
+            return self.latin1_words.findall(text.lower())
         if HIGH.search(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
             # code points that Python's Unicode tables don't know yet: the library's tables decide where words end
             found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
@@ -238,33 +264,38 @@ class Lexicon:
 
 
 class Words(dict):
-    """Words to (number of ids, ids as text, token texts), remembered for the words of late."""
+    """Words to (number of ids, ids as text, token texts): those of the lexicon once they were looked up, others of late."""
 
     def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon) -> None:
         super().__init__()
         self.tokenizer, self.lexicon = tokenizer, lexicon
-
-    def ids(self, word: bytes) -> list[int]:
-        found = self.lexicon.find(word) if len(word) <= WORD_BYTES else None
-        return self.tokenizer.merge(word) if found is None else found
+        self.others: dict[str, tuple[int, str, str]] = {}
 
     def __missing__(self, word: str) -> tuple[int, str, str]:
-        ids = self.ids(word.encode())
-        found = len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids)
-        if len(word) > WORD_BYTES:
+        found = self.others.get(word)
+        if found is not None:
             return found
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = found
+        own = word.encode()
+        known = self.lexicon.find(own) if len(own) <= WORD_BYTES else None
+        ids = self.tokenizer.merge(own) if known is None else known
+        found = len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids)
+        if known is not None:
+            self[word] = found  # no more than the lexicon has
+        elif len(own) <= WORD_BYTES:
+            if len(self.others) >= REMEMBERED:
+                self.others.clear()
+            self.others[word] = found
         return found
 
     def document(self, text: str) -> tuple[int, list[str], list[str]]:
         n, ids, tokens = 0, [], []
         for part, special in self.tokenizer.pieces(text):
-            for own, a, b in map(self.__getitem__, self.tokenizer.split(part)):
-                n += own
-                ids.append(a)
-                tokens.append(b)
+            words = self.tokenizer.split(part)
+            if words:
+                ns, a, b = zip(*map(self.__getitem__, words))
+                n += sum(ns)
+                ids += a
+                tokens += b
             if special >= 0:
                 n += 1
                 ids.append(str(special))
