@@ -29,6 +29,20 @@ def asked(spark, *texts):
     return spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "questionId string, question string")
 
 
+def test_words_of_the_ontology_add_to_a_score(spark):
+    rows = asked(spark, "what about the pump, the Device and wo", "nothing of note", "")
+    found = {r.questionId: r for r in q.route(q.entity_words(rows), entities="entities").collect()}
+    plain = {r.questionId: r for r in q.route(rows).collect()}
+    a, b, c = (found[k] for k in sorted(found))
+    assert a.entities == ["device", "pump"] and b.entities == c.entities == []
+    before = {s.name: s.score for s in plain[a.questionId].scores}
+    # "pump" is also a trigger of the first specialist
+    assert {s.name: s.score - before.get(s.name, 0.0) for s in a.scores} == {
+        "asset-health": 2.0, "energy-optimizer": 1.0, "fleet-operations": 1.0, "maintenance-planner": 1.0
+    }
+    assert a.matchedOn == ["pump", "entity:device", "entity:pump"]
+
+
 def test_golden_questions_reach_their_specialist(spark):
     got = q.route(asked(spark, *[t for t, _ in GOLDEN])).orderBy("questionId").collect()
     assert [r.specialists[0] for r in got] == [s for _, s in GOLDEN]

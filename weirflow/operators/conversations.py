@@ -46,7 +46,7 @@ def trace_log(routed: DataFrame, elapsed_ms: str = "elapsedMs") -> DataFrame:
     route = F.struct("strategy", "confidence", "specialists", "scores")
     return routed.select(
         F.col("questionId").alias("id"), F.lit("trace").alias("type"), "question", route.alias("route"),
-        "deviceIds", "siteIds", "pendingApprovals", F.col(elapsed_ms).alias("elapsedMs"),
+        "deviceIds", "siteIds", "entities", "pendingApprovals", F.col(elapsed_ms).alias("elapsedMs"),
     )
 
 

@@ -5,6 +5,8 @@ Everything is a row-local expression except the term lookup, so a log of any siz
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +46,7 @@ def days_hint(rows: DataFrame, default: int, question: str = "question") -> Data
     return rows.withColumn("days", F.coalesce(found.try_cast("int"), F.lit(default)))
 
 
-def term_table(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
-    """Term to entity: name, synonym, allowed value, attribute, in this order of strength.
-
-    ``extra`` adds terms of one's own ontology as (term, entity, via, tier, ordinal).
-    """
+def _terms() -> list[tuple[str, str, str, int, int]]:
     rows = []
     for i, (entity, synonyms, allowed) in enumerate(v.ENTITIES):
         rows.append((entity.lower(), entity, "entityName", 1, i))
@@ -56,7 +54,15 @@ def term_table(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame
         rows += [(a, entity, "allowedValue", 3, i) for a in allowed]
         for name in schemas.GOLD_ATTRIBUTES[entity]:
             rows += [(t, entity, "attributeName", 4, i) for t in {name.lower(), name.lower().split("_")[0]}]
-    table = local_table(spark, rows, "term string, entity string, via string, tier int, ordinal int")
+    return rows
+
+
+def term_table(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
+    """Term to entity: name, synonym, allowed value, attribute, in this order of strength.
+
+    ``extra`` adds terms of one's own ontology as (term, entity, via, tier, ordinal).
+    """
+    table = local_table(spark, _terms(), "term string, entity string, via string, tier int, ordinal int")
     if extra is not None:
         table = table.unionByName(extra)
     return table.groupBy("term").agg(
@@ -81,6 +87,16 @@ def resolve_terms(rows: DataFrame, terms: DataFrame, key: str, question: str = "
     )
 
 
+def entity_words(rows: DataFrame, question: str = "question", extra: Sequence[str] = ()) -> DataFrame:
+    """The single words of a question that are terms of the ontology, as ``entities``: what :func:`route` scores.
+
+    ``extra`` are terms of one's own ontology. A row-local expression, as the ontology is a short list.
+    """
+    known = sorted({t for t, *_ in _terms()} | {t.lower() for t in extra})
+    said = F.filter(text.words(F.col(question)), lambda w: F.length(w) > 2)
+    return rows.withColumn("entities", F.array_sort(F.array_intersect(said, text.literals(known))))
+
+
 def _hits(said: Column) -> Column:
     """Triggers found, one list per specialist."""
 
@@ -104,11 +120,16 @@ def _score(i: int, said: Column, facts: Column) -> Column:
     own = F.aggregate(
         facts["hits"][i], F.lit(0.0), lambda acc, t: acc + F.when(_is_phrase(t), 2.5).otherwise(1.5)
     ) + F.size(F.array_intersect(said["entities"], text.literals(wanted)))
+    named = F.filter(text.literals(wanted), lambda w: F.array_contains(said["entities"], w))
+    matched = F.concat(
+        facts["hits"][i], F.transform(named, lambda w: F.concat(F.lit("entity:"), w)),
+        F.array_compact(F.array(*[F.when(facts["rules"][j], F.lit("rule")) for j in rules_of])) if rules_of else text.literals([]),
+    )
     return rules.let(
         own,
         lambda o: F.struct(
             (-(o + by_rule)).alias("minus"), F.when(o > 0, F.lit(i)).otherwise(first_rule).alias("place"),
-            F.lit(name).alias("name"), F.slice(facts["hits"][i], 1, 6).alias("hits"),
+            F.lit(name).alias("name"), F.slice(matched, 1, 6).alias("hits"),
         ),
     )
 
@@ -164,7 +185,10 @@ def _decide(said: Column, facts: Column, ranked: Column) -> Column:
 
 
 def route(rows: DataFrame, question: str = "question", entities: str | None = None) -> DataFrame:
-    """Score the specialists and decide who answers, and how: one expression per question, no shuffle."""
+    """Score the specialists and decide who answers, and how: one expression per question, no shuffle.
+
+    ``entities`` names the column of ontology words (see :func:`entity_words`); each that a specialist knows adds a point.
+    """
     none = F.array().cast("array<string>")
     said = F.struct(
         F.lower(question).alias("low"), text.tokens(F.col(question)).alias("tokens"),

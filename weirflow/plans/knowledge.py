@@ -82,11 +82,14 @@ def txt_resolve_terms(spark, sf_dir):
 
 def _route_sql() -> str:
     own, forced, place = [], [], []
-    for i, (name, triggers, _) in enumerate(v.SPECIALISTS):
+    known = listed(sorted({term for term, *_ in _term_rows()}))
+    entities = f"list_sort(list_distinct(list_filter({WORDS.format('question')}, lambda w: length(w) > 2 AND list_contains({known}, w))))"
+    for i, (name, triggers, wanted) in enumerate(v.SPECIALISTS):
         phrases = [x for x in triggers if " " in x]
         words = [x for x in triggers if " " not in x]
         score = " + ".join([f"CASE WHEN contains(low, {quoted(p)}) THEN 2.5 ELSE 0 END" for p in phrases]
-                           + [f"len(list_intersect(toks, {listed(words)})) * 1.5"])
+                           + [f"len(list_intersect(toks, {listed(words)})) * 1.5"]
+                           + [f"len(list_intersect(entities, {listed(wanted)}))" for _ in range(bool(wanted))])
         own.append(f"CAST({score} AS DOUBLE) AS o{i}")
         mine = [j for j, (_, agent) in enumerate(v.HARD_RULES) if agent == name]
         add = " + ".join([f"CASE WHEN r{j} THEN 6 ELSE 0 END" for j in mine] or ["0"])
@@ -98,7 +101,7 @@ def _route_sql() -> str:
     # First appearance of each forced specialist, in rule order.
     forced_list = f"list_filter([{', '.join(agents)}], lambda x: x IS NOT NULL)"
     return f"""
-      SELECT questionId, question, reason, specialists, conf,
+      SELECT questionId, question, entities, reason, specialists, conf,
              CASE WHEN reason IN ('no_match', 'ambiguous') THEN 'plan' WHEN reason = 'clear' AND len(specialists) = 1 THEN 'direct'
                   ELSE 'parallel' END AS strategy
       FROM (SELECT *, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS specialists
@@ -117,16 +120,20 @@ def _route_sql() -> str:
                                     FROM (SELECT *, {', '.join(forced)}
                                           FROM (SELECT *, {', '.join(own)}, {hits}
                                                 FROM (SELECT questionId, question, lower(question) AS low,
-                                                             {_tokens('question')} AS toks FROM questions))))))))"""
+                                                             {_tokens('question')} AS toks, {entities} AS entities FROM questions))))))))"""
 
 
 VIEWS["routed"] = _route_sql()
 
 
+def routed(spark, sf_dir) -> DataFrame:
+    return q.route(q.entity_words(b.questions(spark, sf_dir)), entities="entities")
+
+
 @query("txt_route", sql("""SELECT questionId, reason, strategy, conf AS confidence, array_to_string(specialists, ',') AS specialists
     FROM routed"""))
 def txt_route(spark, sf_dir):
-    rows = q.route(b.questions(spark, sf_dir))
+    rows = routed(spark, sf_dir)
     return rows.select("questionId", "reason", "strategy", "confidence", F.array_join("specialists", ",").alias("specialists"))
 
 
@@ -144,7 +151,7 @@ def _approval_sql() -> str:
 
 @query("txt_approval_intent", sql(_approval_sql()))
 def txt_approval_intent(spark, sf_dir):
-    rows = q.approval_intent(q.route(b.questions(spark, sf_dir)))
+    rows = q.approval_intent(routed(spark, sf_dir))
     return rows.select("questionId", F.array_join("pendingApprovals", ",").alias("pendingApprovals"))
 
 
@@ -310,20 +317,22 @@ def cnv_deletion_report(spark, sf_dir):
 
 
 def traces(spark, sf_dir) -> DataFrame:
-    rows = q.approval_intent(q.extract_ids(q.route(b.questions(spark, sf_dir))))
+    rows = q.approval_intent(q.extract_ids(routed(spark, sf_dir)))
     return conv.trace_log(rows.withColumn("elapsedMs", F.length("question").cast("long") * 7 % 2000))
 
 
-VIEWS["traced"] = """SELECT r.questionId AS id, strategy, conf, specialists, devices, i.siteIds, length(r.question) * 7 % 2000 AS elapsedMs
+VIEWS["traced"] = """SELECT r.questionId AS id, entities, strategy, conf, specialists, devices, i.siteIds, length(r.question) * 7 % 2000 AS elapsedMs
     FROM routed r JOIN ids i ON i.questionId = r.questionId"""
 
 
 @query("cnv_trace_log", sql("""SELECT id, 'trace' AS type, strategy, conf AS confidence, array_to_string(specialists, ',') AS specialists,
-    array_to_string(devices, ',') AS deviceIds, array_to_string(siteIds, ',') AS siteIds, elapsedMs FROM traced"""))
+    array_to_string(devices, ',') AS deviceIds, array_to_string(siteIds, ',') AS siteIds,
+    array_to_string(entities, ',') AS entities, elapsedMs FROM traced"""))
 def cnv_trace_log(spark, sf_dir):
     return traces(spark, sf_dir).select(
         "id", "type", "route.strategy", "route.confidence", F.array_join("route.specialists", ",").alias("specialists"),
-        F.array_join("deviceIds", ",").alias("deviceIds"), F.array_join("siteIds", ",").alias("siteIds"), "elapsedMs",
+        F.array_join("deviceIds", ",").alias("deviceIds"), F.array_join("siteIds", ",").alias("siteIds"),
+        F.array_join("entities", ",").alias("entities"), "elapsedMs",
     )
 
 
