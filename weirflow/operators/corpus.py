@@ -182,13 +182,11 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     said = docs.select("id", F.inline(marked))
     lengths = terms.agg(F.array_sort(F.collect_set(F.length("term")))).scalar()  # a few dozen numbers
     vocabulary = said.select("word").distinct().withColumn("_lengths", lengths)
-    parts = F.flatten(
-        F.transform(
-            F.filter("_lengths", lambda n: n <= F.length("word")),
-            lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring("word", i, n)),
-        )
-    )
-    holds = vocabulary.select("word", F.explode(F.array_distinct(parts)).alias("term")).join(terms, "term")
+    # Substrings come as rows: a word may be a megabyte long, and they never lie in one array.
+    sized = vocabulary.select("word", F.explode("_lengths").alias("_n")).filter(F.length("word") >= F.col("_n"))
+    placed = sized.select("word", "_n", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("_n") + 1)).alias("_at"))
+    parts = placed.select("word", F.substring("word", F.col("_at"), F.col("_n")).alias("term"))
+    holds = parts.join(terms, "term").distinct()
     holds = holds.withColumn("times", text.occurrences(F.col("word"), F.col("term")))
     return (
         said.join(holds, "word")
