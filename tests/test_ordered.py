@@ -111,6 +111,15 @@ def test_rank_has_ties_and_nulls(spark):
     assert got == {"y": 1, "x": 2, "z": 2, "w": 4, "u": 5}
 
 
+def test_rank_without_keys_is_cut_into_pieces(spark):
+    values = [round((i * 7919 % 5000) ** 2 / 1000, 1) for i in range(5000)]
+    got = ordered.with_rank(spark.createDataFrame([(v,) for v in [*values, None, None]], "v double"), [], "v").collect()
+    assert all(r["rank"] == (5001 if r.v is None else 1 + sum(x > r.v for x in values)) for r in got[::50] + got[-2:])
+    same = ordered.with_rank(spark.createDataFrame([(2.0,), (2.0,)], "v double"), [], "v").collect()
+    assert [r["rank"] for r in same] == [1, 1]
+    assert ordered.with_rank(spark.createDataFrame([], "v double"), [], "v").count() == 0
+
+
 def test_latest_row_is_the_same_on_every_run(spark):
     rows = [("a", 1, float(i)) for i in range(50)]
     df = frame(spark, rows)

@@ -21,6 +21,8 @@ MINUTE = 60
 # a key that is not among them holds less than one part in MAX_HOT_KEYS of all rows.
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
+# Steps that a ranking over all rows is cut into.
+RANK_PIECES = 1000
 
 
 def time_bucket(ts: str | Column, seconds: int) -> Column:
@@ -241,10 +243,22 @@ def with_rank(df: DataFrame, keys: Sequence[str], by: str, name: str = "rank") -
     """Add the SQL ``rank`` of each row within its key, greatest ``by`` first.
 
     Meant for rounded figures: rows are counted per distinct value before they are ordered, so the ordering sees
-    one row per value and not one per row, and the ranks are joined back by value.
+    one row per value and not one per row, and the ranks are joined back by value. Without keys the values are cut into
+    ``RANK_PIECES`` equal steps from the greatest to the least, so that no task orders them all.
     """
     counts = df.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.col(by).desc()))
+    if keys:
+        upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.col(by).desc()))
+    else:
+        ends = counts.agg(F.struct(F.min(by).alias("low"), F.max(by).alias("high"))).scalar()
+        counts = counts.withColumn("_ends", ends)
+        share = F.try_divide(F.col("_ends.high") - F.col(by), F.col("_ends.high") - F.col("_ends.low"))
+        piece = F.when(F.col(by).isNull(), RANK_PIECES + 1).otherwise(F.coalesce(F.floor(share * RANK_PIECES), F.lit(0)))
+        counts = counts.withColumn("_piece", piece).drop("_ends")
+        pieces = counts.groupBy("_piece").agg(F.sum("_n").alias("_all"))  # RANK_PIECES + 2 rows at most
+        before = F.sum("_all").over(Window.orderBy("_piece")) - F.col("_all")
+        counts = counts.join(pieces.select("_piece", before.alias("_before")), "_piece")
+        upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_piece").orderBy(F.col(by).desc()))
     mine = {k: f"_rank_{k}" for k in (*keys, by)}
     ranks = counts.select(
         *[F.col(k).alias(v) for k, v in mine.items()], (upto - F.col("_n") + 1).alias(name)
