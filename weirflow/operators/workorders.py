@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow import params
-from weirflow.functions import ordered, rules
+from weirflow.functions import ordered, rules, text
 from weirflow.session import local_table
 
 
@@ -67,14 +69,24 @@ def cost_estimate(
     )
 
 
-def crew_slots(crews: DataFrame, days_ahead: int = 14) -> DataFrame:
-    """The earliest open slots of each site and skill."""
+def crew_slots(crews: DataFrame, slots: int = 14) -> DataFrame:
+    """The earliest open slots of each site and skill, ``slots`` of them at most."""
     keys = ["siteId", "skill"]
-    rows = ordered.newest_n(crews.filter(F.col("availableHours") > 0), keys, [F.col("date"), F.col("crewId")], days_ahead)
+    rows = ordered.newest_n(crews.filter(F.col("availableHours") > 0), keys, [F.col("date"), F.col("crewId")], slots)
     return rows.withColumn("earliest", F.min("date").over(Window.partitionBy(*keys)))
 
 
-def propose(health: DataFrame, assets: DataFrame, matrix: DataFrame, as_of: str) -> DataFrame:
+def propose(
+    health: DataFrame,
+    assets: DataFrame,
+    matrix: DataFrame,
+    as_of: str,
+    *,
+    failure_mode: str = "Bearing wear",
+    estimated_hours: float = 6.0,
+    required_parts: Sequence[str] = (),
+    created_by: str = "weirflow/maintenance-planner",
+) -> DataFrame:
     """A proposal for every machine in zone C or D. Proposals are never committed by themselves."""
     now = F.lit(as_of).cast("timestamp")
     bad = health.filter(F.col("isoZone").isin("C", "D")).select("assetId", "siteId", "isoZone", "healthVerdict")
@@ -88,11 +100,15 @@ def propose(health: DataFrame, assets: DataFrame, matrix: DataFrame, as_of: str)
         "assetId",
         "siteId",
         F.concat(F.lit("Investigate high vibration - "), F.col("assetId")).alias("title"),
+        F.concat_ws(" ", F.lit("Vibration zone"), F.concat("isoZone", F.lit(":")), "healthVerdict").alias("description"),
         "priority",
         "targetResponseHours",
         "dueBy",
-        F.lit("Bearing wear").alias("failureMode"),
-        F.lit(6.0).alias("estimatedHours"),
+        F.lit(failure_mode).alias("failureMode"),
+        F.lit(estimated_hours).alias("estimatedHours"),
+        text.literals(list(required_parts)).alias("requiredParts"),
+        now.alias("createdAt"),
+        F.lit(created_by).alias("createdBy"),
         F.lit("open").alias("status"),
         F.lit(False).alias("approved"),
     )

@@ -198,13 +198,16 @@ VIEWS["health"] = m.HEALTH.strip()
   SELECT 'WO-' || upper(substr(sha1(concat_ws('|', 'proposal', h.assetId, '{b.AS_OF}')), 1, 8)) AS workOrderId, h.assetId, h.siteId,
          'Investigate high vibration - ' || h.assetId AS title, coalesce(priority, 'P4') AS priority,
          coalesce(hours, 720) AS targetResponseHours, {NOW} + to_hours(CAST(coalesce(hours, 720) AS INT)) AS dueBy,
+         concat_ws(' ', 'Vibration zone', isoZone || ':', healthVerdict) AS description, 'P-1,P-2' AS requiredParts,
+         {NOW} AS createdAt, 'weirflow/maintenance-planner' AS createdBy,
          'Bearing wear' AS failureMode, CAST(6.0 AS DOUBLE) AS estimatedHours, 'open' AS status, FALSE AS approved
   FROM health h LEFT JOIN assets a ON a.assetId = h.assetId
   LEFT JOIN matrix x ON x.criticality = coalesce(a.criticality, 'high') AND x.consequence = 'availability'
   WHERE isoZone IN ('C', 'D')"""))
 def wo_propose(spark, sf_dir):
     assets = gold.gold_asset(b.assets(spark, sf_dir))
-    return wo.propose(m.health(spark, sf_dir), assets, wo.priority_matrix(spark), b.AS_OF)
+    rows = wo.propose(m.health(spark, sf_dir), assets, wo.priority_matrix(spark), b.AS_OF, required_parts=["P-1", "P-2"])
+    return rows.withColumn("requiredParts", F.array_join("requiredParts", ","))
 
 
 def changes(spark, sf_dir):
