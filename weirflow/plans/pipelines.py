@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirflow import params, schemas
-from weirflow.functions import rules
 from weirflow.operators import gold, silver
 from weirflow.plans import bindings as b
 from weirflow.plans import lake
@@ -161,18 +160,26 @@ def str_silver_upsert(spark, sf_dir):
     )
 
 
-@query("str_hourly", sql("""SELECT date_trunc('hour', "timestamp") AS "timestamp", deviceId, count(*) AS sampleCount,
-    round(avg(power_kw), 6) AS power_kw, max(power_kw) AS power_kw_max FROM telemetry GROUP BY 1, 2"""))
+def _hourly_sql(tag: str) -> str:
+    good = f"({tag}) FILTER (WHERE trusted)"
+    return (f"round(avg{good}, 3) AS {tag}, round(min{good}, 3) AS {tag}_min, round(max{good}, 3) AS {tag}_max, "
+            f"round(stddev_samp{good}, 4) AS {tag}_std")
+
+
+@query("str_hourly", sql(f"""SELECT date_trunc('hour', ts) AS "timestamp", 'DEV-' || user_id AS deviceId, count(*) AS sampleCount,
+    count(*) FILTER (WHERE trusted) AS trustworthyCount, {_hourly_sql('power_kw')}, {_hourly_sql('vibration_mm_s')}
+    FROM (SELECT ts, user_id, event_type <> 'error' AS trusted, value * CAST(2.0193847561 AS DOUBLE) AS power_kw,
+                 value * CAST(0.1372904651 AS DOUBLE) AS vibration_mm_s FROM events) GROUP BY 1, 2"""))
 def str_hourly(spark, sf_dir):
     path = shared_dir(spark, "hourly")
     events = stream_of(spark, sf_dir, "events")
     rows = events.select(
-        F.col("ts").cast("timestamp").alias("timestamp"), b._ids()[0], (F.col("value") * 2.0193847561).alias("power_kw")
+        F.col("ts").cast("timestamp").alias("timestamp"), b._ids()[0], (F.col("event_type") != "error").alias("isTrustworthy"),
+        (F.col("value") * 2.0193847561).alias("power_kw"), (F.col("value") * 0.1372904651).alias("vibration_mm_s"),
     )
     merge = jobs.merge_hours(spark, f"{path}/table")
     jobs.start(jobs.hourly_counts(rows), merge, f"{path}/checkpoint", mode="update", once=True).awaitTermination()
-    table = spark.read.parquet(f"{path}/table")
-    return table.drop("ingestDate").withColumn("power_kw", rules.steady(F.col("power_kw"), 6))
+    return spark.read.parquet(f"{path}/table").drop("ingestDate")
 
 
 @query("str_alarm", sql("""

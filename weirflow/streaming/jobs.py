@@ -122,18 +122,30 @@ def refresh_silver(
 
 
 def hourly_counts(rows: DataFrame, lateness: str = "72 hours") -> DataFrame:
-    """Hourly statistics that grow as rows arrive; rows later than ``lateness`` no longer count."""
+    """Hourly statistics that grow as rows arrive, named as in the batch table; rows later than ``lateness`` no longer count.
+
+    Every telemetry tag among the columns gives mean, least, greatest and deviation; where rows carry ``isTrustworthy``, of the
+    trusted values only.
+    """
+    trust = F.col("isTrustworthy") if "isTrustworthy" in rows.columns else F.lit(True)
+    stats = []
+    for tag in params.TELEMETRY_TAGS:
+        if tag in rows.columns:
+            good = F.when(trust, F.col(tag))
+            stats += [
+                rules.steady(F.avg(good), 3).alias(tag),
+                rules.steady(F.min(good), 3).alias(f"{tag}_min"),
+                rules.steady(F.max(good), 3).alias(f"{tag}_max"),
+                rules.steady(F.stddev(good), 4).alias(f"{tag}_std"),
+            ]
     hour = F.window("timestamp", "1 hour")
-    return (
+    hours = (
         rows.withWatermark("timestamp", lateness)
         .groupBy(hour.alias("_hour"), "deviceId")
-        .agg(
-            F.count(F.lit(1)).alias("sampleCount"),
-            F.avg("power_kw").alias("power_kw"),
-            F.max("power_kw").alias("power_kw_max"),
-        )
-        .select(F.col("_hour.start").alias("timestamp"), "deviceId", "sampleCount", "power_kw", "power_kw_max")
-        .withColumn("ingestDate", F.to_date("timestamp"))
+        .agg(F.count(F.lit(1)).alias("sampleCount"), F.count_if(trust).alias("trustworthyCount"), *stats)
+    )
+    return hours.select(
+        F.col("_hour.start").alias("timestamp"), *[c for c in hours.columns if c != "_hour"], F.to_date("_hour.start").alias("ingestDate")
     )
 
 
