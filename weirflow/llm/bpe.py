@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from weirflow.llm import tables
 
 #: Words of the lexicon at most: those with the highest counts in the corpus.
-LEXICON = 1 << 17
+LEXICON = 1 << 18
 #: Distinct words that a task counts before it sends them on, and beyond the lexicon's that a worker remembers the ids of.
 REMEMBERED = 200_000
 #: Bytes of the longest word that the lexicon takes; longer ones are merged whenever they occur.
