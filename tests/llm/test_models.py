@@ -42,6 +42,29 @@ def test_toxicity_on_held_out_rows(llm):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in by.items() if not r.predicted}
 
 
+def test_thresholds_see_the_shares_of_the_whole_table(llm, monkeypatch):
+    """A word that most texts with it are clean is no reason to reject, though it would be one in a sample with as many toxic rows as clean ones."""
+    monkeypatch.setattr(toxicity.sampled, "__defaults__", (60, toxicity.SAMPLE_CHARS))
+    rng = np.random.default_rng(9)
+    rows, labels = [], []
+    for i in range(1500):
+        own = ["the", "of", *(f"{x:x}" for x in rng.integers(1 << 40, size=8))]
+        toxic = i % 10 == 0
+        word = ("scum" if i % 20 else "mild") if toxic else ("mild" if i % 10 < 4 else "calm")
+        rows.append((i, " ".join([*own, word] if i % 7 else ["pad"] * 5000 + own + [word]), "en", 0.1, "x"))
+        labels.append((i, 1, int(toxic)))
+    docs, labels = llm.createDataFrame(rows, SCHEMA), llm.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.scores(docs, labels).collect()}
+    short = [(i, text.split()[-1]) for i, text, *_ in rows if i % 7]
+    assert all(got[i] == int(word == "scum") for i, word in short)
+    assert {r.doc_id for r in toxicity.keep_clean(docs, labels).collect()} == {i for i, p in got.items() if not p}
+    # every labelled row that may be learned from counts, long ones too, whatever the size of the sample
+    sample = toxicity.sampled(docs, labels)
+    counts = toxicity.counted(toxicity.rows_measured(docs, toxicity.fit(sample)), labels, sample)
+    learnable = [i for i in range(1500) if zlib.crc32(str(i).encode()) % 5]
+    assert np.allclose(np.sum(list(counts[""].values()), axis=0), [sum(i % 10 != 0 for i in learnable), sum(i % 10 == 0 for i in learnable)])
+
+
 def test_toxicity_without_labels_or_rows(llm):
     docs, labels, _ = corpus(llm, 8)
     assert {r.score for r in toxicity.scores(docs, labels.limit(0)).collect()} == {0.0}

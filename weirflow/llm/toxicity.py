@@ -6,7 +6,8 @@ ratio of ``EVIDENCE``, near copies counted once) have embeddings, which add up;
 bounded sample of labelled rows: ``SAMPLE`` rows of each label, the first by a hash of their ids. Scoring adds the products of embeddings and filters, tabled once per model, along the text. Texts
 are read in blocks, so a very long one needs no more memory than another, and no word of it is left out.
 
-Thresholds are calibrated by language on labelled rows that the filters weren't trained on. The language is that whose
+Thresholds are calibrated by language on all labelled rows that the filters weren't trained on, long ones too, from counts of binned logits. Rows of a
+label weigh as many as that label has, trained on or not, so the shares are those of the table at every size. The language is that whose
 function words (``FUNCTION_WORDS``) the text has most of, never the table's column; texts with none have the overall threshold.
 A score is 1 / (1 + exp(threshold - logit)), so 0.5 is the threshold in every language.
 
@@ -35,8 +36,12 @@ SAMPLE, SAMPLE_CHARS = 2500, 20_000
 PREFIX, EVIDENCE = 4, 12.0
 WIDTHS, FILTERS, DIM = (1, 2, 3), 8, 16
 EPOCHS, STEPS, RATE, DOCS_PER_STEP, DECAY = 6, 300, 0.02, 64, 1e-4
-#: Share of the sample that only sets thresholds, as the remainder of the id's checksum by 5.
+#: Rows that only set thresholds, whatever the size of the table: the remainder of the id's checksum by 5.
 CALIBRATE = 1
+#: Bins a unit of the logit, and the largest logit that is told apart.
+BINS, FAR = 64, 128
+#: Labelled rows of either label that a language needs for a threshold of its own.
+LEAST = 10
 #: Words of a text that are held at once.
 BLOCK = 200_000
 
@@ -123,8 +128,8 @@ def pooled(ids: np.ndarray, table: list[list[np.ndarray]], padding: int) -> np.n
     return np.concatenate(best)
 
 
-def logits(texts: Iterator[str], model: Model) -> Iterator[float]:
-    """Calibrated logits: zero is the threshold of the text's language."""
+def measured(texts: Iterator[str], model: Model) -> Iterator[tuple[float, str]]:
+    """Logits as trained, and languages."""
     table, padding, ids = model.tabled(), len(model.embeddings) - 1, Ids(model.rows)
     function_words = {w for words in FUNCTION_WORDS.values() for w in words.split()}
     overlap = max(WIDTHS) - 1
@@ -137,7 +142,13 @@ def logits(texts: Iterator[str], model: Model) -> Iterator[float]:
             best = now if best is None else np.maximum(best, now)
             tail = own[-overlap:]
         hidden = np.maximum(best + model.filter_bias, 0)
-        yield float(hidden @ model.out + model.bias) - model.thresholds.get(language(counts), model.thresholds[""])
+        yield float(hidden @ model.out + model.bias), language(counts)
+
+
+def logits(texts: Iterator[str], model: Model) -> Iterator[float]:
+    """Calibrated logits: zero is the threshold of the text's language."""
+    for logit, lang in measured(texts, model):
+        yield logit - model.thresholds.get(lang, model.thresholds[""])
 
 
 class Training:
@@ -214,20 +225,17 @@ class Training:
                 self.step(order[i: i + DOCS_PER_STEP])
 
 
-def threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the widest gap among the cuts with the best F1; ties go to the higher cut."""
-    order = np.argsort(scores)
-    s, y = scores[order], labels[order]
-    above = np.concatenate([np.cumsum(y[::-1])[::-1], [0]])
-    kept = len(y) - np.arange(len(y) + 1)
-    f1 = 2 * above / np.maximum(kept + y.sum(), 1)
-    edges = np.concatenate([[s[0] - 1], (s[1:] + s[:-1]) / 2, [s[-1] + 1]])
-    gap = np.concatenate([[0], np.diff(s), [0]])
-    real = np.nonzero(gap > 0)[0]  # cuts between two different scores
-    if not len(real):
-        return float(edges[-1])
-    best = real[f1[real] >= f1[real].max() - 1e-12]
-    return float(edges[max(best, key=lambda i: (gap[i], i))])
+def threshold(counts: dict[int, list[float]]) -> float:
+    """From clean and toxic rows by bin, the middle of the widest gap among the cuts with the best F1; ties go to the higher cut."""
+    bins = sorted(counts)
+    n = np.array([counts[b] for b in bins])
+    if len(bins) < 2:
+        return (bins[-1] + 1) / BINS + 1
+    above = np.cumsum(n[::-1], axis=0)[::-1]
+    f1 = 2 * above[1:, 1] / (above[1:].sum(axis=1) + n[:, 1].sum())
+    best = np.nonzero(f1 >= f1.max() - 1e-12)[0] + 1  # bins from this one on are toxic
+    cut = max(best, key=lambda i: (bins[i] - bins[i - 1], i))
+    return (bins[cut - 1] + 1 + bins[cut]) / 2 / BINS
 
 
 def vocabulary(texts: list[set[str]], labels: list[int]) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
@@ -263,81 +271,127 @@ def vocabulary(texts: list[set[str]], labels: list[int]) -> tuple[dict[int, int]
 
 
 def fit(sample: list[tuple[str, str, int]]) -> Model | None:
-    """``sample``: id as text, text, label. None without rows of both labels."""
+    """``sample``: id as text, text, label. None without rows of both labels. Thresholds are zero until they are calibrated."""
     if len({y for _, _, y in sample}) < 2:
         return None
-    held = [zlib.crc32(i.encode()) % 5 == CALIBRATE for i, _, _ in sample]
-    if len({y for (_, _, y), h in zip(sample, held) if not h}) < 2:
-        held = [False] * len(sample)
     words = [[w for part in blocks(t) for w in part] for _, t, _ in sample]
-    use = [i for i, h in enumerate(held) if not h]
-    rows, made_of, odds = vocabulary([set(words[i]) for i in use], [sample[i][2] for i in use])
+    rows, made_of, odds = vocabulary([set(x) for x in words], [y for _, _, y in sample])
     ids = Ids(rows)
     texts = [np.fromiter(map(ids.__getitem__, x), np.int64, len(x)) for x in words]
-    labels = np.array([y for _, _, y in sample], float)
-    training = Training([texts[i] for i in use], labels[use], made_of, odds)
+    training = Training(texts, np.array([y for _, _, y in sample], float), made_of, odds)
     training.run()
     p = training.p
-    model = Model(rows, training.embeddings(), [p[f"f{w}"] for w in WIDTHS], p["fb"], p["o"], float(p["b"][0]), {"": 0.0})
-    check = [i for i, h in enumerate(held) if h] or use
-    scores = np.fromiter(logits((sample[i][1] for i in check), model), float, len(check))
-    langs = np.array([language(Counter(words[i])) for i in check])
-    thresholds = {"": threshold(scores, labels[check]) if len({*labels[check]}) == 2 else 0.0}
-    for lang in FUNCTION_WORDS:
-        own = langs == lang
-        y = labels[check][own]
-        if min(y.sum(), (1 - y).sum()) >= 10:
-            thresholds[lang] = threshold(scores[own], y)
-    model.thresholds = thresholds
-    return model
+    return Model(rows, training.embeddings(), [p[f"f{w}"] for w in WIDTHS], p["fb"], p["o"], float(p["b"][0]), {"": 0.0})
+
+
+def remainder() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 
 
 def learnable() -> Column:
     """Rows that labels may be learned from: the checksum of the id leaves a remainder by 5 that isn't 0."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    return remainder() != 0
 
 
-def sampled(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, str, int]]:
-    """At most ``per_label`` labelled texts of each label, the first by a hash of the id."""
-    own = labels.where("toxic in (0, 1) and doc_id is not null").where(learnable()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = [r for y in (0, 1) for r in own.where(F.col("toxic") == y).orderBy(*order).limit(per_label).collect()]
-    if not ids:
-        return []
-    label = {int(r["doc_id"]): int(r["toxic"]) for r in ids}
-    texts = docs.where(F.col("doc_id").isin([*label])).where(F.char_length("text") <= chars)
-    found = {(int(r[0]), r[1]) for r in texts.select("doc_id", "text").toLocalIterator(prefetchPartitions=False)}
-    return [(str(i), t, label[i]) for i, t in sorted(found)]
+def told(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of the ids that labels may be learned from."""
+    return labels.where("toxic in (0, 1) and doc_id is not null").where(learnable()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def scored(docs: DataFrame, model: Model | None) -> Column:
-    """The score of the column ``text``."""
+def sampled(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, str, int]]:
+    """At most ``per_label`` labelled texts of each label, the first by a hash of the id. Rows that only set thresholds are left out, unless
+    the others lack a label."""
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    sample: list[tuple[str, str, int]] = []
+    for own in (told(labels).where(remainder() != CALIBRATE), told(labels)):
+        ids = [r for y in (0, 1) for r in own.where(F.col("toxic") == y).orderBy(*order).limit(per_label).collect()]
+        if not ids:
+            continue
+        label = {int(r["doc_id"]): int(r["toxic"]) for r in ids}
+        texts = docs.where(F.col("doc_id").isin([*label])).where(F.char_length("text") <= chars)
+        found = {(int(r[0]), r[1]) for r in texts.select("doc_id", "text").toLocalIterator(prefetchPartitions=False)}
+        sample = [(str(i), t, label[i]) for i, t in sorted(found)]
+        if len({y for _, _, y in sample}) == 2:
+            break
+    return sample
+
+
+def measures(docs: DataFrame, model: Model) -> Column:
+    """Logit as trained and language of the column ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = shared.value
+    @F.pandas_udf("logit double, language string")
+    def measure(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            if own is None:
-                yield pd.Series(np.zeros(len(part)))
-            else:
-                x = np.fromiter(logits(iter(part), own), float, len(part))
-                yield pd.Series(1 / (1 + np.exp(-np.clip(x, -500, 500))))
-
-    return score(tables.whole(docs["text"]))
+            yield pd.DataFrame(list(measured(iter(part), shared.value)), columns=["logit", "language"])
+
+    return measure(tables.whole(docs["text"]))
+
+
+def rows_measured(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, long (too long to be trained on), logit, language of every row."""
+    rows = docs.select("doc_id", (F.char_length(tables.whole("text")) > SAMPLE_CHARS).alias("long"), measures(docs, model).alias("m"))
+    return rows.select("doc_id", "long", "m.logit", "m.language")
+
+
+def counted(rows: DataFrame, labels: DataFrame, sample: list[tuple[str, str, int]]) -> dict[str, dict[int, list[float]]]:
+    """By language ("" is for all rows), the clean and toxic rows of each bin of the logit, of labelled rows of ids that are not in the sample. Each counts
+    for those of its label and length that were trained on as well, so the sums are those of all labelled rows."""
+    at = F.floor(F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.col("logit"))) * BINS).alias("bin")
+    # equal rows are one row before they meet their label
+    binned = rows.where(learnable()).groupBy("doc_id", "long", "language", at).agg(F.count("*").alias("n"))
+    own = told(labels).withColumn("trained", F.col("doc_id").isin(sorted({int(i) for i, _, _ in sample})))
+    found = binned.join(own, "doc_id").groupBy("language", "toxic", "long", "trained", "bin").agg(F.sum("n").alias("n")).collect()
+    fresh = [r for r in found if not r["trained"]]
+    if len({r["toxic"] for r in fresh}) < 2:
+        fresh = found
+    whole, kept = Counter(), Counter()
+    for part, total in ((found, whole), (fresh, kept)):
+        for r in part:
+            total[r["toxic"], r["long"]] += r["n"]
+    counts: dict[str, dict[int, list[float]]] = {}
+    for r in fresh:
+        weight = whole[r["toxic"], r["long"]] / kept[r["toxic"], r["long"]]
+        for lang in {"", r["language"]}:
+            counts.setdefault(lang, {}).setdefault(r["bin"], [0.0, 0.0])[r["toxic"]] += r["n"] * weight
+    return counts
+
+
+def calibrated(model: Model, counts: dict[str, dict[int, list[float]]]) -> Model:
+    """``model`` with thresholds from the counts of all rows and of the languages that have enough of both labels."""
+    for lang, own in counts.items():
+        if min(sum(n[y] for n in own.values()) for y in (0, 1)) >= (LEAST if lang else 1):
+            model.thresholds[lang] = threshold(own)
+    return model
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    return fit(sampled(docs, labels))
+def score(model: Model, logit: Column, lang: Column) -> Column:
+    own = F.create_map(*(F.lit(x) for pair in model.thresholds.items() for x in pair))
+    x = logit - F.coalesce(own[lang], F.lit(model.thresholds[""]))
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), x))))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    model = train(docs, labels)
-    rows = docs.select("doc_id", (~learnable()).alias("held_out"), scored(docs, model).alias("score"))
+    sample = sampled(docs, labels)
+    model = fit(sample)
+    if model is None:
+        rows, own = docs, F.lit(0.0)
+    else:
+        rows = tables.keep(rows_measured(docs, model), "toxicity-logits")
+        model = calibrated(model, counted(rows, labels, sample))
+        own = score(model, F.col("logit"), F.col("language"))
+    rows = rows.select("doc_id", (~learnable()).alias("held_out"), own.alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score below 0.5."""
-    return docs.where(scored(docs, train(docs, labels)) < 0.5)
+    """The rows of ``docs`` that score below 0.5. Texts are read twice, for the thresholds and for the scores."""
+    sample = sampled(docs, labels)
+    model = fit(sample)
+    if model is None:
+        return docs
+    model = calibrated(model, counted(rows_measured(docs.where(learnable()), model), labels, sample))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.select(*names, measures(docs, model).alias("_measured"))
+    return own.where(score(model, F.col("_measured.logit"), F.col("_measured.language")) < 0.5).select(*names)
