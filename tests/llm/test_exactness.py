@@ -134,6 +134,27 @@ def test_the_classifier_adds_numbers_that_patterns_swallow(llm):
     assert all(got[i].spans == "" for i in range(40, 80))
 
 
+def test_numbers_behind_numbers_are_candidates():
+    amex, visa = "3782 822463 10005", "4111 1111 1111 1111"
+    for text, want in ((f"2024 {visa}", ("card", 5, 24)), (f"1225 {amex}", ("card", 5, 22)), ("4111111111111111" + "5500005555555559", ("card", 16, 32)),
+                       (f"{visa}-{amex}", ("card", 20, 37)), ("300.10.0.0.1", ("ip", 4, 12)), ("1234.5.6.7.8.999", ("ip", 5, 12))):
+        assert want in list(pii.candidates(text, pii.base_spans(text))), text
+    both = "41111111111111115500005555555559"
+    assert set(pii.candidates(both, pii.base_spans(both))) >= {("card", 0, 16), ("card", 16, 32)}
+    assert list(pii.candidates("1.2.3.4 1.2.3", pii.base_spans("1.2.3.4 1.2.3"))) == []
+
+
+def test_the_classifier_chooses_among_overlapping_candidates(llm):
+    def card(i):
+        own = f"4111 1111 {1000 + i} 111"
+        return next(own + str(d) for d in range(10) if pii.luhn((own + str(d)).replace(" ", "")))
+
+    texts = [f"card 2024 {card(i)} paid" for i in range(40)] + [f"host 300.10.0.{i}.1 is up" for i in range(40)] + [f"order {10000 + i} page 12" for i in range(40)]
+    got = {r.doc_id: r.spans for r in pii.scan(docs(llm, texts)).collect() if r.doc_id is not None}
+    assert all(got[i] == "card:10:29" for i in range(40))  # '2024 4111 1111' has a right check digit too
+    assert all(got[i] == f"ip:9:{16 + len(str(i - 40))}" for i in range(40, 80)) and all(got[i] == "" for i in range(80, 120))
+
+
 def test_reliabilities_are_estimated():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.4

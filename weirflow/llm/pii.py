@@ -1,9 +1,9 @@
 """Personal data by weak supervision: labelers vote on candidate spans, expectation-maximisation weighs them, a classifier decides.
 
 Base spans are patterns with checks (``email``, ``ip``, ``card``, ``phone``); they are always reported. What patterns miss, above all
-numbers that stand next to each other and are swallowed as one, comes from candidates: parts of digit runs, numbers without a country
-code, mail addresses written with words. Labelers vote for, against or not at all on a candidate: regular expressions for exact
-forms, checksums, gazetteers (issuers' prefixes, country codes, top-level domains) and the words and data around. Of the votes
+numbers that stand next to each other and are swallowed as one, comes from candidates: stretches of digit runs and of dotted runs (they may overlap),
+numbers without a country code, mail addresses written with words. Labelers vote for, against or not at all on a candidate: regular expressions for exact
+forms, checksums, gazetteers (issuers' prefixes, country codes, top-level domains, private networks) and the words and data around. Of the votes
 over the whole corpus only the counts by pattern of votes and features are kept, a table that doesn't grow with the rows. From it
 expectation-maximisation estimates, per kind, how reliable each labeler is (labelers are taken as independent given the truth), and a logistic
 classifier is trained on the features with the posteriors as weights. It decides every candidate, in a second pass.
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,6 +40,10 @@ HAS_DIGIT = re.compile("[0-9]")
 
 # Candidates beyond the base patterns.
 DIGITS = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
+DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++){4,}+")
+GROUP = re.compile("[0-9]+")
+#: Digits of a card, at least and at most; a group of more digits is cut into cards of ``GLUED`` or more.
+CARD_DIGITS, GLUED = (12, 19), 13
 FORMED_PHONE = re.compile(r"(?<![0-9+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])")
 FORMED_CARD = re.compile(r"(?<![0-9])(?:[0-9]{4}[\x20-]?){3}[0-9]{1,7}(?![0-9])|(?<![0-9])3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}(?![0-9])")
 WORDED_MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\x20?[\[({]at[\])}]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}(?:(?:\x20?[\[({]dot[\])}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63}){1,4}")
@@ -50,6 +54,7 @@ AROUND = 40
 TOP_DOMAINS = frozenset("com org net edu gov info io de fr es uk eu us ch at it nl biz dev app".split())
 ISSUERS = re.compile("4|5[1-5]|2[2-7]|3[47]|6011|65|35|30|36|38")
 COUNTRY_CODES = re.compile(r"\+?(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])")
+PRIVATE = re.compile(r"10\.|127\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.")
 CONTEXT = {
     "email": re.compile(r"mail|contact|kontakt|write|correo|courriel", re.I),
     "ip": re.compile(r"\bip\b|host|server|address", re.I),
@@ -64,6 +69,11 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
 
 
+def octet(part: str) -> bool:
+    own = part.lstrip("0")
+    return len(own) <= 3 and int(own or 0) <= 255
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost matches: each @ takes what can stand before it, down to the last match."""
     found, done, at = [], 0, text.find("@")
@@ -85,7 +95,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     if not HAS_DIGIT.search(text):
         return found
     if "." in text:
-        found["ip"] = [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:4] or 0) <= 255 for p in m[0].split("."))]
+        found["ip"] = [m.span() for m in IP.finditer(text) if all(map(octet, m[0].split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:
             digits = NOT_DIGIT.sub("", m[0])
@@ -98,8 +108,52 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
+def glued(digits: str) -> Iterator[tuple[int, int]]:
+    """Cards that a group of digits is made of without a rest, in all ways to cut it."""
+    n, least, most = len(digits), GLUED, CARD_DIGITS[1]
+    whole = [True] + [False] * n  # what stands before is made of cards
+    pieces = []
+    for a in range(n):
+        if whole[a] and ISSUERS.match(digits, a):
+            for b in range(a + least, min(n, a + most) + 1):
+                if luhn(digits[a:b]):
+                    whole[b] = True
+                    pieces.append((a, b))
+    ends = {n}
+    for a, b in reversed(pieces):
+        if b in ends:
+            ends.add(a)
+            yield a, b
+
+
+def stretches(text: str) -> Iterator[tuple[str, int, int]]:
+    """Whole groups of a digit run that make up a card, and four neighbours of a longer dotted run that make up an address."""
+    for m in DIGITS.finditer(text):
+        if m.end() - m.start() < CARD_DIGITS[0]:
+            continue
+        groups = [g.span() for g in GROUP.finditer(text, *m.span())]
+        for i, (a, b) in enumerate(groups):
+            if b - a > CARD_DIGITS[1]:
+                for x, y in glued(text[a:b]):
+                    yield "card", a + x, a + y
+                continue
+            digits = ""
+            for x, y in groups[i:]:
+                if len(digits) + y - x > CARD_DIGITS[1]:
+                    break
+                digits += text[x:y]
+                if len(digits) >= CARD_DIGITS[0] and luhn(digits):
+                    yield "card", a, y
+    if "." in text:
+        for m in DOTTED.finditer(text):
+            parts = [(*g.span(), octet(g[0])) for g in GROUP.finditer(text, *m.span())]
+            for i in range(len(parts) - 3):
+                if all(ok for _, _, ok in parts[i: i + 4]):
+                    yield "ip", parts[i][0], parts[i + 3][1]
+
+
 def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[str, int, int]]:
-    """Spans that are in no base span."""
+    """Spans that overlap no base span, each once. They may overlap each other."""
     starts = sorted(a for own in base.values() for a, _ in own)
     ends = sorted(b for own in base.values() for _, b in own)
 
@@ -107,10 +161,10 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> Iterator[tu
         return bisect_left(starts, b) == bisect_right(ends, a)
 
     if HAS_DIGIT.search(text):
-        for kind, pattern in (("phone", FORMED_PHONE), ("card", FORMED_CARD)):
-            for m in pattern.finditer(text):
-                if free(*m.span()):
-                    yield kind, *m.span()
+        formed = ((kind, *m.span()) for kind, pattern in (("phone", FORMED_PHONE), ("card", FORMED_CARD)) for m in pattern.finditer(text))
+        for kind, a, b in dict.fromkeys((*formed, *stretches(text))):
+            if free(a, b):
+                yield kind, a, b
     if " at " in text or "at]" in text or "at)" in text or "at}" in text:
         for m in WORDED_MAIL.finditer(text):
             if free(*m.span()):
@@ -136,6 +190,12 @@ def judge(kind: str, text: str, a: int, b: int, near: bool) -> tuple[tuple[int,
         form = 1 if own[0] == "+" or "(" in own else 0
         checksum = -1 if repeated else (1 if 9 <= len(digits) <= 15 else -1)
         gazetteer = (1 if COUNTRY_CODES.match(own) else -1) if own[0] == "+" else 0
+    elif kind == "ip":
+        parts = own.split(".")
+        edges = re.search(r"[0-9]\.$", before) is None, re.match(r"\.[0-9]", after) is None
+        form = 1 if any(edges) else -1
+        checksum = 1 if all(str(int(p)) == p for p in parts) else -1
+        gazetteer = 1 if PRIVATE.match(own) else (-1 if not 1 <= int(parts[0]) <= 223 else 0)
     else:
         form = 1 if marked else 0
         checksum = 0
@@ -148,7 +208,8 @@ def judge(kind: str, text: str, a: int, b: int, near: bool) -> tuple[tuple[int,
 
 
 def judged(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int, tuple, tuple]]]:
-    """Base spans, and candidates with their votes and features. A candidate has company if other data stand near."""
+    """Base spans, and candidates with their votes and features. A candidate has company if other data stand near; what overlaps it is another
+    reading of the same data."""
     base = base_spans(text)
     found = list(candidates(text, base))
     if not found:
@@ -157,7 +218,7 @@ def judged(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str,
     starts, ends = sorted(a for a, _ in spots), sorted(b for _, b in spots)
     out = []
     for kind, a, b in found:
-        near = bisect_right(starts, b + AROUND) - bisect_left(ends, a - AROUND) > 1
+        near = bisect_right(starts, b + AROUND) - bisect_left(ends, a - AROUND) > bisect_left(starts, b) - bisect_right(ends, a)
         out.append((kind, a, b, *judge(kind, text, a, b, near)))
     return base, out
 
@@ -236,14 +297,16 @@ def train(docs: DataFrame) -> Model:
 
 
 def find(text: str, model: Model) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
-    """Base spans, and those that the classifier adds. Of added spans that overlap, the first by start, then the longer stays."""
+    """Base spans, and those that the classifier adds. Of added spans that overlap, the one with more votes stays, then the first by start, then the
+    longer."""
     base, found = judged(text)
     added: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    end = -1
-    for kind, a, b, votes, features in sorted(found, key=lambda x: (x[1], -x[2], x[0])):
-        if a >= end and model.accepts(kind, votes, features):
+    starts, ends = [], []
+    for kind, a, b, votes, features in sorted(found, key=lambda x: (-sum(x[3]), x[1], -x[2], x[0])):
+        if bisect_left(starts, b) == bisect_right(ends, a) and model.accepts(kind, votes, features):
             added[kind].append((a, b))
-            end = b
+            insort(starts, a)
+            insort(ends, b)
     return base, added
 
 
