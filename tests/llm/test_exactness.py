@@ -317,6 +317,25 @@ def test_vectors(llm, monkeypatch):
     assert got == {a: (n[a], want[a], want[a] == a) for a in want} and len(links) > 30
 
 
+def test_links_across_borders_count_at_both_ends(llm, monkeypatch):
+    """Two lists, whose centres lie 30 degrees to either side; neighbours on the line between them, at several distances from the border."""
+    def at(degrees):
+        return np.array([np.cos(np.radians(degrees)), np.sin(np.radians(degrees)), *[0.0] * 62])
+
+    def fit(sample, n, cosine, own=embeddings.fit):
+        model = own(sample, n, cosine)
+        model.centres = np.stack([at(-30), at(30)])
+        model.apart = np.sqrt(embeddings.squared(model.centres, model.centres))
+        return model
+
+    monkeypatch.setattr(embeddings, "fit", fit)
+    pairs = [(-5.4, 5.4), (-3.4, 7.5), (-7.5, 3.4), (-1.0, 1.0), (-11.0, -1.0), (-8.0, 8.0)]
+    rows = [(2 * label + side, [float(c) for c in at(pair[side])], label) for label, pair in enumerate(pairs) for side in (0, 1)]
+    rows += [(100, rows[0][1], 0)]
+    got = {r.vec_id: r.n_links for r in embeddings.linked(llm.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert got == {0: 2, 100: 2, 1: 2, **{i: 1 for i in range(2, 10)}, 10: 0, 11: 0}
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/check_s"), reason="the small tables have no close vectors")
 def test_recall_of_the_given_vectors(llm):
     rows = llm.read.parquet("/root/testdata/check_s/embeddings.parquet")

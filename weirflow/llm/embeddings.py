@@ -1,9 +1,11 @@
 """Near duplicates among vectors: coarse inverted lists, product-quantised residuals, exact cosines.
 
 Vectors are compared when their labels (and lengths) are equal. A coarse quantiser and the codebooks of the residuals' subspaces are fitted on a bounded
-sample; every vector is then filed in the list of its nearest centroid, with one byte per subspace. A vector asks the lists
-whose cells its neighbours can be in: crossing the border between its own cell and that of centroid c takes at least (d(x, c)^2 - d(x, own)^2)
-/ (2 |c - own|), and a list is probed when that is no more than ``REACH`` times the distance that the cosine allows. In a list, distances between a query and the
+sample; every vector is then filed in the list of its nearest centroid, with one byte per subspace. A vector's distance to the border between its own
+cell and that of centroid c is (d(x, c)^2 - d(x, own)^2) / (2 |c - own|). Two neighbours in different cells lie on both sides of the border between them, so
+their distances to it add up to no more than their own, and one of the two is within ``REACH``, half of what the cosine allows. Each vector
+probes the lists whose borders are that near, which misses no link. A member knows which lists it probes: a link that only the query's side
+finds counts for both ends, one that both sides find for each end once. In a list, distances between a query and the
 codes come from table lookups; a code's own error is stored with it, so a candidate is dropped only where the triangle inequality rules it
 out. The rest get the exact cosine in double precision.
 
@@ -34,9 +36,10 @@ LISTS = 4096
 SUBSPACES, CODES = 8, 64
 ROUNDS = 8
 BLOCK = 2048
-#: Share of the allowed distance that may lie along the line between two centroids. 1 misses nothing. A neighbour's offset
-#: points anywhere, so in d dimensions its part along one line is beyond 3.5 / sqrt(d) about once in 2,000 times.
-SIGMAS = 3.5
+#: Share of the allowed distance from a border within which a list is probed. Half misses nothing, as one of two neighbours is that near.
+REACH = 0.5
+#: Rounding of distances, which are differences of squares.
+SLACK = 1e-8
 
 
 def usable() -> Column:
@@ -72,7 +75,6 @@ class Model:
     cuts: list[slice]  #: subspaces
     books: list[np.ndarray]  #: for each subspace, (codes, its dims)
     radius: float  #: of linked unit vectors
-    reach: float
 
     def file(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Lists, codes and errors of unit vectors."""
@@ -83,12 +85,11 @@ class Model:
         return own, codes, np.linalg.norm(rest - guess, axis=1)
 
     def probes(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """(vector, list) pairs to ask."""
+        """For each vector and list, whether it is asked."""
         d = squared(x, self.centres)
-        ahead = (d - d[np.arange(len(x)), own][:, None]) / np.maximum(2 * self.apart[own], 1e-12)
-        ask = ahead <= self.reach * self.radius
+        ask = d - d[np.arange(len(x)), own][:, None] <= 2 * self.apart[own] * REACH * self.radius + SLACK
         ask[np.arange(len(x)), own] = True
-        return np.argwhere(ask)
+        return ask
 
 
 def fit(sample: np.ndarray, n: int, cosine: float) -> Model:
@@ -100,8 +101,7 @@ def fit(sample: np.ndarray, n: int, cosine: float) -> Model:
     edges = np.linspace(0, dims, min(SUBSPACES, dims) + 1).astype(int)
     cuts = [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
     books = [k_means(rest[:, c], CODES, rng) for c in cuts]
-    reach = 1.0 if dims < 16 else min(1.0, SIGMAS / np.sqrt(dims))
-    return Model(dims, centres, np.sqrt(squared(centres, centres)), cuts, books, float(np.sqrt(max(0.0, 2 - 2 * cosine))) * (1 + 1e-9), reach)
+    return Model(dims, centres, np.sqrt(squared(centres, centres)), cuts, books, float(np.sqrt(max(0.0, 2 - 2 * cosine))) * (1 + 1e-9))
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -122,7 +122,8 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-FILED = "part string, list int, block int, query boolean, class_id bigint, size bigint, v array<double>, codes binary, error double"
+#: ``home`` is the list that a row's class is filed in; ``asks`` is a member's probed lists, one bit each.
+FILED = "part string, list int, block int, query boolean, class_id bigint, size bigint, v array<double>, codes binary, error double, home int, asks binary"
 
 
 def filed(model_of) -> object:
@@ -133,7 +134,8 @@ def filed(model_of) -> object:
         for batch in batches:
             x = unit(matrix(batch.column(3), model.dims))
             own, codes, error = model.file(x)
-            ask = model.probes(x, own)
+            probed = model.probes(x, own)
+            ask, bits = np.argwhere(probed), np.packbits(probed, axis=1)
             at = np.concatenate([np.arange(len(x)), ask[:, 0]])
             n = len(at)
             query = np.arange(n) >= len(x)
@@ -142,8 +144,9 @@ def filed(model_of) -> object:
             yield pa.record_batch([
                 batch.column(0).take(taken), pa.array(lists, pa.int32()), pa.array(np.zeros(n), pa.int32()), pa.array(query),
                 batch.column(1).take(taken), batch.column(2).take(taken), pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * model.dims, x[at].ravel()),
-                pa.array([c.tobytes() for c in codes[at]], pa.binary()), pa.array(error[at])],
-                names=["part", "list", "block", "query", "class_id", "size", "v", "codes", "error"])
+                pa.array([c.tobytes() for c in codes[at]], pa.binary()), pa.array(error[at]),
+                pa.array(own[at], pa.int32()), pa.array([*(b.tobytes() for b in bits), *[b""] * len(ask)], pa.binary())],
+                names=["part", "list", "block", "query", "class_id", "size", "v", "codes", "error", "home", "asks"])
 
     return run
 
@@ -151,11 +154,11 @@ def filed(model_of) -> object:
 class Block:
     """Members of (a part of) one list; queries are compared with them as they come."""
 
-    def __init__(self, model: Model, centre: np.ndarray, ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, codes: np.ndarray, error: np.ndarray) -> None:
-        self.model, self.centre, self.ids, self.sizes, self.x, self.codes, self.error = model, centre, ids, sizes, x, codes, error
+    def __init__(self, model: Model, centre: np.ndarray, ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, codes: np.ndarray, error: np.ndarray, asks: np.ndarray) -> None:
+        self.model, self.centre, self.ids, self.sizes, self.x, self.codes, self.error, self.asks = model, centre, ids, sizes, x, codes, error, asks
 
-    def compare(self, ids: np.ndarray, x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Links of each query (members count by their size), and the links as pairs of positions."""
+    def compare(self, ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, home: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Links of each query, links of each member that doesn't ask the query's list (either counts the other end by its size), and the links as pairs of positions."""
         # squared distances to the codes, by lookup
         rest, far = x - self.centre, np.zeros((len(x), len(self.ids)))
         for j, (cut, book) in enumerate(zip(self.model.cuts, self.model.books)):
@@ -168,7 +171,8 @@ class Block:
             part = slice(i, i + (1 << 16))
             close[part] = np.einsum("ij,ij->i", x[q[part]], self.x[m[part]]) >= cosine
         q, m = q[close], m[close]
-        return np.bincount(q, self.sizes[m], len(ids)).astype(np.int64), q, m
+        silent = self.asks[m, home[q] >> 3] >> (7 - (home[q] & 7)) & 1 == 0
+        return (np.bincount(q, self.sizes[m], len(ids)).astype(np.int64), np.bincount(m[silent], sizes[q[silent]], len(self.ids)).astype(np.int64), q, m)
 
 
 def compared(model_of, cosine: float) -> object:
@@ -189,7 +193,7 @@ def compared(model_of, cosine: float) -> object:
             ids, sizes = batch.column(4).to_numpy(), batch.column(5).to_numpy()
             x = matrix(batch.column(6), model.dims)
             codes = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(len(ids), -1)
-            error = batch.column(8).to_numpy()
+            error, home, asks = batch.column(8).to_numpy(), batch.column(9).to_numpy(), batch.column(10)
             keys = list(zip(parts, lists, blocks))
             edges = [0, *(i for i in range(1, len(ids)) if keys[i] != keys[i - 1] or query[i] != query[i - 1]), len(ids)]
             for a, b in zip(edges[:-1], edges[1:]):
@@ -198,7 +202,8 @@ def compared(model_of, cosine: float) -> object:
                 if keys[a] != key:
                     key, held, block = keys[a], [], None
                 if not query[a]:
-                    held.append([v[a:b] for v in (ids, sizes, x, codes, error)])
+                    bits = np.frombuffer(b"".join(asks[a:b].to_pylist()), np.uint8).reshape(b - a, -1)
+                    held.append([*(v[a:b] for v in (ids, sizes, x, codes, error)), bits])
                     continue
                 if not held:
                     continue
@@ -206,10 +211,11 @@ def compared(model_of, cosine: float) -> object:
                     block = Block(model, model.centres[key[1]], *(np.concatenate(v) for v in zip(*held)))
                 for i in range(a, b, 512):
                     own = slice(i, min(b, i + 512))
-                    n, q, m = block.compare(ids[own], x[own], cosine)
+                    n, back, q, m = block.compare(ids[own], sizes[own], x[own], home[own], cosine)
                     if len(q):
-                        hit = n > 0
-                        yield out(ids[own][hit], n[hit], None)
+                        for ends, links in ((ids[own], n), (block.ids, back)):
+                            hit = links > 0
+                            yield out(ends[hit], links[hit], None)
                         u, v = graph.stars(ids[own][q], block.ids[m])
                         yield out(u, None, v)
 
@@ -256,6 +262,6 @@ def links_of(classes: DataFrame, shared, cosine: float, block: int = BLOCK) -> D
     grid = F.when(F.col("query"), F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: i * F.col("q") + slot("q"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: slot("m") * F.col("q") + j))
     dealt = rows.drop("block").join(cells, ["part", "list"]).withColumn("block", F.explode(grid)).select(
-        "part", "list", "block", "query", "class_id", "size", "v", "codes", "error")
+        "part", "list", "block", "query", "class_id", "size", "v", "codes", "error", "home", "asks")
     ordered = dealt.repartition("part", "list", "block").sortWithinPartitions("part", "list", "block", "query")
     return tables.keep(ordered.mapInArrow(compared(shared, cosine), "class_id bigint, links bigint, other bigint"), "vector-links")
