@@ -65,6 +65,15 @@ def test_thresholds_see_the_shares_of_the_whole_table(llm, monkeypatch):
     assert np.allclose(np.sum(list(counts[""].values()), axis=0), [sum(i % 10 != 0 for i in learnable), sum(i % 10 == 0 for i in learnable)])
 
 
+def test_a_repeated_id_gives_the_sample_one_text(llm):
+    docs, labels, _ = corpus(llm, 40)
+    again = llm.createDataFrame([(i, f"text {k}", "en", 0.1, "x") for i in (2, 6) for k in range(300)], SCHEMA)
+    sample = toxicity.sampled(docs.unionByName(again), labels)
+    ids = [i for i, _, _ in sample]
+    assert len(set(ids)) == len(ids) <= 40 and {"2", "6"} & set(ids)
+    assert toxicity.sampled(again.unionByName(docs), labels) == sample
+
+
 def test_toxicity_without_labels_or_rows(llm):
     docs, labels, _ = corpus(llm, 8)
     assert {r.score for r in toxicity.scores(docs, labels.limit(0)).collect()} == {0.0}

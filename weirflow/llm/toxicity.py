@@ -299,7 +299,7 @@ def told(labels: DataFrame) -> DataFrame:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, str, int]]:
-    """At most ``per_label`` labelled texts of each label, the first by a hash of the id. Rows that only set thresholds are left out, unless
+    """At most ``per_label`` labelled texts of each label, the first by a hash of the id, one for each id. Rows that only set thresholds are left out, unless
     the others lack a label."""
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample: list[tuple[str, str, int]] = []
@@ -309,8 +309,10 @@ def sampled(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE, chars:
             continue
         label = {int(r["doc_id"]): int(r["toxic"]) for r in ids}
         texts = docs.where(F.col("doc_id").isin([*label])).where(F.char_length("text") <= chars)
-        found = {(int(r[0]), r[1]) for r in texts.select("doc_id", "text").toLocalIterator(prefetchPartitions=False)}
-        sample = [(str(i), t, label[i]) for i, t in sorted(found)]
+        # of an id with several texts, the first by a hash; the others never leave the executors
+        first = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")).select("doc_id", "first.text")
+        found = {int(r[0]): r[1] for r in first.toLocalIterator(prefetchPartitions=False)}
+        sample = [(str(i), t, label[i]) for i, t in sorted(found.items())]
         if len({y for _, _, y in sample}) == 2:
             break
     return sample
