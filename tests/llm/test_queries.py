@@ -23,7 +23,7 @@ def test_oracle(llm, name, sf):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in QUERIES] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in QUERIES] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
 
 
 def test_native_queries_run_no_python(llm):

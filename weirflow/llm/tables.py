@@ -69,7 +69,7 @@ def keep(df: DataFrame, purpose: str) -> DataFrame:
 
 @contextmanager
 def steps(spark: SparkSession, purpose: str) -> Iterator["Steps"]:
-    """Numbered tables of an iteration. All but the one returned last are deleted at the end."""
+    """Tables of a computation. All are deleted at the end but those that are held for the result, which reads them later."""
     made = Steps(spark, purpose)
     try:
         yield made
@@ -79,12 +79,13 @@ def steps(spark: SparkSession, purpose: str) -> Iterator["Steps"]:
 
 class Steps:
     def __init__(self, spark: SparkSession, purpose: str) -> None:
-        self.spark, self.purpose, self.paths, self.kept = spark, purpose, [], set()
+        self.spark, self.purpose, self.paths = spark, purpose, []
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, hold: bool = False) -> DataFrame:
         path = session.shared_dir(self.spark, self.purpose)
         df.write.parquet(path)
-        self.paths.append(path)
+        if not hold:
+            self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self, but: int = 1) -> None:
