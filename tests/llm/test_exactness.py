@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import random
 import re
 from collections import Counter
@@ -336,20 +335,39 @@ def test_links_across_borders_count_at_both_ends(llm, monkeypatch):
     assert got == {0: 2, 100: 2, 1: 2, **{i: 1 for i in range(2, 10)}, 10: 0, 11: 0}
 
 
-@pytest.mark.skipif(not os.path.exists("/root/testdata/check_s"), reason="the small tables have no close vectors")
 def test_recall_of_the_given_vectors(llm):
-    rows = llm.read.parquet("/root/testdata/check_s/embeddings.parquet")
-    got = {r.vec_id: r.n_links for r in embeddings.linked(rows).collect()}
-    found = rows.toPandas()
-    total = 0
-    for _, own in found.groupby("label"):
-        x = np.stack(own["embedding"]).astype(float)
+    """The given vectors and noisy copies of each, at cosines on both sides of the limit, over several lists."""
+    given = llm.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    rng, rows = np.random.default_rng(9), []
+    for v, label in zip(given["embedding"], given["label"]):
+        v = np.asarray(v, float)
+        for scale in (0.0, 0.012, 0.018, 0.022):
+            rows.append((len(rows), [float(np.float32(c)) for c in v + rng.normal(size=len(v)) * scale * np.linalg.norm(v)], label))
+    table = llm.createDataFrame(rows, "vec_id bigint, embedding array<float>, label string")
+    got = {r.vec_id: r.n_links for r in embeddings.linked(table).collect()}
+    assert embeddings.lists_for(len(rows)) > 10
+    total, by = 0, {}
+    for i, v, label in rows:
+        by.setdefault(label, []).append((i, v))
+    for label, own in by.items():
+        if label is None:
+            continue
+        x = np.array([v for _, v in own], float)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        n = (x @ x.T >= 0.98).sum(1) - 1
-        mine = np.array([got[i] for i in own["vec_id"]])
-        assert (mine <= n).all()
+        cosines = x @ x.T
+        assert np.abs(cosines - 0.98).min() > 1e-12
+        n = (cosines >= 0.98).sum(1) - 1
+        assert [got[i] for i, _ in own] == n.tolist()
         total += n.sum()
-    assert total and sum(got.values()) >= 0.99 * total
+    assert total > 10_000
+
+
+def test_vectors_without_an_id_link_like_others(llm):
+    near = [1.0, 0.001] + [0.0] * 6
+    rows = [(1, [1.0] + [0.0] * 7, "a"), (None, near, "a"), (None, near, "a"), (None, [0.0] * 7 + [1.0], "a"), (None, [0.0] * 7 + [2.0], "a"), (7, [0.0, 1.0] + [0.0] * 6, "a"), (None, None, "a")]
+    found = embeddings.linked(llm.createDataFrame([(*r, 0, 0) for r in rows], "vec_id bigint, embedding array<float>, label string, size int, `a.b` int")).collect()
+    got = sorted(map(tuple, found), key=repr)
+    assert got == sorted([(1, 2, 1, True), (None, 2, 1, False), (None, 2, 1, False), (None, 1, None, True), (None, 1, None, True), (7, 0, 7, True), (None, 0, None, True)], key=repr)
 
 
 def test_empty_tables(llm):
@@ -366,11 +384,11 @@ PAGES = [(1, "http://a.b/x", "<p>é</p>"), (2, "http://a.b/y z", "<p>é</p>"), (
          (6, "http://f/", "x" * 300_000), (None, "http://g/", "<p>é</p>"), (7, "http://h/", "last\n")]
 
 
-@pytest.mark.parametrize("version", [1, 2])
-def test_archives_come_back(llm, version, monkeypatch):
+@pytest.mark.parametrize("versions", [(1,), (2,), (1, 2)])
+def test_archives_come_back(llm, versions, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE", 2000)
     table = llm.createDataFrame([(*p, "x") for p in PAGES], "page_id bigint, url string, html string, archive string")
-    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(table, version).collect()}
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(table, versions).collect()}
     want = {}
     for i, _, html in PAGES:
         same = [j for j, _, h in PAGES if (h or "") == (html or "") and j is not None]
@@ -379,6 +397,28 @@ def test_archives_come_back(llm, version, monkeypatch):
     assert got == want
 
 
+def test_record_ids_are_those_of_the_run_before(llm):
+    pages = llm.read.parquet(f"{SMALL}/pages.parquet")
+
+    def ids():
+        found = []
+        own = warc.records
+
+        def records(spark, path):
+            found.extend(r.record_id for r in own(spark, path).collect())
+            return own(spark, path)
+
+        warc.records = records
+        try:
+            warc.round_trip(pages.unionByName(pages))
+        finally:
+            warc.records = own
+        return sorted(found)
+
+    first = ids()
+    assert first == ids() and len(set(first)) == len(first) == 2 * pages.count()
+
+
 def test_arc_headers_are_read_by_version():
     for version in (1, 2):
         data = warc.arc_head("a.arc", version)

@@ -19,10 +19,12 @@ import json
 import mmap
 import re
 import struct
+import sys
 import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -46,6 +48,16 @@ FILE = "word_bpe_49k.json"
 HIGH = re.compile("[\u0530-\U0010ffff]")
 
 
+@cache
+def unlike() -> frozenset[str]:
+    """Characters that the tokenizer library normalises otherwise than Python does, alone or beside combining marks of low, middle and high classes."""
+    nfc = tokenizers.normalizers.NFC().normalize_str
+    marks = "\u0334\u0316\u0301"
+    own = (chr(i) for i in range(0x300, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000)
+    composed = (c for c in own if unicodedata.combining(c) or unicodedata.decomposition(c))
+    return frozenset(c for c in composed for m in ("", *marks) for t in (f"a{c}{m}", f"a{m}{c}") if nfc(t) != unicodedata.normalize("NFC", t))
+
+
 def is_latin1(text: str) -> bool:
     if text.isascii():
         return True
@@ -92,7 +104,7 @@ class Tokenizer:
             raise ValueError("only tokenizers with NFC, white space, lower case, BPE and no decoder are known")
         self.suffix = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.letters = byte_letters()
+        self.letters, self.unlike = byte_letters(), unlike()
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.ranks = {(self.vocab[a], self.vocab[b]): (i, self.vocab[a + b]) for i, (a, b) in enumerate(pairs)}
         self.first = [self.vocab[c] for c in self.letters]
@@ -120,8 +132,8 @@ class Tokenizer:
         """Words of a part without special tokens."""
         if self.latin1_words is not None and is_latin1(text):  # composed already, and lower case stays within Latin 1
             return self.latin1_words.findall(text.lower())
-        if HIGH.search(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
-            # code points that Python's Unicode tables don't know yet: the library's tables decide where words end
+        if HIGH.search(text) and any(c in self.unlike or unicodedata.category(c) == "Cn" for c in set(text)):
+            # code points of which the library's Unicode tables say something else than Python's: the library decides where words end
             found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             return [bytes(self.bytes[c] for c in word).decode() for word, _ in found]
         # lower case letter by letter, as the file's library does: a final sigma is no exception
@@ -368,7 +380,7 @@ def encoded(docs: DataFrame, path: str | None = None, size: int = LEXICON, diges
     spark = docs.sparkSession
     told = tokenizer_file(spark, path)
     shared = spark.sparkContext.broadcast((told, lexicon(docs, told, size)))
-    others = [docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]
     names = [c for c in docs.columns if c != "text"]
     rows = docs.select(tables.whole(docs["text"]).alias("t"), *others)
     new = [("n_tokens", "bigint"), *((("ids_sha256", "string"), ("decoded_sha256", "string")) if digests else (("ids", "array<int>"),))]

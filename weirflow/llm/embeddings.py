@@ -11,10 +11,12 @@ out. The rest get the exact cosine in double precision.
 
 Vectors with equal components are one class, which is compared once and counts as often as it has members. A list is cut into
 blocks of ``BLOCK`` members and ``BLOCK`` queries, so a crowded list is work for many tasks; a block gives the number of links of each query and a
-spanning forest of the links, never its pairs.
+spanning forest of the links, never its pairs. Vectors move in the precision that they are given in and are normalised where they are compared; a query brings no
+codes, which only members have.
 
 Defined results: null and zero vectors, and such with null, NaN or infinite components, link with nothing, and so does any vector without a label. Repeated
-vec_ids each give a row, and the smallest id names a class. An empty table gives an empty result; further columns are ignored.
+vec_ids each give a row. A vector with a null vec_id links and counts like any other, but names a component only if it has no other name: where all ids of a component are
+null, component_id is null. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from pyspark.sql import functions as F
 
 from weirflow.llm import graph, tables
 
-#: Vectors that the quantisers are fitted on at most, the first by a hash.
-SAMPLE = 20_000
-#: Lists at most; there are about as many as the root of the number of classes.
-LISTS = 4096
+#: Vectors that the quantisers are fitted on, the first by a hash: ``FIT`` for each list, between these bounds.
+FIT, SAMPLE = 8, (20_000, 200_000)
+#: Classes per list and query, by which the number of lists grows as the root of the number of classes, up to what the sample can fit.
+SPREAD = 8
 SUBSPACES, CODES = 8, 64
 ROUNDS = 8
 BLOCK = 2048
@@ -84,19 +86,29 @@ class Model:
         guess = np.hstack([b[codes[:, j]] for j, b in enumerate(self.books)])
         return own, codes, np.linalg.norm(rest - guess, axis=1)
 
-    def probes(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """For each vector and list, whether it is asked."""
-        d = squared(x, self.centres)
-        ask = d - d[np.arange(len(x)), own][:, None] <= 2 * self.apart[own] * REACH * self.radius + SLACK
-        ask[np.arange(len(x)), own] = True
-        return ask
+    def probes(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists that vectors ask, as (place of the vector, list), by vector."""
+        found = []
+        for at in range(0, len(x), 256):
+            part = slice(at, at + 256)
+            d, home = squared(x[part], self.centres), own[part]
+            here = np.arange(len(home))
+            ask = d - d[here, home][:, None] <= 2 * self.apart[home] * REACH * self.radius + SLACK
+            ask[here, home] = True
+            who, where = np.nonzero(ask)
+            found.append((who + at, where))
+        return tuple(np.concatenate(v) for v in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+
+
+def lists_for(n: int) -> int:
+    """Lists for ``n`` classes."""
+    return max(1, min(round(np.sqrt(n) / SPREAD), SAMPLE[1] // FIT))
 
 
 def fit(sample: np.ndarray, n: int, cosine: float) -> Model:
     rng = np.random.default_rng(11)
     dims = sample.shape[1]
-    lists = int(np.clip(round(np.sqrt(n) / 4), 1, min(LISTS, max(1, len(sample) // 8))))
-    centres = k_means(sample, lists, rng)
+    centres = k_means(sample, min(lists_for(n), max(1, len(sample) // FIT)), rng)
     rest = sample - centres[nearest(sample, centres)]
     edges = np.linspace(0, dims, min(SUBSPACES, dims) + 1).astype(int)
     cuts = [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
@@ -122,8 +134,9 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-#: ``home`` is the list that a row's class is filed in; ``asks`` is a member's probed lists, one bit each.
-FILED = "part string, list int, block int, query boolean, class_id bigint, size bigint, v array<double>, codes binary, error double, home int, asks binary"
+def filed_schema(vector: str) -> str:
+    """``home`` is the list that a row's class is filed in. ``asks``: of a member, the lists that it asks, four bytes each."""
+    return f"part string, list int, query boolean, class_id bigint, size bigint, v {vector}, codes binary, error float, home int, asks binary"
 
 
 def filed(model_of) -> object:
@@ -134,19 +147,39 @@ def filed(model_of) -> object:
         for batch in batches:
             x = unit(matrix(batch.column(3), model.dims))
             own, codes, error = model.file(x)
-            probed = model.probes(x, own)
-            ask, bits = np.argwhere(probed), np.packbits(probed, axis=1)
-            at = np.concatenate([np.arange(len(x)), ask[:, 0]])
-            n = len(at)
-            query = np.arange(n) >= len(x)
-            lists = np.concatenate([own, ask[:, 1]])
+            who, where = model.probes(x, own)
+            per = np.split(where.astype(np.int32), np.cumsum(np.bincount(who, minlength=len(x)))[:-1])
+            # an error that is rounded up rules out no more than the true one
+            error = np.nextafter(error.astype(np.float32), np.float32(np.inf))
+            at = np.concatenate([np.arange(len(x)), who])
+            lists, none = np.concatenate([own, where]), [b""] * len(who)
             taken = pa.array(at)
             yield pa.record_batch([
-                batch.column(0).take(taken), pa.array(lists, pa.int32()), pa.array(np.zeros(n), pa.int32()), pa.array(query),
-                batch.column(1).take(taken), batch.column(2).take(taken), pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * model.dims, x[at].ravel()),
-                pa.array([c.tobytes() for c in codes[at]], pa.binary()), pa.array(error[at]),
-                pa.array(own[at], pa.int32()), pa.array([*(b.tobytes() for b in bits), *[b""] * len(ask)], pa.binary())],
-                names=["part", "list", "block", "query", "class_id", "size", "v", "codes", "error", "home", "asks"])
+                batch.column(0).take(taken), pa.array(lists, pa.int32()), pa.array(np.arange(len(at)) >= len(x)),
+                batch.column(1).take(taken), batch.column(2).take(taken), batch.column(3).take(taken),
+                pa.array([*(c.tobytes() for c in codes), *none], pa.binary()), pa.array(np.concatenate([error, np.zeros(len(who), np.float32)])),
+                pa.array(own[at], pa.int32()), pa.array([*(p.tobytes() for p in per), *none], pa.binary())],
+                names=["part", "list", "query", "class_id", "size", "v", "codes", "error", "home", "asks"])
+
+    return run
+
+
+def counted(model_of) -> object:
+    """Classes to the members and queries of each list, by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_of.value
+        for batch in batches:
+            x = unit(matrix(batch.column(1), model.dims))
+            own = nearest(x, model.centres)
+            who, where = model.probes(x, own)
+            parts, number = np.unique(np.array(batch.column(0).to_pylist()), return_inverse=True)
+            lists = len(model.centres)
+            members = np.bincount(number * lists + own, minlength=len(parts) * lists)
+            queries = np.bincount(number[who] * lists + where, minlength=len(parts) * lists)
+            some = np.nonzero(members + queries)[0]
+            yield pa.record_batch([pa.array(parts[some // lists], pa.string()), pa.array(some % lists, pa.int32()), pa.array(members[some]), pa.array(queries[some])],
+                                  names=["part", "list", "members", "queries"])
 
     return run
 
@@ -155,7 +188,9 @@ class Block:
     """Members of (a part of) one list; queries are compared with them as they come."""
 
     def __init__(self, model: Model, centre: np.ndarray, ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, codes: np.ndarray, error: np.ndarray, asks: np.ndarray) -> None:
-        self.model, self.centre, self.ids, self.sizes, self.x, self.codes, self.error, self.asks = model, centre, ids, sizes, x, codes, error, asks
+        self.model, self.centre, self.ids, self.sizes, self.x, self.codes, self.error = model, centre, ids, sizes, x, codes, error
+        #: (member, list that it asks) as one number, ascending
+        self.asks = asks
 
     def compare(self, ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, home: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Links of each query, links of each member that doesn't ask the query's list (either counts the other end by its size), and the links as pairs of positions."""
@@ -171,7 +206,7 @@ class Block:
             part = slice(i, i + (1 << 16))
             close[part] = np.einsum("ij,ij->i", x[q[part]], self.x[m[part]]) >= cosine
         q, m = q[close], m[close]
-        silent = self.asks[m, home[q] >> 3] >> (7 - (home[q] & 7)) & 1 == 0
+        silent = ~np.isin(m * len(self.model.centres) + home[q], self.asks)
         return (np.bincount(q, self.sizes[m], len(ids)).astype(np.int64), np.bincount(m[silent], sizes[q[silent]], len(self.ids)).astype(np.int64), q, m)
 
 
@@ -191,9 +226,9 @@ def compared(model_of, cosine: float) -> object:
             parts, lists, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             query = batch.column(3).to_numpy(zero_copy_only=False)
             ids, sizes = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-            x = matrix(batch.column(6), model.dims)
-            codes = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(len(ids), -1)
-            error, home, asks = batch.column(8).to_numpy(), batch.column(9).to_numpy(), batch.column(10)
+            x = unit(matrix(batch.column(6), model.dims))
+            codes = batch.column(7).to_pylist()
+            error, home, asks = batch.column(8).to_numpy().astype(float), batch.column(9).to_numpy(), batch.column(10).to_pylist()
             keys = list(zip(parts, lists, blocks))
             edges = [0, *(i for i in range(1, len(ids)) if keys[i] != keys[i - 1] or query[i] != query[i - 1]), len(ids)]
             for a, b in zip(edges[:-1], edges[1:]):
@@ -202,8 +237,10 @@ def compared(model_of, cosine: float) -> object:
                 if keys[a] != key:
                     key, held, block = keys[a], [], None
                 if not query[a]:
-                    bits = np.frombuffer(b"".join(asks[a:b].to_pylist()), np.uint8).reshape(b - a, -1)
-                    held.append([*(v[a:b] for v in (ids, sizes, x, codes, error)), bits])
+                    own = np.frombuffer(b"".join(codes[a:b]), np.uint8).reshape(b - a, -1)
+                    before = sum(len(h[0]) for h in held)
+                    asked = [(before + i) * len(model.centres) + np.frombuffer(asks[a + i], np.int32).astype(np.int64) for i in range(b - a)]
+                    held.append([*(v[a:b] for v in (ids, sizes, x)), own, error[a:b], np.concatenate(asked)])
                     continue
                 if not held:
                     continue
@@ -225,43 +262,51 @@ def compared(model_of, cosine: float) -> object:
 def linked(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).cast("string").alias("label"),
-                          F.col(vector_col).cast("array<double>").alias("v"))
-    plain = F.transform("v", lambda x: x + F.lit(0.0))  # minus zero is zero
+    given = vectors.select(F.col(f"`{vector_col}`")).schema[0].dataType.simpleString()
+    vector = given if given in ("array<float>", "array<double>") else "array<double>"
+    rows = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("label"),
+                          F.col(f"`{vector_col}`").cast(vector).alias("v"))
+    plain = F.transform("v", lambda x: x + F.lit(0.0).cast(vector[6:-1]))  # minus zero is zero
     part = F.concat_ws(":", F.size("v").cast("string"), F.col("label"))
     keyed = rows.withColumn("ok", usable()).withColumn("key", F.when(F.col("ok"), F.sha2(F.concat_ws("|", part, F.to_json(plain)), 256)))
-    classes = tables.keep(
-        keyed.where("ok").groupBy("key").agg(F.first(part).alias("part"), F.min("vec_id").alias("class_id"), F.count("*").alias("size"), F.first(plain).alias("v"))
-        .where("class_id is not null"), "vector-classes")
-    told = classes.agg(F.count("*"), F.max(F.size("v"))).first()
-    if told[0]:
-        picked = classes.orderBy(F.xxhash64("class_id"), "class_id").limit(SAMPLE).select("v").toPandas()["v"]
-        sample = unit(np.stack([np.pad(np.asarray(v, float), (0, told[1] - len(v))) for v in picked]))
-        shared = spark.sparkContext.broadcast(fit(sample, told[0], cosine))
-        found = links_of(classes, shared, cosine)
-        counts = found.where("links is not null").groupBy("class_id").agg(F.sum("links").alias("links"))
-        roots = graph.components(found.where("other is not null").select("class_id", "other"))
-    else:
-        counts = spark.createDataFrame([], "class_id bigint, links bigint")
-        roots = spark.createDataFrame([], "node bigint, root bigint")
-    named = (classes.select("key", "class_id", "size").join(counts, "class_id", "left").join(roots, F.col("class_id") == F.col("node"), "left")
-             .select("key", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "class_id").alias("component_id")))
+    with tables.steps(spark, "vectors") as made:
+        # a class has a number of its own, as its members may have no id
+        classes = made.save(
+            keyed.where("ok").groupBy("key").agg(F.first(part).alias("part"), F.min("vec_id").alias("least"), F.count("*").alias("size"), F.first(plain).alias("v"))
+            .withColumn("class_id", F.monotonically_increasing_id()))
+        told = classes.agg(F.count("*"), F.max(F.size("v"))).first()
+        if told[0]:
+            most = int(np.clip(FIT * lists_for(told[0]), *SAMPLE))
+            picked = classes.orderBy("key").limit(most).select("v").toArrow().column("v").combine_chunks()
+            shared = spark.sparkContext.broadcast(fit(unit(matrix(picked, told[1])), told[0], cosine))
+            found = links_of(classes, shared, cosine, made, vector)
+            counts = found.where("links is not null").groupBy("class_id").agg(F.sum("links").alias("links"))
+            roots = graph.components(found.where("other is not null").select("class_id", "other"))
+        else:
+            counts = spark.createDataFrame([], "class_id bigint, links bigint")
+            roots = spark.createDataFrame([], "node bigint, root bigint")
+        rooted = (classes.select("key", "class_id", "size", "least").join(counts, "class_id", "left").join(roots, F.col("class_id") == F.col("node"), "left")
+                  .select("key", "least", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "class_id").alias("root")))
+        rooted = made.save(rooted)
+        names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = made.save(rooted.join(names, "root").select("key", "n_links", "component_id"), hold=True)
     alone = keyed.where("key is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    joined = keyed.where("key is not null").select("vec_id", "key").join(named, "key", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    joined = keyed.where("key is not null").select("vec_id", "key").join(named, "key").select("vec_id", "n_links", "component_id")
     return joined.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def links_of(classes: DataFrame, shared, cosine: float, block: int = BLOCK) -> DataFrame:
+def links_of(classes: DataFrame, shared, cosine: float, made: tables.Steps, vector: str, block: int = BLOCK) -> DataFrame:
     """(class_id, links, null) and (class_id, null, other) rows of all lists."""
-    rows = tables.keep(classes.select("part", "class_id", "size", "v").mapInArrow(filed(shared), FILED), "vector-lists")
-    sizes = rows.groupBy("part", "list").agg(F.count_if(~F.col("query")).alias("members"), F.count_if(F.col("query")).alias("queries")).where("members > 0 and queries > 0")
-    cells = sizes.select("part", "list", F.ceil(F.col("members") / block).cast("int").alias("m"), F.ceil(F.col("queries") / (4 * block)).cast("int").alias("q"))
-    # a row goes to one block of its own side for every block of the other side
-    slot = lambda n: F.pmod(F.xxhash64("class_id"), F.col(n)).cast("int")
-    grid = F.when(F.col("query"), F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: i * F.col("q") + slot("q"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: slot("m") * F.col("q") + j))
-    dealt = rows.drop("block").join(cells, ["part", "list"]).withColumn("block", F.explode(grid)).select(
+    sizes = classes.select("part", "v").mapInArrow(counted(shared), "part string, list int, members bigint, queries bigint").groupBy("part", "list").agg(
+        F.sum("members").alias("members"), F.sum("queries").alias("queries"))
+    cells = made.save(sizes.select("part", "list", F.ceil(F.col("members") / block).cast("int").alias("m"), F.ceil(F.col("queries") / (4 * block)).cast("int").alias("q")))
+    rows = classes.select("part", "class_id", "size", "v").mapInArrow(filed(shared), filed_schema(vector))
+    # a row goes to one block of its own side for every block of the other side; a count may miss what rounding moves over a border
+    own = {c: F.greatest(F.lit(1), F.coalesce(c, F.lit(1))) for c in "mq"}
+    slot = lambda n: F.pmod(F.xxhash64("class_id"), own[n]).cast("int")
+    grid = F.when(F.col("query"), F.transform(F.sequence(F.lit(0), own["m"] - 1), lambda i: i * own["q"] + slot("q"))).otherwise(
+        F.transform(F.sequence(F.lit(0), own["q"] - 1), lambda j: slot("m") * own["q"] + j))
+    dealt = rows.join(cells, ["part", "list"], "left").withColumn("block", F.explode(grid)).select(
         "part", "list", "block", "query", "class_id", "size", "v", "codes", "error", "home", "asks")
     ordered = dealt.repartition("part", "list", "block").sortWithinPartitions("part", "list", "block", "query")
-    return tables.keep(ordered.mapInArrow(compared(shared, cosine), "class_id bigint, links bigint, other bigint"), "vector-links")
+    return made.save(ordered.mapInArrow(compared(shared, cosine), "class_id bigint, links bigint, other bigint"))

@@ -209,5 +209,5 @@ def groups(docs: DataFrame, held: int = HELD) -> DataFrame:
 def deduplicate(docs: DataFrame, held: int = HELD) -> DataFrame:
     """One row of each group, with all its columns. Rows travel whole, and the content is made from their text where it is compared."""
     rows = docs.select(F.lit(None).cast("binary").alias("content"), F.char_length(tables.whole("text")).cast("bigint").alias("points"),
-                       F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+                       F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return settled(rows, held).select("row.*")

@@ -165,7 +165,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[
         return docs
     rows = tables.keep(memberships(docs, model), "mixing-rows")
     gaps = fit(rows, model["domains"], targets)["gaps"]
-    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     again = memberships(docs, model, whole).select("row", rate(F.col("posterior"), gaps).alias("rate"))
     least = F.greatest(F.col("rate"), F.lit(1.0)) if targets is None else F.col("rate")
     # written before rows are repeated: a filter on the copies would else be pushed down, and the classifier run again in each of its terms

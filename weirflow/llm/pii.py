@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -108,21 +108,57 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
+class Checks:
+    """Luhn checks of any stretch of a digit string, from sums of its beginnings."""
+
+    def __init__(self, digits: str) -> None:
+        d = np.frombuffer(digits.encode(), np.uint8).astype(np.int64) - 48
+        twice = np.where(d > 4, 2 * d - 9, 2 * d)
+        even = np.arange(len(d)) % 2 == 0
+        # the sums if the digits at even, or at odd places count once
+        self.sums = [np.concatenate([[0], np.cumsum(np.where(even == once, d, twice))]) for once in (True, False)]
+        self.lists: list[list[int]] | None = None
+
+    def __call__(self, a: int, b: int) -> bool:
+        if self.lists is None:
+            self.lists = [x.tolist() for x in self.sums]
+        own = self.lists[(b - 1) % 2]
+        return (own[b] - own[a]) % 10 == 0
+
+    def all(self, length: int) -> np.ndarray:
+        """The check of each stretch of this length, by its start."""
+        n = len(self.sums[0])
+        if n <= length:
+            return np.zeros(0, bool)
+        by_end = [(x[length:] - x[:-length]) % 10 == 0 for x in self.sums]
+        return np.where((np.arange(n - length) + length - 1) % 2 == 0, by_end[0], by_end[1])
+
+
 def glued(digits: str) -> Iterator[tuple[int, int]]:
     """Cards that a group of digits is made of without a rest, in all ways to cut it."""
     n, least, most = len(digits), GLUED, CARD_DIGITS[1]
-    whole = [True] + [False] * n  # what stands before is made of cards
+    check = Checks(digits)
+    fits = np.zeros(n + 1, np.int64)  # one bit for each length that passes
+    for length in range(least, most + 1):
+        own = check.all(length)
+        fits[: len(own)] |= own.astype(np.int64) << (length - least)
+    starts = fits.tolist()
+    whole = bytearray(n + 1)  # what stands before is made of cards
+    whole[0] = 1
     pieces = []
-    for a in range(n):
-        if whole[a] and ISSUERS.match(digits, a):
-            for b in range(a + least, min(n, a + most) + 1):
-                if luhn(digits[a:b]):
-                    whole[b] = True
-                    pieces.append((a, b))
-    ends = {n}
+    a = 0
+    while a >= 0:
+        if starts[a] and ISSUERS.match(digits, a):
+            for length in range(least, most + 1):
+                if starts[a] >> (length - least) & 1:
+                    whole[a + length] = 1
+                    pieces.append((a, a + length))
+        a = whole.find(1, a + 1)
+    ends = bytearray(n + 1)
+    ends[n] = 1
     for a, b in reversed(pieces):
-        if b in ends:
-            ends.add(a)
+        if ends[b]:
+            ends[a] = 1
             yield a, b
 
 
@@ -132,18 +168,22 @@ def stretches(text: str) -> Iterator[tuple[str, int, int]]:
         if m.end() - m.start() < CARD_DIGITS[0]:
             continue
         groups = [g.span() for g in GROUP.finditer(text, *m.span())]
+        check = Checks(NOT_DIGIT.sub("", m[0]))
+        first = 0  # the group's place among the run's digits
         for i, (a, b) in enumerate(groups):
             if b - a > CARD_DIGITS[1]:
                 for x, y in glued(text[a:b]):
                     yield "card", a + x, a + y
-                continue
-            digits = ""
-            for x, y in groups[i:]:
-                if len(digits) + y - x > CARD_DIGITS[1]:
-                    break
-                digits += text[x:y]
-                if len(digits) >= CARD_DIGITS[0] and luhn(digits):
-                    yield "card", a, y
+            else:
+                last = first
+                for j in range(i, len(groups)):
+                    x, y = groups[j]
+                    last += y - x
+                    if last - first > CARD_DIGITS[1]:
+                        break
+                    if last - first >= CARD_DIGITS[0] and check(first, last):
+                        yield "card", a, y
+            first += b - a
     if "." in text:
         for m in DOTTED.finditer(text):
             parts = [(*g.span(), octet(g[0])) for g in GROUP.finditer(text, *m.span())]
@@ -301,12 +341,11 @@ def find(text: str, model: Model) -> tuple[dict[str, list[tuple[int, int]]], dic
     longer."""
     base, found = judged(text)
     added: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    starts, ends = [], []
+    taken = bytearray(len(text))
     for kind, a, b, votes, features in sorted(found, key=lambda x: (-sum(x[3]), x[1], -x[2], x[0])):
-        if bisect_left(starts, b) == bisect_right(ends, a) and model.accepts(kind, votes, features):
+        if taken.find(1, a, b) < 0 and model.accepts(kind, votes, features):
             added[kind].append((a, b))
-            insort(starts, a)
-            insort(ends, b)
+            taken[a:b] = b"\x01" * (b - a)
     return base, added
 
 

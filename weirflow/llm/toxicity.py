@@ -12,7 +12,7 @@ function words (``FUNCTION_WORDS``) the text has most of, never the table's colu
 A score is 1 / (1 + exp(threshold - logit)), so 0.5 is the threshold in every language.
 
 Defined results: null and empty texts score as a text with no words, which is the model's bias. Labels that are null or neither 0 nor 1 are not learned
-from; without rows of both labels every score is 0. Repeated rows each give a row. Further columns are ignored.
+from; without rows of both labels every score is 0. A row with a null id has no label and is never held out. Repeated rows each give a row. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -383,7 +383,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         rows = tables.keep(rows_measured(docs, model), "toxicity-logits")
         model = calibrated(model, counted(rows, labels, sample))
         own = score(model, F.col("logit"), F.col("language"))
-    rows = rows.select("doc_id", (~learnable()).alias("held_out"), own.alias("score"))
+    rows = rows.select("doc_id", F.coalesce(~learnable(), F.lit(False)).alias("held_out"), own.alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -394,6 +394,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if model is None:
         return docs
     model = calibrated(model, counted(rows_measured(docs.where(learnable()), model), labels, sample))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    own = docs.select(*names, measures(docs, model).alias("_measured"))
-    return own.where(score(model, F.col("_measured.logit"), F.col("_measured.language")) < 0.5).select(*names)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(whole.alias("row"), measures(docs, model).alias("m"))
+    return own.where(score(model, F.col("m.logit"), F.col("m.language")) < 0.5).select("row.*")

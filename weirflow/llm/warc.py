@@ -2,7 +2,7 @@
 
 An ARC file starts with a version block, whose lines name the version and the fields of every record's header line; version 1 has five
 fields, version 2 has ten. A record is its header line, as many bytes as the line declares, and a line end. The converter keeps the
-HTTP response as the record's block and makes up the rest: identifiers are name-based UUIDs of archive, offset and target, so a repeated run gives
+HTTP response as the record's block and makes up the rest: identifiers are name-based UUIDs of the archive's own name (in its first line), offset and target, so a repeated run gives
 the same; timestamps come from the 14 digits of the header line; digests are SHA-1 in base 32, of the block and of the payload.
 A payload that another record carries is written as a revisit that refers to it.
 
@@ -24,8 +24,10 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +112,12 @@ def read_arc(data: bytes, name: str = "") -> Iterator[Record]:
 
 # --- WARC --------------------------------------------------------------------------------------------------------------
 
+def archive_name(data: bytes, path: str) -> str:
+    """The name that an ARC file gives itself, or that of the file."""
+    line = data[: max(0, data.find(b"\n"))].decode("utf-8", "replace")
+    return line.removeprefix("filedesc://").split(" ")[0] or path.rpartition("/")[2]
+
+
 def cut_http(block: bytes) -> tuple[bytes, bytes]:
     """HTTP head (with its blank line) and payload."""
     at = block.find(b"\r\n\r\n")
@@ -197,7 +205,8 @@ def as_arc(version: int):
     """(page_id, url, html) rows to packed ARC archives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, size, name = [], 0, ""
+        part, size, name, n = [], 0, "", 0
+        task = TaskContext.get().partitionId()
 
         def out() -> pa.RecordBatch:
             return pa.record_batch({"archive": pa.array([b"".join(part)[:-1]], pa.binary())})
@@ -205,7 +214,7 @@ def as_arc(version: int):
         for batch in batches:
             for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns)):
                 if not part:
-                    name = f"{uuid.uuid5(NAMES, f'{page_id} {url}')}.arc"
+                    name, n = f"{uuid.uuid5(NAMES, f'{version} {task} {n} {page_id} {url}')}.arc", n + 1
                     part = [arc_head(name, version)]
                     size = len(part[0])
                 block = http_response(page_id, html or b"")
@@ -229,8 +238,9 @@ def parse_arc(full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                name, part, size = path.rpartition("/")[2], [], 0
-                for r in read_arc(unpacked(content.as_py()), path):
+                data, part, size = unpacked(content.as_py()), [], 0
+                name = archive_name(data, path)
+                for r in read_arc(data, path):
                     head, payload = cut_http(r.block)
                     page_id = http_field(head, "X-Page-Id")
                     part.append({"archive": name, "spot": r.offset, "page_id": None if page_id is None else int(page_id), "target": r.target, "ip": r.ip, "date": r.date,
@@ -305,12 +315,15 @@ def records(spark, warcs: str) -> DataFrame:
     return archives(spark, warcs).mapInArrow(read_records, READ)
 
 
-def round_trip(pages: DataFrame, version: int = 2, least: int = 0) -> DataFrame:
-    """Pages to ARC files to WARC files and back: page_id, payload_bytes, payload_digest, record_type, refers_to of every row."""
+def round_trip(pages: DataFrame, versions: tuple[int, ...] = (1, 2), least: int = 0) -> DataFrame:
+    """Pages to ARC files to WARC files and back: page_id, payload_bytes, payload_digest, record_type, refers_to of every row. A hash of the page
+    says which of the versions its archive has."""
     spark = pages.sparkSession
     arcs, warcs = session.shared_dir(spark, "arc"), session.shared_dir(spark, "warc")
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string").cast("binary"))
-    write_archives(rows.mapInArrow(as_arc(version), "archive binary"), arcs, "\n")
+    own = F.pmod(F.xxhash64("page_id", "url"), F.lit(len(versions)))
+    packed = [rows.where(own == i).mapInArrow(as_arc(v), "archive binary") for i, v in enumerate(versions)]
+    write_archives(reduce(DataFrame.unionByName, packed), arcs, "\n")
     convert(spark, arcs, warcs, least)
     session.delete_dir(spark, arcs)
     back = tables.keep(records(spark, warcs).drop("target"), "warc-records")
