@@ -99,6 +99,8 @@ def test_mixing_meets_its_targets(llm):
         fitted = mixing.fit(frame, model["domains"], targets)
         total = sum(fitted["before"].values())
         assert all(abs(fitted["after"][d] - fitted["aim"][d]) <= near * total for d in model["domains"])
+        reached = {r.domain: (r.tokens, r.target_tokens, r.reached_tokens) for r in mixing.report(docs, labels, "lang", targets).collect()}
+        assert all(np.allclose(reached[d], (fitted["before"][d], fitted["aim"][d], fitted["after"][d])) for d in model["domains"])
         # the same steps in plain Python
         mass, rate = list(fitted["before"].values()), [1.0] * len(rows)
         for gap in fitted["gaps"]:
@@ -108,6 +110,21 @@ def test_mixing_meets_its_targets(llm):
         assert min(rate) >= 0
 
 
+def test_mixing_reports_what_it_cannot_meet(llm):
+    docs, labels, _ = corpus(llm)
+    told = {r.domain: r for r in mixing.report(docs, labels, "lang", {"de": 0.5, "xx": 0.5}).collect()}
+    total = sum(r.tokens for r in told.values())
+    assert told["xx"].reached_tokens == 0 and abs(told["xx"].target_tokens - total / 2) < 1e-6 and abs(told["de"].reached_tokens - total / 2) < 0.05 * total
+    # no rate below 1: the totals are those of the rates that are used
+    model = mixing.classifier(docs, labels, "lang")
+    frame = mixing.memberships(docs, model)
+    fitted = mixing.fit(frame, model["domains"], None, least=1.0)
+    rows = frame.select("n_tokens", "posterior", mixing.rate(mixing.F.col("posterior"), fitted["gaps"], 1.0).alias("rate")).collect()
+    assert min(r.rate for r in rows) >= 1
+    for k, d in enumerate(model["domains"]):
+        assert abs(sum(r.rate * r.n_tokens * r.posterior[k] for r in rows) - fitted["after"][d]) < 1e-6 * total
+
+
 def test_posteriors_are_those_of_the_model(llm):
     docs, labels, _ = corpus(llm, 40)
     model = mixing.classifier(docs, labels, "lang")

@@ -45,9 +45,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+#: Target shares of tokens by language: English halved in favour of the rest.
+LANGUAGE_SHARES = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return mixing.rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), domain="lang")
+    return mixing.rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), domain="lang", targets=LANGUAGE_SHARES)
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
