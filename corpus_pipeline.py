@@ -52,9 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(prepare(spark), sf_dir, "documents")
+    docs, before = read(prepare(spark), sf_dir, "documents"), None
     for name, stage in STAGES:
         path = session.shared_dir(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:  # what a stage has read is not needed once the next table is written
+            session.delete_dir(spark, before)
+        before = path
     return docs
