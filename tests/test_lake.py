@@ -42,3 +42,17 @@ def test_a_short_rerun_does_not_spoil_what_was_there(spark):
     assert content(spark, run, "silver_telemetry") == before
     late = spark.read.parquet(run.path("silver_telemetry")).agg(F.max("timestamp")).first()[0]
     assert late.day == 30
+
+
+def test_a_device_on_another_asset_leaves_no_row_of_the_old_one(spark):
+    run = built_lake(spark, SMALL, hours=24 * 31)
+    lake.silver_to_gold(spark, run)
+    before = {r.deviceId: r.assetId for r in spark.read.parquet(run.path("gold_asset_health")).collect()}
+    moved = sorted(before)[0]
+    rows = spark.read.parquet(run.path("bronze_telemetry")).filter(F.col("deviceId") == moved)
+    later = rows.withColumns({"assetId": F.lit("AST-NEW"), "enqueuedUtc": F.col("enqueuedUtc") + F.expr("interval 2 day")})
+    later.write.mode("append").partitionBy("ingestDate").parquet(run.path("bronze_telemetry"))
+    lake.bronze_to_silver(spark, run)
+    lake.silver_to_gold(spark, run)
+    after = sorted((r.deviceId, r.assetId) for r in spark.read.parquet(run.path("gold_asset_health")).collect())
+    assert after == sorted({**before, moved: "AST-NEW"}.items())

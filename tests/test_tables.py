@@ -132,47 +132,111 @@ def test_messages_are_routed_and_none_is_lost(spark, tmp_path):
     ]))
     stream = readers.stream_files(spark, str(inbox), schemas.ENVELOPE)
     for _ in range(2):  # a restart finds nothing new
-        jobs.start_bronze(stream, str(tmp_path / "bronze"), str(tmp_path / "cp"), once=True).awaitTermination()
-    got = sorted((r.target, r.isReplay) for r in spark.read.parquet(str(tmp_path / "bronze")).collect())
+        land(stream, tmp_path, "cp")
+    got = sorted((t, r.isReplay) for t in jobs.TARGETS for r in jobs.bronze_table(spark, str(tmp_path / "lake"), t).collect())
     assert got == [("bronze_alarm", False), ("bronze_device_event", False), ("bronze_telemetry", False),
                    ("bronze_telemetry", True), ("bronze_unrouted", False)]
 
 
-def test_a_repeated_batch_replaces_itself(spark, tmp_path):
-    raw = spark.read.schema(schemas.ENVELOPE).json(spark.sparkContext.parallelize([message("d", 0, 0, power_kw=1.0)]))
-    land = jobs.append_bronze(str(tmp_path / "b"))
-    land(ingest.to_bronze(raw), 7)
-    land(ingest.to_bronze(raw), 7)
-    land(ingest.to_bronze(raw), 8)
-    assert spark.read.parquet(str(tmp_path / "b")).count() == 2
+def land(stream, folder, checkpoint, targets=None):
+    for query in jobs.start_bronze(stream, str(folder / "lake"), str(folder / checkpoint), targets=targets, once=True):
+        query.awaitTermination()
 
 
-def test_a_new_checkpoint_does_not_replace_earlier_rows(spark, tmp_path):
+def test_bronze_batches_share_a_folder_and_each_counts_once(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
-    (inbox / "1.json").write_text(message("d", 0, 0, power_kw=1.0))
-    for n in range(2):
-        stream = readers.stream_files(spark, str(inbox), schemas.ENVELOPE)
-        jobs.start_bronze(stream, str(tmp_path / "b"), str(tmp_path / f"cp{n}"), once=True).awaitTermination()
+    stream = readers.stream_files(spark, str(inbox), schemas.ENVELOPE)
+    for n in range(3):
+        (inbox / f"{n}.json").write_text(message("d", n, 0, power_kw=1.0))
+        land(stream, tmp_path, "cp", ["bronze_telemetry"])
+    table = tmp_path / "lake" / "bronze_telemetry"
+    assert [p.name for p in table.iterdir() if "=" in p.name] == ["ingestDate=2024-01-01"] and len(list(table.rglob("*.parquet"))) == 3
+    assert spark.read.parquet(str(table)).count() == 3
+    # a file that no batch has committed is not part of the table
+    shutil.copy(next(table.rglob("*.parquet")), table / "ingestDate=2024-01-01" / "part-9.parquet")
+    assert spark.read.parquet(str(table)).count() == 3
+    # another checkpoint would count from zero, and its first batches would be taken for repeats
+    with pytest.raises(ValueError, match="another checkpoint"):
+        land(stream, tmp_path, "other", ["bronze_telemetry"])
+
+
+def test_a_repeated_batch_replaces_itself(spark, tmp_path):
+    raw = spark.read.schema(schemas.ENVELOPE).json(spark.sparkContext.parallelize([message("d", 0, 0, power_kw=1.0)]))
+    for number in (7, 7, 8):
+        jobs.replace_batch(ingest.to_bronze(raw), number, str(tmp_path / "b"), "ingestDate")
     assert spark.read.parquet(str(tmp_path / "b")).count() == 2
 
 
 def test_the_hot_table_forgets(spark, tmp_path):
-    serve = jobs.land_and_serve(str(tmp_path / "lake"), str(tmp_path / "hot"), keep_days=14)
+    serve = jobs.serve_hot(str(tmp_path / "hot"), keep_days=14)
     for number, day in enumerate((0, 10, 20)):
         text = [message("d", day * 1440, 0, power_kw=1.0), message("d", day * 1440, 0, "alarm")]
         raw = spark.read.schema(schemas.ENVELOPE).json(spark.sparkContext.parallelize(text))
         serve(ingest.to_bronze(raw), number)
-    assert jobs.bronze_table(spark, str(tmp_path / "lake"), "bronze_telemetry").count() == 3
     hot = lambda: spark.read.parquet(str(tmp_path / "hot"))
     assert sorted(r.ingestDate.day for r in hot().collect()) == [11, 21]
     assert [r.ingestDate.day for r in jobs.recent(hot(), "2024-01-22", days=5).collect()] == [21]
     # a clock that is years ahead neither empties the hot table nor gets into it
     wrong = [message("e", 4_000_000, -4_000_000 * 60 + 21 * 86400, power_kw=1.0)]
-    serve(ingest.to_bronze(spark.read.schema(schemas.ENVELOPE).json(spark.sparkContext.parallelize(wrong))), 3)
+    rows = ingest.to_bronze(spark.read.schema(schemas.ENVELOPE).json(spark.sparkContext.parallelize(wrong)))
+    serve(rows, 3)
     assert sorted(r.ingestDate.day for r in hot().collect()) == [11, 21]
-    (dead,) = jobs.bronze_table(spark, str(tmp_path / "lake"), ingest.DEAD_LETTERS).collect()
-    assert (dead.deviceId, str(dead.ingestDate)) == ("e", "2024-01-22")
+    (dead,) = rows.collect()
+    assert (dead.target, dead.deviceId, str(dead.ingestDate)) == (ingest.DEAD_LETTERS, "e", "2024-01-22")
+
+
+HOURS = "deviceId string, timestamp timestamp, ingestedUtc timestamp, isTrustworthy boolean, qualityFlag string, power_kw double"
+
+
+def test_hours_take_corrections_and_late_rows_are_kept_aside(spark, tmp_path):
+    path = str(tmp_path / "h")
+    keep = jobs.keep_hours(spark, path, lateness_hours=24, expected_per_hour=2, buckets=4)
+
+    def send(number, *data):
+        at = lambda h: None if h is None else T0 + timedelta(hours=h)
+        keep(spark.createDataFrame([(d, at(h), at(a), ok, "good" if ok else "suspect_range", v) for d, h, a, ok, v in data], HOURS), number)
+
+    def hours():
+        return sorted((r.deviceId, (r.timestamp - T0).total_seconds() / 3600, r.sampleCount, r.power_kw, list(r.qualityFlags), r.completenessPct)
+                      for r in writers.read_table(spark, f"{path}/hours").collect())
+
+    first = [("a", 0, 0, True, 1.0), ("a", 0.5, 0.5, True, 3.0), ("b", 40, 40, False, 9.0), ("c", 0, 0, True, 5.0)]
+    send(0, *first)
+    assert hours() == [("a", 0, 2, 2.0, [], 100.0), ("b", 40, 1, None, ["suspect_range"], 0.0), ("c", 0, 1, 5.0, [], 50.0)]
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "h" / "hours").rglob("*.parquet")}
+    second = [("a", 0, 50, True, 7.0), ("b", 20, 50, True, 4.0), ("b", 40, 39, True, 1.0), ("d", None, 50, True, 1.0), ("d", 60, 60, True, 2.0)]
+    for _ in range(2):  # the same batch again changes nothing
+        send(1, *second)
+        # a's correction is a day behind the newest row of the batch before; b's row of hour 20 is not, and its older copy of hour 40 loses
+        assert hours() == [("a", 0, 2, 2.0, [], 100.0), ("b", 20, 1, 4.0, [], 50.0), ("b", 40, 1, None, ["suspect_range"], 0.0), ("c", 0, 1, 5.0, [], 50.0), ("d", 60, 1, 2.0, [], 50.0)]
+        late = spark.read.parquet(f"{path}/late")
+        assert sorted((r.deviceId, r.watermark) for r in late.collect()) == [("a", T0 + timedelta(hours=16)), ("d", T0 + timedelta(hours=16))]
+        assert writers.read_table(spark, f"{path}/rows").count() == 6
+    untouched = [f for f in (tmp_path / "h" / "hours").rglob("*.parquet") if files.get(f) == f.stat().st_mtime_ns]
+    assert untouched  # the first day's buckets that no row fell into
+
+
+def test_streams_of_quality_and_flow_equal_the_batch(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    texts = [message("q", 60 * i, 0, "waterQuality", chlorine_mg_l=0.3 + (i % 3)) for i in range(30)] + [
+        message("f", 60 * i, 0, "dmaFlow", flow_m3_h=2.0 + i) for i in range(5)]
+    more = [message("q", 60, 9000, "waterQuality", chlorine_mg_l=1.5), message("q", 120, -50, "waterQuality", chlorine_mg_l=3.0), message("f", 120, 7000, "dmaFlow", flow_m3_h=50.0)]
+    for n, part in enumerate((texts[:20], texts[20:], more)):
+        (inbox / f"{n}.json").write_text("\n".join(part))
+        bronze = ingest.to_bronze(readers.stream_files(spark, str(inbox), schemas.ENVELOPE))
+        for name, clean, keys in (("quality", jobs.clean_quality, ["deviceId", "timestamp"]), ("flow", jobs.clean_dma, ["dmaId", "timestamp"])):
+            own = bronze.filter(F.col("payloadType") == {"quality": "waterQuality", "flow": "dmaFlow"}[name])
+            jobs.start(clean(own), jobs.merge_latest(spark, str(tmp_path / name), keys), str(tmp_path / f"cp-{name}"), once=True).awaitTermination()
+    jobs.refresh_silver(spark, str(tmp_path / "quality"), str(tmp_path / "judged"), "2024-01-03 00:00:00", hours=48, watched="chlorine_mg_l", flat_name="chlorineSensorFlatline")
+    everything = ingest.to_bronze(spark.read.schema(schemas.ENVELOPE).json(str(inbox)))
+    for path, batch, cols in (
+        ("judged", silver.silver_water_quality(everything.filter("payloadType = 'waterQuality'")), ["deviceId", "timestamp", "chlorine_mg_l", "qualityFlag", "chlorineSensorFlatline"]),
+        ("flow", silver.silver_dma_flow(everything.filter("payloadType = 'dmaFlow'")), ["dmaId", "timestamp", "inflow_m3_h", "isNightWindow"]),
+    ):
+        got = sorted(map(tuple, writers.read_table(spark, str(tmp_path / path)).select(*cols).collect()))
+        assert got == sorted(map(tuple, batch.select(*cols).collect())) and len(got) in (5, 30)
 
 
 def test_stream_equals_batch_when_corrections_come_in_later_batches(spark, tmp_path):
@@ -254,29 +318,54 @@ def test_null_partition_and_null_key_survive_upserts(spark, tmp_path):
     assert upserted(spark, path) == sorted([("a", 5, "None"), ("b", 2, "None"), (None, 4, "None")], key=str)
 
 
+@pytest.mark.parametrize("buckets", [1, 4])
 @pytest.mark.parametrize("partition", [None, "ingestDate"])
 @pytest.mark.parametrize("step", ["delete", "mark", "write"])
-def test_an_upsert_that_dies_loses_nothing(spark, tmp_path, monkeypatch, partition, step):
+def test_an_upsert_that_dies_loses_nothing(spark, tmp_path, monkeypatch, partition, step, buckets):
     path = str(tmp_path / "t")
     day = dt.date(2024, 1, 1)
     rows = lambda *kv: spark.createDataFrame([(k, v, day) for k, v in kv], UPSERT_ROWS)
-    writers.upsert(spark, rows(("a", 1), ("b", 1)), path, ["k"], partition)
+    writers.upsert(spark, rows(("a", 1), ("b", 1)), path, ["k"], partition, buckets=buckets)
 
     def die(*args, **kwargs):
-        if step == "delete":  # the old rows are gone, and the new ones not there yet
-            shutil.rmtree(path)
+        if step == "delete":  # a replaced folder is gone, and the new one not there yet
+            for folder in writers.leaf_folders(spark, f"{args[1]}/merged", args[3]):
+                shutil.rmtree(path + folder)
         raise RuntimeError("killed")
 
     with monkeypatch.context() as patched:
-        patched.setattr(writers, "touch" if step == "mark" else "write_snapshot" if partition is None else "write_partitioned", die)
+        patched.setattr(writers, "touch" if step == "mark" else "put_in_place", die)
         with pytest.raises(RuntimeError, match="killed"):
-            writers.upsert(spark, rows(("a", 2)), path, ["k"], partition)
-    writers.upsert(spark, rows(("a", 2)), path, ["k"], partition)
+            writers.upsert(spark, rows(("a", 2)), path, ["k"], partition, buckets=buckets)
+    writers.upsert(spark, rows(("a", 2)), path, ["k"], partition, buckets=buckets)
     assert upserted(spark, path) == [("a", 2, "2024-01-01"), ("b", 1, "2024-01-01")]
-    writers.upsert(spark, rows(("c", 3)), path, ["k"], partition)
+    writers.upsert(spark, rows(("c", 3)), path, ["k"], partition, buckets=buckets)
     assert [r[0] for r in upserted(spark, path)] == ["a", "b", "c"] and not any((tmp_path / "t__staging").iterdir())
 
 
+def test_an_upsert_rewrites_the_buckets_of_its_keys_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    day = dt.date(2024, 1, 1)
+    many = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id")).alias("k"), F.col("id").cast("int").alias("v"), F.lit(day).alias("ingestDate"))
+    writers.upsert(spark, many, path, ["k"], "ingestDate", buckets=32)
+
+    def files():
+        return {str(f): f.stat().st_size for f in (tmp_path / "t").rglob("*.parquet")}
+
+    before = files()
+    assert len({f.rpartition("/")[0] for f in before}) == 32
+    few = spark.createDataFrame([("k7", -1, day), ("new", -2, day), ("k8", -3, dt.date(2024, 1, 2))], UPSERT_ROWS)
+    replaced = writers.upsert(spark, few, path, ["k"], "ingestDate", buckets=32)
+    after = files()
+    written = sum(size for f, size in after.items() if f not in before)
+    assert len(replaced) == 3 and written < sum(before.values()) * 3 / 32 * 1.5
+    assert sum(f in before for f in after) == 30
+    got = {r.k: r.v for r in writers.read_table(spark, path).where("ingestDate = date'2024-01-01'").collect()}
+    assert len(got) == 20_001 and (got["k7"], got["new"], got["k9"]) == (-1, -2, 9)
+    assert "bucketOf32" not in writers.read_table(spark, path).columns
+    assert writers.upsert(spark, few.limit(0), path, ["k"], "ingestDate", buckets=32) == []
+
+
 def test_windows_end_at_as_of(spark):
     rows = spark.sql("SELECT explode(sequence(timestamp'2024-01-01', timestamp'2024-01-05', interval 1 day)) AS ts")
     now = F.lit("2024-01-03 00:00:00").cast("timestamp")

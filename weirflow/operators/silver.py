@@ -103,15 +103,19 @@ def night_window(df: DataFrame, ts: str = "timestamp", hours: tuple[int, int] =
     return df.withColumn("isNightWindow", F.hour(ts).between(*hours))
 
 
-def silver_dma_flow(bronze: DataFrame, *, night_hours: tuple[int, int] = (2, 3)) -> DataFrame:
-    rows = bronze.select(
+def flatten_dma(bronze: DataFrame) -> DataFrame:
+    """Typed flow and pressure of each area; a row without an area counts for its site."""
+    return bronze.select(
         F.col("eventTimeUtc").cast("timestamp").alias("timestamp"),
         F.col("enqueuedUtc").cast("timestamp").alias("ingestedUtc"),
         F.coalesce("dmaId", "siteId").alias("dmaId"),
         F.col("measurements.flow_m3_h").cast("double").alias("inflow_m3_h"),
         F.col("measurements.pressure_bar").cast("double").alias("pressure_bar"),
     )
-    rows = night_window(dedup_latest(rows, ["dmaId", "timestamp"]), hours=night_hours)
+
+
+def silver_dma_flow(bronze: DataFrame, *, night_hours: tuple[int, int] = (2, 3)) -> DataFrame:
+    rows = night_window(dedup_latest(flatten_dma(bronze), ["dmaId", "timestamp"]), hours=night_hours)
     return rows.withColumn("ingestDate", F.to_date("timestamp"))
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from weirflow import params
 from weirflow.functions import rules
 from weirflow.operators import gold, integrity, silver
-from weirflow.session import path_exists
-from weirflow.sources.writers import pass_through, upsert
+from weirflow.session import leaf_folders, path_exists
+from weirflow.sources.writers import pass_through, read_table, upsert
 
 # Reference tables, their gold name and key.
 DIMENSIONS = {
@@ -30,6 +30,10 @@ GOLD = [
 ]
 
 
+#: Days that a night's baseline reaches back.
+BASELINE_DAYS = 90
+
+
 @dataclass(frozen=True)
 class Run:
     """One run: where, up to when, how far back, and the limits of the quality rules."""
@@ -62,7 +66,7 @@ def bronze_to_silver(spark: SparkSession, run: Run) -> None:
         "dma_flow": (silver.silver_dma_flow, ["dmaId", "timestamp"]),
     }
     for name, (clean, keys) in jobs.items():
-        if path_exists(spark, run.path(f"bronze_{name}")):
+        if leaf_folders(spark, run.path(f"bronze_{name}"), 1):  # a stream's table is there before its first row
             bronze = _since(spark.read.parquet(run.path(f"bronze_{name}")), "eventTimeUtc", run, extra_hours=24)
             upsert(spark, _since(clean(bronze), "timestamp", run), run.path(f"silver_{name}"), keys, "ingestDate")
 
@@ -81,7 +85,7 @@ def silver_to_gold(spark: SparkSession, run: Run) -> DataFrame:
     """Build the business tables; returns their row counts."""
 
     def read(table: str) -> DataFrame:
-        return spark.read.parquet(run.path(table))
+        return read_table(spark, run.path(table))
 
     def put(df: DataFrame, table: str, keys: list[str], partition: str | None = None) -> None:
         upsert(spark, df, run.path(table), keys, partition)
@@ -100,14 +104,18 @@ def silver_to_gold(spark: SparkSession, run: Run) -> DataFrame:
         put(quality, "gold_water_quality", ["deviceId", "timestamp"], "ingestDate")
     if path_exists(spark, run.path("silver_dma_flow")):
         put(gold.dma_hourly(_since(read("silver_dma_flow"), "timestamp", run)), "gold_dma_flow", ["dmaId", "timestamp"], "ingestDate")
-        nights = gold.night_flow_baseline(gold.nightly_flow(read("gold_dma_flow")))
-        put(nights, "gold_dma_mnf", ["dmaId", "date"])
+        # the nights of the window, and before them the days that their baselines reach back
+        flow = _since(read("gold_dma_flow"), "timestamp", run, extra_hours=(BASELINE_DAYS + 1) * 24)
+        nights = gold.night_flow_baseline(gold.nightly_flow(flow), baseline_days=BASELINE_DAYS).withColumn("ingestDate", F.col("date"))
+        first = F.to_date(F.lit(run.as_of).cast("timestamp") - F.make_dt_interval(hours=F.lit(run.hours)))
+        put(nights.filter(F.col("date") >= first), "gold_dma_mnf", ["dmaId", "date"], "ingestDate")
     put(gold.energy(_since(read("gold_telemetry_hourly"), "timestamp", run)), "gold_energy", ["deviceId", "timestamp"], "ingestDate")
     recent = read("gold_telemetry_hourly").filter(
         rules.within("ingestDate", F.lit(run.as_of).cast("timestamp"), 15 * 24)
     )
     slope = gold.vibration_trend(recent, run.as_of)
-    put(gold.asset_health(slope, read("gold_asset"), gold.zone_limits(spark)), "gold_asset_health", ["assetId", "deviceId"])
+    # by device: one that is fitted to another asset leaves no row of the old one behind
+    put(gold.asset_health(slope, read("gold_asset"), gold.zone_limits(spark)), "gold_asset_health", ["deviceId"])
 
     tables = {name: read(name) for name in DIMENSIONS if path_exists(spark, run.path(name))}
     pass_through(spark, tables, {name: (run.path(target), keys) for name, (target, keys) in DIMENSIONS.items()})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,12 +95,21 @@ def flt_valid(spark, sf_dir):
     return ingest.drop_unattributed(rows).select(*LIFTED)
 
 
-def landed(spark, sf_dir) -> str:
-    """Run the bronze stream over the events and return its table's path."""
+def landed(spark, sf_dir, targets: list[str] | None = None) -> str:
+    """Run the bronze streams over the events and return the folder of their tables."""
     path = shared_dir(spark, "bronze")
     stream = messages(stream_of(spark, sf_dir, "events"))
-    jobs.start_bronze(stream, f"{path}/table", f"{path}/checkpoint", once=True).awaitTermination()
-    return f"{path}/table"
+    for query in jobs.start_bronze(stream, f"{path}/lake", f"{path}/checkpoint", targets=targets, once=True):
+        query.awaitTermination()
+    return f"{path}/lake"
+
+
+def in_batches(spark, rows: DataFrame, parts: int, run) -> None:
+    """Rows with a column ``part`` as a stream that is stopped and started again: ``run`` takes the stream of what has arrived so far, part by part."""
+    inbox = shared_dir(spark, "arrivals")
+    for i in range(parts):
+        rows.filter(F.col("part") == i).drop("part").write.mode("append").parquet(inbox)
+        run(readers.stream_files(spark, inbox, rows.drop("part").schema, "parquet"))
 
 
 @query("src_event_stream", sql("SELECT event_id, ts, user_id, event_type, value FROM ev"))
@@ -111,13 +122,14 @@ def src_event_stream(spark, sf_dir):
 
 @query("str_route", sql("SELECT target, payloadType, isReplay, count(*) AS n FROM routed_msgs GROUP BY 1, 2, 3"))
 def str_route(spark, sf_dir):
-    rows = spark.read.parquet(landed(spark, sf_dir))
-    return rows.groupBy("target", "payloadType", "isReplay").agg(F.count(F.lit(1)).alias("n"))
+    path = landed(spark, sf_dir)
+    tables = [jobs.bronze_table(spark, path, t).select(F.lit(t).alias("target"), "payloadType", "isReplay") for t in jobs.TARGETS]
+    return reduce(DataFrame.unionByName, tables).groupBy("target", "payloadType", "isReplay").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("snk_append_bronze", sql(f"SELECT {', '.join(ROUTED)} FROM routed_msgs WHERE target = 'bronze_telemetry'"), dates=("ingestDate",))
 def snk_append_bronze(spark, sf_dir):
-    return jobs.bronze_table(spark, landed(spark, sf_dir), "bronze_telemetry").select(*ROUTED)
+    return spark.read.parquet(f"{landed(spark, sf_dir, ['bronze_telemetry'])}/bronze_telemetry").select(*ROUTED)
 
 
 @query("str_two_sinks", sql(f"""
@@ -132,54 +144,133 @@ def snk_append_bronze(spark, sf_dir):
 def str_two_sinks(spark, sf_dir):
     path = shared_dir(spark, "sinks")
     rows = ingest.to_bronze(messages(stream_of(spark, sf_dir, "events")))
-    sink = jobs.land_and_serve(f"{path}/lake", f"{path}/hot", keep_days=21)
-    jobs.start(rows, sink, f"{path}/checkpoint", once=True).awaitTermination()
+    lake_path = landed(spark, sf_dir, ["bronze_telemetry"])
+    jobs.start(rows, jobs.serve_hot(f"{path}/hot", keep_days=21), f"{path}/checkpoint", once=True).awaitTermination()
     hot = spark.read.parquet(f"{path}/hot")
-    tables = {"lake": jobs.bronze_table(spark, f"{path}/lake", "bronze_telemetry"), "hot": hot, "recent": jobs.recent(hot, b.AS_OF)}
+    tables = {"lake": spark.read.parquet(f"{lake_path}/bronze_telemetry"), "hot": hot, "recent": jobs.recent(hot, b.AS_OF)}
     counts = [t.groupBy(F.lit(n).alias("sink"), "ingestDate").agg(F.count(F.lit(1)).alias("n")) for n, t in tables.items()]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-def _stream_arrivals(spark, sf_dir) -> DataFrame:
-    """The arrival stream, corrected copies included."""
-    events = stream_of(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    return b.to_bronze_rows(b.resend(events.withColumn("ts", F.col("ts").cast("timestamp"))), b._telemetry_values())
+VIEWS["hour_landed"] = f"""
+  SELECT date_trunc('hour', eventTimeUtc) AS "timestamp", deviceId, target, count(DISTINCT eventTimeUtc) AS n FROM routed_msgs
+  WHERE eventTimeUtc >= date_trunc('hour', {NOW} - INTERVAL 744 HOUR) AND eventTimeUtc <= {NOW} GROUP BY 1, 2, 3"""
+
+
+@query("str_to_gold", sql("""
+  SELECT "timestamp", deviceId, 'telemetry' AS kind, n AS sampleCount FROM hour_landed WHERE target = 'bronze_telemetry'
+  UNION ALL SELECT "timestamp", deviceId, 'quality', n FROM hour_landed WHERE target = 'bronze_water_quality'"""))
+def str_to_gold(spark, sf_dir):
+    """Messages through the streams to bronze tables, and from these through both batch jobs, which read them as they are."""
+    run = lake.Run(landed(spark, sf_dir), b.AS_OF, hours=24 * 31, min_samples=b.MIN_SAMPLES, std_limit=b.STD_LIMIT, expected_per_hour=b.EXPECTED_PER_HOUR)
+    for name, rows in {"sites": b.sites, "assets": b.assets, "devices": b.devices}.items():
+        writers.write_snapshot(rows(spark, sf_dir), run.path(f"ref_{name}"))
+    lake.bronze_to_silver(spark, run)
+    lake.silver_to_gold(spark, run)
+    kinds = {"telemetry": "gold_telemetry_hourly", "quality": "gold_water_quality"}
+    tables = [spark.read.parquet(run.path(t)).select("timestamp", "deviceId", F.lit(k).alias("kind"), "sampleCount") for k, t in kinds.items()]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def merged(spark, rows: DataFrame, clean, keys: list[str]) -> str:
+    """Bronze rows in three batches, so that corrections come before and after what they correct, merged by key; the folder of the table."""
+    path = shared_dir(spark, "silver")
+    merge = jobs.merge_latest(spark, f"{path}/clean", keys, buckets=4)
+    part = F.pmod(F.xxhash64("eventTimeUtc", "enqueuedUtc", "siteId"), F.lit(3))
+    in_batches(spark, rows.withColumn("part", part), 3, lambda stream: jobs.start(clean(stream), merge, f"{path}/checkpoint", once=True).awaitTermination())
+    return path
 
 
 @query("str_silver_upsert", sql(f"""SELECT "timestamp", deviceId, {m.TAGS}, isFlatline, qualityFlag FROM silver"""))
 def str_silver_upsert(spark, sf_dir):
-    path = shared_dir(spark, "silver")
-    rows = jobs.clean_telemetry(_stream_arrivals(spark, sf_dir))
-    merge = jobs.merge_latest(spark, f"{path}/clean", ["deviceId", "timestamp"])
-    jobs.start(rows, merge, f"{path}/checkpoint", once=True).awaitTermination()
+    path = merged(spark, b.bronze_telemetry(spark, sf_dir), jobs.clean_telemetry, ["deviceId", "timestamp"])
     jobs.refresh_silver(
-        spark, f"{path}/clean", f"{path}/silver", b.AS_OF, hours=24 * 31, min_samples=b.MIN_SAMPLES, std_limit=b.STD_LIMIT
+        spark, f"{path}/clean", f"{path}/silver", b.AS_OF, hours=24 * 31, min_samples=b.MIN_SAMPLES, std_limit=b.STD_LIMIT, buckets=1
     )
-    return spark.read.parquet(f"{path}/silver").select(
+    return writers.read_table(spark, f"{path}/silver").select(
         "timestamp", "deviceId", *params.TELEMETRY_TAGS, "isFlatline", "qualityFlag"
     )
 
 
+@query("str_quality_upsert", sql(f"""SELECT "timestamp", deviceId, {', '.join(params.QUALITY_PARAMETERS)}, chlorineSensorFlatline, qualityFlag FROM silver_wq"""))
+def str_quality_upsert(spark, sf_dir):
+    path = merged(spark, b.bronze_quality(spark, sf_dir), jobs.clean_quality, ["deviceId", "timestamp"])
+    jobs.refresh_silver(
+        spark, f"{path}/clean", f"{path}/silver", b.AS_OF, hours=24 * 31, min_samples=b.MIN_SAMPLES, std_limit=b.STD_LIMIT,
+        watched="chlorine_mg_l", flat_name="chlorineSensorFlatline", buckets=1,
+    )
+    return writers.read_table(spark, f"{path}/silver").select(
+        "timestamp", "deviceId", *params.QUALITY_PARAMETERS, "chlorineSensorFlatline", "qualityFlag"
+    )
+
+
+@query("str_dma_upsert", sql("SELECT * FROM silver_dma"), dates=("ingestDate",))
+def str_dma_upsert(spark, sf_dir):
+    path = merged(spark, b.bronze_dma(spark, sf_dir), jobs.clean_dma, ["dmaId", "timestamp"])
+    return writers.read_table(spark, f"{path}/clean").drop("ingestedUtc")
+
+
 def _hourly_sql(tag: str) -> str:
     good = f"({tag}) FILTER (WHERE trusted)"
     return (f"round(avg{good}, 3) AS {tag}, round(min{good}, 3) AS {tag}_min, round(max{good}, 3) AS {tag}_max, "
             f"round(stddev_samp{good}, 4) AS {tag}_std")
 
 
-@query("str_hourly", sql(f"""SELECT date_trunc('hour', ts) AS "timestamp", 'DEV-' || user_id AS deviceId, count(*) AS sampleCount,
-    count(*) FILTER (WHERE trusted) AS trustworthyCount, {_hourly_sql('power_kw')}, {_hourly_sql('vibration_mm_s')}
-    FROM (SELECT ts, user_id, event_type <> 'error' AS trusted, value * CAST(2.0193847561 AS DOUBLE) AS power_kw,
-                 value * CAST(0.1372904651 AS DOUBLE) AS vibration_mm_s FROM events) GROUP BY 1, 2"""))
-def str_hourly(spark, sf_dir):
+# Three batches of ten days each. A row in 41 is sent with the last one, and corrections come one batch later.
+VIEWS["sent"] = """
+  SELECT ts, user_id, ingestedUtc, event_type <> 'error' AS trusted, CASE WHEN event_type = 'error' THEN 'suspect_range' ELSE 'good' END AS flag, k,
+         value * CAST(2.0193847561 AS DOUBLE) AS power_kw, value * CAST(0.1372904651 AS DOUBLE) AS vibration_mm_s,
+         least(2, CASE WHEN event_id % 41 = 0 THEN 2 ELSE datediff('day', TIMESTAMP '2024-01-01', ts) // 10 END
+                  + CASE WHEN ingestedUtc >= ts + to_seconds(3600) THEN 1 ELSE 0 END) AS part FROM arrivals"""
+VIEWS["sent_marked"] = """
+  SELECT s.*, mark, coalesce(ts < mark, FALSE) AS late FROM sent s JOIN
+    (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 72 HOUR AS mark FROM sent GROUP BY part) USING (part)"""
+
+
+def hours_kept(spark, sf_dir) -> str:
+    """Run the hourly job over three batches; the folder of its tables."""
     path = shared_dir(spark, "hourly")
-    events = stream_of(spark, sf_dir, "events")
-    rows = events.select(
-        F.col("ts").cast("timestamp").alias("timestamp"), b._ids()[0], (F.col("event_type") != "error").alias("isTrustworthy"),
-        (F.col("value") * 2.0193847561).alias("power_kw"), (F.col("value") * 0.1372904651).alias("vibration_mm_s"),
+    rows = b.resend(b.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("int")))
+    bad = F.col("event_type") == "error"
+    fixed = F.col("enqueuedUtc") >= F.col("ts") + F.expr("interval 1 hour")
+    turn = F.when(F.col("event_id") % 41 == 0, 2).otherwise(F.floor(F.datediff("ts", F.lit("2024-01-01")) / 10))
+    rows = rows.select(
+        F.col("ts").alias("timestamp"), F.col("enqueuedUtc").alias("ingestedUtc"), b._ids()[0], (~bad).alias("isTrustworthy"),
+        F.when(bad, "suspect_range").otherwise("good").alias("qualityFlag"), (F.col("value") * 2.0193847561).alias("power_kw"),
+        (F.col("value") * 0.1372904651).alias("vibration_mm_s"), F.col("k").cast("double").alias("runHours"),
+        F.least(F.lit(2), turn + fixed.cast("int")).alias("part"),
     )
-    merge = jobs.merge_hours(spark, f"{path}/table")
-    jobs.start(jobs.hourly_counts(rows), merge, f"{path}/checkpoint", mode="update", once=True).awaitTermination()
-    return spark.read.parquet(f"{path}/table").drop("ingestDate")
+    keep = jobs.keep_hours(spark, path, expected_per_hour=b.EXPECTED_PER_HOUR, buckets=2)
+    in_batches(spark, rows, 3, lambda stream: jobs.start(stream, keep, f"{path}/checkpoint", once=True).awaitTermination())
+    return path
+
+
+@query("str_hourly", sql(f"""
+  SELECT *, completenessPct >= {params.MIN_COMPLETENESS_PCT} AS isTrustworthy FROM (
+  SELECT date_trunc('hour', ts) AS "timestamp", 'DEV-' || user_id AS deviceId, count(*) AS sampleCount,
+    count(*) FILTER (WHERE trusted) AS trustworthyCount, {_hourly_sql('power_kw')}, {_hourly_sql('vibration_mm_s')},
+    CAST(max(k) AS DOUBLE) AS runHours, CASE WHEN bool_and(trusted) THEN '' ELSE 'suspect_range' END AS qualityFlags,
+    least(CAST(100.0 AS DOUBLE), round(count(*) FILTER (WHERE trusted) / CAST({b.EXPECTED_PER_HOUR} AS DOUBLE) * 100, 1)) AS completenessPct
+    FROM (SELECT * FROM sent_marked WHERE NOT late QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY ingestedUtc DESC) = 1) GROUP BY 1, 2)"""))
+def str_hourly(spark, sf_dir):
+    rows = writers.read_table(spark, f"{hours_kept(spark, sf_dir)}/hours")
+    stats = [f"{t}{s}" for t in ("power_kw", "vibration_mm_s") for s in ("", "_min", "_max", "_std")]
+    return rows.select("timestamp", "deviceId", "sampleCount", "trustworthyCount", *stats, "runHours", F.concat_ws(",", "qualityFlags").alias("qualityFlags"),
+                       "completenessPct", "isTrustworthy")
+
+
+@query("str_late_rows", sql("""
+  SELECT 'late' AS kind, 'DEV-' || user_id AS deviceId, ts AS "timestamp", mark AS watermark, 1 AS n FROM sent_marked WHERE late
+  UNION ALL SELECT 'all', NULL, NULL, NULL, count(*) FROM sent_marked
+  UNION ALL SELECT 'kept', NULL, NULL, NULL, count(DISTINCT (user_id, ts)) FROM sent_marked WHERE NOT late"""))
+def str_late_rows(spark, sf_dir):
+    """The rows behind the job's watermark, and what came in and was kept."""
+    path = hours_kept(spark, sf_dir)
+    late = spark.read.parquet(f"{path}/late").select(F.lit("late").alias("kind"), "deviceId", "timestamp", "watermark", F.lit(1).cast("long").alias("n"))
+    totals = {"all": b.resend(b.table(spark, sf_dir, "events").withColumn("k", F.lit(1))), "kept": spark.read.parquet(f"{path}/rows")}
+    nothing = [F.lit(None).cast(late.schema[c].dataType).alias(c) for c in ("deviceId", "timestamp", "watermark")]
+    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), *nothing, "n") for k, t in totals.items()]
+    return reduce(DataFrame.unionByName, counts, late)
 
 
 @query("str_alarm", sql("""
@@ -284,7 +375,7 @@ def snk_upsert(spark, sf_dir):
     late = F.col("ingestedUtc") >= F.col("timestamp") + F.expr("interval 1 hour")
     for part in (rows.filter(~late), rows.filter(late), rows.filter(~late)):
         writers.upsert(spark, part, path, ["deviceId", "timestamp"], "ingestDate", order="ingestedUtc")
-    return spark.read.parquet(path).drop("ingestDate")
+    return writers.read_table(spark, path).drop("ingestDate")
 
 
 @query("snk_jsonl", sql("""SELECT workOrderId, assetId, failureMode, costUsd FROM work_orders"""))

@@ -68,6 +68,25 @@ def touch(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop, True).close()
 
 
+def move_dir(spark: SparkSession, source: str, target: str) -> None:
+    """Put a folder in the place of another, which may be absent."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    here, there = hadoop(source), hadoop(target)
+    files = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(there, True)
+    files.mkdirs(there.getParent())
+    if not files.rename(here, there):
+        raise OSError(f"could not move {source} to {target}")
+
+
+def leaf_folders(spark: SparkSession, path: str, depth: int) -> list[str]:
+    """The folders ``depth`` levels below ``path``, relative to it."""
+    names = [""]
+    for _ in range(depth):
+        names = [f"{n}/{f.rpartition('/')[2]}" for n in names for f in subfolders(spark, path + n) if "=" in f.rpartition("/")[2]]
+    return names
+
+
 def subfolders(spark: SparkSession, path: str) -> list[str]:
     """The folders in a folder, none if it doesn't exist."""
     if not path_exists(spark, path):

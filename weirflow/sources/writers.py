@@ -1,13 +1,15 @@
 """Table sinks: snapshots, partitioned tables, upserts without MERGE, expiry and JSON lines.
 
-An upsert is not atomic across partitions and expects one writer. It stages the whole new content of what it replaces beside the
-table and marks it as complete before it replaces anything. A run that dies later leaves that mark, and the next upsert first
-writes the marked rows again; one that dies earlier has changed nothing. NULL is a key and a partition value like any other.
+An upsert reads and writes only the folders that its rows fall into: the dates, and within them the buckets of the keys. It writes
+their whole new content beside the table, marks it as complete, and then moves each folder into its place. It is not atomic across folders and expects one writer. A run
+that dies after the mark leaves it, and the next upsert first moves what is left; one that dies earlier has changed nothing. NULL is a key and a
+partition value like any other.
 """
 
 from __future__ import annotations
 
 import datetime
+import re
 import uuid
 from functools import reduce
 from operator import and_
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.functions import ordered
-from weirflow.session import delete_dir, path_exists, subfolders, touch
+from weirflow.session import delete_dir, leaf_folders, move_dir, path_exists, subfolders, touch
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
@@ -50,10 +52,33 @@ def merge_rows(target: DataFrame, source: DataFrame, keys: list[str], order: str
     return ordered.latest_by(both, keys, [F.col(order), ordered.tie_hash(both, keys)])
 
 
-def assert_unique(df: DataFrame, keys: list[str]) -> None:
-    clash = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    if clash:
-        raise ValueError(f"the rows to merge are not unique by {keys}")
+def one_per_key(source: DataFrame, folders: list[str], keys: list[str], order: str | None) -> DataFrame:
+    """The newest row of each key by ``order``; without an order a key with several rows is an error."""
+    every = list(dict.fromkeys([*folders, *keys]))
+    if order is not None:
+        return ordered.latest_by(source, every, [F.col(order), ordered.tie_hash(source, every)])
+    rest = [c for c in source.columns if c not in every]
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"{AMBIGUOUS} {keys}")).cast("int"))
+    packed = source.groupBy(*every).agg(F.first(F.struct(F.lit(1).alias("_one"), *rest)).alias("_row"), once.alias("_once"))
+    return packed.filter(F.col("_once").isNull()).select(*[c if c in every else F.col(f"_row.{c}") for c in source.columns])
+
+
+AMBIGUOUS = "the rows to merge are not unique by"
+
+
+def bucketed(source: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """The rows with the bucket of their key. Its column's name tells how many there are, so that a table can't be written with two different numbers."""
+    return source.withColumn(f"{BUCKET}{buckets}", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")) if buckets > 1 else source
+
+
+#: What the column and the folders of key buckets are called, before their number.
+BUCKET = "bucketOf"
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table without the buckets that it is kept in."""
+    rows = spark.read.parquet(path)
+    return rows.drop(*[c for c in rows.columns if re.fullmatch(f"{BUCKET}[0-9]+", c)])
 
 
 def upsert(
@@ -63,53 +88,74 @@ def upsert(
     keys: list[str],
     partition: str | None = None,
     order: str | None = None,
-) -> None:
-    """Update matching rows and insert the others; create the table when it is absent.
-
-    Only the partitions that the source touches are read and replaced. Key and partition must agree, which holds
-    when the partition comes from the event time and the event time is in the key.
+    buckets: int = 1,
+    bucket_by: list[str] | None = None,
+) -> list[str]:
+    """Update matching rows and insert the others; create the table when it is absent. Returns the folders that were replaced.
+
+    Key and partition must agree, which holds when the partition comes from the event time and the event time is in the key. With ``buckets``, each
+    date's rows lie in that many folders by a hash of the key (or of ``bucket_by``, some of its columns), and a batch of a few keys rewrites only theirs.
+    Rows with equal keys in the source: the newest by ``order`` counts; without an order they are an error.
     """
-    recover(spark, path, partition)
+    recover(spark, path)
     staging = f"{path.rstrip('/')}__staging/{uuid.uuid4().hex}"
-    # Staged first: the steps below read the rows three times, and must see the same ones.
-    source.write.parquet(f"{staging}/in")
-    source = spark.read.parquet(f"{staging}/in")
-    if order is None:
-        assert_unique(source, keys)
-    if path_exists(spark, path):
-        target = spark.read.parquet(path)
-        if partition is not None:
-            # As many values as the source has days; the filter prunes the target's folders.
-            touched = [r[0] for r in source.select(partition).distinct().collect()]
-            known = F.col(partition).isin([x for x in touched if x is not None])
-            target = target.filter(known | F.col(partition).isNull() if None in touched else known)
-        source = merge_rows(target, source, keys, order)
-    elif order is not None:
-        source = ordered.latest_by(source, keys, [F.col(order), ordered.tie_hash(source, keys)])
-    source.write.parquet(f"{staging}/{MERGED}")
+    source = bucketed(source, bucket_by or keys, buckets)
+    folders = [*([partition] if partition else []), *([f"{BUCKET}{buckets}"] if buckets > 1 else [])]
+    # Written once, in the table's own folders, whose names tell what the batch touches.
+    exists = path_exists(spark, path)
+    try:
+        write_folders(source if exists and order is not None else one_per_key(source, folders, keys, order), f"{staging}/in", folders)
+    except Exception as error:
+        delete_dir(spark, staging)
+        if AMBIGUOUS in str(error):
+            raise ValueError(f"{AMBIGUOUS} {keys}") from None
+        raise
+    touched = leaf_folders(spark, f"{staging}/in", len(folders))
+    if not exists:
+        move_dir(spark, f"{staging}/in", f"{staging}/{MERGED}")
+    elif touched:
+        new = spark.read.schema(source.schema).parquet(f"{staging}/in")
+        known = [path + f for f in touched if path_exists(spark, path + f)]
+        if known:
+            old = spark.read.option("basePath", path).parquet(*known)
+            old = old.withColumns({c: F.col(c).cast(source.schema[c].dataType) for c in folders})
+            new = merge_rows(old, new, list(dict.fromkeys([*folders, *keys])), order)
+        elif order is not None:
+            new = one_per_key(new, folders, keys, order)
+        write_folders(new, f"{staging}/{MERGED}", folders)
     touch(spark, f"{staging}/{COMPLETE}")
-    replace(spark, staging, path, partition)
+    return put_in_place(spark, staging, path, len(folders))
 
 
-#: Below a staging folder: the rows that replace their partitions, and the mark that they are all there.
+def write_folders(rows: DataFrame, path: str, folders: list[str]) -> None:
+    """Rows as new files, few to a folder; a large folder is split over several tasks."""
+    if folders:
+        rows.hint("rebalance", *folders).write.partitionBy(*folders).parquet(path)
+    else:
+        rows.write.parquet(path)
+
+
+#: Below a staging folder: the rows that replace their folders, and the mark that they are all there.
 MERGED, COMPLETE = "merged", "complete"
 
 
-def replace(spark: SparkSession, staging: str, path: str, partition: str | None) -> None:
-    """Put completely staged rows in their place. May be repeated as often as it fails."""
-    rows = spark.read.parquet(f"{staging}/{MERGED}")
-    if partition is None:
-        write_snapshot(rows, path)
-    else:
-        write_partitioned(rows, path, partition)
+def put_in_place(spark: SparkSession, staging: str, path: str, depth: int) -> list[str]:
+    """Move completely staged folders into the table. May be repeated as often as it fails: what has moved is no longer staged."""
+    done = leaf_folders(spark, f"{staging}/{MERGED}", depth) if path_exists(spark, f"{staging}/{MERGED}") else []
+    for folder in done:
+        move_dir(spark, f"{staging}/{MERGED}{folder}", path + folder)
     delete_dir(spark, staging)
+    return done
 
 
-def recover(spark: SparkSession, path: str, partition: str | None) -> None:
+def recover(spark: SparkSession, path: str) -> None:
     """Finish what an upsert of this table left behind: marked rows are put in their place, unmarked ones dropped."""
     for staging in subfolders(spark, f"{path.rstrip('/')}__staging"):
         if path_exists(spark, f"{staging}/{COMPLETE}"):
-            replace(spark, staging, path, partition)
+            depth, level = 0, f"{staging}/{MERGED}"
+            while level and (below := [f for f in subfolders(spark, level) if "=" in f.rpartition("/")[2]]):
+                depth, level = depth + 1, below[0]
+            put_in_place(spark, staging, path, depth)
         else:
             delete_dir(spark, staging)
 

@@ -1,7 +1,8 @@
-"""Streaming jobs: routed bronze, hot table, late-proof silver, incremental hourly table, alarms and silent devices.
+"""Streaming jobs: routed bronze, hot table, late-proof silver, hourly table with its late rows, alarms and silent devices.
 
-Sinks are files in the shared folder. Each job may be restarted at any point: a repeated micro-batch overwrites
-its own partitions or merges to the same rows.
+Sinks are files in the shared folder. Each job may be restarted at any point: bronze tables are append-only and keep Spark's own log of what is committed;
+elsewhere a repeated micro-batch overwrites its own partitions or merges to the same rows. Merged tables lie in key buckets, so that a
+micro-batch rewrites the buckets of its devices and no others.
 """
 
 from __future__ import annotations
@@ -12,14 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from weirflow import params
+from weirflow import params, schemas
 from weirflow.functions import ordered, rules
-from weirflow.operators import silver
-from weirflow.sources.writers import expire, upsert, write_snapshot
-from weirflow.streaming.ingest import ahead, to_bronze
-from weirflow.session import local_table
+from weirflow.operators import gold, silver
+from weirflow.session import local_table, path_exists
+from weirflow.sources.writers import expire, read_table, upsert, write_snapshot
+from weirflow.streaming.ingest import DEAD_LETTERS, ROUTES, ahead, to_bronze
 
 FLUSH = "120 seconds"
+#: Key buckets of a day in the tables that streams merge into.
+BUCKETS = 16
 
 
 def start(
@@ -43,24 +46,42 @@ def replace_batch(batch: DataFrame, number: int, path: str, *partitions: str) ->
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions, "batchId").parquet(path)
 
 
-def append_bronze(path: str) -> Callable[[DataFrame, int], None]:
-    """Append-only landing, one write for all routes: the target table is a partition of the output, so the batch is
-    neither cached nor filtered per sink."""
-    return lambda batch, number: replace_batch(batch, number, path, "target", "ingestDate")
+#: The tables that messages are routed to.
+TARGETS = [*dict.fromkeys(ROUTES.values()), DEAD_LETTERS]
 
 
-def bronze_table(spark: SparkSession, path: str, target: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("target") == target).drop("target", "batchId")
+def start_bronze(
+    messages: DataFrame, lake: str, checkpoint: str, *, targets: list[str] | None = None, once: bool = False
+) -> list[StreamingQuery]:
+    """Append each route's rows to its own table ``lake/<target>/ingestDate=``, which the batch job reads as it is.
 
+    Every target is a query with a checkpoint of its own, so a slow or broken table holds up no other. The file sink's log makes each micro-batch
+    count once. That log belongs to one checkpoint: a new one would count from zero, and its batches would be taken for repeats, so it is refused.
+    """
+    spark, rows, queries = messages.sparkSession, to_bronze(messages), []
+    for target in targets or TARGETS:
+        path, own = f"{lake.rstrip('/')}/{target}", f"{checkpoint.rstrip('/')}/{target}"
+        if path_exists(spark, f"{path}/_spark_metadata") and not path_exists(spark, own):
+            raise ValueError(f"{path} is written by a stream with another checkpoint than {own}")
+        sink = rows.filter(F.col("target") == target).drop("target").hint("rebalance", "ingestDate").writeStream.format("parquet").partitionBy("ingestDate")
+        trigger = {"availableNow": True} if once else {"processingTime": FLUSH}
+        queries.append(sink.option("path", path).option("checkpointLocation", own).trigger(**trigger).start())
+    return queries
+
+
+def bronze_table(spark: SparkSession, lake: str, target: str) -> DataFrame:
+    """A bronze table, empty where nothing was routed to it yet."""
+    schema = to_bronze(spark.createDataFrame([], schemas.ENVELOPE)).drop("target").schema
+    return spark.read.schema(schema).parquet(f"{lake.rstrip('/')}/{target}")
 
-def land_and_serve(path: str, hot_path: str, keep_days: int = 90) -> Callable[[DataFrame, int], None]:
-    """The same rows to the lake and to a hot table that retains ``keep_days``. The clock is the hub's: the newest arrival of the
-    batch, never an event's own time."""
 
-    def both(batch: DataFrame, number: int) -> None:
+def serve_hot(hot_path: str, keep_days: int = 90) -> Callable[[DataFrame, int], None]:
+    """Routed rows to a hot table of telemetry that retains ``keep_days``. The clock is the hub's: the newest arrival of the
+    batch, never an event's own time. A repeated batch replaces itself, and all of a day's folders go with the day."""
+
+    def serve(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            replace_batch(batch, number, path, "target", "ingestDate")
             today = batch.agg(F.to_date(F.max("enqueuedUtc"))).first()[0]
             hot = batch.filter(F.col("target") == "bronze_telemetry").drop("target")
             if today is not None:
@@ -71,7 +92,7 @@ def land_and_serve(path: str, hot_path: str, keep_days: int = 90) -> Callable[[D
         finally:
             batch.unpersist()
 
-    return both
+    return serve
 
 
 def recent(hot: DataFrame, as_of: str, days: int = 14) -> DataFrame:
@@ -80,15 +101,14 @@ def recent(hot: DataFrame, as_of: str, days: int = 14) -> DataFrame:
     return hot.filter((F.col("ingestDate") > F.date_sub(today, days)) & (F.col("ingestDate") <= today))
 
 
-def start_bronze(messages: DataFrame, path: str, checkpoint: str, *, once: bool = False) -> StreamingQuery:
-    return start(to_bronze(messages), append_bronze(path), checkpoint, once=once)
-
-
-def merge_latest(spark: SparkSession, path: str, keys: list[str], arrival: str = "ingestedUtc") -> Callable[[DataFrame, int], None]:
-    """Keep the latest arrival of each key, over batches and reruns. Built-in stream dedup keeps the first."""
+def merge_latest(
+    spark: SparkSession, path: str, keys: list[str], arrival: str = "ingestedUtc", buckets: int = BUCKETS
+) -> Callable[[DataFrame, int], None]:
+    """Keep the latest arrival of each key, over batches and reruns. Built-in stream dedup keeps the first. A day's rows lie in ``buckets`` folders by the
+    first key, the device or area."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        upsert(spark, batch, path, keys, partition="ingestDate", order=arrival)
+        upsert(spark, batch, path, keys, partition="ingestDate", order=arrival, buckets=buckets, bucket_by=keys[:1])
 
     return merge
 
@@ -99,6 +119,17 @@ def clean_telemetry(bronze: DataFrame) -> DataFrame:
     return silver.apply_bounds(rows, params.TELEMETRY_BOUNDS).withColumn("ingestDate", F.to_date("timestamp"))
 
 
+def clean_quality(bronze: DataFrame) -> DataFrame:
+    """Row-local part of the silver step for water quality."""
+    rows = silver.flatten(bronze, params.QUALITY_PARAMETERS, ["deviceId", "siteId"])
+    return silver.apply_bounds(rows, params.QUALITY_BOUNDS).withColumn("ingestDate", F.to_date("timestamp"))
+
+
+def clean_dma(bronze: DataFrame) -> DataFrame:
+    """The silver step for area flows; all of it is row-local but the merge by key."""
+    return silver.night_window(silver.flatten_dma(bronze)).withColumn("ingestDate", F.to_date("timestamp"))
+
+
 def refresh_silver(
     spark: SparkSession,
     clean_path: str,
@@ -108,52 +139,78 @@ def refresh_silver(
     hours: int = 72,
     min_samples: int = params.FLATLINE_MIN_SAMPLES,
     std_limit: float = params.FLATLINE_STD,
+    watched: str = "vibration_mm_s",
+    flat_name: str = "isFlatline",
+    buckets: int = BUCKETS,
 ) -> None:
-    """Judge the reprocess window again. A trailing day is read in front of it, but not written: the first day of
+    """Judge the reprocess window again, by the trailing day of the ``watched`` tag. A trailing day is read in front of it, but not written: the first day of
     a slice has no full window, and must not overwrite rows that had one."""
     now = F.lit(as_of).cast("timestamp")
     day = F.to_date(now - F.make_dt_interval(hours=F.lit(hours + 24)))
-    rows = spark.read.parquet(clean_path).filter(
+    rows = read_table(spark, clean_path).filter(
         (F.col("ingestDate") >= day) & rules.within("timestamp", now, hours + 24)
     )
-    rows = ordered.trailing_stats(rows, ["deviceId"], "timestamp", "vibration_mm_s")
-    rows = silver.judge(rows, rules.is_flat(min_samples, std_limit), "isFlatline")
-    upsert(spark, rows.filter(rules.within("timestamp", now, hours)), silver_path, ["deviceId", "timestamp"], "ingestDate")
+    rows = ordered.trailing_stats(rows, ["deviceId"], "timestamp", watched)
+    rows = silver.judge(rows, rules.is_flat(min_samples, std_limit), flat_name)
+    upsert(
+        spark, rows.filter(rules.within("timestamp", now, hours)), silver_path, ["deviceId", "timestamp"], "ingestDate",
+        buckets=buckets, bucket_by=["deviceId"],
+    )
 
 
-def hourly_counts(rows: DataFrame, lateness: str = "72 hours") -> DataFrame:
-    """Hourly statistics that grow as rows arrive, named as in the batch table; rows later than ``lateness`` no longer count.
+def numbered(batch: DataFrame, number: int) -> tuple[str, int]:
+    """The query that a micro-batch belongs to, and its number there."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch", number
 
-    Every telemetry tag among the columns gives mean, least, greatest and deviation; where rows carry ``isTrustworthy``, of the
-    trusted values only.
-    """
-    trust = F.col("isTrustworthy") if "isTrustworthy" in rows.columns else F.lit(True)
-    stats = []
-    for tag in params.TELEMETRY_TAGS:
-        if tag in rows.columns:
-            good = F.when(trust, F.col(tag))
-            stats += [
-                rules.steady(F.avg(good), 3).alias(tag),
-                rules.steady(F.min(good), 3).alias(f"{tag}_min"),
-                rules.steady(F.max(good), 3).alias(f"{tag}_max"),
-                rules.steady(F.stddev(good), 4).alias(f"{tag}_std"),
-            ]
-    hour = F.window("timestamp", "1 hour")
-    hours = (
-        rows.withWatermark("timestamp", lateness)
-        .groupBy(hour.alias("_hour"), "deviceId")
-        .agg(F.count(F.lit(1)).alias("sampleCount"), F.count_if(trust).alias("trustworthyCount"), *stats)
-    )
-    return hours.select(
-        F.col("_hour.start").alias("timestamp"), *[c for c in hours.columns if c != "_hour"], F.to_date("_hour.start").alias("ingestDate")
-    )
 
+def keep_hours(
+    spark: SparkSession,
+    path: str,
+    *,
+    lateness_hours: int = 72,
+    expected_per_hour: int = params.SAMPLES_PER_HOUR,
+    buckets: int = BUCKETS,
+) -> Callable[[DataFrame, int], None]:
+    """The hourly table of the batch job, kept up to date as judged rows (deviceId, timestamp, ingestedUtc, qualityFlag, isTrustworthy and tags) arrive.
+
+    The job has a watermark of its own: the newest time of the batches before, less ``lateness_hours``. Rows behind it, or without a time, go to ``late`` with
+    the watermark that they missed; the others are merged by key into ``rows``, where a correction takes the place of what it corrects, and the hours that they fall into are
+    computed again from there. Only the buckets of the batch's devices and days are read and written. Each step may be repeated: late rows by batch,
+    merges by key, and the clock is written last, and counts for later batches only. So all that came in is in ``rows`` (once per key) or in ``late``.
+    """
 
-def merge_hours(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
-    """Update mode emits each changed hour whole, so replacing it by key is right."""
+    def newest_before(query: str, number: int):
+        if not path_exists(spark, f"{path}/clock"):
+            return None
+        clock = spark.read.parquet(f"{path}/clock")
+        return clock.filter(~((F.col("query") == query) & (F.col("number") >= number))).agg(F.max("newest")).first()[0]
 
     def merge(batch: DataFrame, number: int) -> None:
-        upsert(spark, batch, path, ["deviceId", "timestamp"], partition="ingestDate")
+        query, number = numbered(batch, number)
+        before = newest_before(query, number)
+        mark = F.lit(None).cast("timestamp") if before is None else F.lit(before) - F.make_dt_interval(hours=F.lit(lateness_hours))
+        behind = F.coalesce(F.col("timestamp") < mark, F.col("timestamp").isNull())
+        batch = batch.persist()
+        try:
+            late = batch.filter(behind).withColumns({"watermark": mark, "ingestDate": F.to_date("timestamp")})
+            replace_batch(late, number, f"{path}/late", "ingestDate")
+            rows = batch.filter(~behind).withColumn("ingestDate", F.to_date("timestamp"))
+            touched = upsert(spark, rows, f"{path}/rows", ["deviceId", "timestamp"], "ingestDate", "ingestedUtc", buckets, ["deviceId"])
+            if touched:
+                here = spark.read.option("basePath", f"{path}/rows").parquet(*[f"{path}/rows{f}" for f in touched])
+                hour = F.date_trunc("hour", "timestamp")
+                own = rows.select(F.col("deviceId").alias("_device"), hour.alias("_hour")).distinct()
+                same = here["deviceId"].eqNullSafe(own["_device"]) & (F.date_trunc("hour", here["timestamp"]) == own["_hour"])
+                missing = {t: F.lit(None).cast("double") for t in [*params.TELEMETRY_TAGS, "runHours"] if t not in here.columns}
+                missing |= {c: F.lit(None).cast("string") for c in ("assetId", "siteId") if c not in here.columns}
+                hours = gold.telemetry_hourly(here.join(own, same, "left_semi").withColumns(missing), expected_per_hour=expected_per_hour)
+                upsert(spark, hours, f"{path}/hours", ["deviceId", "timestamp"], "ingestDate", buckets=buckets, bucket_by=["deviceId"])
+            newest = batch.agg(F.max("timestamp").alias("newest")).filter("newest IS NOT NULL")
+            told = newest.select(F.lit(query).alias("query"), F.lit(number).alias("number"), "newest")
+            told.withColumn("batchId", F.lit(f"{query}-{number}")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+                "batchId").parquet(f"{path}/clock")
+        finally:
+            batch.unpersist()
 
     return merge
 
