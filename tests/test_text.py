@@ -246,3 +246,17 @@ def test_citations_are_numbered(spark):
     hits = spark.createDataFrame([("q", "SOP-2", 3.0), ("q", "SOP-1", 9.0)], "queryId string, id string, score double")
     (row,) = corpus.citations(hits, docs).collect()
     assert [(c["index"], c["id"]) for c in row.citations] == [(1, "SOP-1"), (2, "SOP-2")]
+
+
+def test_a_document_of_many_sections_is_cut_in_linear_time(spark):
+    body = "\n\n".join(f"## Part {i}\n{para(300)}" for i in range(20_000))
+    got = corpus.corpus_pieces(spark.createDataFrame([("D", body + "\n\n## Last\nshort")], "id string, content string")).collect()
+    assert [(r.heading, r.content) for r in got if r.isChunk] == chunks_by_hand(body + "\n\n## Last\nshort")
+    assert [r.ordinal for r in got if r.isChunk] == list(range(len(got) - sum(not r.isChunk for r in got)))
+
+
+def test_short_pieces_are_reported(spark):
+    docs = spark.createDataFrame([(f"D{i}", t, "public", "sop") for i, t in enumerate(TEXTS)], "id string, content string, classification string, docType string")
+    whole = corpus.corpus_report(corpus.corpus_pieces(docs)).filter("classification IS NULL AND docType IS NULL").first()
+    every = [p for t in TEXTS if t.strip() for p in [chunks_by_hand(t)]]
+    assert whole.chunks == sum(map(len, every)) and whole.documents == len(every) and whole.droppedPieces > 0 and whole.droppedChars > 0

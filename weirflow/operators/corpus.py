@@ -18,8 +18,6 @@ CAPS_LABEL = r"(?md)^([A-Z][A-Z0-9 /&()\-,.']{4,80}?)\.\s+(?=[A-Z0-9])"
 # Two code points that Unicode reserves for internal use, so no text holds them.
 OPEN, SPLIT = "\uFDD0", "\uFDD1"
 
-PAIR = "struct<heading:string,body:string>"
-
 
 def _cut(content: Column, pattern: str, replacement: str) -> Column:
     return F.split(F.regexp_replace(content, pattern, replacement), OPEN)
@@ -54,93 +52,101 @@ def split_sections(content: Column) -> Column:
     return rules.let(_cut(content, HEADING, f"{OPEN}$2{SPLIT}"), headed)
 
 
-def _state(done: Column, heads: Column, body: Column, size: Column) -> Column:
-    return F.struct(done.alias("done"), heads.alias("heads"), body.alias("body"), size.cast("int").alias("size"))
-
-
-def _empty(kind: str) -> Column:
-    return F.array().cast(f"array<{kind}>")
+RUNS = "array<struct<start:int,count:int>>"
 
 
-def _flushed(s: Column) -> Column:
-    chunk = F.struct(
-        F.array_join(F.filter(s["heads"], lambda h: h != ""), " / ").alias("heading"),
-        F.array_join(s["body"], "\n\n").alias("body"),
-    )
-    done = F.when(F.size(s["body"]) > 0, F.concat(s["done"], F.array(chunk))).otherwise(s["done"])
-    return _state(done, _empty("string"), _empty("string"), F.lit(0))
+def greedy_runs(texts: Column, body: Callable[[Column], Column], target: int | None) -> Column:
+    """Neighbours that go together, as (start, count): a run ends before it would pass the ceiling, or once it is long enough.
 
+    The fold carries the length of the open run and the starts so far; no text is copied, and an array grows only where a run starts.
+    """
+    sized = F.transform(texts, lambda t, i: F.struct((i + 1).alias("at"), F.length(body(t)).alias("size")))
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("open"))
 
-def _start() -> Column:
-    return _state(_empty(PAIR), _empty("string"), _empty("string"), F.lit(0))
+    def step(s: Column, x: Column) -> Column:
+        opens = (s["open"] == 0) | (s["open"] + x["size"] > MAX_CHARS)
+        size = F.when(opens, 0).otherwise(s["open"]) + x["size"] + 2
+        return F.struct(
+            F.when(opens, F.concat(s["starts"], F.array(x["at"]))).otherwise(s["starts"]).alias("starts"),
+            (size if target is None else F.when(size >= target, 0).otherwise(size)).cast("int").alias("open"),
+        )
 
+    def counted(starts: Column) -> Column:
+        after = lambda a, i: F.coalesce(F.get(starts, i + 1), F.size(texts) + 1)
+        return F.transform(starts, lambda a, i: F.struct(a.alias("start"), (after(a, i) - a).alias("count")))
 
-def _room(s: Column, over: Column, then: Callable[[Column], Column]) -> Column:
-    """Go on with the state, flushed first when the next text would not fit."""
-    return rules.let(F.when(over, _flushed(s)).otherwise(s), then)
+    return rules.let(F.aggregate(sized, start, step, lambda s: s["starts"]), counted).cast(RUNS)
 
 
 def coalesce_sections(sections: Column) -> Column:
     """Merge neighbours greedily until a chunk is long enough, without passing the ceiling."""
 
-    def step(s: Column, x: Column) -> Column:
-        length = F.length(x["body"])
-
-        def add(t: Column) -> Column:
-            more = _state(
-                t["done"], F.concat(t["heads"], F.array(x["heading"])), F.concat(t["body"], F.array(x["body"])),
-                t["size"] + length + 2,
-            )
-            return rules.let(more, lambda m: F.when(m["size"] >= TARGET_CHARS, _flushed(m)).otherwise(m))
+    def joined(own: Column) -> Column:
+        heads = F.filter(F.transform(own, lambda x: x["heading"]), lambda h: h != "")
+        bodies = F.transform(own, lambda x: x["body"])
+        return F.struct(F.array_join(heads, " / ").alias("heading"), F.array_join(bodies, "\n\n").alias("body"))
 
-        return _room(s, (s["size"] > 0) & (s["size"] + length > MAX_CHARS), add)
+    def chunks(every: Column) -> Column:
+        runs = greedy_runs(every, lambda x: x["body"], TARGET_CHARS)
+        return F.transform(runs, lambda r: rules.let(F.slice(every, r["start"], r["count"]), joined))
 
-    return F.aggregate(sections, _start(), step, lambda s: _flushed(s)["done"])
+    return rules.let(sections, chunks)
 
 
 def pack(body: Column) -> Column:
     """Pieces of an oversized section, split between paragraphs only."""
 
-    def step(s: Column, p: Column) -> Column:
-        def add(t: Column) -> Column:
-            return _state(t["done"], t["heads"], F.concat(t["body"], F.array(p)), t["size"] + F.length(p) + 2)
-
-        return _room(s, (s["size"] + F.length(p) > MAX_CHARS) & (F.size(s["body"]) > 0), add)
+    def pieces(every: Column) -> Column:
+        return F.transform(greedy_runs(every, lambda p: p, None), lambda r: F.array_join(F.slice(every, r["start"], r["count"]), "\n\n"))
 
     paragraphs = F.filter(F.transform(F.split(body, "\n\n"), text.strip), lambda p: p != "")
-    pieces = F.transform(F.aggregate(paragraphs, _start(), step, lambda s: _flushed(s)["done"]), lambda c: c["body"])
-    return F.when(F.length(body) <= MAX_CHARS, F.array(body)).otherwise(pieces)
+    return F.when(F.length(body) <= MAX_CHARS, F.array(body)).otherwise(rules.let(paragraphs, pieces))
 
 
-def chunk_corpus(docs: DataFrame) -> DataFrame:
-    """One row per chunk. A document's fold is row-local; documents are independent, so there is no shuffle.
+def corpus_pieces(docs: DataFrame) -> DataFrame:
+    """One row per piece of a document, and whether it is a chunk: all but short ones after the first. Chunks are numbered from 0. A document's fold is
+    row-local; documents are independent, so there is no shuffle.
 
     The outer explode keeps the optimizer from inferring a filter that would run the fold a second time.
     """
     rest = [c for c in docs.columns if c not in ("id", "content")]
     rows = docs.filter(text.strip(F.coalesce("content", F.lit(""))) != "")
-    pieces = F.flatten(
-        F.transform(
-            coalesce_sections(split_sections(F.col("content"))),
-            lambda c: F.transform(pack(c["body"]), lambda b: F.struct(c["heading"].alias("heading"), b.alias("content"))),
-        )
-    )
-    kept = F.filter(pieces, lambda p, i: (i == 0) | (F.length(p["content"]) >= MIN_CHARS))
-    rows = rows.select(F.col("id").alias("documentId"), *rest, F.posexplode_outer(kept).alias("ordinal", "_piece"))
-    return rows.filter(F.col("_piece").isNotNull()).select(
-        rules.stable_id("documentId", F.col("ordinal").cast("string"), length=40).alias("chunkId"),
-        "documentId", "ordinal", F.col("_piece.heading").alias("heading"), F.col("_piece.content").alias("content"), *rest,
-    )
+
+    def cut(chunk: Column) -> Column:
+        return F.transform(pack(chunk["body"]), lambda b: F.struct(chunk["heading"].alias("heading"), b.alias("content")))
+
+    def numbered(every: Column) -> Column:
+        long = lambda p, i: (i == 0) | (F.length(p["content"]) >= MIN_CHARS)
+        row = lambda number, p: F.struct(number.cast("int").alias("ordinal"), p["heading"].alias("heading"), p["content"].alias("content"))
+        chunks = F.transform(F.filter(every, long), lambda p, i: row(i, p))
+        short = F.transform(F.filter(every, lambda p, i: ~long(p, i)), lambda p: row(F.lit(None), p))
+        return F.concat(chunks, short)
+
+    pieces = rules.let(F.flatten(F.transform(coalesce_sections(split_sections(F.col("content"))), cut)), numbered)
+    rows = rows.select(F.col("id").alias("documentId"), *rest, F.explode_outer(pieces).alias("_piece"))
+    return rows.filter(F.col("_piece").isNotNull()).select("documentId", "_piece.*", F.col("_piece.ordinal").isNotNull().alias("isChunk"), *rest)
+
+
+def chunk_corpus(docs: DataFrame) -> DataFrame:
+    """One row per chunk."""
+    rest = [c for c in docs.columns if c not in ("id", "content")]
+    return corpus_pieces(docs).filter("isChunk").select(
+        rules.stable_id("documentId", F.col("ordinal").cast("string"), length=40).alias("chunkId"), "documentId", "ordinal", "heading", "content", *rest)
 
 
-def corpus_report(chunks: DataFrame) -> DataFrame:
-    """Chunks, documents and mean size, in total, by class and by type, in one pass over the chunks."""
+def corpus_report(pieces: DataFrame) -> DataFrame:
+    """Chunks, documents and mean size, and the short pieces that became no chunk and their characters, in total, by class and by type, in one pass. A table without
+    ``isChunk`` holds chunks only."""
+    chunk = F.col("isChunk") if "isChunk" in pieces.columns else F.lit(True)
+    size = F.length("content")
     return (
-        chunks.groupingSets([[], [F.col("classification")], [F.col("docType")]], "classification", "docType")
+        pieces.groupingSets([[], [F.col("classification")], [F.col("docType")]], "classification", "docType")
         .agg(
-            F.count(F.lit(1)).alias("chunks"),
-            F.countDistinct("documentId").alias("documents"),
-            rules.steady(F.avg(F.length("content")), 2).alias("meanChars"),
+            F.count_if(chunk).alias("chunks"),
+            F.countDistinct(F.when(chunk, F.col("documentId"))).alias("documents"),
+            rules.steady(F.avg(F.when(chunk, size)), 2).alias("meanChars"),
+            F.count_if(~chunk).alias("droppedPieces"),
+            F.coalesce(F.sum(F.when(~chunk, size)), F.lit(0)).alias("droppedChars"),
         )
     )
 

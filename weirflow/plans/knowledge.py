@@ -169,19 +169,78 @@ def sectioned(spark, sf_dir) -> DataFrame:
     return docs.withColumn("content", shaped)
 
 
-@query("txt_chunk_corpus")
+# The rules once more: sections by markers that no text holds, and the greedy runs as recursions, one step for each section or paragraph.
+VIEWS["blank"] = f"SELECT {' || '.join(f'chr({ord(c)})' for c in text.WHITE_SPACE)} AS ws, chr(64976) AS o, chr(64977) AS s, chr(10) || chr(10) AS gap"
+VIEWS["sectioned"] = """
+  SELECT * REPLACE (array_to_string(CASE CAST(substr(id, 5) AS BIGINT) % 3
+      WHEN 0 THEN list_transform(lines, lambda x, i: '## Part ' || (i - 1) || chr(10) || x)
+      WHEN 1 THEN list_transform(lines, lambda x, i: 'SECTION NUMBER ' || (i - 1) || '. ' ||
+                  array_to_string(list_transform(string_split(lower(x), ' '), lambda w: CASE WHEN w LIKE 'ß%' THEN 'Ss' ELSE upper(substr(w, 1, 1)) END || substr(w, 2)), ' '))
+      ELSE lines END, E'\\n\\n') AS content)
+  FROM (SELECT *, string_split(content, chr(10)) AS lines FROM knowledge) CROSS JOIN blank"""
+VIEWS["cut_up"] = r"""
+  SELECT * EXCLUDE (parts, o), CASE WHEN len(heads) > 1 THEN heads WHEN len(labels) > 2 THEN labels END AS parts, len(heads) <= 1 AS labelled FROM (
+  SELECT *, string_split(regexp_replace(content, '(?m)^\s{0,3}(#{1,4})\s+(.+?)\s*$', o || '\2' || s, 'g'), o) AS heads, NULL AS parts,
+         string_split(regexp_replace(content, '(?m)^([A-Z][A-Z0-9 /&()\-,.'']{4,80}?)\.\s+([A-Z0-9])', o || '\1' || s || '\0', 'g'), o) AS labels
+  FROM sectioned WHERE trim(coalesce(content, ''), ws) <> '')"""
+VIEWS["section_rows"] = r"""
+  SELECT id, generate_subscripts(own, 1) AS i, unnest(own, recursive := true) FROM (
+  SELECT id, CASE WHEN parts IS NULL THEN [{'heading': '', 'body': trim(content, ws)}] ELSE
+         list_filter([{'heading': '', 'body': trim(parts[1], ws)}], lambda x: length(x.body) >= 200) ||
+         list_filter(list_transform(parts[2:], lambda p: {'heading': CASE WHEN labelled THEN regexp_replace(trim(split_part(p, s, 1), ws), '\.+$', '') ELSE trim(split_part(p, s, 1), ws) END,
+                                                          'body': trim(substr(p, instr(p, s) + 1), ws)}), lambda x: x.body <> '') END AS own
+  FROM cut_up)"""
+
+
+def _greedy(rows: str, key: str, size: str, target: str) -> str:
+    """(key, i, opens) of each row of ``rows``, in the order of i from 1."""
+    after = lambda open_: f"CASE WHEN {open_} >= {target} THEN 0 ELSE {open_} END"
+    return f"""
+      WITH RECURSIVE walk(key, i, opens, open) AS (
+        SELECT {key}, i, TRUE, {after(f'length({size}) + 2')} FROM {rows} WHERE i = 1
+        UNION ALL
+        SELECT w.key, r.i, w.open = 0 OR w.open + length({size}) > 2400,
+               {after(f'(CASE WHEN w.open = 0 OR w.open + length({size}) > 2400 THEN 0 ELSE w.open END + length({size}) + 2)')}
+        FROM walk w JOIN {rows} r ON w.key = r.{key} AND r.i = w.i + 1)
+      SELECT key, i, sum(opens::INT) OVER (PARTITION BY key ORDER BY i) AS run FROM walk"""
+
+
+VIEWS["section_runs"] = _greedy("section_rows", "id", "body", "900")
+VIEWS["merged_sections"] = """
+  SELECT id || '/' || run AS chunk, id, run, array_to_string(coalesce(list(heading ORDER BY i) FILTER (heading <> ''), []), ' / ') AS heading, array_to_string(list(body ORDER BY i), E'\\n\\n') AS body
+  FROM section_rows JOIN (SELECT key AS id, i, run FROM section_runs) USING (id, i) CROSS JOIN blank GROUP BY id, run"""
+VIEWS["paragraphs"] = """
+  SELECT chunk, generate_subscripts(own, 1) AS i, unnest(own) AS p FROM (
+  SELECT chunk, list_filter(list_transform(string_split(body, gap), lambda x: trim(x, ws)), lambda x: x <> '') AS own FROM merged_sections CROSS JOIN blank WHERE length(body) > 2400)"""
+VIEWS["paragraph_runs"] = _greedy("paragraphs", "chunk", "p", "1e18")
+VIEWS["pieces"] = """
+  SELECT *, place = 1 OR length(content) >= 200 AS isChunk FROM (
+  SELECT id, heading, content, row_number() OVER (PARTITION BY id ORDER BY run, piece) AS place FROM (
+    SELECT id, run, 0 AS piece, heading, body AS content FROM merged_sections WHERE length(body) <= 2400
+    UNION ALL
+    SELECT id, m.run, p.run, heading, content FROM merged_sections m JOIN (
+      SELECT chunk, run, array_to_string(list(p ORDER BY i), E'\\n\\n') AS content FROM paragraphs JOIN (SELECT key AS chunk, i, run FROM paragraph_runs) USING (chunk, i) CROSS JOIN blank GROUP BY chunk, run) p
+    USING (chunk)))"""
+
+
+@query("txt_chunk_corpus", sql("""
+  SELECT sha1(concat_ws('|', id, ordinal::VARCHAR)) AS chunkId, id AS documentId, ordinal, heading, p.content, docType, classification
+  FROM (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY place) - 1)::INT AS ordinal FROM pieces WHERE isChunk) p JOIN knowledge k USING (id)"""))
 def txt_chunk_corpus(spark, sf_dir):
     rows = corpus.chunk_corpus(sectioned(spark, sf_dir))
     return rows.select("chunkId", "documentId", "ordinal", "heading", "content", "docType", "classification")
 
 
-@query("agg_corpus_report")
+@query("agg_corpus_report", sql("""SELECT classification, docType, count(*) FILTER (isChunk) AS chunks, count(DISTINCT id) FILTER (isChunk) AS documents,
+    round(avg(length(p.content)) FILTER (isChunk), 2) AS meanChars, count(*) FILTER (NOT isChunk) AS droppedPieces,
+    coalesce(sum(length(p.content)) FILTER (NOT isChunk), 0)::BIGINT AS droppedChars
+    FROM pieces p JOIN knowledge k USING (id) GROUP BY GROUPING SETS ((), (classification), (docType))"""))
 def agg_corpus_report(spark, sf_dir):
-    return corpus.corpus_report(corpus.chunk_corpus(sectioned(spark, sf_dir)))
+    return corpus.corpus_report(corpus.corpus_pieces(sectioned(spark, sf_dir)))
 
 
 @query("agg_corpus_report_documents", sql("""SELECT classification, docType, count(*) AS chunks, count(DISTINCT id) AS documents,
-    round(avg(length(content)), 2) AS meanChars FROM knowledge GROUP BY GROUPING SETS ((), (classification), (docType))"""))
+    round(avg(length(content)), 2) AS meanChars, 0 AS droppedPieces, 0 AS droppedChars FROM knowledge GROUP BY GROUPING SETS ((), (classification), (docType))"""))
 def agg_corpus_report_documents(spark, sf_dir):
     return corpus.corpus_report(b.knowledge(spark, sf_dir).withColumnRenamed("id", "documentId"))
 
