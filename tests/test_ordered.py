@@ -127,3 +127,17 @@ def test_latest_row_is_the_same_on_every_run(spark):
         ordered.latest_by(df.repartition(n), ["k"], [F.col("at"), ordered.tie_hash(df, ["k"])]).first().v for n in (1, 3, 7)
     }
     assert len(picks) == 1
+
+
+def test_ranks_without_keys_are_cut_evenly_whatever_the_values(spark):
+    rng = random.Random(2)
+    values = [rng.random() for _ in range(20_000)] + [1e300, -1e300, float("nan"), float("inf"), -float("inf"), None, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    sizes = [r["count"] for r in ordered.with_piece(df, "v").groupBy("_piece").count().collect()]
+    assert len(sizes) > ordered.RANK_PIECES * 0.9 and max(sizes) < 20_000 / ordered.RANK_PIECES * 5
+    got = [(r.v, r["rank"]) for r in ordered.with_rank(df, [], "v").collect()]
+    key = lambda v: (2,) if v is None else (0,) if v != v else (1, -v)
+    place = {}
+    for i, v in enumerate(sorted(values, key=key), 1):
+        place.setdefault(key(v), i)
+    assert len(got) == len(values) and all(place[key(v)] == r for v, r in got)

@@ -243,18 +243,14 @@ def with_rank(df: DataFrame, keys: Sequence[str], by: str, name: str = "rank") -
     """Add the SQL ``rank`` of each row within its key, greatest ``by`` first.
 
     Meant for rounded figures: rows are counted per distinct value before they are ordered, so the ordering sees
-    one row per value and not one per row, and the ranks are joined back by value. Without keys the values are cut into
-    ``RANK_PIECES`` equal steps from the greatest to the least, so that no task orders them all.
+    one row per value and not one per row, and the ranks are joined back by value. Without keys the values are cut at
+    quantiles of a mergeable sketch into ``RANK_PIECES`` pieces of about as many distinct values each, wherever they lie, so that no task orders them all.
     """
     counts = df.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("_n"))
     if keys:
         upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.col(by).desc()))
     else:
-        ends = counts.agg(F.struct(F.min(by).alias("low"), F.max(by).alias("high"))).scalar()
-        counts = counts.withColumn("_ends", ends)
-        share = F.try_divide(F.col("_ends.high") - F.col(by), F.col("_ends.high") - F.col("_ends.low"))
-        piece = F.when(F.col(by).isNull(), RANK_PIECES + 1).otherwise(F.coalesce(F.floor(share * RANK_PIECES), F.lit(0)))
-        counts = counts.withColumn("_piece", piece).drop("_ends")
+        counts = with_piece(counts, by)
         pieces = counts.groupBy("_piece").agg(F.sum("_n").alias("_all"))  # RANK_PIECES + 2 rows at most
         before = F.sum("_all").over(Window.orderBy("_piece")) - F.col("_all")
         counts = counts.join(pieces.select("_piece", before.alias("_before")), "_piece")
@@ -267,6 +263,19 @@ def with_rank(df: DataFrame, keys: Sequence[str], by: str, name: str = "rank") -
     return df.join(ranks, same).drop(*mine.values())
 
 
+def with_piece(values: DataFrame, by: str) -> DataFrame:
+    """Add ``_piece`` to distinct ``values``, from the greatest: NaN, the stretches between quantiles, NULL."""
+    number = F.col(by).cast("double")
+    shares = [i / RANK_PIECES for i in range(1, RANK_PIECES)]
+    cuts = values.agg(F.percentile_approx(F.when(~F.isnan(number), number), shares, 10 * RANK_PIECES).alias("cuts"))
+    cuts = cuts.select(F.coalesce(F.reverse(F.array_sort(F.array_distinct("cuts"))), F.array().cast("array<double>"))).scalar()
+    # how many cuts lie above the value, by bisection
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(RANK_PIECES.bit_length()))])
+    above = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get("_cuts", n + step - 1) > number, n + step).otherwise(n))
+    piece = F.when(F.col(by).isNull(), RANK_PIECES + 1).when(F.isnan(number), 0).otherwise(above + 1)
+    return values.withColumn("_cuts", cuts).withColumn("_piece", piece).drop("_cuts")
+
+
 def tie_hash(df: DataFrame, keys: Sequence[str]) -> Column:
     """Hash of the columns besides the keys, to settle ties the same way on every run."""
     cells = []
