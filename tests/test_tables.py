@@ -370,3 +370,10 @@ def test_windows_end_at_as_of(spark):
     rows = spark.sql("SELECT explode(sequence(timestamp'2024-01-01', timestamp'2024-01-05', interval 1 day)) AS ts")
     now = F.lit("2024-01-03 00:00:00").cast("timestamp")
     assert [str(r.ts)[:10] for r in rows.filter(rules.within("ts", now, 24)).orderBy("ts").collect()] == ["2024-01-02", "2024-01-03"]
+
+
+def test_folders_are_named_as_the_writer_names_them(spark, tmp_path):
+    values = ["plain", "a b", "x/y", "50%", "k=v", "é", "q?\"'[]^{}:*#\\", None]
+    spark.createDataFrame([(v, dt.date(2024, 1, 2), 3) for v in values], "p string, d date, n int").write.partitionBy("p", "d").parquet(str(tmp_path / "t"))
+    rows = spark.createDataFrame([(v, dt.date(2024, 1, 2)) for v in values], "p string, d date").collect()
+    assert all((tmp_path / ("t" + writers.folder_of(r))).is_dir() for r in rows)

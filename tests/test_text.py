@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -260,3 +261,21 @@ def test_short_pieces_are_reported(spark):
     whole = corpus.corpus_report(corpus.corpus_pieces(docs)).filter("classification IS NULL AND docType IS NULL").first()
     every = [p for t in TEXTS if t.strip() for p in [chunks_by_hand(t)]]
     assert whole.chunks == sum(map(len, every)) and whole.documents == len(every) and whole.droppedPieces > 0 and whole.droppedChars > 0
+
+
+def test_terms_are_found_in_words_by_their_rarest_run(spark):
+    rng = random.Random(8)
+    words = {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 12))) for _ in range(400)} | {"😀ab", "x" * 200_000 + "abc"}
+    terms = {"".join(rng.choice("abcé") for _ in range(rng.randint(3, 5))) for _ in range(60)} | {"zzz", "aaa", "😀ab"}
+    got = corpus.words_holding(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert sorted(map(tuple, got.collect())) == sorted((w, t, w.count(t)) for w in words for t in terms if t in w)
+
+
+def test_keyword_retrieval_reads_the_documents_once(spark, tmp_path):
+    spark.createDataFrame(DOCS, DOC_SCHEMA).write.parquet(str(tmp_path / "docs"))
+    docs, queries = spark.read.parquet(str(tmp_path / "docs")), spark.createDataFrame([("q", "chlorine residual drops")], "queryId string, query string")
+    found = corpus.retrieve_keyword(docs, queries, top_k=2)
+    assert found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert final.count("FileScan") == 1

@@ -174,31 +174,43 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return rows.groupBy("queryId", "termCount", "term").agg(F.count(F.lit(1)).alias("uses"))
 
 
+def grams(word: Column) -> Column:
+    """The different runs of three characters in a word, in time linear in it."""
+    return F.array_distinct(F.regexp_extract_all(word, F.lit("(?s)(?=(...))"), F.lit(1)))
+
+
+def words_holding(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
+    """(word, term, times): the words that have a term in them, of those that are given.
+
+    An inverted index over the words: each is filed under its runs of three characters, each term is looked up under the one that fewest words have,
+    and only the words found there are read. Terms have three characters at least.
+    """
+    postings = vocabulary.select("word", F.explode(grams(F.col("word"))).alias("gram"))
+    spread = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = terms.select("term", F.explode(grams(F.col("term"))).alias("gram")).join(spread, "gram", "left").groupBy("term").agg(
+        F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
+    found = postings.join(rarest, "gram").filter(F.contains("word", "term"))
+    return found.select("word", "term", text.occurrences(F.col("word"), F.col("term")).alias("inWord"))
+
+
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """How often each term occurs, as a substring, in each document, and whether its title has it.
 
-    A term has word characters only, so each occurrence lies inside one word of the document. The distinct words
-    are matched to the terms through their substrings (an equi-join); the documents then only join on words.
-    Nothing pairs every document with every term, and rows shrink to matched words before they are shuffled.
+    A term has word characters only, so each occurrence lies inside one word of the document. The documents are read once, as the counts of their words;
+    terms meet them through the different words. Nothing pairs every document with every term.
     """
     marked = F.concat(
         F.transform(text.words(F.col("title")), lambda w: F.struct(w.alias("word"), F.lit(1).alias("inTitle"))),
         F.transform(text.words(F.col("content")), lambda w: F.struct(w.alias("word"), F.lit(0).alias("inTitle"))),
     )
-    said = docs.select("id", F.inline(marked))
-    lengths = terms.agg(F.array_sort(F.collect_set(F.length("term")))).scalar()  # a few dozen numbers
-    vocabulary = said.select("word").distinct().withColumn("_lengths", lengths)
-    # Substrings come as rows: a word may be a megabyte long, and they never lie in one array.
-    sized = vocabulary.select("word", F.explode("_lengths").alias("_n")).filter(F.length("word") >= F.col("_n"))
-    placed = sized.select("word", "_n", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("_n") + 1)).alias("_at"))
-    parts = placed.select("word", F.substring("word", F.col("_at"), F.col("_n")).alias("term"))
-    holds = parts.join(terms, "term").distinct()
-    holds = holds.withColumn("times", text.occurrences(F.col("word"), F.col("term")))
+    said = docs.select("id", F.inline(marked)).groupBy("word", "id").agg(F.count(F.lit(1)).alias("said"), F.max("inTitle").alias("inTitle"))
+    # the conditions always hold: they need the columns that the join below needs, so both read the same shuffled words
+    vocabulary = said.groupBy("word").agg(F.sum("said").alias("said"), F.max("inTitle").alias("inTitle")).filter("said > 0 AND inTitle >= 0").select("word")
+    holds = words_holding(vocabulary, terms)
     return (
         said.join(holds, "word")
-        .repartition("id")
         .groupBy("id", "term")
-        .agg(F.sum("times").alias("times"), F.max("inTitle").alias("inTitle"))
+        .agg(F.sum(F.col("inWord") * F.col("said")).alias("times"), F.max("inTitle").alias("inTitle"))
     )
 
 

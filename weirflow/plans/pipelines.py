@@ -175,7 +175,7 @@ def str_to_gold(spark, sf_dir):
 def merged(spark, rows: DataFrame, clean, keys: list[str]) -> str:
     """Bronze rows in three batches, so that corrections come before and after what they correct, merged by key; the folder of the table."""
     path = shared_dir(spark, "silver")
-    merge = jobs.merge_latest(spark, f"{path}/clean", keys, buckets=4)
+    merge = jobs.merge_latest(spark, f"{path}/clean", keys, buckets=2)
     part = F.pmod(F.xxhash64("eventTimeUtc", "enqueuedUtc", "siteId"), F.lit(3))
     in_batches(spark, rows.withColumn("part", part), 3, lambda stream: jobs.start(clean(stream), merge, f"{path}/checkpoint", once=True).awaitTermination())
     return path
@@ -240,7 +240,7 @@ def hours_kept(spark, sf_dir) -> str:
         (F.col("value") * 0.1372904651).alias("vibration_mm_s"), F.col("k").cast("double").alias("runHours"),
         F.least(F.lit(2), turn + fixed.cast("int")).alias("part"),
     )
-    keep = jobs.keep_hours(spark, path, expected_per_hour=b.EXPECTED_PER_HOUR, buckets=2)
+    keep = jobs.keep_hours(spark, path, expected_per_hour=b.EXPECTED_PER_HOUR, buckets=1)
     in_batches(spark, rows, 3, lambda stream: jobs.start(stream, keep, f"{path}/checkpoint", once=True).awaitTermination())
     return path
 

@@ -14,7 +14,7 @@ import uuid
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.functions import ordered
@@ -101,20 +101,24 @@ def upsert(
     staging = f"{path.rstrip('/')}__staging/{uuid.uuid4().hex}"
     source = bucketed(source, bucket_by or keys, buckets)
     folders = [*([partition] if partition else []), *([f"{BUCKET}{buckets}"] if buckets > 1 else [])]
-    # Written once, in the table's own folders, whose names tell what the batch touches.
     exists = path_exists(spark, path)
     try:
-        write_folders(source if exists and order is not None else one_per_key(source, folders, keys, order), f"{staging}/in", folders)
+        # Written once: the steps below read the rows twice, and must see the same ones. The first rows of a table are the table.
+        if exists:
+            (source if order is not None else one_per_key(source, folders, keys, order)).write.parquet(f"{staging}/in")
+        else:
+            write_folders(one_per_key(source, folders, keys, order), f"{staging}/in", folders)
     except Exception as error:
         delete_dir(spark, staging)
         if AMBIGUOUS in str(error):
             raise ValueError(f"{AMBIGUOUS} {keys}") from None
         raise
-    touched = leaf_folders(spark, f"{staging}/in", len(folders))
     if not exists:
         move_dir(spark, f"{staging}/in", f"{staging}/{MERGED}")
-    elif touched:
+    else:
         new = spark.read.schema(source.schema).parquet(f"{staging}/in")
+        # as many as the batch has days and buckets
+        touched = [folder_of(r) for r in new.select(*folders).distinct().collect()] if folders else [""]
         known = [path + f for f in touched if path_exists(spark, path + f)]
         if known:
             old = spark.read.option("basePath", path).parquet(*known)
@@ -127,6 +131,16 @@ def upsert(
     return put_in_place(spark, staging, path, len(folders))
 
 
+def folder_of(values: Row) -> str:
+    """The folder that partition values lie in, below the table."""
+    escaped = lambda v: "".join(f"%{ord(c):02X}" if c < " " or c in UNSAFE else c for c in str(v))
+    return "".join(f"/{c}={NO_VALUE if v is None or v == '' else escaped(v)}" for c, v in values.asDict().items())
+
+
+#: Characters that are percent-encoded in folder names, besides control characters.
+UNSAFE = "\"#%'*/:=?\\\x7f{[]^"
+
+
 def write_folders(rows: DataFrame, path: str, folders: list[str]) -> None:
     """Rows as new files, few to a folder; a large folder is split over several tasks."""
     if folders:

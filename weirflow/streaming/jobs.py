@@ -192,8 +192,7 @@ def keep_hours(
         behind = F.coalesce(F.col("timestamp") < mark, F.col("timestamp").isNull())
         batch = batch.persist()
         try:
-            late = batch.filter(behind).withColumns({"watermark": mark, "ingestDate": F.to_date("timestamp")})
-            replace_batch(late, number, f"{path}/late", "ingestDate")
+            replace_batch(batch.filter(behind).withColumn("watermark", mark), number, f"{path}/late")
             rows = batch.filter(~behind).withColumn("ingestDate", F.to_date("timestamp"))
             touched = upsert(spark, rows, f"{path}/rows", ["deviceId", "timestamp"], "ingestDate", "ingestedUtc", buckets, ["deviceId"])
             if touched:
