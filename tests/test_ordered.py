@@ -141,3 +141,15 @@ def test_ranks_without_keys_are_cut_evenly_whatever_the_values(spark):
     for i, v in enumerate(sorted(values, key=key), 1):
         place.setdefault(key(v), i)
     assert len(got) == len(values) and all(place[key(v)] == r for v, r in got)
+
+
+def test_a_hot_null_key_is_cut_like_any_other(spark):
+    rows = spark.createDataFrame([(None if i % 3 else "a", i) for i in range(30)], "k string, v int")
+    mine = ordered.split_hot(rows, ["k"], lambda df: df.withColumn("way", F.lit("cold")), lambda df: df.withColumn("way", F.lit("hot")))
+    assert {r.way for r in mine.collect()} == {"cold"}
+    before, ordered.HOT_ROWS = ordered.HOT_ROWS, 15
+    try:
+        mine = ordered.split_hot(rows, ["k"], lambda df: df.withColumn("way", F.lit("cold")), lambda df: df.withColumn("way", F.lit("hot")))
+        assert {(r.k, r.way) for r in mine.collect()} == {("a", "cold"), (None, "hot")} and mine.count() == 30
+    finally:
+        ordered.HOT_ROWS = before

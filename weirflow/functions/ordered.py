@@ -8,6 +8,8 @@ totals carried across.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,10 +51,12 @@ def split_hot(
     """Ordinary keys go through ``cold`` (a window per key), hot ones through ``hot`` (cut into pieces).
 
     The list of hot keys is short by construction, so it may be broadcast and the rows are told apart before any
-    shuffle. Without hot keys the second branch is empty, and adaptive execution drops it.
+    shuffle. Without hot keys the second branch is empty, and adaptive execution drops it. NULL is a key like any other.
     """
-    large = F.broadcast(hot_keys(df, keys))
-    return cold(df.join(large, list(keys), "left_anti")).unionByName(hot(df.join(large, list(keys), "left_semi")))
+    listed = hot_keys(df, keys)
+    large = F.broadcast(listed.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys))
+    return cold(df.join(large, same, "left_anti")).unionByName(hot(df.join(large, same, "left_semi")))
 
 
 def with_positions(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str] = ()) -> DataFrame:

@@ -377,21 +377,31 @@ def cnv_deletion_report(spark, sf_dir):
 
 def traces(spark, sf_dir) -> DataFrame:
     rows = q.approval_intent(q.extract_ids(routed(spark, sf_dir)))
-    return conv.trace_log(rows.withColumn("elapsedMs", F.length("question").cast("long") * 7 % 2000))
+    rows = rows.withColumns({
+        "elapsedMs": F.length("question").cast("long") * 7 % 2000, "userId": F.concat(F.lit("U-"), F.regexp_extract("questionId", "Q-([0-9]+)-", 1)),
+    })
+    # the first question of a conversation cites the document of the same number
+    cited = b.knowledge(spark, sf_dir).select(F.concat(F.lit("Q-"), F.substring("id", 5, 20), F.lit("-0")).alias("id"), F.array("id").alias("citations"))
+    return conv.trace_log(rows, citations=cited)
 
 
-VIEWS["traced"] = """SELECT r.questionId AS id, entities, strategy, conf, specialists, devices, i.siteIds, length(r.question) * 7 % 2000 AS elapsedMs
-    FROM routed r JOIN ids i ON i.questionId = r.questionId"""
+VIEWS["traced"] = """SELECT r.questionId AS id, entities, strategy, conf, specialists, devices, i.siteIds, length(r.question) * 7 % 2000 AS elapsedMs,
+    'U-' || split_part(r.questionId, '-', 2) AS userId, coalesce(k.id, '') AS cited
+    FROM routed r JOIN ids i ON i.questionId = r.questionId LEFT JOIN knowledge k ON r.questionId = 'Q-' || substr(k.id, 5) || '-0'"""
 
 
 @query("cnv_trace_log", sql("""SELECT id, 'trace' AS type, strategy, conf AS confidence, array_to_string(specialists, ',') AS specialists,
     array_to_string(devices, ',') AS deviceIds, array_to_string(siteIds, ',') AS siteIds,
-    array_to_string(entities, ',') AS entities, elapsedMs FROM traced"""))
+    array_to_string(entities, ',') AS entities, elapsedMs, userId, cited AS citations, 'rules' AS orchestrationMode,
+    'devices=' || CASE WHEN len(devices) > 0 THEN 'ok' ELSE 'empty' END || ',knowledge=' || CASE WHEN cited <> '' THEN 'ok' ELSE 'empty' END
+      || ',ontology=' || CASE WHEN len(entities) > 0 THEN 'ok' ELSE 'empty' END || ',routing=' || CASE WHEN len(specialists) > 0 THEN 'ok' ELSE 'empty' END
+      || ',sites=' || CASE WHEN len(siteIds) > 0 THEN 'ok' ELSE 'empty' END AS layerStatus FROM traced"""))
 def cnv_trace_log(spark, sf_dir):
     return traces(spark, sf_dir).select(
         "id", "type", "route.strategy", "route.confidence", F.array_join("route.specialists", ",").alias("specialists"),
         F.array_join("deviceIds", ",").alias("deviceIds"), F.array_join("siteIds", ",").alias("siteIds"),
-        F.array_join("entities", ",").alias("entities"), "elapsedMs",
+        F.array_join("entities", ",").alias("entities"), "elapsedMs", "userId", F.array_join("citations", ",").alias("citations"), "orchestrationMode",
+        F.array_join(F.array_sort(F.transform(F.map_entries("layerStatus"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",").alias("layerStatus"),
     )
 
 
@@ -402,7 +412,9 @@ def cnv_trace_report(spark, sf_dir):
     return conv.trace_report(traces(spark, sf_dir))
 
 
-@query("cnv_specialist_report", sql("""SELECT specialist, count(*) AS turns, max(elapsedMs) AS maxMs
+@query("cnv_specialist_report", sql("""SELECT specialist, count(*) AS turns, max(elapsedMs) AS maxMs,
+    list_sort(list(elapsedMs))[CAST(ceil(count(*) * 0.5) AS INT)] AS p50Ms,
+    list_sort(list(elapsedMs))[CAST(ceil(count(*) * CAST(0.95 AS DOUBLE)) AS INT)] AS p95Ms
     FROM (SELECT unnest(specialists) AS specialist, elapsedMs FROM traced) GROUP BY 1"""))
 def cnv_specialist_report(spark, sf_dir):
     return conv.specialist_report(traces(spark, sf_dir))

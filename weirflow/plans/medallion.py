@@ -260,9 +260,12 @@ def str_late_flag(spark, sf_dir):
     return flag_late(rows).select("event_id", "ingestLagSeconds", "isReplay")
 
 
-@query("set_array_except", sql("""SELECT deviceId, "timestamp", array_to_string(qualityFlags, ',') AS qualityFlags
-    FROM hourly WHERE len(qualityFlags) > 0"""))
+@query("set_array_except", sql("""SELECT deviceId, "timestamp", len(flags) AS n, array_to_string(flags, ',') AS qualityFlags FROM (
+    SELECT deviceId, "timestamp", list_filter([CASE WHEN isFlatline THEN 'suspect_flatline' END, CASE WHEN hadOutOfRange THEN 'suspect_range' END,
+                                               CASE WHEN isReplay THEN 'replayed' END], lambda x: x IS NOT NULL) AS flags FROM silver) WHERE len(flags) > 0"""))
 def set_array_except(spark, sf_dir):
-    rows = hourly(spark, sf_dir).withColumn("qualityFlags", F.array_compact("qualityFlags"))
-    rows = rows.filter(F.size("qualityFlags") > 0)
-    return rows.select("deviceId", "timestamp", F.array_join("qualityFlags", ",").alias("qualityFlags"))
+    """All the flags that a row earned, where its verdict names the gravest only: each is there or NULL, and the NULLs go."""
+    tests = {"suspect_flatline": "isFlatline", "suspect_range": "hadOutOfRange", "replayed": "isReplay"}
+    every = F.array(*[F.when(F.col(test), flag) for flag, test in tests.items()])
+    rows = silver_telemetry(spark, sf_dir).withColumn("flags", F.array_compact(every)).filter(F.size("flags") > 0)
+    return rows.select("deviceId", "timestamp", F.size("flags").cast("long").alias("n"), F.array_join("flags", ",").alias("qualityFlags"))
