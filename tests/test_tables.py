@@ -213,6 +213,10 @@ def test_hours_take_corrections_and_late_rows_are_kept_aside(spark, tmp_path):
         late = spark.read.parquet(f"{path}/late")
         assert sorted((r.deviceId, r.watermark) for r in late.collect()) == [("a", T0 + timedelta(hours=16)), ("d", T0 + timedelta(hours=16))]
         assert writers.read_table(spark, f"{path}/rows").count() == 6
+    for n in range(2, 6):
+        send(n, ("d", 61, 61, True, 2.0))
+    assert len([p for p in (tmp_path / "h" / "clock").iterdir() if "=" in p.name]) == 2
+    assert spark.read.parquet(f"{path}/clock").agg(F.max("newest")).first()[0] == T0 + timedelta(hours=61)
     untouched = [f for f in (tmp_path / "h" / "hours").rglob("*.parquet") if files.get(f) == f.stat().st_mtime_ns]
     assert untouched  # the first day's buckets that no row fell into
 
@@ -289,7 +293,7 @@ def test_silent_devices_come_and_go(spark, tmp_path):
         stream = readers.stream_files(spark, str(inbox), schema)
         watch = jobs.watch_silence(spark, str(tmp_path / "out"))
         jobs.start(stream, watch, str(tmp_path / "cp"), once=True).awaitTermination()
-        return [(r.deviceId, r.lastSeen) for r in spark.read.parquet(str(tmp_path / "out" / "silent")).collect()]
+        return [(r.deviceId, r.lastSeen) for r in jobs.silent_devices(spark, str(tmp_path / "out")).collect()]
 
     assert send("1.json", ("a", 0), ("a", 5), ("b", 0)) == []
     assert send("2.json", ("b", 60), ("b", 76), ("b", 75)) == [("a", T0 + timedelta(minutes=5))]

@@ -295,8 +295,8 @@ def str_silent_device(spark, sf_dir):
     rows = ingest.drop_unattributed(ingest.lift_envelope(messages(stream_of(spark, sf_dir, "events")))).select(
         "deviceId", F.col("eventTimeUtc").alias("timestamp"), "enqueuedUtc"
     )
-    jobs.start(rows, jobs.watch_silence(spark, path), f"{path}/checkpoint", once=True).awaitTermination()
-    return spark.read.parquet(f"{path}/silent")
+    jobs.start(rows, jobs.watch_silence(spark, path, buckets=4), f"{path}/checkpoint", once=True).awaitTermination()
+    return jobs.silent_devices(spark, path)
 
 
 # ---------------------------------------------------------------- tables

@@ -16,8 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from weirflow import params, schemas
 from weirflow.functions import ordered, rules
 from weirflow.operators import gold, silver
-from weirflow.session import local_table, path_exists
-from weirflow.sources.writers import expire, read_table, upsert, write_snapshot
+from weirflow.session import delete_dir, local_table, path_exists, subfolders
+from weirflow.sources.writers import expire, read_table, upsert
 from weirflow.streaming.ingest import DEAD_LETTERS, ROUTES, ahead, to_bronze
 
 FLUSH = "120 seconds"
@@ -204,10 +204,14 @@ def keep_hours(
                 missing |= {c: F.lit(None).cast("string") for c in ("assetId", "siteId") if c not in here.columns}
                 hours = gold.telemetry_hourly(here.join(own, same, "left_semi").withColumns(missing), expected_per_hour=expected_per_hour)
                 upsert(spark, hours, f"{path}/hours", ["deviceId", "timestamp"], "ingestDate", buckets=buckets, bucket_by=["deviceId"])
-            newest = batch.agg(F.max("timestamp").alias("newest")).filter("newest IS NOT NULL")
-            told = newest.select(F.lit(query).alias("query"), F.lit(number).alias("number"), "newest")
-            told.withColumn("batchId", F.lit(f"{query}-{number}")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-                "batchId").parquet(f"{path}/clock")
+            newest = F.greatest(F.max("timestamp"), F.lit(before).cast("timestamp"))
+            told = batch.agg(newest.alias("newest")).select(F.lit(query).alias("query"), F.lit(number).alias("number"), "newest")
+            replace_batch(told, number, f"{path}/clock")
+            # a later batch needs the newest time so far, which is in this row and, should this batch be repeated, in the one before
+            for folder in subfolders(spark, f"{path}/clock"):
+                own, _, n = folder.rpartition("batchId=")[2].rpartition("-")
+                if own == query and int(n) < number - 1:
+                    delete_dir(spark, folder)
         finally:
             batch.unpersist()
 
@@ -237,27 +241,29 @@ def append_rows(path: str, *partitions: str) -> Callable[[DataFrame, int], None]
     return lambda batch, number: replace_batch(batch, number, path, *partitions)
 
 
-def watch_silence(
-    spark: SparkSession, path: str, *, minutes: int = 60, lateness_minutes: int = 10
-) -> Callable[[DataFrame, int], None]:
-    """Keep the last sample of each device, and a table of the devices that are silent now.
+def watch_silence(spark: SparkSession, path: str, *, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """Keep the last sample of each device, and the hub's clock; :func:`silent_devices` tells from them who is silent now.
 
     Rows carry ``deviceId``, ``timestamp`` and ``enqueuedUtc``, the arrival. A batch shrinks to one row per device before it is
-    shuffled, so a chatty device costs no more than a quiet one, and the state is two time stamps per device. The hub's clock
-    decides: a device is silent once the newest arrival of the fleet, less the lateness, is ``minutes`` past the device's last
-    sample. Samples from after their own arrival tell nothing about when a device was seen, and are left to the dead letters.
+    shuffled, so a chatty device costs no more than a quiet one. The state is two time stamps per device, in key buckets, of which a batch reads and writes those of
+    its devices. Samples from after their own arrival tell nothing about when a device was seen, and are left to the dead letters.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         seen = batch.filter(~ahead("timestamp", "enqueuedUtc")).groupBy("deviceId").agg(
             F.max("timestamp").alias("lastSeen"), F.max("enqueuedUtc").alias("lastArrival")
         )
-        upsert(spark, seen, f"{path}/last_seen", ["deviceId"], order="lastSeen")
-        last = spark.read.parquet(f"{path}/last_seen")
-        newest = F.greatest(last.agg(F.max("lastArrival")).scalar(), F.lit(batch.agg(F.max("enqueuedUtc")).first()[0]))
-        now = newest - F.make_dt_interval(mins=F.lit(lateness_minutes))
-        since = F.col("lastSeen") + F.make_dt_interval(mins=F.lit(minutes))
-        silent = last.withColumn("silentSince", since).filter(F.col("silentSince") < now)
-        write_snapshot(silent.drop("lastArrival"), f"{path}/silent")
+        upsert(spark, seen, f"{path}/last_seen", ["deviceId"], order="lastSeen", buckets=buckets)
+        newest = batch.agg(F.max("enqueuedUtc").alias("newest")).filter("newest IS NOT NULL")
+        upsert(spark, newest.withColumn("clock", F.lit("hub")), f"{path}/clock", ["clock"], order="newest")
 
     return merge
+
+
+def silent_devices(spark: SparkSession, path: str, *, minutes: int = 60, lateness_minutes: int = 10) -> DataFrame:
+    """The devices that are silent now. The hub's clock decides: a device is silent once the newest arrival of the fleet, less the
+    lateness, is ``minutes`` past the device's last sample."""
+    newest = spark.read.parquet(f"{path}/clock").agg(F.max("newest")).scalar()
+    now = newest - F.make_dt_interval(mins=F.lit(lateness_minutes))
+    since = F.col("lastSeen") + F.make_dt_interval(mins=F.lit(minutes))
+    return read_table(spark, f"{path}/last_seen").drop("lastArrival").withColumn("silentSince", since).filter(F.col("silentSince") < now)
