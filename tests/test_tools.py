@@ -215,3 +215,18 @@ def test_efficiency_and_tariff_are_kept_apart(spark):
         df, "2024-01-01", peak_rate=params.PEAK_RATE, offpeak_rate=params.OFFPEAK_RATE).collect()}
     assert got["worn"].efficiencyLossUsd == 1.12 and got["worn"].tariffExposureUsd == 0.0
     assert got["late"].efficiencyLossUsd == 0.0 and got["late"].tariffExposureUsd == 1.72
+
+
+def test_newest_points_order_few_of_a_long_series(spark):
+    from weirflow.operators import timeseries
+
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 4 == 0, F.lit(None)).otherwise(F.concat(F.lit("d"), F.col("id") % 3)).alias("deviceId"), F.lit("t").alias("tag"),
+        F.when(F.col("id") % 101 != 0, F.timestamp_seconds(F.col("id") * 60)).alias("timestamp"), (F.col("id") % 7).cast("double").alias("value"))
+    got = timeseries.newest_points(rows, 50)
+    data: dict = {}
+    for r in rows.collect():
+        data.setdefault(r.deviceId, []).append((r.timestamp is not None, r.timestamp, r.value))
+    want = sorted(str((k, x[1:])) for k, v in data.items() for x in sorted(v, key=lambda x: (x[0], str(x[1]), x[2]))[-50:])
+    assert sorted(str((r.deviceId, (r.timestamp, r.value))) for r in got.collect()) == want
+    assert timeseries.newest_points(rows.limit(30), 50).count() == 30

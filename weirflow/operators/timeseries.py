@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +39,19 @@ def downsample(points: DataFrame, max_points: int) -> DataFrame:
 
 
 def newest_points(points: DataFrame, max_points: int = 5000) -> DataFrame:
-    """The newest points of each series, for the hot path."""
-    placed = ordered.with_positions(points, SERIES, "timestamp", ["value"])
-    return placed.filter(F.col("position") > F.col("seriesLength") - max_points).drop("position", "seriesLength")
+    """The newest points of each series, for the hot path.
+
+    A histogram of each series by hour tells from which hour on it has enough; only points from there on are shuffled and ordered, ``max_points`` and those
+    of one more hour at most. Points without a time count as the oldest.
+    """
+    hour = F.coalesce(ordered.time_bucket("timestamp", ordered.HOUR), F.lit(-(1 << 62)))
+    counts = points.groupBy(*SERIES, hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
+    newer = F.sum("_n").over(Window.partitionBy(*SERIES).orderBy(F.col("_hour").desc())) - F.col("_n")
+    cuts = counts.withColumn("_newer", newer).filter(F.col("_newer") < max_points).groupBy(*[F.col(c).alias(f"_of_{c}") for c in SERIES]).agg(
+        F.min("_hour").alias("_cut"))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in SERIES))
+    recent = points.join(cuts, same & (hour >= F.col("_cut")), "left_semi")
+    return ordered.newest_n(recent, SERIES, [F.col("timestamp").desc(), F.col("value").desc()], max_points)
 
 
 def _summary(placed: DataFrame, *extra: Column) -> DataFrame:
