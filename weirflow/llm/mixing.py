@@ -33,8 +33,8 @@ from weirflow.llm import tables
 
 #: Labelled documents that the classifier is fitted on, and the buckets of hashed words.
 SAMPLE, BUCKETS = 4000, 1024
-#: Rounds at most, and the share of all tokens by which totals may miss their targets, or by which a round must still change them.
-ROUNDS, GAP = 60, 1e-7
+#: Rounds at most; the share of all tokens by which totals may miss their targets, and that by which a round must still move them where they can't be met.
+ROUNDS, GAP, STILL = 60, 1e-7, 1e-4
 #: Domains with fewer expected tokens than this share of all take no part in the fit.
 LEAST = 1e-9
 
@@ -133,7 +133,7 @@ def fit(rows: DataFrame, domains: list[str], targets: dict[str, float] | None, r
     gaps: list[list[float]] = []
     now, before = mass, None
     while len(gaps) < rounds and whole and max(abs(e - a) for e, a, u in zip(now, aim, use) if u) > gap * whole:
-        if before is not None and max(abs(e - b) for e, b in zip(now, before)) <= gap * whole:
+        if before is not None and max(abs(e - b) for e, b in zip(now, before)) <= (STILL if least else 0) * whole:
             break
         gaps.append([(e - a) / m if u else 0.0 for e, a, m, u in zip(now, aim, mass, use)])
         before, now = now, expected(rows, len(domains), gaps, least)
