@@ -46,32 +46,34 @@ def days_hint(rows: DataFrame, default: int, question: str = "question") -> Data
     return rows.withColumn("days", F.coalesce(found.try_cast("int"), F.lit(default)))
 
 
-def _terms() -> list[tuple[str, str, str, int, int]]:
+def _terms() -> list[tuple[str, str, str, str | None, int, int]]:
+    """(term, entity, via, attribute, tier, ordinal). Attributes count in their order, the name of one before its synonyms."""
     rows = []
     for i, (entity, synonyms, allowed) in enumerate(v.ENTITIES):
-        rows.append((entity.lower(), entity, "entityName", 1, i))
-        rows += [(s, entity, "entitySynonym", 2, i) for s in synonyms]
-        rows += [(a, entity, "allowedValue", 3, i) for a in allowed]
-        for name in schemas.GOLD_ATTRIBUTES[entity]:
-            rows += [(t, entity, "attributeName", 4, i) for t in {name.lower(), name.lower().split("_")[0]}]
+        rows.append((entity.lower(), entity, "entityName", None, 1, i * 1000))
+        rows += [(s, entity, "entitySynonym", None, 2, i * 1000) for s in synonyms]
+        rows += [(a, entity, "allowedValue", None, 3, i * 1000) for a in allowed]
+        for j, name in enumerate(schemas.GOLD_ATTRIBUTES[entity]):
+            rows += [(t, entity, "attributeName", name, 4, i * 1000 + 2 * j) for t in {name.lower(), name.lower().split("_")[0]}]
+            rows += [(t, entity, "attributeSynonym", name, 4, i * 1000 + 2 * j + 1) for t in v.ATTRIBUTE_SYNONYMS[entity].get(name, [])]
     return rows
 
 
 def term_table(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
-    """Term to entity: name, synonym, allowed value, attribute, in this order of strength.
+    """Term to entity: name, synonym, allowed value, attribute by name or synonym, in this order of strength.
 
-    ``extra`` adds terms of one's own ontology as (term, entity, via, tier, ordinal).
+    ``extra`` adds terms of one's own ontology as (term, entity, via, tier, ordinal), and ``attribute`` if there is one.
     """
-    table = local_table(spark, _terms(), "term string, entity string, via string, tier int, ordinal int")
+    table = local_table(spark, _terms(), "term string, entity string, via string, attribute string, tier int, ordinal int")
     if extra is not None:
-        table = table.unionByName(extra)
+        table = table.unionByName(extra, allowMissingColumns=True)
     return table.groupBy("term").agg(
-        F.min_by(F.struct("entity", "via"), F.struct("tier", "ordinal", "entity")).alias("hit")
+        F.min_by(F.struct("entity", "via", "attribute"), F.struct("tier", "ordinal", "entity")).alias("hit")
     ).select("term", "hit.*")
 
 
 def resolve_terms(rows: DataFrame, terms: DataFrame, key: str, question: str = "question") -> DataFrame:
-    """Entities a question mentions, each with the first word or word pair that named it."""
+    """Entities a question mentions, each with the first word or word pair that named it, and the attribute that this names."""
     rows = rows.select(key, F.filter(text.words(F.col(question)), lambda w: F.length(w) > 2).alias("_words"))
     pairs = F.zip_with(
         F.slice("_words", 1, F.greatest(F.size("_words") - 1, F.lit(0))),
@@ -82,8 +84,11 @@ def resolve_terms(rows: DataFrame, terms: DataFrame, key: str, question: str = "
     return (
         said.join(terms, "term")
         .groupBy(key, "entity")
-        .agg(F.min_by(F.struct("term", "via"), "_at").alias("_first"))
-        .select(key, "entity", F.col("_first.term").alias("matchedTerm"), F.col("_first.via").alias("matchedVia"))
+        .agg(F.min_by(F.struct("term", "via", "attribute"), "_at").alias("_first"))
+        .select(
+            key, "entity", F.col("_first.term").alias("matchedTerm"), F.col("_first.via").alias("matchedVia"),
+            F.col("_first.attribute").alias("matchedAttribute"),
+        )
     )
 
 

@@ -59,22 +59,25 @@ def txt_days_hint(spark, sf_dir):
 def _term_rows() -> list[tuple]:
     rows = []
     for i, (entity, synonyms, allowed) in enumerate(v.ENTITIES):
-        rows += [(entity.lower(), entity, "entityName", 1, i)] + [(s, entity, "entitySynonym", 2, i) for s in synonyms]
-        rows += [(x, entity, "allowedValue", 3, i) for x in allowed]
-        for name in schemas.GOLD_ATTRIBUTES[entity]:
-            rows += [(name.lower(), entity, "attributeName", 4, i), (name.lower().split("_")[0], entity, "attributeName", 4, i)]
+        rows += [(entity.lower(), entity, "entityName", "", 1, i, 0)] + [(s, entity, "entitySynonym", "", 2, i, 0) for s in synonyms]
+        rows += [(x, entity, "allowedValue", "", 3, i, 0) for x in allowed]
+        for j, name in enumerate(schemas.GOLD_ATTRIBUTES[entity]):
+            rows += [(t, entity, "attributeName", name, 4, i, j) for t in (name.lower(), name.lower().split("_")[0])]
+            rows += [(t, entity, "attributeSynonym", name, 4, i, j + 0.5) for t in v.ATTRIBUTE_SYNONYMS[entity].get(name, [])]
     return rows
 
 
-VIEWS["terms"] = ("SELECT term, first(entity ORDER BY tier, ordinal) AS entity, first(via ORDER BY tier, ordinal) AS via FROM ("
-                  + values(_term_rows()) + ") AS t(term, entity, via, tier, ordinal) GROUP BY term")
+VIEWS["terms"] = ("SELECT term, first(entity ORDER BY tier, ordinal, place) AS entity, first(via ORDER BY tier, ordinal, place) AS via, "
+                  "nullif(first(attribute ORDER BY tier, ordinal, place), '') AS attribute FROM ("
+                  + values(_term_rows()) + ") AS t(term, entity, via, attribute, tier, ordinal, place) GROUP BY term")
 
 
 @query("txt_resolve_terms", sql(f"""
   WITH w AS (SELECT questionId, list_filter({WORDS.format('question')}, lambda w: length(w) > 2) AS ws FROM questions),
   p AS (SELECT questionId, list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS ps FROM w),
   e AS (SELECT questionId, unnest(ps) AS term, unnest(range(len(ps))) AS pos FROM p)
-  SELECT questionId, entity, arg_min(term, pos) AS matchedTerm, arg_min(via, pos) AS matchedVia
+  SELECT questionId, entity, arg_min(term, pos) AS matchedTerm, arg_min(via, pos) AS matchedVia,
+         arg_min({{'a': attribute}}, pos).a AS matchedAttribute
   FROM e JOIN terms USING (term) GROUP BY 1, 2"""))
 def txt_resolve_terms(spark, sf_dir):
     return q.resolve_terms(b.questions(spark, sf_dir), q.term_table(spark), "questionId")

@@ -53,8 +53,8 @@ GOLD_ATTRIBUTES = {
     "Telemetry": ["timestamp", "deviceId", "assetId", *params.TELEMETRY_TAGS, "runHours"],
     "WaterQuality": ["timestamp", "deviceId", "siteId", *params.QUALITY_PARAMETERS],
     "DmaFlow": ["timestamp", "dmaId", "inflow_m3_h", "isNightWindow"],
-    "Alarm": ["alarmId", "deviceId", "severity", "state"],
-    "WorkOrder": ["workOrderId", "assetId", "siteId", "priority", "status", "failureMode"],
-    "FailureMode": ["assetClass", "failureMode", "typicalLeadTimeDays", "recommendedAction"],
-    "RegulatoryLimit": ["jurisdiction", "parameter", "citation"],
+    "Alarm": ["alarmId", "deviceId", "severity", "state", "raisedUtc", "message"],
+    "WorkOrder": ["workOrderId", "assetId", "siteId", "priority", "status", "failureMode", "estimatedHours", "createdUtc"],
+    "FailureMode": ["assetClass", "failureMode", "detectableSignature", "severity", "typicalLeadTimeDays", "recommendedAction"],
+    "RegulatoryLimit": ["regime", "parameter", "limitValue", "actionLevel", "citation", "jurisdiction"],
 }

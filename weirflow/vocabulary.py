@@ -68,11 +68,12 @@ SHORT_ID = r"\b([A-Z]{2,6}-\d{1,3})\b"
 SITE_PREFIXES = ["WTP", "WWTP", "PS-", "RES", "DMA", "WELL"]
 
 # Words that carry no meaning in a search.
-STOP_WORDS = (
-    "the and for what which who why how when where are was were with that this there their from into about any all "
-    "has have had can could should would will does did our you your its not but yet been being next last days day "
-    "hours week today now show tell give list please is of in on a an to me my we us it be do"
-).split()
+STOP_WORDS = [
+    "the", "and", "for", "what", "which", "who", "why", "how", "when", "where", "are", "was", "were", "with", "that", "this", "there", "their",
+    "from", "into", "about", "any", "all", "has", "have", "had", "can", "could", "should", "would", "will", "does", "did", "our", "you", "your",
+    "its", "not", "but", "yet", "been", "being", "next", "last", "days", "day", "hours", "week", "today", "now", "show", "tell", "give", "list",
+    "please", "is", "of", "in", "on", "a", "an", "to", "me", "my", "we", "us", "it", "be", "do",
+]
 
 # Ontology entity, its synonyms, and the allowed values of its attributes.
 ENTITIES = [
@@ -93,6 +94,88 @@ ENTITIES = [
      ["us-epa", "uk-dwi", "who"]),
 ]
 
+# What attributes of the entities are also called.
+ATTRIBUTE_SYNONYMS = {
+    "Site": {
+        "siteId": ["site id", "site code", "facility id"],
+        "siteName": ["site name", "facility name"],
+        "siteType": ["type", "category", "kind"],
+        "region": ["area", "zone", "district", "operating region"],
+        "populationServed": ["population", "customers served", "people served"],
+        "capacityMld": ["capacity", "design flow", "throughput"],
+        "criticality": ["importance", "criticality tier", "business criticality"],
+    },
+    "Asset": {
+        "assetId": ["asset id", "tag", "equipment number", "asset tag"],
+        "assetClass": ["class", "asset type", "equipment type"],
+        "manufacturer": ["make", "vendor", "oem"],
+        "model": ["model number", "part model"],
+        "ratedPowerKw": ["rated power", "kw", "nameplate power", "motor size"],
+        "installDate": ["installed", "commissioned", "commissioning date"],
+        "criticality": ["asset criticality", "importance"],
+        "dutyStandby": ["duty", "standby", "role", "run configuration"],
+    },
+    "EdgeDevice": {
+        "deviceId": ["device id", "device name", "gateway id"],
+        "deviceType": ["type", "device class"],
+        "status": ["connection status", "online", "offline", "connectivity"],
+        "runtimeVersion": ["iot edge version", "runtime", "agent version"],
+        "lastHeartbeatUtc": ["last seen", "last contact", "last heartbeat", "last reported"],
+        "certExpiryUtc": ["certificate expiry", "cert expiry", "identity expiry"],
+        "deploymentId": ["manifest", "deployment", "module deployment"],
+    },
+    "Telemetry": {
+        "timestamp": ["time", "when", "datetime", "hour"],
+        "vibration_mm_s": ["vibration", "vibes", "velocity", "shake", "rms"],
+        "bearing_temp_c": ["bearing temperature", "temp", "bearing temp", "heat"],
+        "motor_current_a": ["current", "amps", "motor current", "load current"],
+        "power_kw": ["power", "load", "kw", "demand", "consumption"],
+        "flow_m3_h": ["flow", "flowrate", "throughput", "discharge"],
+        "pressure_bar": ["pressure", "head", "psi"],
+        "suction_pressure_bar": ["suction pressure", "inlet pressure", "npsh"],
+        "runHours": ["run hours", "running hours", "operating hours", "hours run"],
+    },
+    "WaterQuality": {
+        "chlorine_mg_l": ["chlorine", "free chlorine", "residual", "cl2", "disinfectant"],
+        "turbidity_ntu": ["turbidity", "cloudiness", "ntu", "clarity"],
+        "ph": ["ph", "acidity", "alkalinity"],
+        "conductivity_us_cm": ["conductivity", "ec", "tds"],
+        "temperature_c": ["water temperature", "temp"],
+    },
+    "DmaFlow": {
+        "dmaId": ["dma", "district", "zone"],
+        "inflow_m3_h": ["inflow", "inlet flow", "supply flow"],
+        "isNightWindow": ["night", "night window", "mnf window"],
+    },
+    "Alarm": {
+        "severity": ["severity", "priority", "urgency"],
+        "state": ["status", "state", "acknowledged", "cleared"],
+        "raisedUtc": ["raised", "triggered", "started", "when it fired"],
+        "message": ["description", "text", "reason"],
+    },
+    "WorkOrder": {
+        "workOrderId": ["wo number", "work order id", "job number"],
+        "priority": ["priority", "urgency", "p code"],
+        "status": ["status", "state", "progress"],
+        "failureMode": ["failure mode", "fault", "problem", "cause"],
+        "estimatedHours": ["estimate", "duration", "labour hours"],
+        "createdUtc": ["raised", "created", "opened"],
+    },
+    "FailureMode": {
+        "failureMode": ["mode", "fault type"],
+        "detectableSignature": ["signature", "symptom", "indicator", "evidence"],
+        "typicalLeadTimeDays": ["lead time", "warning time", "p-f interval"],
+        "recommendedAction": ["action", "remedy", "fix", "intervention"],
+    },
+    "RegulatoryLimit": {
+        "regime": ["regime", "regulator", "jurisdiction", "standard body"],
+        "parameter": ["parameter", "determinand", "analyte"],
+        "limitValue": ["limit", "mcl", "pcv", "guideline value", "max"],
+        "actionLevel": ["action level", "trigger", "internal limit", "alert level"],
+        "citation": ["citation", "reference", "regulation number"],
+    },
+}
+
 # Relationships between entities (child, child key, parent, parent key).
 RELATIONSHIPS = [
     ("Asset", "siteId", "Site", "siteId"),
