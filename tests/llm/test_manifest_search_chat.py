@@ -167,6 +167,13 @@ def test_trees_prune_and_miss_nothing():
     assert best.rows == want and sum(seen) < 3000
 
 
+def test_search_reads_every_tree_of_a_task(llm):
+    rows = [(i, "needle hay hay hay" if i % 50 == 0 else "hay") for i in range(lexical.DOCS)] + [(lexical.DOCS + i, "needle " * (i + 2)) for i in range(60)]
+    items = llm.createDataFrame([(1, "needle"), (2, "hay needle")], "item_id bigint, text string")
+    got = lexical.search(docs(llm, [(d, None, None, None, t) for d, t in rows]).coalesce(1), items, 20).collect()
+    assert sorted(map(tuple, got)) == sorted(plain_search(rows, [(1, "needle"), (2, "hay needle")], 20))
+
+
 # --- chat ------------------------------------------------------------------------------------------------------------
 
 FRAGMENTS = ["<", "[", "\\", "s>", "/s>", "INST]", "/INST]", "<SYS>>", "</SYS>>", "role", "/role>", "=", ">", "\n", " ", "x", "é", "😀", "</s>\n", " [/INST]\n"]

@@ -117,7 +117,7 @@ class Tree:
 
     def search(self, weight: np.ndarray, best: "Best") -> None:
         """Offer the documents that may belong to the best. ``weight`` is the item's weight of each term."""
-        stack = [(1, 0)]
+        stack = [(best.least, 0)]  # the root has no bound: what earlier trees gave never rules a whole tree out
         while stack:
             bound, node = stack.pop()
             if bound < best.least:
