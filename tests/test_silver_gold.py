@@ -113,6 +113,29 @@ def test_silent_hours_are_in_the_ledger(spark):
     assert got == {("d", 0): "degraded", **{("d", h): "no_data" for h in (1, 2)}, **{("never", h): "no_data" for h in range(3)}}
 
 
+def test_ledger_is_the_whole_grid_and_no_task_makes_it_alone(spark):
+    start, end = T0 + timedelta(hours=21), T0 + timedelta(hours=50)
+    sent = [("a", 5), ("a", 21), ("a", 21), ("a", 47), ("b", 50), ("b", 51), (None, 30), ("stranger", 30)]
+    rows = spark.createDataFrame([(d, T0 + timedelta(hours=h, minutes=i), i % 2 == 0) for i, (d, h) in enumerate(sent)],
+                                 "deviceId string, timestamp timestamp, isTrustworthy boolean")
+    names = ["a", "b", "b", None, *[f"d{i}" for i in range(40)]]
+    devices = spark.createDataFrame([(d,) for d in names], "deviceId string").coalesce(1)
+    ledger = silver.completeness(rows, devices, expected_per_hour=2, start=F.lit(start + timedelta(minutes=9)), end=F.lit(end))
+    got = ledger.collect()
+    want = []
+    for d in names:
+        for h in range(21, 51):
+            own = [i % 2 == 0 for i, x in enumerate(sent) if d is not None and x == (d, h)]
+            hour = T0 + timedelta(hours=h)
+            pct = min(100.0, len(own) * 50.0)
+            want.append((d, hour, len(own), sum(own), 2, pct, "sufficient" if pct >= 80 else "degraded" if pct > 0 else "no_data", hour.date()))
+    assert ledger.columns == ["deviceId", "hour", "receivedSamples", "trustworthySamples", "expectedSamples", "completenessPct", "verdict", "ingestDate"]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    plan = ledger._jdf.queryExecution().executedPlan().toString()
+    at = plan.rindex("Generate")  # devices are dealt out before they become hours
+    assert "Exchange" in plan[at: plan.index("Scan", at)]
+
+
 def test_night_flow_uses_the_past_without_the_last_week(spark):
     rows = [("rising", T0.date() + timedelta(days=i), 11.5 if i < 30 else 19.2, 3.0) for i in range(36)]
     rows += [("flat", T0.date() + timedelta(days=i), 11.5, 3.0) for i in range(36)]

@@ -27,6 +27,26 @@ def rows(spark, *data):
     return df.withColumn("ingestDate", F.to_date("timestamp"))
 
 
+@pytest.mark.parametrize("again", [False, True])
+def test_folded_rows_are_merged_like_the_rows_they_stand_for(spark, tmp_path, again):
+    days = lambda r: r.select("k", F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-03").cast("date"))).alias("ingestDate"), "v")
+    cells = lambda r: r.select("k", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n"), "v", "ingestDate")
+    path, keys, before = str(tmp_path / "t"), ["k", "n"], spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None)
+    folded = lambda *names: spark.createDataFrame([(k, f"{k} now") for k in names], "k string, v string")
+    old = spark.createDataFrame([("a", 1, "a old", "2024-01-02"), ("z", 0, "z old", "2024-01-03"), ("z", 0, "z old", "2024-02-01")],
+                                "k string, n int, v string, d string").select("k", "n", "v", F.col("d").cast("date").alias("ingestDate"))
+    if again:
+        writers.upsert(spark, old, path, keys, "ingestDate")
+    writers.upsert(spark, folded("a", "b", None), path, keys, "ingestDate", unfold=(days, cells))
+    want = [(k, n, f"{k} now" if k else "None now", f"2024-01-0{d}") for k in ("a", "b", None) for n in range(3) for d in (1, 2, 3)]
+    want += [("z", 0, "z old", "2024-01-03"), ("z", 0, "z old", "2024-02-01")] if again else []
+    got = [(r.k, r.n, r.v, str(r.ingestDate)) for r in spark.read.parquet(path).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None) == before
+    with pytest.raises(ValueError, match="not unique"):
+        writers.upsert(spark, folded("a", "a"), path if again else f"{path}2", keys, "ingestDate", unfold=(days, cells))
+
+
 def table(spark, path):
     return sorted((r.deviceId, r.timestamp, r.value) for r in spark.read.parquet(path).collect())
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,6 +120,65 @@ def silver_dma_flow(bronze: DataFrame, *, night_hours: tuple[int, int] = (2, 3))
     return rows.withColumn("ingestDate", F.to_date("timestamp"))
 
 
+@dataclass(frozen=True)
+class Ledger:
+    """Hour ledger over the whole device x hour grid, so that silent hours show up as ``no_data``.
+
+    The grid has far more rows than there are devices or samples, so it is unfolded last: :meth:`folded` has a row for each device, with the hours that it has
+    samples in, :meth:`days` one for each device and day, and :meth:`hours` the ledger. Only the first needs a shuffle; whoever writes by day may deal out
+    days and unfold their hours behind that.
+    """
+
+    start: Column
+    end: Column
+    expected_per_hour: int = params.SAMPLES_PER_HOUR
+    min_pct: float = params.MIN_COMPLETENESS_PCT
+
+    def _span(self) -> tuple[Column, Column]:
+        return F.date_trunc("hour", self.start), F.date_trunc("hour", self.end)
+
+    def _pct(self, received: Column) -> Column:
+        return F.least(F.lit(100.0), rules.steady(received / F.lit(self.expected_per_hour) * 100, 1))
+
+    def folded(self, silver: DataFrame, devices: DataFrame) -> DataFrame:
+        """(deviceId, counts): the counts by hour, by day. A small table of devices is dealt out too, as each of its rows becomes a whole span of hours."""
+        hour = F.date_trunc("hour", "timestamp")
+        by_hour = silver.groupBy("deviceId", hour.alias("hour")).agg(
+            F.count(F.lit(1)).alias("receivedSamples"),
+            F.count_if("isTrustworthy").alias("trustworthySamples"),
+        )
+        counts = F.struct("receivedSamples", "trustworthySamples", self._pct(F.col("receivedSamples")).alias("completenessPct"))
+        by_day = by_hour.filter(F.col("hour").between(*self._span())).groupBy("deviceId", F.to_date("hour").alias("day")).agg(
+            F.map_from_entries(F.collect_list(F.struct("hour", counts))).alias("hours"))
+        received = by_day.groupBy("deviceId").agg(F.map_from_entries(F.collect_list(F.struct("day", "hours"))).alias("counts"))
+        return devices.select("deviceId").repartition("deviceId").join(received, "deviceId", "left")
+
+    def days(self, folded: DataFrame) -> DataFrame:
+        """(deviceId, ingestDate, counts): the counts by hour of that day, NULL where it has none."""
+        first, last = self._span()
+        every = F.explode(F.sequence(F.to_date(first), F.to_date(last), F.expr("interval 1 day")))
+        return folded.select("deviceId", "counts", every.alias("ingestDate")).withColumn("counts", F.col("counts")[F.col("ingestDate")])
+
+    def hours(self, days: DataFrame) -> DataFrame:
+        first, last = self._span()
+        day, hour = F.col("ingestDate"), F.expr("interval 1 hour")
+        of_day = F.sequence(F.greatest(first, day.cast("timestamp")), F.least(last, F.date_add(day, 1).cast("timestamp") - hour), hour)
+        rows = days.select("deviceId", "ingestDate", "counts", F.explode(of_day).alias("hour"))
+        got, none = F.col("counts")[F.col("hour")], F.lit(0).cast("long")
+        pct = F.coalesce(got["completenessPct"], self._pct(none))
+        verdict = F.when(pct >= self.min_pct, "sufficient").when(pct > 0, "degraded").otherwise("no_data")
+        return rows.select(
+            "deviceId",
+            "hour",
+            F.coalesce(got["receivedSamples"], none).alias("receivedSamples"),
+            F.coalesce(got["trustworthySamples"], none).alias("trustworthySamples"),
+            F.lit(self.expected_per_hour).alias("expectedSamples"),
+            pct.alias("completenessPct"),
+            verdict.alias("verdict"),
+            "ingestDate",
+        )
+
+
 def completeness(
     silver: DataFrame,
     devices: DataFrame,
@@ -128,24 +188,6 @@ def completeness(
     start: Column,
     end: Column,
 ) -> DataFrame:
-    """Hour ledger over the whole device x hour grid, so that silent hours show up as ``no_data``."""
-    hours = F.explode(F.sequence(F.date_trunc("hour", start), F.date_trunc("hour", end), F.expr("interval 1 hour")))
-    grid = devices.select("deviceId", hours.alias("hour"))
-    received = silver.groupBy("deviceId", F.date_trunc("hour", "timestamp").alias("hour")).agg(
-        F.count(F.lit(1)).alias("receivedSamples"),
-        F.count_if("isTrustworthy").alias("trustworthySamples"),
-    )
-    pct = F.least(F.lit(100.0), rules.steady(F.col("receivedSamples") / F.lit(expected_per_hour) * 100, 1))
-    return (
-        grid.join(received, ["deviceId", "hour"], "left")
-        .na.fill(0, ["receivedSamples", "trustworthySamples"])
-        .withColumn("expectedSamples", F.lit(expected_per_hour))
-        .withColumn("completenessPct", pct)
-        .withColumn(
-            "verdict",
-            F.when(F.col("completenessPct") >= min_pct, "sufficient")
-            .when(F.col("completenessPct") > 0, "degraded")
-            .otherwise("no_data"),
-        )
-        .withColumn("ingestDate", F.to_date("hour"))
-    )
+    """The hour ledger of all devices, see :class:`Ledger`."""
+    ledger = Ledger(start, end, expected_per_hour, min_pct)
+    return ledger.hours(ledger.days(ledger.folded(silver, devices)))

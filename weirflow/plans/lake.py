@@ -71,14 +71,15 @@ def bronze_to_silver(spark: SparkSession, run: Run) -> None:
             upsert(spark, _since(clean(bronze), "timestamp", run), run.path(f"silver_{name}"), keys, "ingestDate")
 
     now = F.lit(run.as_of).cast("timestamp")
-    ledger = silver.completeness(
-        _since(spark.read.parquet(run.path("silver_telemetry")), "timestamp", run),
-        spark.read.parquet(run.path("ref_devices")),
-        expected_per_hour=run.expected_per_hour,
-        start=now - F.make_dt_interval(hours=F.lit(run.hours)),
-        end=now - F.make_dt_interval(hours=F.lit(1)),
+    ledger = silver.Ledger(
+        now - F.make_dt_interval(hours=F.lit(run.hours)), now - F.make_dt_interval(hours=F.lit(1)), run.expected_per_hour
+    )
+    folded = ledger.folded(
+        _since(spark.read.parquet(run.path("silver_telemetry")), "timestamp", run), spark.read.parquet(run.path("ref_devices"))
+    )
+    upsert(
+        spark, folded, run.path("silver_data_completeness"), ["deviceId", "hour"], "ingestDate", unfold=(ledger.days, ledger.hours)
     )
-    upsert(spark, ledger, run.path("silver_data_completeness"), ["deviceId", "hour"], "ingestDate")
 
 
 def silver_to_gold(spark: SparkSession, run: Run) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime
 import re
 import uuid
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from weirflow.functions import ordered
 from weirflow.session import delete_dir, leaf_folders, move_dir, path_exists, subfolders, touch
 
+Unfolding = Callable[[DataFrame], DataFrame]
+
 
 def write_snapshot(df: DataFrame, path: str) -> None:
     """Replace the whole table, schema included."""
@@ -90,22 +93,33 @@ def upsert(
     order: str | None = None,
     buckets: int = 1,
     bucket_by: list[str] | None = None,
+    unfold: tuple[Unfolding, Unfolding] | None = None,
 ) -> list[str]:
     """Update matching rows and insert the others; create the table when it is absent. Returns the folders that were replaced.
 
     Key and partition must agree, which holds when the partition comes from the event time and the event time is in the key. With ``buckets``, each
     date's rows lie in that many folders by a hash of the key (or of ``bucket_by``, some of its columns), and a batch of a few keys rewrites only theirs.
     Rows with equal keys in the source: the newest by ``order`` counts; without an order they are an error.
+
+    With ``unfold`` (and neither order nor buckets) the source is folded: it has a row for each value of the first key. The first step gives the rows of
+    each partition, the second the rows of the table. Folded rows are checked, and the first rows of a table dealt out by partition, before they multiply.
     """
+    if unfold and (order is not None or buckets > 1 or not partition):
+        raise ValueError("folded rows go by partition, without an order or buckets")
     recover(spark, path)
     staging = f"{path.rstrip('/')}__staging/{uuid.uuid4().hex}"
     source = bucketed(source, bucket_by or keys, buckets)
     folders = [*([partition] if partition else []), *([f"{BUCKET}{buckets}"] if buckets > 1 else [])]
     exists = path_exists(spark, path)
+    if unfold:
+        parts = unfold[0](one_per_key(source, [], keys[:1], None))
+        source = unfold[1](parts)
     try:
         # Written once: the steps below read the rows twice, and must see the same ones. The first rows of a table are the table.
-        if exists:
-            (source if order is not None else one_per_key(source, folders, keys, order)).write.parquet(f"{staging}/in")
+        if unfold and not exists:
+            write_unfolded(parts, f"{staging}/in", partition, keys[0], unfold[1])
+        elif exists:
+            (source if order is not None or unfold else one_per_key(source, folders, keys, order)).write.parquet(f"{staging}/in")
         else:
             write_folders(one_per_key(source, folders, keys, order), f"{staging}/in", folders)
     except Exception as error:
@@ -149,6 +163,23 @@ def write_folders(rows: DataFrame, path: str, folders: list[str]) -> None:
         rows.write.parquet(path)
 
 
+#: Pieces that a partition's folded rows are dealt to, open files of a task that writes unfolded ones, and bytes of a row group, which each of them may hold.
+PIECES, OPEN_FILES, ROW_GROUP = 4, 64, 16 << 20
+
+
+def write_unfolded(parts: DataFrame, path: str, partition: str, key: str, unfold: Unfolding) -> None:
+    """Folded rows as new files, by partition: they are dealt out first and unfolded while they are written. A task keeps a file open for each of its few
+    partitions, as sorting the unfolded rows by partition would cost more than all else."""
+    setting, spark = "spark.sql.maxConcurrentOutputFileWriters", parts.sparkSession
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, str(OPEN_FILES))
+    try:
+        dealt = parts.withColumn("_piece", F.pmod(F.xxhash64(key), F.lit(PIECES))).hint("rebalance", partition, "_piece").drop("_piece")
+        unfold(dealt).write.option("parquet.block.size", str(ROW_GROUP)).partitionBy(partition).parquet(path)
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
 #: Below a staging folder: the rows that replace their folders, and the mark that they are all there.
 MERGED, COMPLETE = "merged", "complete"
 
