@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weirflow.operators import corpus
 from weirflow.operators import questions as q
+from weirflow.session import local_table
 from weirflow.vocabulary import STOP_WORDS
 
 # Questions and the specialist that must come first.
@@ -284,6 +285,18 @@ def test_keyword_retrieval_reads_the_documents_once(spark, tmp_path):
     assert final.count("FileScan") == 1
 
 
+def test_counts_of_a_document_are_shuffled_once_in_pieces_that_grow_in_number(spark):
+    rows = [*DOCS[:2], (*DOCS[0][:2], "chlorine again", *DOCS[0][3:]), ("NUL-1", None, "chlorine residual", *DOCS[0][3:]), ("NUL-2", "Chlorine residual", None, *DOCS[0][3:])]
+    queries = local_table(spark, [("q", "chlorine residual drops")], "queryId string, query string")
+    for splits in (1, 3):
+        found = corpus.retrieve_keyword(spark.createDataFrame(rows, DOC_SCHEMA).coalesce(splits), queries, top_k=5)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"Exchange hashpartitioning\(id#\d+, {16 * splits}\), REPARTITION_BY_NUM", plan)
+        assert not re.search(r"Exchange hashpartitioning\(id#\d+, (term|queryId)#", plan)
+        # rows of one id count together (6 times chlorine, 3 residual, 1 drops, two terms in the title); one without a title or a text is no document
+        assert [tuple(r) for r in found.select("queryId", "id", "score").collect()] == [("q", "SOP-1", 6 + 3 + 1 + 2 * 5.0)]
+
+
 @pytest.mark.parametrize("said, entity, via, attribute", [
     ("chlorine", "WaterQuality", "attributeName", "chlorine_mg_l"), ("cloudiness", "WaterQuality", "attributeSynonym", "turbidity_ntu"),
     ("running hours", "Telemetry", "attributeSynonym", "runHours"), ("vendor", "Asset", "attributeSynonym", "manufacturer"),
